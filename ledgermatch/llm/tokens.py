@@ -13,44 +13,105 @@ _CUT = re.compile(r"(?<=\S)(?=\s\S)")
 _RUN = re.compile(r"\s\s")
 
 
+#: Signs that form tokens of their own after a letter or digit; the apostrophe is not among them, as contractions start with it.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordwiseTokenizer:
     """``encode(texts)`` gives for each text the bytes of its ids, as little-endian unsigned 32-bit integers.
 
     The ids equal those of the tokenizers library for the whole text (no special tokens). Texts are cut in front
     of single white space, where byte-level and word-level BPE both start a new word; each distinct word goes to the
-    library once and then stays in a dictionary of at most ``keep`` words.
+    library once and then stays in a dictionary of at most ``keep`` words. Signs after a word are looked up by themselves, and
+    new words of letters go to the library many at a time, to be told apart by the tokens that start or end a word.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep = keep
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.by_end = bool(suffix)
+        self.marks = np.array([t.endswith(suffix) if suffix else t.startswith("\u0120") for t in tokens])
 
     @staticmethod
-    def words(text: str) -> list[str]:
+    def words(text: str) -> tuple[list[str], list[str]]:
+        """Words that bring their own white space, and then words that follow a space, or start with a line feed instead."""
         if _RUN.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if rest else [first]
+            return _CUT.split(text), []
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return [first], rest
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ask_together(self, words: list[str]) -> list[bytes]:
+        """Words of letters with a space in front, joined in texts of 500 words."""
+        out = []
+        groups = [words[at : at + 500] for at in range(0, len(words), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.asarray(e.ids, "<u4")
+            cuts = np.flatnonzero(self.marks[ids])
+            if self.by_end:
+                cuts = np.concatenate([[0], cuts + 1])
+            else:
+                cuts = np.append(cuts, len(ids))
+            if len(cuts) != len(group) + 1 or cuts[0] != 0 or cuts[-1] != len(ids):
+                out += self._ask(group)
+                continue
+            raw = ids.tobytes()
+            at = (4 * cuts).tolist()
+            out += [raw[s:e] for s, e in zip(at, at[1:])]
+        return out
+
+    def _learn(self, new: set[str], lead: str) -> None:
+        """Look up words that follow ``lead``: a space, or nothing for words that bring their own white space."""
+        known = self.known[lead]
+        split, cores, signs = [], set(), set()
+        for w in new:
+            core = w.rstrip(_SIGNS)
+            if core is not w and core and core[-1].isalnum():
+                split.append((w, core))
+                cores.add(core)
+                signs.add(w[len(core) :])
+            else:
+                cores.add(w)
+        cores = cores.difference(known)
+        plain = [c for c in cores if c.isalpha()] if lead else []
+        known.update(zip(plain, self._ask_together([lead + c for c in plain])))
+        other = list(cores.difference(known))
+        known.update(zip(other, self._ask([c if c[:1] == "\n" else lead + c for c in other])))
+        bare = self.known[""]
+        signs = list(signs.difference(bare))
+        bare.update(zip(signs, self._ask(signs)))
+        for w, core in split:
+            known[w] = known[core] + bare[w[len(core) :]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
-        known = self.known
         for at in range(0, len(texts), 256):
-            cut = [self.words(t) if t else [] for t in texts[at : at + 256]]
-            new = {w for words in cut for w in words if w not in known}
-            if len(known) + len(new) > self.keep:
-                known.clear()
-                new = {w for words in cut for w in words}
-            if new:
-                ordered = list(new)
-                for w, e in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
-            out += [b"".join([known[w] for w in words]) for words in cut]
+            if sum(map(len, self.known.values())) > self.keep:
+                self.known = {"": {}, " ": {}}
+            both = [self.words(t) if t else ([], []) for t in texts[at : at + 256]]
+            parts = []
+            for lead, side in (("", 0), (" ", 1)):
+                known = self.known[lead]
+                cut = [c[side] for c in both]
+                found = [list(map(known.get, words)) for words in cut]
+                gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+                new = {words[i] for words, gap in zip(cut, gaps) for i in gap}
+                if new:
+                    self._learn(new, lead)
+                for words, f, gap in zip(cut, found, gaps):
+                    for i in gap:
+                        f[i] = known[words[i]]
+                parts.append(found)
+            out += [b"".join(head) + b"".join(rest) for head, rest in zip(*parts)]
         return out
 
 
