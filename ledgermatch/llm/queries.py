@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, minhash, packing, suffix_dedup, token_files
+from . import language_id, line_dedup, minhash, packing, suffix_dedup, suffix_tree_lm, token_files
 from .common import fold, read_table
 
 
@@ -42,6 +42,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id")) == 1
+    scored = suffix_tree_lm.score_texts(docs, training=fold(F.col("doc_id")) != 1)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
+    "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_line_dedup": op10_line_dedup,
 }
 
