@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, minhash, packing, suffix_dedup, suffix_tree_lm, token_files
+from . import language_id, line_dedup, minhash, packing, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
 from .common import fold, read_table
 
 
@@ -27,6 +27,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, is_query=F.col("vec_id") % 50 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -42,6 +47,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id")) == 1
@@ -57,11 +66,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
+    "op3_topk_search": op3_topk_search,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
+    "op8_vector_dedup": op8_vector_dedup,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL = {"op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op3_topk_search": topk_search.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
