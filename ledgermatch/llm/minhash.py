@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import written
 from .components import connected_components
@@ -68,7 +68,10 @@ def weighted_shingles(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
 
 
 def sketch(docs: DataFrame, *, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, t1, t2, bands): a hash of the whole text in two parts, and one hash for each band; no bands without words."""
+    """(id, t1, t2, bands, registers): a hash of the whole text in two parts, one hash for each band, one byte for each register.
+
+    Texts without words have null in both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = np.arange(1, rows + 1, dtype=np.uint64) * _GOLD
@@ -76,16 +79,18 @@ def sketch(docs: DataFrame, *, size: int, bands: int, rows: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 words, offsets = word_hashes(part.column("text").to_pylist())
-                found = []
+                found, registers = [], []
                 for s, e in zip(offsets[:-1], offsets[1:]):
                     if s == e:
                         found.append(None)
+                        registers.append(None)
                         continue
                     winners = prob_minhash(*weighted_shingles(words[s:e], size), bands * rows)
+                    registers.append((winners >> np.uint64(17)).astype(np.uint8).tobytes())
                     found.append(mix((winners.reshape(bands, rows) * (spread | np.uint64(1))).sum(axis=1, dtype=np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("t1"), part.column("t2"), pa.array(found, pa.list_(pa.int64()))], names=["id", "t1", "t2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("t1"), part.column("t2"), pa.array(found, pa.list_(pa.int64())), pa.array(registers, pa.binary())], names=["id", "t1", "t2", "bands", "registers"])
 
-    return docs.select("id", "t1", "t2", "text").mapInArrow(run, "id long, t1 long, t2 long, bands array<long>")
+    return docs.select("id", "t1", "t2", "text").mapInArrow(run, "id long, t1 long, t2 long, bands array<long>, registers binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, *, size: int, threshold: float) -> DataFrame:
@@ -114,14 +119,75 @@ def verify(pairs: DataFrame, texts: DataFrame, *, size: int, threshold: float) -
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
+def likely_pairs(members: DataFrame, *, threshold: float, part_rows: int = 2000) -> DataFrame:
+    """Pairs (a, b) of different components in the buckets (band, h, rep, c, bands, registers) that may reach the threshold.
+
+    A pair must agree in as many registers as one at the threshold does less four standard deviations, and is given by
+    the first band that it shares alone. Buckets are cut into parts of about ``part_rows`` by a hash, and every two
+    parts of a bucket meet in a task of their own, where registers are compared as matrices.
+    """
+    parts = members.groupBy("band", "h").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    dealt = members.join(parts, ["band", "h"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "c", "bands", "registers")
+
+    def meet(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        band, i, j = rows[0][0], rows[0][2], rows[0][3]
+        part = np.array([r[4] for r in rows])
+        rep, c = np.array([r[5] for r in rows]), np.array([r[6] for r in rows])
+        bands = np.stack([np.array(r[7], np.int64) for r in rows])
+        regs = np.stack([np.frombuffer(r[8], np.uint8) for r in rows])
+        m = regs.shape[1]
+        p = threshold + (1 - threshold) / 256
+        least = m * p - 4 * (m * p * (1 - p)) ** 0.5
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        found_a, found_b = [], []
+        for lo in range(0, len(left), 64):
+            l = left[lo : lo + 64]
+            x, y = np.nonzero(c[l][:, None] != c[right][None, :])
+            x, y = l[x], right[y]
+            if i == j:
+                x, y = x[x < y], y[x < y]
+            near = np.concatenate([(regs[x[k : k + 20_000]] == regs[y[k : k + 20_000]]).sum(axis=1) >= least for k in range(0, len(x), 20_000)] or [np.zeros(0, bool)])
+            x, y = x[near], y[near]
+            own = (bands[x] == bands[y]).argmax(axis=1) == band
+            found_a.append(np.minimum(rep[x], rep[y])[own])
+            found_b.append(np.maximum(rep[x], rep[y])[own])
+        return np.concatenate(found_a or [rep[:0]]), np.concatenate(found_b or [rep[:0]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:4] != held[0][:4]:
+                    out.append(meet(held))
+                    held = []
+                    if len(out) >= 1000:
+                        yield rows()
+                held.append(row)
+        if held:
+            out.append(meet(held))
+        yield rows()
+
+    order = ["band", "h", "i", "j"]
+    return units.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, bands: int = 25, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id_col, class_id, kept) for each row of ``docs``: class_id is the smallest id of its near-duplicate class.
 
     Texts are weighted sets of runs of ``size`` words (white space between words; a shorter text is one run). Two texts are
     linked if their probability Jaccard similarity is at least ``threshold``; classes are the linked texts'
     components. Equal texts count once from the first step on and share a class. Candidates share a band of
-    ``rows`` registers. Each bucket's members are first verified against its smallest id; then, in buckets that
-    still hold several components, all pairs across components, so no candidate link between components is left out.
+    ``rows`` registers. Each bucket's members are first verified against its smallest id; then, in large buckets
+    that still hold several components, against a few others; then, in all that do, every pair across components whose
+    registers can agree with the threshold, so no candidate link between components is left out.
     Null, empty and blank texts link with nothing. Rows of one id share their classes through that id; a null id
     has class null and is kept. An empty table gives an empty one.
     """
@@ -129,23 +195,34 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     given = given.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), F.col("text"))})
     sketches = written(sketch(given, size=size, bands=bands, rows=rows), "sketches")
     usable = sketches.where(F.col("id").isNotNull() & F.col("bands").isNotNull())
-    texts = usable.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    buckets = written(texts.select("rep", F.posexplode("bands").alias("band", "h")), "buckets")
+    sets = written(usable.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "sets")
+    texts = sets.select("t1", "t2", "rep")
+    buckets = written(sets.select("rep", F.posexplode("bands").alias("band", "h")), "buckets")
     shared = buckets.groupBy("band", "h").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("band", "h", "a")
-    members = buckets.join(shared, ["band", "h"])
-    first = written(members.where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    members = written(buckets.join(shared, ["band", "h"]), "members")
     bodies = given.select("id", "text")
-    links = written(verify(first, bodies, size=size, threshold=threshold), "links").select("a", "b")
-    labels = connected_components(links)
-
-    labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "h", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = labelled.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band", "h")
-    left = written(labelled.join(mixed, ["band", "h"]), "mixed")
-    right = left.select("band", "h", F.col("rep").alias("rep2"), F.col("c").alias("c2"))
-    across = left.join(right, ["band", "h"]).where("rep < rep2 and c != c2").select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    rest = written(across.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = written(verify(rest, bodies, size=size, threshold=threshold), "links").select("a", "b")
-    classes = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    first = written(members.where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    labels = connected_components(written(verify(first, bodies, size=size, threshold=threshold), "links"))
+
+    def mixed(labels: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with their components and the bucket's size."""
+        labelled = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "h", "rep", F.coalesce("component", "rep").alias("c"))
+        several = labelled.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "h", "n")
+        return written(labelled.join(several, ["band", "h"]), "mixed")
+
+    large = mixed(labels).where((F.col("n") >= 64) & (F.col("band") < 5))
+    order = F.row_number().over(Window.partitionBy("band", "h").orderBy(F.xxhash64("rep")))
+    pivots = large.withColumn("k", order).where("k <= 16").select("band", "h", F.col("rep").alias("p"), F.col("c").alias("pc"))
+    second = large.join(pivots, ["band", "h"]).where("c != pc").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    links = written(verify(second, bodies, size=size, threshold=threshold), "links")
+    labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+
+    open_ = mixed(labels).join(sets.select("rep", "bands", "registers"), "rep")
+    rest = likely_pairs(open_, threshold=threshold).distinct()
+    rest = written(rest.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
+    links = written(verify(rest, bodies, size=size, threshold=threshold), "links")
+    classes = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
 
     named = texts.select("t1", "t2", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("t1", "t2", F.coalesce("component", "rep").alias("class_id"))
     out = sketches.select("id", "t1", "t2", F.col("bands").isNotNull().alias("has")).join(named, ["t1", "t2"], "left")
