@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, minhash, packing, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
+from . import language_id, line_dedup, minhash, packing, piece_codec, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
 from .common import fold, read_table
 
 
@@ -37,6 +37,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    coded = piece_codec.encode(docs, piece_codec.PieceModel(tokenizer_path("piece_bpe_32k.model")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_topk_search": op3_topk_search,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_piece_codec": op5_piece_codec,
     "op6_minhash": op6_minhash,
     "op7_packing": op7_packing,
     "op8_vector_dedup": op8_vector_dedup,
