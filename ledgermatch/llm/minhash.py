@@ -119,16 +119,36 @@ def verify(pairs: DataFrame, texts: DataFrame, *, size: int, threshold: float) -
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
+def compact_sets(texts: DataFrame, *, size: int) -> DataFrame:
+    """(rep, keys, counts) of texts (id, text): weighted shingles by 32 bits of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                words, offsets = word_hashes(part.column("text").to_pylist())
+                keys, counts = [], []
+                for s, e in zip(offsets[:-1], offsets[1:]):
+                    k, n = np.unique((shingle_hashes(words[s:e], size) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+                    keys.append(k.tobytes())
+                    counts.append(np.minimum(n, 65535).astype(np.uint16).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["rep", "keys", "counts"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, keys binary, counts binary")
+
+
 def likely_pairs(members: DataFrame, *, threshold: float, part_rows: int = 2000) -> DataFrame:
-    """Pairs (a, b) of different components in the buckets (band, h, rep, c, bands, registers) that may reach the threshold.
+    """Pairs (a, b) that reach the threshold by compact sets, enough to connect the components of every bucket.
 
-    A pair must agree in as many registers as one at the threshold does less four standard deviations, and is given by
+    ``members`` are (band, h, rep, c, bands, registers, keys, counts). A pair of different components must agree in as many registers as one at the threshold does less four standard deviations, and is given by
     the first band that it shares alone. Buckets are cut into parts of about ``part_rows`` by a hash, and every two
-    parts of a bucket meet in a task of their own, where registers are compared as matrices.
+    parts of a bucket meet in a task of their own. Pairs come by falling agreement, and one whose ends earlier pairs have
+    connected is passed over. 32 bits of a hash may rarely take different shingles for the same, so a little less than the
+    threshold is enough here, and a little more is needed to connect; pairs are verified by their texts afterwards.
     """
     parts = members.groupBy("band", "h").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     dealt = members.join(parts, ["band", "h"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "c", "bands", "registers")
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "c", "bands", "registers", "keys", "counts")
 
     def meet(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         band, i, j = rows[0][0], rows[0][2], rows[0][3]
@@ -140,19 +160,51 @@ def likely_pairs(members: DataFrame, *, threshold: float, part_rows: int = 2000)
         p = threshold + (1 - threshold) / 256
         least = m * p - 4 * (m * p * (1 - p)) ** 0.5
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found_a, found_b = [], []
+        found = []
         for lo in range(0, len(left), 64):
             l = left[lo : lo + 64]
             x, y = np.nonzero(c[l][:, None] != c[right][None, :])
             x, y = l[x], right[y]
             if i == j:
                 x, y = x[x < y], y[x < y]
-            near = np.concatenate([(regs[x[k : k + 20_000]] == regs[y[k : k + 20_000]]).sum(axis=1) >= least for k in range(0, len(x), 20_000)] or [np.zeros(0, bool)])
-            x, y = x[near], y[near]
-            own = (bands[x] == bands[y]).argmax(axis=1) == band
-            found_a.append(np.minimum(rep[x], rep[y])[own])
-            found_b.append(np.maximum(rep[x], rep[y])[own])
-        return np.concatenate(found_a or [rep[:0]]), np.concatenate(found_b or [rep[:0]])
+            for k in range(0, len(x), 20_000):
+                u, v = x[k : k + 20_000], y[k : k + 20_000]
+                same = (regs[u] == regs[v]).sum(axis=1)
+                near = same >= least
+                u, v, same = u[near], v[near], same[near]
+                own = (bands[u] == bands[v]).argmax(axis=1) == band
+                found.append((u[own], v[own], same[own]))
+        if not found:
+            return rep[:0], rep[:0]
+        x, y, same = (np.concatenate(f) for f in zip(*found))
+        order = np.argsort(-same, kind="stable")
+        parent = {}
+
+        def root(v: int) -> int:
+            while parent.get(v, v) != v:
+                parent[v] = parent.get(parent[v], parent[v])
+                v = parent[v]
+            return v
+
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def weighted(v: int) -> tuple[np.ndarray, np.ndarray]:
+            if v not in sets:
+                sets[v] = np.frombuffer(rows[v][9], np.uint32), np.frombuffer(rows[v][10], np.uint16).astype(np.float64)
+            return sets[v]
+
+        a, b = [], []
+        for u, v in zip(x[order].tolist(), y[order].tolist()):
+            cu, cv = root(int(c[u])), root(int(c[v]))
+            if cu == cv:
+                continue
+            similar = probability_jaccard(weighted(u), weighted(v))
+            if similar >= threshold + 0.005:
+                parent[max(cu, cv)] = min(cu, cv)
+            if similar >= threshold - 0.005:
+                a.append(min(rep[u], rep[v]))
+                b.append(max(rep[u], rep[v]))
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -200,7 +252,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     buckets = written(sets.select("rep", F.posexplode("bands").alias("band", "h")), "buckets")
     shared = buckets.groupBy("band", "h").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("band", "h", "a")
     members = written(buckets.join(shared, ["band", "h"]), "members")
-    bodies = given.select("id", "text")
+    # From here on only texts that share a bucket with another one count.
+    bodies = written(given.select("id", "text").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "bodies")
     first = written(members.where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     labels = connected_components(written(verify(first, bodies, size=size, threshold=threshold), "links"))
 
@@ -218,7 +271,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     links = written(verify(second, bodies, size=size, threshold=threshold), "links")
     labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
 
-    open_ = mixed(labels).join(sets.select("rep", "bands", "registers"), "rep")
+    open_ = mixed(labels)
+    asked = open_.select(F.col("rep").alias("id")).distinct()
+    open_ = open_.join(sets.select("rep", "bands", "registers"), "rep").join(compact_sets(bodies.join(asked, "id", "left_semi"), size=size), "rep")
     rest = likely_pairs(open_, threshold=threshold).distinct()
     rest = written(rest.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
     links = written(verify(rest, bodies, size=size, threshold=threshold), "links")
