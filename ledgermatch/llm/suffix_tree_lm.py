@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import small_batches, written
 from .shingles import _LOWER, SPACE, mix, word_hashes
 
 #: Stands before a text's first and after its last word; no word holds it.
@@ -160,7 +160,7 @@ def build_tree(rows: list[tuple[int, int, np.ndarray, np.ndarray]], depth: int,
 
 def _planes(numbers: np.ndarray) -> bytes:
     """The numbers' bytes by significance, which compress well for sorted numbers."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T).tobytes()
 
 
 def _numbers(planes: bytes, kind: type) -> np.ndarray:
@@ -185,7 +185,7 @@ def _gram_block(keys: np.ndarray, blocks: int) -> np.ndarray:
     return _block((keys >> np.uint64(8)) & np.uint64((1 << 8 * _TOGETHER) - 1), blocks)
 
 
-def corpus_counts(docs: DataFrame, depth: int, blocks: int, most: int = 6_000_000) -> DataFrame:
+def corpus_counts(docs: DataFrame, depth: int, blocks: int, most: int = 2_000_000) -> DataFrame:
     """(kind, block, keys, counts): grams of training texts and hashes of their words, summed within tasks and then by block.
 
     Tasks sum what they read, up to ``most`` distinct keys at a time, and send sorted arrays cut into blocks, so a frequent
@@ -205,20 +205,19 @@ def corpus_counts(docs: DataFrame, depth: int, blocks: int, most: int = 6_000_00
             return _packed(kind, range(blocks), [keys[s:e] for s, e in zip(cuts, cuts[1:])], [counts[s:e] for s, e in zip(cuts, cuts[1:])])
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < 4_000_000:
-                    size += len(texts[hi] or "") + 1
-                    hi += 1
-                part = texts[lo:hi]
+            while lo < batch.num_rows:
+                part, size = [], 0
+                while lo < batch.num_rows and size < 2_000_000:
+                    part.append(batch.column("text")[lo].as_py())
+                    size += len(part[-1] or "") + 1
+                    lo += 1
                 words, _ = word_hashes(part, lower=True)
                 for kind, keys in (("gram", gram_keys(*normal_form(part), depth)), ("word", words)):
-                    held[kind].append(np.unique(keys, return_counts=True))
+                    keys, counts = np.unique(keys, return_counts=True)
+                    held[kind].append((keys, counts.astype(np.uint32)))
                     if sum(len(k) for k, _ in held[kind]) > most:
                         yield close(kind)
-                lo = hi
         for kind in held:
             if held[kind]:
                 yield close(kind)
@@ -298,6 +297,7 @@ def score_texts(
     uniform, and N and V are 0. Empty tables give none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = blocks or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     counts = written(corpus_counts(given.where("train"), depth, blocks), "counts")
@@ -329,8 +329,8 @@ def score_texts(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, top_words, top_logs = model.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 texts = part.column("text").to_pylist()
                 scores = tree.scores(texts)
                 words, offsets = word_hashes(texts, lower=True)
@@ -342,13 +342,13 @@ def score_texts(
                 hit[hit] = top_words[at[hit]] == signed[hit]
                 known = np.bincount(doc[hit], minlength=len(texts)) + (n_texts > 0)
                 logs = np.bincount(doc[hit], weights=top_logs[at[hit]], minlength=len(texts)) + end_log
-                yield _scores(part.column("id"), n + 1, known, logs, scores)
+                ids = np.array([i if i is not None else _NULL for i in part.column("id").to_pylist()], np.int64)
+                yield _scores(ids, n + 1, known, logs, scores, blocks)
                 # The other words, by block: one row for a block, with document numbers, hashes and the marks of training.
                 rest_words, rest_docs = words[~hit], doc[~hit]
                 block = _block(rest_words, blocks)
                 order = np.argsort(block, kind="stable")
                 cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-                ids = np.array([i if i is not None else -(2**63) for i in part.column("id").to_pylist()], np.int64)
                 train = part.column("train").to_numpy(zero_copy_only=False)
                 payload = []
                 for s, e in zip(cuts, cuts[1:]):
@@ -370,7 +370,7 @@ def score_texts(
             docs, doc = np.unique(ids, return_inverse=True)
             known = np.bincount(doc, weights=c > 0, minlength=len(docs))
             logs = np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(docs))
-            return _scores(pa.array(docs, mask=docs == -(2**63)), np.zeros(len(docs)), known, logs, np.zeros(len(docs)))
+            return _scores(docs, np.zeros(len(docs)), known, logs, np.zeros(len(docs)), blocks)
 
         for batch in batches:
             for block, words, ids, train in zip(*(c.to_pylist() for c in batch.columns)):
@@ -381,28 +381,53 @@ def score_texts(
         if held:
             yield close()
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+
+        def close() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            held.clear()
+            ids, doc = np.unique(rows["id"], return_inverse=True)
+            sums = {c: np.bincount(doc, weights=rows[c], minlength=len(ids)) for c in ("n", "known", "logs", "score")}
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _NULL), pa.array(sums["n"].astype(np.int64)), pa.array(sums["known"].astype(np.int64)), pa.array(sums["logs"]), pa.array(sums["score"])], names=["id", "n_tokens", "n_known", "logs", "score"])
+
+        for batch in batches:
+            for bucket, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is not None and bucket != now:
+                    yield close()
+                now = bucket
+                held.append(np.frombuffer(words, _PART))
+        if held:
+            yield close()
+
     scored = written(given.mapInArrow(score, _FIELDS), "word-scores")
-    rest = scored.where("block is not null").select("block", "words", "ids", "train").repartition("block").sortWithinPartitions("block")
-    resolved = rest.mapInArrow(resolve, _FIELDS)
-    parts = scored.where("block is null").union(resolved)
-    out = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
+    rest = scored.where("kind = 'rest'").select("block", "words", "ids", "train").repartition("block").sortWithinPartitions("block")
+    parts = scored.where("kind = 'part'").select("block", "words").union(rest.mapInArrow(resolve, _FIELDS).select("block", "words"))
+    out = parts.repartition("block").sortWithinPartitions("block").mapInArrow(gather, "id long, n_tokens long, n_known long, logs double, score double")
     return out.select(
-        F.col("id").alias(id_col), F.col("n_tokens").cast("long"), F.col("n_known").cast("long"), F.lit(n_train).cast("long").alias("train_tokens"),
+        F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * offset).alias("base_score"), "score",
     )
 
 
-_FIELDS = "id long, n_tokens long, n_known long, logs double, score double, block int, words binary, ids binary, train binary"
-_NAMES = ["id", "n_tokens", "n_known", "logs", "score", "block", "words", "ids", "train"]
+_NULL = -(2**63)
+_FIELDS = "kind string, block int, words binary, ids binary, train binary"
+_NAMES = ["kind", "block", "words", "ids", "train"]
+#: What a task knows of a document: summed by document in the end.
+_PART = np.dtype([("id", "<i8"), ("n", "<i4"), ("known", "<i4"), ("logs", "<f8"), ("score", "<f8")])
 
 
-def _scores(ids: pa.Array, n: np.ndarray, known: np.ndarray, logs: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    rows = len(ids)
-    nulls = [pa.nulls(rows, pa.int32()), *[pa.nulls(rows, pa.binary()) for _ in range(3)]]
-    return pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(logs.astype(np.float64)), pa.array(scores.astype(np.float64)), *nulls], names=_NAMES)
+def _scores(ids: np.ndarray, n: np.ndarray, known: np.ndarray, logs: np.ndarray, scores: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Documents' sums, one row for each bucket of documents."""
+    rows = np.empty(len(ids), _PART)
+    rows["id"], rows["n"], rows["known"], rows["logs"], rows["score"] = ids, n, known, logs, scores
+    bucket = _block(ids.view(np.uint64), blocks)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(blocks + 1))
+    payload = [rows[order[s:e]].tobytes() for s, e in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(["part"] * blocks), pa.array(range(blocks), pa.int32()), pa.array(payload, pa.binary()), *[pa.nulls(blocks, pa.binary()) for _ in range(2)]], names=_NAMES)
 
 
 def _rest(blocks, payload: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-    rows = len(payload)
-    nulls = [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()), pa.nulls(rows, pa.float64())]
-    return pa.RecordBatch.from_arrays([*nulls, pa.array(list(blocks), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*payload)]], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(["rest"] * len(payload)), pa.array(list(blocks), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*payload)]], names=_NAMES)
