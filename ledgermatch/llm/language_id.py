@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import small_batches
+from .tokens import release
+
 PAD = 256  # stands after the end of a short window
 UND = "und"
 
@@ -231,10 +234,11 @@ def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128,
         return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts, usable = part.column("__text").to_pylist(), part.column("__letters").to_pylist()
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                texts, usable = part.column(text_col).to_pylist(), part.column("__letters").to_pylist()
                 rows = [i for i, ok in enumerate(usable) if ok]
                 langs, scores = [UND] * len(texts), [0.0] * len(texts)
                 if rows:
@@ -245,6 +249,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128,
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "score"])
 
     kept = docs.columns
-    given = docs.withColumns({"__text": F.when(letters, F.col(text_col).cast("string")), "__letters": letters})
+    small_batches(docs.sparkSession)
+    given = docs.withColumn("__letters", letters)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return given.mapInArrow(run, f"{fields}, lang_pred string, score double")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import task_number
+from .common import small_batches, task_number
 from .tokens import tokenizer
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -74,7 +74,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tok, end = tokenizer(tokenizer_path, 500_000), np.array([end_id], "<u4").tobytes()
         sequence = task_number() << 32
         waiting: list[tuple] = []
         held = 0
@@ -121,4 +121,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: i
         close()
         yield rows()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text").cast("string")).mapInArrow(run, _SCHEMA)

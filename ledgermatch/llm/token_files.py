@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import new_path, task_number
+from .common import new_path, small_batches, task_number
 from .tokens import tokenizer
 
 # File: magic, five u64 (documents, ids, distinct ids, control bytes, data bytes), then i64 document ids, u8 null marks,
@@ -85,10 +85,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id
     Null text counts as empty: its document is the end id alone. An empty table gives no files and an empty manifest.
     """
     spark = docs.sparkSession
-    store, _ = fs.FileSystem.from_uri(path)
+    small_batches(spark)
+    store, root = fs.FileSystem.from_uri(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        tok, end = tokenizer(tokenizer_path, 1_500_000), np.array([end_id], "<u4").tobytes()
         store, root = fs.FileSystem.from_uri(path)
         doc_ids: list[int | None] = []
         encoded: list[bytes] = []
@@ -125,7 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "task", "number", "n_docs", "n_tokens"])
 
-    store.create_dir(fs.FileSystem.from_uri(path)[1], recursive=True)
+    store.create_dir(root, recursive=True)
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
     ranged.mapInArrow(run, "file string, task long, number long, n_docs long, n_tokens long").write.parquet(f"{path}-manifest")
     return spark.read.parquet(f"{path}-manifest")

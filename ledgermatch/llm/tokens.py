@@ -26,7 +26,7 @@ class WordwiseTokenizer:
     new words of letters go to the library many at a time, to be told apart by the tokens that start or end a word.
     """
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -118,8 +118,15 @@ class WordwiseTokenizer:
 _LOADED: dict[str, WordwiseTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordwiseTokenizer:
-    """The tokenizer of this Python worker; workers are reused, so it loads once."""
+def release() -> None:
+    """Drop this worker's words: workers are reused, and operators that don't tokenize need the memory."""
+    for t in _LOADED.values():
+        t.known = {"": {}, " ": {}}
+
+
+def tokenizer(path: str, keep: int) -> WordwiseTokenizer:
+    """The tokenizer of this Python worker, with at most ``keep`` words; workers are reused, so it loads once."""
     if path not in _LOADED:
         _LOADED[path] = WordwiseTokenizer(path)
+    _LOADED[path].keep = keep
     return _LOADED[path]
