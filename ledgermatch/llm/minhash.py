@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import written
+from .common import discard, small_batches, written
 from .components import connected_components
 from .shingles import mix, shingle_hashes, word_hashes
 
@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     Null, empty and blank texts link with nothing. Rows of one id share their classes through that id; a null id
     has class null and is kept. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     given = given.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), F.col("text"))})
     sketches = written(sketch(given, size=size, bands=bands, rows=rows), "sketches")
@@ -255,7 +256,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     # From here on only texts that share a bucket with another one count.
     bodies = written(given.select("id", "text").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "bodies")
     first = written(members.where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    labels = connected_components(written(verify(first, bodies, size=size, threshold=threshold), "links"))
+    links = written(verify(first, bodies, size=size, threshold=threshold), "links")
+    labels = connected_components(links)
+    discard(links, buckets)
 
     def mixed(labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components, with their components and the bucket's size."""
@@ -263,23 +266,29 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
         several = labelled.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("band", "h", "n")
         return written(labelled.join(several, ["band", "h"]), "mixed")
 
-    large = mixed(labels).where((F.col("n") >= 64) & (F.col("band") < 5))
+    several = mixed(labels)
+    large = several.where((F.col("n") >= 64) & (F.col("band") < 5))
     order = F.row_number().over(Window.partitionBy("band", "h").orderBy(F.xxhash64("rep")))
     pivots = large.withColumn("k", order).where("k <= 16").select("band", "h", F.col("rep").alias("p"), F.col("c").alias("pc"))
     second = large.join(pivots, ["band", "h"]).where("c != pc").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
     second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
     links = written(verify(second, bodies, size=size, threshold=threshold), "links")
+    discard(several)
     labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
 
-    open_ = mixed(labels)
+    discard(links)
+    open_ = several = mixed(labels)
     asked = open_.select(F.col("rep").alias("id")).distinct()
     open_ = open_.join(sets.select("rep", "bands", "registers"), "rep").join(compact_sets(bodies.join(asked, "id", "left_semi"), size=size), "rep")
     rest = likely_pairs(open_, threshold=threshold).distinct()
     rest = written(rest.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
     links = written(verify(rest, bodies, size=size, threshold=threshold), "links")
     classes = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
-
+    discard(several, members, bodies, first, second, rest, links)
     named = texts.select("t1", "t2", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("t1", "t2", F.coalesce("component", "rep").alias("class_id"))
-    out = sketches.select("id", "t1", "t2", F.col("bands").isNotNull().alias("has")).join(named, ["t1", "t2"], "left")
+    named = written(named, "classes")
+    rows = written(sketches.select("id", "t1", "t2", F.col("bands").isNotNull().alias("has")), "rows")
+    discard(sets, sketches)
+    out = rows.join(named, ["t1", "t2"], "left")
     cls = F.when(F.col("has") & F.col("id").isNotNull(), F.col("class_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), cls.alias("class_id"), F.coalesce(cls == F.col("id"), F.lit(True)).alias("kept"))
