@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, written
+from .common import discard, small_batches, task_number, written
 from .shingles import _LOWER, SPACE, mix, word_hashes
 
 #: Stands before a text's first and after its last word; no word holds it.
@@ -49,20 +49,21 @@ def gram_keys(buffer: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """For every symbol the ``depth`` symbols before it and itself as one number, the symbol lowest; a text begins after an end."""
     n = len(buffer)
     keys = np.zeros(n, np.uint64)
-    text_start = np.concatenate([[0], places[:-1] + 1])
-    since = np.arange(n) - np.repeat(text_start, np.diff(np.append(text_start, n)))
+    text_start = np.concatenate([[0], places[:-1] + 1]).astype(np.int32)
+    since = np.arange(n, dtype=np.int32) - np.repeat(text_start, np.diff(np.append(text_start, n)))
     for j in range(depth, -1, -1):
-        symbol = np.full(n, END, np.uint64)
-        symbol[j:] = buffer[: n - j] if j else buffer
+        symbol = np.full(n, END, np.uint8)
+        symbol[j:] = buffer[: max(0, n - j)]
         if j:
             symbol[since < j] = END
-        keys = (keys << np.uint64(8)) | symbol
+        keys <<= np.uint64(8)
+        keys |= symbol
     return keys
 
 
 @dataclass
 class SuffixTree:
-    """States for the retained contexts and all their beginnings, with the log10 probability of each symbol.
+    """A tree in memory, which ``gram_logs`` is tested against: states for the retained contexts and all their beginnings, with the log10 probability of each symbol.
 
     ``step[s, b]`` is the state after symbol class ``b`` in state ``s``: the longest state that is a suffix of what has been
     read. ``classes`` maps bytes to symbol classes; bytes that training never saw share class 0, whose probability is split among them.
@@ -158,14 +159,23 @@ def build_tree(rows: list[tuple[int, int, np.ndarray, np.ndarray]], depth: int,
     return SuffixTree(classes, step, log, start)
 
 
+def _pressed(raw: bytes) -> bytes:
+    """Length and bytes by zstd: what is shuffled is mostly letters and low numbers, which Spark's own codec leaves as they are."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _expanded(pressed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(pressed[8:], int.from_bytes(pressed[:8], "little"), asbytes=True)
+
+
 def _planes(numbers: np.ndarray) -> bytes:
-    """The numbers' bytes by significance, which compress well for sorted numbers."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T).tobytes()
+    """The numbers' bytes by significance, which compress well for sorted numbers, compressed."""
+    return _pressed(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T).tobytes())
 
 
 def _numbers(planes: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(_expanded(planes), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,257 +187,322 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
 
 
-#: Grams whose contexts share this many last symbols are in one block.
+#: Grams whose contexts share this many last symbols are in one block. Shorter contexts are few at any input size.
 _TOGETHER = 3
 
 
+def _low(keys: np.ndarray, symbols: int) -> np.ndarray:
+    return keys & np.uint64((1 << 8 * symbols) - 1)
+
+
 def _gram_block(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return _block((keys >> np.uint64(8)) & np.uint64((1 << 8 * _TOGETHER) - 1), blocks)
+    return _block(_low(keys >> np.uint64(8), _TOGETHER), blocks)
+
+
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(keys) >> np.uint64(20)) % np.uint64(blocks)
 
 
-def corpus_counts(docs: DataFrame, depth: int, blocks: int, most: int = 2_000_000) -> DataFrame:
-    """(kind, block, keys, counts): grams of training texts and hashes of their words, summed within tasks and then by block.
+def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in a sorted array, and whether they are there."""
+    at = np.searchsorted(sorted_, wanted)
+    at[at == len(sorted_)] = 0
+    return at, (sorted_[at] == wanted) if len(sorted_) else np.zeros(len(wanted), bool)
 
-    Tasks sum what they read, up to ``most`` distinct keys at a time, and send sorted arrays cut into blocks, so a frequent
-    gram or word comes once from each task and blocks are even.
+
+@dataclass
+class Level:
+    """All contexts of one length: their grams (context, symbol) with smoothed probabilities, their counts and which are states."""
+
+    keys: np.ndarray
+    p: np.ndarray
+    contexts: np.ndarray
+    n: np.ndarray
+    kept: np.ndarray
+
+
+def grow(levels: list[Level], keys: np.ndarray, counts: np.ndarray, depth: int, *, least: int, divergence: float, strength: float) -> list[Level]:
+    """``levels`` and those that follow up to ``depth``, from training grams: all, or those of a block from length _TOGETHER on.
+
+    Distributions are smoothed from the root down: counts plus ``strength`` times the parent's distribution, where the parent is the
+    context without its first symbol. A context that occurs ``least`` times is a state if its count times the Kullback-Leibler
+    divergence from its parent is at least ``divergence`` nats, if it is shorter than _TOGETHER, or if a longer state needs it as a parent.
+    """
+    levels = list(levels)
+    first_new = len(levels)
+    for length in range(first_new, depth + 1):
+        own, c = _summed(_low(keys, length + 1), counts)
+        context = own >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(own) else np.zeros(0, np.intp)
+        n = np.add.reduceat(c, first) if len(own) else c
+        total = np.repeat(n, np.diff(np.append(first, len(own))))
+        q = levels[-1].p[np.searchsorted(levels[-1].keys, _low(own, length))] if length else np.full(len(own), 1 / 256)
+        p = (c + strength * q) / (total + strength)
+        kept = n >= least
+        if length == 0:
+            kept[:] = True
+        elif length >= _TOGETHER and len(own):
+            # Symbols that never follow have the parent's probability times this weight.
+            w = strength / (n + strength)
+            rest = np.maximum(0, 1 - np.add.reduceat(q, first))
+            kept &= n * (np.add.reduceat(p * np.log(p / q), first) + w * rest * np.log(w)) >= divergence
+        levels.append(Level(own, p, context[first], n, kept))
+    for length in range(depth, max(first_new, 1), -1):
+        upper, lower = levels[length], levels[length - 1]
+        lower.kept[np.searchsorted(lower.contexts, _low(upper.contexts[upper.kept], length - 1))] = True
+    return levels
+
+
+def gram_logs(levels: list[Level], asked: np.ndarray, strength: float) -> np.ndarray:
+    """log10 probability of each asked gram's symbol in the longest state that its context ends in."""
+    v = np.full(len(asked), 1 / 256)
+    live = np.arange(len(asked))
+    for length, level in enumerate(levels):
+        keys = _low(asked[live], length + 1)
+        at, there = _find(level.contexts, keys >> np.uint64(8))
+        if len(level.contexts):
+            there &= level.kept[at]
+        live, keys, at = live[there], keys[there], at[there]
+        if not len(live):
+            break
+        entry, hit = _find(level.keys, keys)
+        v[live] = np.where(hit, level.p[entry], v[live] * strength / (level.n[at] + strength))
+    return np.log10(v).astype(np.float32)
+
+
+#: The number of a block's row is its order in a chunk, so answers need not repeat the keys.
+_ROW = "kind string, block int, chunk long, keys binary, counts binary"
+_ANSWER = "kind string, block int, chunk long, answer binary"
+
+
+def chunked(given: DataFrame, size: int) -> DataFrame:
+    """Rows (id, text, train) in chunks of about ``size`` bytes that stay together: one row for each, with its texts' normal forms.
+
+    ``low`` and ``low_counts`` are the grams of its training texts with contexts shorter than _TOGETHER.
     """
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {"gram": [], "word": []}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = task_number() << 32
+        ids, train, texts, held = [], [], [], 0
 
-        def close(kind: str) -> pa.RecordBatch:
-            keys, counts = _summed(*(np.concatenate(x) for x in zip(*held[kind])))
-            held[kind] = []
-            block = (_gram_block if kind == "gram" else _block)(keys, blocks)
-            order = np.argsort(block, kind="stable")
-            keys, counts = keys[order], np.minimum(counts[order], 2**32 - 1).astype(np.uint32)
-            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-            return _packed(kind, range(blocks), [keys[s:e] for s, e in zip(cuts, cuts[1:])], [counts[s:e] for s, e in zip(cuts, cuts[1:])])
+        def close() -> pa.RecordBatch:
+            nonlocal serial, held
+            buffer, places = normal_form(texts)
+            mark = np.array(train, np.uint8)
+            sizes = np.diff(np.concatenate([[-1], places]))
+            keys, counts = np.unique(gram_keys(buffer, places, _TOGETHER - 1)[np.repeat(mark, sizes) > 0], return_counts=True)
+            row = [[serial], [list(ids)], [mark.tobytes()], [_pressed(buffer.tobytes())], [keys.tobytes()], [counts.astype(np.int64).tobytes()]]
+            serial, held = serial + 1, 0
+            for x in (ids, train, texts):
+                x.clear()
+            kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["chunk", "ids", "train", "buffer", "low", "low_counts"])
 
         for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                part, size = [], 0
-                while lo < batch.num_rows and size < 2_000_000:
-                    part.append(batch.column("text")[lo].as_py())
-                    size += len(part[-1] or "") + 1
-                    lo += 1
-                words, _ = word_hashes(part, lower=True)
-                for kind, keys in (("gram", gram_keys(*normal_form(part), depth)), ("word", words)):
-                    keys, counts = np.unique(keys, return_counts=True)
-                    held[kind].append((keys, counts.astype(np.uint32)))
-                    if sum(len(k) for k, _ in held[kind]) > most:
-                        yield close(kind)
-        for kind in held:
-            if held[kind]:
-                yield close(kind)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, t, mark in zip(*(batch.column(c) for c in ("id", "text", "train"))):
+                ids.append(i.as_py())
+                texts.append(t.as_py())
+                train.append(mark.as_py())
+                held += len(t.as_buffer() or b"") + 1
+                if held >= size:
+                    yield close()
+        if ids:
+            yield close()
+
+    return given.mapInArrow(run, "chunk long, ids array<long>, train binary, buffer binary, low binary, low_counts binary")
+
+
+def _opened(pressed: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's grams, its texts' ends, its words' hashes and where each text's words begin."""
+    buffer = _expanded(pressed)
+    raw = np.frombuffer(buffer, np.uint8)
+    places = np.flatnonzero(raw == END)
+    words, offsets = word_hashes(buffer.decode("utf-8", "surrogatepass").split("\n")[:-1], lower=True)
+    return gram_keys(raw, places, depth), places, words, offsets
+
+
+def _asked(kind: str, keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted distinct keys by block, and the cuts between blocks."""
+    block = (_gram_block if kind == "gram" else _block)(keys, blocks).astype(np.uint16 if blocks < 2**16 else np.uint64)
+    order = np.argsort(block, kind="stable")
+    return order, np.searchsorted(block[order], np.arange(blocks + 1))
+
+
+def _counted(kind: str, keys: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how often each comes with a mark of 1."""
+    if kind == "gram":  # has bits to spare, so one array is sorted in place
+        keys = (keys << np.uint64(1)) | mark
+        keys.sort()
+        mark = (keys & np.uint64(1)).astype(np.uint8)
+        keys >>= np.uint64(1)
+    else:
+        order = np.argsort(keys)
+        keys, mark = keys[order], mark[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(mark, first, dtype=np.uint32)
+
+
+def questions(chunks: DataFrame, depth: int, blocks: int) -> DataFrame:
+    """For each chunk its distinct grams and words by block, with their counts in its training texts (0: only in others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = batch.column("chunk")[i].as_py()
+                grams, places, words, offsets = _opened(batch.column("buffer")[i].as_py(), depth)
+                train = np.frombuffer(batch.column("train")[i].as_py(), np.uint8)
+                for kind, keys, sizes in (("gram", grams, np.diff(np.concatenate([[-1], places]))), ("word", words, np.diff(offsets))):
+                    if not len(keys):
+                        continue
+                    distinct, counts = _counted(kind, keys, np.repeat(train, sizes))
+                    order, cuts = _asked(kind, distinct, blocks)
+                    distinct, counts = distinct[order], counts[order]
+                    full = np.flatnonzero(np.diff(cuts))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([kind] * len(full)), pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *[pa.array([_planes(x[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()) for x in (distinct, counts)]],
+                        names=["kind", "block", "chunk", "keys", "counts"],
+                    )
+
+    return chunks.select("chunk", "train", "buffer").mapInArrow(run, _ROW)
+
+
+def answers(asked: DataFrame, low, depth: int, options: dict) -> DataFrame:
+    """For each chunk and block what was asked: grams' log10 probabilities or words' training counts.
+
+    A block has all grams of its contexts, so their part of the tree arises here, however large the whole tree is. A row of
+    kind ``sum``, in a chunk of its own, has the number of a block's training words and how many differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
         now: tuple[str, int] | None = None
 
         def close() -> pa.RecordBatch:
-            keys, counts = _summed(*(np.concatenate(x) for x in zip(*held)))
+            kind, block = now
+            keys, which = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+            counts = np.bincount(which, weights=np.concatenate([h[2] for h in held]), minlength=len(keys)).astype(np.int64)
+            if kind == "gram":
+                seen = counts > 0
+                out = gram_logs(grow(low.value, keys[seen], counts[seen], depth, **options), keys, options["strength"])
+            else:
+                out = counts
+            ends = np.cumsum([len(h[1]) for h in held])
+            out = out[which]
+            rows = [(kind, block, h[0], _planes(out[e - len(h[1]) : e])) for h, e in zip(held, ends)]
+            if kind == "word":
+                rows.append(("sum", block, -1 - block, np.array([counts.sum(), (counts > 0).sum()], np.int64).tobytes()))
             held.clear()
-            return _packed(now[0], [now[1]], [keys], [counts])
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["kind", "block", "chunk", "answer"])
 
         for batch in batches:
-            for kind, block, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for kind, block, chunk, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if now is not None and now != (kind, block):
                     yield close()
                 now = (kind, block)
-                held.append((_numbers(keys, np.uint64), _numbers(counts, np.uint32)))
+                held.append((chunk, _numbers(keys, np.uint64), _numbers(counts, np.uint32)))
         if held:
             yield close()
 
-    fields = "kind string, block int, keys binary, counts binary"
-    return docs.select("text").mapInArrow(collect, fields).repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(merge, fields)
+    return asked.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(run, _ANSWER)
 
 
-def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(keys) >> np.uint64(20)) % np.uint64(blocks)
+def finished(chunks: DataFrame, answered: DataFrame, depth: int, blocks: int, n_texts: int) -> DataFrame:
+    """(id, n_tokens, n_known, logs, score), one row for each text of each chunk, from the chunk and its answers.
 
-
-def _packed(kind: str, blocks, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array(list(blocks), pa.int32()), pa.array([_planes(k) for k in keys], pa.binary()), pa.array([_planes(c) for c in counts], pa.binary())], names=["kind", "block", "keys", "counts"])
-
-
-def frequent_contexts(counts: DataFrame, depth: int, least: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Contexts of up to ``depth`` symbols that occur ``least`` times or more, with their next symbols.
-
-    At most (all symbols / least) contexts of a length can be that frequent, which bounds what comes to the driver.
+    Rows of kind ``sum`` stay rows: n_tokens and n_known hold their numbers, and logs is null.
     """
+    end_log = math.log10(n_texts + 0.5)
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(ids: list, buffer: bytes, got: dict[str, list[bytes]]) -> pa.RecordBatch:
+        grams, places, words, offsets = _opened(buffer, depth)
+
+        def values(kind: str, keys: np.ndarray, type_: type) -> np.ndarray:
+            order = np.argsort(keys)
+            ordered = keys[order]
+            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+            distinct = ordered[new]
+            by_block, _ = _asked(kind, distinct, blocks)
+            answer = np.empty(len(distinct), type_)
+            answer[by_block] = np.concatenate([_numbers(a, type_) for a in got[kind]])
+            out = np.empty(len(keys), type_)
+            out[order] = answer[np.cumsum(new) - 1]
+            return out
+
+        score = np.add.reduceat(values("gram", grams, np.float32).astype(np.float64), np.concatenate([[0], places[:-1] + 1]))
+        n = np.diff(offsets)
+        doc = np.repeat(np.arange(len(ids)), n)
+        c = values("word", words, np.int64) if len(words) else np.zeros(0, np.int64)
+        known = np.bincount(doc, weights=c > 0, minlength=len(ids)).astype(np.int64) + (n_texts > 0)
+        logs = np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(ids)) + end_log
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64) + 1), pa.array(known), pa.array(logs), pa.array(score)], names=["id", "n_tokens", "n_known", "logs", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = buffer = None
+        got: dict[str, list[bytes]] = {}
         for batch in batches:
-            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                keys, n = _numbers(keys, np.uint64), _numbers(n, np.int64)
-                for length in range(depth, -1, -1):
-                    keys, n = _summed(keys & np.uint64((1 << 8 * (length + 1)) - 1), n)
-                    out, m = keys, n
-                    if length >= _TOGETHER and len(keys):  # the block has all of such a context
-                        context = keys >> np.uint64(8)
-                        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                        total = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys))))
-                        out, m = keys[total >= least], n[total >= least]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), length, np.int32)), pa.array((out >> np.uint64(8)).view(np.int64)), pa.array((out & np.uint64(255)).astype(np.int32)), pa.array(m)], names=["length", "context", "symbol", "n"])
-
-    grams = counts.where("kind = 'gram'").select("keys", "counts").mapInArrow(shorten, "length int, context long, symbol int, n long")
-    each = grams.groupBy("length", "context", "symbol").agg(F.sum("n").alias("n"))
-    whole = each.groupBy("length", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("next"))
-    rows = whole.where((F.col("total") >= least) | (F.col("length") == 0)).select("length", "context", F.col("next.symbol").alias("symbols"), F.col("next.n").alias("ns")).collect()
-    return [(r["length"], r["context"], np.array(r["symbols"], np.int64), np.array(r["ns"], np.int64)) for r in rows]
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                if kind == "sum":
+                    n, kinds = np.frombuffer(batch.column("body")[i].as_py(), np.int64).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n]), pa.array([kinds]), *[pa.nulls(1, pa.float64())] * 2], names=["id", "n_tokens", "n_known", "logs", "score"])
+                elif kind == "docs":  # comes first
+                    if ids is not None:
+                        yield settle(ids, buffer, got)
+                    ids, buffer, got = batch.column("ids")[i].as_py(), batch.column("body")[i].as_py(), {"gram": [], "word": []}
+                else:
+                    got[kind].append(batch.column("body")[i].as_py())
+        if ids is not None:
+            yield settle(ids, buffer, got)
+
+    docs = chunks.select("chunk", F.lit("docs").alias("kind"), F.lit(0).alias("block"), "ids", F.col("buffer").alias("body"))
+    back = answered.select("chunk", "kind", "block", F.lit(None).cast("array<long>").alias("ids"), F.col("answer").alias("body"))
+    both = docs.union(back).repartition("chunk").sortWithinPartitions("chunk", "kind", "block")
+    return both.select("kind", "ids", "body").mapInArrow(run, "id long, n_tokens long, n_known long, logs double, score double")
 
 
 def score_texts(
-    docs: DataFrame, *, training: Column, depth: int = 6, share: float = 1e-5, divergence: float = 6.0, strength: float = 10.0, frequent: float = 4e-6, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, training: Column, depth: int = 6, share: float = 1e-5, least: int = 8, divergence: float = 6.0, strength: float = 10.0, blocks: int | None = None, chunk_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id_col, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
+    """(id_col, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
 
     A to Z count as a to z; tokens are words between ASCII white space and one end. ``score`` is the log10 probability of the text's
     tokens under a probabilistic suffix tree over bytes, fitted on the rows where ``training`` holds (null: it doesn't):
-    contexts of up to ``depth`` bytes that make up at least ``share`` of all training symbols are candidates, those that pass the
-    divergence test stay, and each byte is scored in the longest state that the text before it ends in. ``base_score`` sums
+    contexts of up to ``depth`` bytes that occur ``least`` times in training are candidates, at every input size (in very small corpora,
+    also those that make up ``share`` of all training symbols and occur twice); those that pass the divergence test stay,
+    and each byte is scored in the longest state that the text before it ends in. So the tree grows with the input. ``base_score`` sums
     log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, with c a token's count in training, N all tokens and V the
     distinct ones there.
 
-    Words that make up ``frequent`` of the training tokens (so few that all tasks can have them) are looked up in tasks; all
-    others meet by a hash of the word, where their training counts arise and sums go back by document. Null texts count as
-    empty: their one token is the end. Rows of one id get the sums of both. With no training rows the tree is
-    uniform, and N and V are 0. Empty tables give none.
+    No task holds the whole tree: a byte's probability depends on its gram alone. Texts stay together in chunks of about ``chunk_bytes``; each
+    sends its distinct grams and words by block, where all counts of a context meet, and gets their probabilities and counts back. Only contexts
+    shorter than _TOGETHER, whose number the alphabet bounds, go to all tasks. Null texts count as
+    empty: their one token is the end. Rows that repeat an id, and rows without one, stay rows of their own. With no training
+    rows the tree is uniform, and N and V are 0. Empty tables give none.
     """
     spark = docs.sparkSession
     small_batches(spark)
     blocks = blocks or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    counts = written(corpus_counts(given.where("train"), depth, blocks), "counts")
-    n_texts = given.where("train").count()
+    chunks = written(chunked(given, chunk_bytes), "chunks")
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [_numbers(c, np.int64) for c in batch.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array([int(x.sum()) for x in n]), pa.array([len(x) for x in n])], names=["kind", "n", "kinds"])
-
-    sums = {r["kind"]: r for r in counts.select("kind", "counts").mapInArrow(totals, "kind string, n long, kinds long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()}
-    symbols = sums["gram"]["n"] if "gram" in sums else 0
-    n_train = (sums["word"]["n"] if "word" in sums else 0) + n_texts
-    n_kinds = (sums["word"]["kinds"] if "word" in sums else 0) + (n_texts > 0)
-    tree = build_tree(frequent_contexts(counts, depth, max(2, int(share * symbols))), depth, divergence=divergence, strength=strength)
-    bar = max(2, int(frequent * n_train))
-
-    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                keys, n = _numbers(keys, np.int64), _numbers(n, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[n >= bar]), pa.array(n[n >= bar])], names=["word", "n"])
-
-    top = counts.where("kind = 'word'").select("keys", "counts").mapInArrow(often, "word long, n long").toPandas().sort_values("word")
-    model = spark.sparkContext.broadcast((tree, top["word"].to_numpy(np.int64), np.log10(top["n"].to_numpy(np.float64) + 0.5)))
+            for train, keys, n in zip(*(c.to_pylist() for c in batch.columns)):
+                keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
+                keys, n = np.append(keys, -1), np.append(n, np.frombuffer(train, np.uint8).sum(dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+    short = chunks.select("train", "low", "low_counts").mapInArrow(singles, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    n_texts = int(short["n"][short["key"] < 0].sum())
+    keys, n = (short[c][short["key"] >= 0].to_numpy(t) for c, t in (("key", np.uint64), ("n", np.int64)))
+    options = {"least": min(least, max(2, int(share * int(n.sum())))), "divergence": divergence, "strength": strength}
+    low = spark.sparkContext.broadcast(grow([], keys, n, _TOGETHER - 1, **options))
+    scored = written(finished(chunks, answers(questions(chunks, depth, blocks), low, depth, options), depth, blocks, n_texts), "scored")
+    sums = scored.where("logs is null").agg(F.sum("n_tokens"), F.sum("n_known")).first()
+    n_train, n_kinds = (sums[0] or 0) + n_texts, (sums[1] or 0) + (n_texts > 0)
     offset = math.log10(n_train + 0.5 * (n_kinds + 1))
-    end_log = math.log10(n_texts + 0.5)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, top_words, top_logs = model.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                texts = part.column("text").to_pylist()
-                scores = tree.scores(texts)
-                words, offsets = word_hashes(texts, lower=True)
-                n = np.diff(offsets)
-                doc = np.repeat(np.arange(len(texts)), n)
-                signed = words.view(np.int64)
-                at = np.searchsorted(top_words, signed)
-                hit = at < len(top_words)
-                hit[hit] = top_words[at[hit]] == signed[hit]
-                known = np.bincount(doc[hit], minlength=len(texts)) + (n_texts > 0)
-                logs = np.bincount(doc[hit], weights=top_logs[at[hit]], minlength=len(texts)) + end_log
-                ids = np.array([i if i is not None else _NULL for i in part.column("id").to_pylist()], np.int64)
-                yield _scores(ids, n + 1, known, logs, scores, blocks)
-                # The other words, by block: one row for a block, with document numbers, hashes and the marks of training.
-                rest_words, rest_docs = words[~hit], doc[~hit]
-                block = _block(rest_words, blocks)
-                order = np.argsort(block, kind="stable")
-                cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-                train = part.column("train").to_numpy(zero_copy_only=False)
-                payload = []
-                for s, e in zip(cuts, cuts[1:]):
-                    d = rest_docs[order[s:e]]
-                    payload.append((rest_words[order[s:e]].tobytes(), ids[d].tobytes(), train[d].astype(np.uint8).tobytes()))
-                yield _rest(range(blocks), payload)
-
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes, bytes]] = []
-        now = None
-
-        def close() -> pa.RecordBatch:
-            words = np.frombuffer(b"".join(h[0] for h in held), np.uint64)
-            ids = np.frombuffer(b"".join(h[1] for h in held), np.int64)
-            train = np.frombuffer(b"".join(h[2] for h in held), np.uint8)
-            held.clear()
-            _, which = np.unique(words, return_inverse=True)
-            c = np.bincount(which, weights=train)[which] if len(words) else np.zeros(0)
-            docs, doc = np.unique(ids, return_inverse=True)
-            known = np.bincount(doc, weights=c > 0, minlength=len(docs))
-            logs = np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(docs))
-            return _scores(docs, np.zeros(len(docs)), known, logs, np.zeros(len(docs)), blocks)
-
-        for batch in batches:
-            for block, words, ids, train in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is not None and block != now:
-                    yield close()
-                now = block
-                held.append((words, ids, train))
-        if held:
-            yield close()
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        now = None
-
-        def close() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            held.clear()
-            ids, doc = np.unique(rows["id"], return_inverse=True)
-            sums = {c: np.bincount(doc, weights=rows[c], minlength=len(ids)) for c in ("n", "known", "logs", "score")}
-            return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == _NULL), pa.array(sums["n"].astype(np.int64)), pa.array(sums["known"].astype(np.int64)), pa.array(sums["logs"]), pa.array(sums["score"])], names=["id", "n_tokens", "n_known", "logs", "score"])
-
-        for batch in batches:
-            for bucket, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is not None and bucket != now:
-                    yield close()
-                now = bucket
-                held.append(np.frombuffer(words, _PART))
-        if held:
-            yield close()
-
-    scored = written(given.mapInArrow(score, _FIELDS), "word-scores")
-    rest = scored.where("kind = 'rest'").select("block", "words", "ids", "train").repartition("block").sortWithinPartitions("block")
-    parts = scored.where("kind = 'part'").select("block", "words").union(rest.mapInArrow(resolve, _FIELDS).select("block", "words"))
-    out = parts.repartition("block").sortWithinPartitions("block").mapInArrow(gather, "id long, n_tokens long, n_known long, logs double, score double")
-    return out.select(
+    discard(chunks)
+    return scored.where("logs is not null").select(
         F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * offset).alias("base_score"), "score",
     )
-
-
-_NULL = -(2**63)
-_FIELDS = "kind string, block int, words binary, ids binary, train binary"
-_NAMES = ["kind", "block", "words", "ids", "train"]
-#: What a task knows of a document: summed by document in the end.
-_PART = np.dtype([("id", "<i8"), ("n", "<i4"), ("known", "<i4"), ("logs", "<f8"), ("score", "<f8")])
-
-
-def _scores(ids: np.ndarray, n: np.ndarray, known: np.ndarray, logs: np.ndarray, scores: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """Documents' sums, one row for each bucket of documents."""
-    rows = np.empty(len(ids), _PART)
-    rows["id"], rows["n"], rows["known"], rows["logs"], rows["score"] = ids, n, known, logs, scores
-    bucket = _block(ids.view(np.uint64), blocks)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(blocks + 1))
-    payload = [rows[order[s:e]].tobytes() for s, e in zip(cuts, cuts[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(["part"] * blocks), pa.array(range(blocks), pa.int32()), pa.array(payload, pa.binary()), *[pa.nulls(blocks, pa.binary()) for _ in range(2)]], names=_NAMES)
-
-
-def _rest(blocks, payload: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(["rest"] * len(payload)), pa.array(list(blocks), pa.int32()), *[pa.array(c, pa.binary()) for c in zip(*payload)]], names=_NAMES)

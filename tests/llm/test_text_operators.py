@@ -314,6 +314,36 @@ def test_tree_probabilities_sum_to_one():
     assert np.allclose(p[:, 1:].sum(axis=1) + unseen * p[:, 0], 1, atol=1e-5)
 
 
+def test_tree_grows_with_the_input(spark):
+    rng = random.Random(19)
+    texts = [prose(rng, 40) for _ in range(60)]
+    training = F.col("doc_id") % 5 != 1
+    # A context's share of the corpus falls as the corpus grows; its count decides.
+    rare, common = (suffix_tree_lm.score_texts(frame(spark, texts), training=training, share=s).agg(F.sum("score")).first()[0] for s in (0.5, 8 / 9000))
+    assert math.isclose(rare, common, rel_tol=1e-9)
+    # Chunks and blocks don't change results.
+    small = suffix_tree_lm.score_texts(frame(spark, texts), training=training, share=0.5, blocks=3, chunk_bytes=500).agg(F.sum("score")).first()[0]
+    assert math.isclose(small, common, rel_tol=1e-6)
+
+
+def test_gram_logs_equal_tree():
+    texts = [prose(random.Random(20), 50), "abab ab", "", "zz top"]
+    buffer, places = suffix_tree_lm.normal_form(texts)
+    keys, n = np.unique(suffix_tree_lm.gram_keys(buffer, places, 4), return_counts=True)
+    rows, left, m = [], keys, n
+    for length in range(4, -1, -1):
+        left, m = suffix_tree_lm._summed(left & np.uint64((1 << 8 * (length + 1)) - 1), m)
+        for context in np.unique(left >> np.uint64(8)):
+            at = left >> np.uint64(8) == context
+            rows.append((length, int(context), (left[at] & np.uint64(255)).astype(int), m[at]))
+    tree = suffix_tree_lm.build_tree(rows, 4, divergence=0.0, strength=2.0)
+    levels = suffix_tree_lm.grow([], keys, n, 4, least=1, divergence=0.0, strength=2.0)
+    for other in (texts, ["alphabet", "été", "a b  zz"]):
+        buffer, places = suffix_tree_lm.normal_form(other)
+        logs = suffix_tree_lm.gram_logs(levels, suffix_tree_lm.gram_keys(buffer, places, 4), 2.0)
+        assert np.allclose(np.add.reduceat(logs, np.concatenate([[0], places[:-1] + 1])), tree.scores(other), rtol=1e-4)
+
+
 def test_hash_is_stable():
     words, at = shingles.word_hashes(["a b", "b a", None, "A"], lower=True)
     assert at.tolist() == [0, 2, 4, 4, 5] and words[0] == words[3] == words[4] and words[1] == words[2]
