@@ -62,7 +62,7 @@ def near_equal_windows(sizes: list[int], capacity: int) -> list[list[int]]:
         ways += 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: int = 512, windows: int = 64, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: int = 512, windows: int = 64, end_id: int = 1, added_tokens: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document, with its ids and its place in a sequence.
 
     A document is its ids and ``end_id``; null text counts as empty, so its document is the end id alone. Whole
@@ -74,7 +74,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(tokenizer_path, 500_000), np.array([end_id], "<u4").tobytes()
+        tok, end = tokenizer(tokenizer_path, 500_000, added_tokens), np.array([end_id], "<u4").tobytes()
         sequence = task_number() << 32
         waiting: list[tuple] = []
         held = 0

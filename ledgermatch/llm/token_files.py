@@ -76,7 +76,7 @@ def unpack_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return doc_ids, nulls, lengths, table[decode_numbers(control, data, n)] if n else np.zeros(0, np.uint32)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 2, file_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 2, file_tokens: int = 4_000_000, added_tokens: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents below ``path`` in ascending id order and return the manifest, one row for each file.
 
     Documents are dealt into ranges of ids and sorted within them, so names in ascending order hold ids in
@@ -89,7 +89,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id
     store, root = fs.FileSystem.from_uri(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(tokenizer_path, 1_500_000), np.array([end_id], "<u4").tobytes()
+        tok, end = tokenizer(tokenizer_path, 1_500_000, added_tokens), np.array([end_id], "<u4").tobytes()
         store, root = fs.FileSystem.from_uri(path)
         doc_ids: list[int | None] = []
         encoded: list[bytes] = []

@@ -20,18 +20,23 @@ _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class WordwiseTokenizer:
     """``encode(texts)`` gives for each text the bytes of its ids, as little-endian unsigned 32-bit integers.
 
-    The ids equal those of the tokenizers library for the whole text (no special tokens). Texts are cut in front
+    The ids equal those of the tokenizers library for the whole text, with none added at its ends. With ``added_tokens``, as by the library's
+    default, the content of an added token in a text (such as <|endoftext|>) is that token, and such a text goes to the library whole;
+    without, it is text like any other. Texts are cut in front
     of single white space, where byte-level and word-level BPE both start a new word; each distinct word goes to the
     library once and then stays in a dictionary of at most ``keep`` words. Signs after a word are looked up by themselves, and
     new words of letters go to the library many at a time, to be told apart by the tokens that start or end a word.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
+        if added_tokens and any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("only added tokens that match the text as it is are supported")
         self.keep = keep
         self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -97,7 +102,12 @@ class WordwiseTokenizer:
         for at in range(0, len(texts), 256):
             if sum(map(len, self.known.values())) > self.keep:
                 self.known = {"": {}, " ": {}}
-            both = [self.words(t) if t else ([], []) for t in texts[at : at + 256]]
+            part = texts[at : at + 256]
+            whole = [i for i, t in enumerate(part) if t and any(a in t for a in self.added)]
+            if whole:
+                ids = dict(zip(whole, self._ask([part[i] for i in whole])))
+                part = [None if i in ids else t for i, t in enumerate(part)]
+            both = [self.words(t) if t else ([], []) for t in part]
             parts = []
             for lead, side in (("", 0), (" ", 1)):
                 known = self.known[lead]
@@ -112,10 +122,12 @@ class WordwiseTokenizer:
                         f[i] = known[words[i]]
                 parts.append(found)
             out += [b"".join(head) + b"".join(rest) for head, rest in zip(*parts)]
+            for i in whole:
+                out[at + i] = ids[i]
         return out
 
 
-_LOADED: dict[str, WordwiseTokenizer] = {}
+_LOADED: dict[tuple[str, bool], WordwiseTokenizer] = {}
 
 
 def release() -> None:
@@ -124,9 +136,10 @@ def release() -> None:
         t.known = {"": {}, " ": {}}
 
 
-def tokenizer(path: str, keep: int) -> WordwiseTokenizer:
+def tokenizer(path: str, keep: int, added_tokens: bool = False) -> WordwiseTokenizer:
     """The tokenizer of this Python worker, with at most ``keep`` words; workers are reused, so it loads once."""
-    if path not in _LOADED:
-        _LOADED[path] = WordwiseTokenizer(path)
-    _LOADED[path].keep = keep
-    return _LOADED[path]
+    key = path, added_tokens
+    if key not in _LOADED:
+        _LOADED[key] = WordwiseTokenizer(path, added_tokens=added_tokens)
+    _LOADED[key].keep = keep
+    return _LOADED[key]

@@ -127,6 +127,24 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_added_tokens_as_the_library(spark, tmp_path):
+    import zlib as z
+
+    from tokenizers import Tokenizer
+
+    from ledgermatch.llm import queries
+
+    texts = [*AWKWARD, "a <|endoftext|> b", "x<|endoftext|>,  y\n<|startoftext|>z <|endoftext|", "<|endoftext|>", "plain words, after it"]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {n: [Tokenizer.from_file(tokenizer_path(n)).encode(t or "", add_special_tokens=False).ids for t in texts] for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
+    for r in queries.op2_token_files(spark, str(tmp_path)).collect():
+        ids = want["word_bpe_49k.json"][r["doc_id"]] + [2]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), z.crc32(np.array(ids, "<u4").tobytes()))
+    for r in queries.op7_packing(spark, str(tmp_path)).collect():
+        ids = (want["byte_bpe_50k.json"][r["doc_id"]] + [1])[r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == z.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_differencing():
     rng = random.Random(2)
     assert packing.differencing([8, 7, 6, 5, 4], 2) and sorted(sum([8, 7, 6, 5, 4][i] for i in p) for p in packing.differencing([8, 7, 6, 5, 4], 2)) == [14, 16]
