@@ -172,14 +172,16 @@ def encode(docs: DataFrame, model: PieceModel, *, id_col: str = "doc_id", text_c
     return out.select(F.col("id").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+def decoded_text(ids: Column, model: PieceModel) -> Column:
+    """The text of ids, in the row that holds them: the pieces' bytes by id in the piece table, in order. Null ids give empty text."""
+    by_id = {i: p.replace(SPACE, " ").encode().hex() for i, p, _ in model.pieces} | {model.first_byte + b: f"{b:02x}" for b in range(256)}
+    # One constant as large as the vocabulary, whatever the input; control pieces stand for nothing.
+    table = F.split(F.lit(",".join(by_id.get(i, "") for i in range(max(by_id) + 1))), ",")
+    hexes = F.transform(ids, lambda i: F.coalesce(F.when(i >= 0, F.get(table, i)), F.lit("")))
+    text = F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")
+    return F.coalesce(F.substring(text, 2, 2**31 - 1) if model.prefix else text, F.lit(""))
+
+
 def decode(coded: DataFrame, model: PieceModel, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id_col, text) from ids: a join with the piece table by id, then pieces in order, their bytes joined."""
-    spark = coded.sparkSession
-    rows = [(i, p.replace(SPACE, " ").encode().hex()) for i, p, _ in model.pieces] + [(model.first_byte + b, f"{b:02x}") for b in range(256)]
-    table = spark.createDataFrame(rows, "id int, hex string")
-    each = coded.select(F.col(id_col).alias("key"), F.posexplode(ids_col).alias("at", "id")).join(F.broadcast(table), "id")
-    joined = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "hex"))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")), "UTF-8")
-    text = F.substring(text, 2, 2**31 - 1) if model.prefix else text
-    out = coded.select(F.col(id_col).alias("id")).join(joined.select(F.col("key"), text.alias("text")), F.col("id").eqNullSafe(F.col("key")), "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("text", F.lit("")).alias("text"))
+    """(id_col, text) from ids, for each row of ``coded`` by itself, so rows that repeat an id or have none keep their own texts."""
+    return coded.select(F.col(id_col), decoded_text(F.col(ids_col), model).alias("text"))

@@ -280,6 +280,20 @@ def test_piece_codec(spark):
     assert piece_codec.encode(frame(spark, []), model).count() == 0
 
 
+def test_pieces_are_decoded_row_by_row(spark, tmp_path):
+    from ledgermatch.llm import queries
+
+    texts = [*AWKWARD, "The theatre's  déjà vu, again!", "another text", "a third one"]
+    ids = [*range(len(AWKWARD)), None, None, 0]
+    model = piece_codec.PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    docs = frame(spark, texts, ids)
+    back = piece_codec.decode(piece_codec.encode(docs, model), model).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter((i, t or "") for i, t in zip(ids, texts))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op5_piece_codec(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in out) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in zip(ids, texts))
+
+
 def test_viterbi_fold(spark):
     pieces = {"a": -1.0, "b": -1.2, "ab": -1.5, "ba": -2.5, "aba": -2.2, "bb": -1.9}
     table = spark.createDataFrame([(p, i, s, i) for i, (p, s) in enumerate(pieces.items())], "piece string, id int, score double, rank int")
