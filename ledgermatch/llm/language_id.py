@@ -220,6 +220,10 @@ def train(docs: DataFrame, *, usable: Column, rows_per_language: int = 300, wind
     return network
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, from every byte of every text.
 
@@ -228,7 +232,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128,
     probability. Null texts, texts without a letter, and all texts where nothing was learned get `und` and 0.0. Other
     columns pass through, except that lang_pred and score are replaced. Empty tables give none.
     """
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    letters = has_letter(F.col(text_col))
     docs = docs.drop("lang_pred", "score")
     if network is None:
         return docs.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})

@@ -34,6 +34,16 @@ def test_stages_keep_clean_documents(stages):
     assert packed.select("doc_id").distinct().count() == counts["suffix_dedup"]
 
 
+def test_language_stage_decides(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    unlabelled = spark.createDataFrame([(1, "words of a text", None, "s", 15), (2, "12", None, "s", 2), (None, None, None, "s", None)], schema)
+    assert [r["doc_id"] for r in pipeline.identify_language(spark, unlabelled, SF).collect()] == [1]
+    rows = [(i, ("the quick brown fox " if i % 2 else "zwölf größer über schön ") * 5, None if i >= 60 else "aa" if i % 2 else "bb", "s", 100) for i in range(70)]
+    out = pipeline.identify_language(spark, spark.createDataFrame(rows, schema), SF)
+    langs = {r["doc_id"]: r["lang"] for r in out.collect()}
+    assert all(langs[i] == ("aa" if i % 2 else "bb") for i in range(60)) and all(langs[i] in ("aa", "bb") for i in range(60, 70))
+
+
 def test_awkward_documents(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12", "en", "s", 2), (4, "words of a text", "en", "s", 15), (None, "words of another text", "en", "s", 21)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
