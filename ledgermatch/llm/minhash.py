@@ -131,7 +131,7 @@ def compact_sets(texts: DataFrame, *, size: int) -> DataFrame:
                 for s, e in zip(offsets[:-1], offsets[1:]):
                     k, n = np.unique((shingle_hashes(words[s:e], size) >> np.uint64(32)).astype(np.uint32), return_counts=True)
                     keys.append(k.tobytes())
-                    counts.append(np.minimum(n, 65535).astype(np.uint16).tobytes())
+                    counts.append(n.astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["rep", "keys", "counts"])
 
     return texts.select("id", "text").mapInArrow(run, "rep long, keys binary, counts binary")
@@ -190,7 +190,7 @@ def likely_pairs(members: DataFrame, *, threshold: float, part_rows: int = 2000)
 
         def weighted(v: int) -> tuple[np.ndarray, np.ndarray]:
             if v not in sets:
-                sets[v] = np.frombuffer(rows[v][9], np.uint32), np.frombuffer(rows[v][10], np.uint16).astype(np.float64)
+                sets[v] = np.frombuffer(rows[v][9], np.uint32), np.frombuffer(rows[v][10], np.uint32).astype(np.float64)
             return sets[v]
 
         a, b = [], []

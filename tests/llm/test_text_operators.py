@@ -221,6 +221,14 @@ def test_near_duplicates(spark, part_rows, monkeypatch):
     assert minhash.near_duplicates(frame(spark, ["a b"], [None])).first()["kept"]
 
 
+def test_compact_sets_keep_true_counts(spark):
+    heavy, other = "w " * 200_000, " ".join(f"x{i}" for i in range(1000))
+    row = minhash.compact_sets(spark.createDataFrame([(1, heavy + other)], "id long, text string"), size=5).first()
+    words, _ = shingles.word_hashes([heavy + other])
+    counts = np.frombuffer(row["counts"], np.uint32)
+    assert counts.max() == 199_996 and counts.sum() == len(words) - 4
+
+
 # Repeated byte strings.
 
 def brute_repeats(texts, length):
