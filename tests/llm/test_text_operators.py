@@ -366,6 +366,12 @@ def test_tree_grows_with_the_input(spark):
     assert math.isclose(small, common, rel_tol=1e-6)
 
 
+def test_scores_keep_every_row(spark):
+    texts, ids = ["alpha beta", "alpha beta", "gamma", "gamma delta eta", None], [3, 3, 3, None, None]
+    out = suffix_tree_lm.score_texts(frame(spark, texts, ids), training=F.lit(True), blocks=2, chunk_bytes=12).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in out) == Counter([(3, 3), (3, 3), (3, 2), (None, 4), (None, 1)])
+
+
 def test_gram_logs_equal_tree():
     texts = [prose(random.Random(20), 50), "abab ab", "", "zz top"]
     buffer, places = suffix_tree_lm.normal_form(texts)
