@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     Texts are weighted sets of runs of ``size`` words (white space between words; a shorter text is one run). Two texts are
     linked if their probability Jaccard similarity is at least ``threshold``; classes are the linked texts'
     components. Equal texts count once from the first step on and share a class. Candidates share a band of
-    ``rows`` registers. Each bucket's members are first verified against its smallest id; then, in large buckets
+    ``rows`` registers. Each bucket's members are first verified against the text of its smallest hash; then, in large buckets
     that still hold several components, against a few others; then, in all that do, every pair across components whose
     registers can agree with the threshold, so no candidate link between components is left out.
     Null, empty and blank texts link with nothing. Rows of one id share their classes through that id; a null id
@@ -248,13 +248,14 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     given = given.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), F.col("text"))})
     sketches = written(sketch(given, size=size, bands=bands, rows=rows), "sketches")
     usable = sketches.where(F.col("id").isNotNull() & F.col("bands").isNotNull())
-    sets = written(usable.groupBy("t1", "t2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("registers")), "sets")
-    texts = sets.select("t1", "t2", "rep")
+    sets = written(usable.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.first("bands").alias("bands"), F.first("registers").alias("registers")).withColumn("rep", F.col("t1")), "sets")
+    # A text's own hash stands for it, as one id may have several texts; ids come in at the end.
+    texts = sets.select("t1", "t2", "rep", "least")
     buckets = written(sets.select("rep", F.posexplode("bands").alias("band", "h")), "buckets")
     shared = buckets.groupBy("band", "h").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("band", "h", "a")
     members = written(buckets.join(shared, ["band", "h"]), "members")
     # From here on only texts that share a bucket with another one count.
-    bodies = written(given.select("id", "text").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "bodies")
+    bodies = written(given.where("id is not null").select(F.col("t1").alias("id"), "text").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "bodies")
     first = written(members.where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = written(verify(first, bodies, size=size, threshold=threshold), "links")
     labels = connected_components(links)
@@ -283,10 +284,15 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     rest = likely_pairs(open_, threshold=threshold).distinct()
     rest = written(rest.join(first.union(second), ["a", "b"], "left_anti"), "pairs")
     links = written(verify(rest, bodies, size=size, threshold=threshold), "links")
-    classes = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
+    # The texts of one id are linked by it.
+    owned = usable.select("id", "t1").distinct()
+    shared_ids = owned.groupBy("id").agg(F.min("t1").alias("a"), F.max("t1").alias("z")).where("a != z").select("id", "a")
+    by_id = owned.join(shared_ids, "id").where("a != t1").select("a", F.col("t1").alias("b"))
+    classes = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")).union(by_id))
     discard(several, members, bodies, first, second, rest, links)
-    named = texts.select("t1", "t2", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("t1", "t2", F.coalesce("component", "rep").alias("class_id"))
-    named = written(named, "classes")
+    named = written(texts.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("t1", "t2", "least", F.coalesce("component", "rep").alias("c")), "classes")
+    smallest = named.groupBy("c").agg(F.min("least").alias("class_id"))
+    named = named.join(smallest, "c").select("t1", "t2", "class_id")
     rows = written(sketches.select("id", "t1", "t2", F.col("bands").isNotNull().alias("has")), "rows")
     discard(sets, sketches)
     out = rows.join(named, ["t1", "t2"], "left")

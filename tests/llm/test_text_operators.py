@@ -221,6 +221,21 @@ def test_near_duplicates(spark, part_rows, monkeypatch):
     assert minhash.near_duplicates(frame(spark, ["a b"], [None])).first()["kept"]
 
 
+def test_texts_of_one_id_are_verified_by_their_own_words(spark):
+    rng = random.Random(23)
+    one, two, three = ([f"{rng.choice(WORDS)}{rng.randint(0, 500)}" for _ in range(150)] for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "edited"])
+    rows = [" ".join(one), " ".join(two), near(two), near(one), " ".join(three)]
+    out = minhash.near_duplicates(frame(spark, rows, [7, 7, 8, 9, 10])).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in out) == [(7, 7), (7, 7), (8, 7), (9, 7), (10, 10)]
+
+
+def test_texts_of_one_id_have_wide_hashes(spark):
+    # 32 bits take two of 200,000 numbers for the same with near certainty.
+    numbers = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert numbers.select(*suffix_dedup._key("doc_id", "text")).select("th").distinct().count() == 200_000
+
+
 def test_compact_sets_keep_true_counts(spark):
     heavy, other = "w " * 200_000, " ".join(f"x{i}" for i in range(1000))
     row = minhash.compact_sets(spark.createDataFrame([(1, heavy + other)], "id long, text string"), size=5).first()
