@@ -105,7 +105,7 @@ class WordwiseTokenizer:
             part = texts[at : at + 256]
             whole = [i for i, t in enumerate(part) if t and any(a in t for a in self.added)]
             if whole:
-                ids = dict(zip(whole, self._ask([part[i] for i in whole])))
+                ids = {i: self._ask([part[i]])[0] for i in whole}  # one by one: the library's results of whole texts are large
                 part = [None if i in ids else t for i, t in enumerate(part)]
             both = [self.words(t) if t else ([], []) for t in part]
             parts = []
