@@ -5,12 +5,13 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, task_number
+from .common import give_back, small_batches, task_number
 from .tokens import tokenizer
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -62,40 +63,98 @@ def near_equal_windows(sizes: list[int], capacity: int) -> list[list[int]]:
         ways += 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: int = 512, windows: int = 64, end_id: int = 1, added_tokens: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def binary_lengths(n: int) -> list[int]:
+    """The powers of two that add up to ``n``, largest first."""
+    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
+
+
+@dataclass
+class Piece:
+    """Ids ``start`` to ``start + length - 1`` of a document of ``total`` ids."""
+
+    doc: int | None
+    start: int
+    length: int
+    ids: bytes
+    total: int
+
+    def split(self, at: int) -> tuple[Piece, Piece]:
+        return Piece(self.doc, self.start, at, self.ids[: 4 * at], self.total), Piece(self.doc, self.start + at, self.length - at, self.ids[4 * at :], self.total)
+
+
+class Packer:
+    """Puts pieces into sequences; ``done`` gathers (piece, sequence, offset)."""
+
+    def __init__(self, capacity: int, windows: int, slack: int, first_sequence: int):
+        self.capacity, self.windows, self.fill = capacity, windows, capacity - min(slack, capacity - 1)
+        self.sequence = first_sequence
+        self.waiting: list[Piece] = []
+        self.held = 0
+        self.done: list[tuple[Piece, int, int]] = []
+
+    def add(self, piece: Piece) -> None:
+        self.waiting.append(piece)
+        self.held += piece.length
+        while self.held >= self.fill * self.windows:
+            self.close(self.windows)
+
+    def sequence_of(self, pieces: list[Piece]) -> None:
+        offset = 0
+        for p in pieces:
+            self.done.append((p, self.sequence, offset))
+            offset += p.length
+        self.sequence += 1
+
+    def taken(self, n: int) -> list[Piece]:
+        """The first ``n`` waiting ids as pieces; the last one is cut to fit."""
+        out, at = [], 0
+        while n:
+            p = self.waiting[at]
+            if p.length > n:
+                p, self.waiting[at] = p.split(n)
+            else:
+                at += 1
+            out.append(p)
+            n -= p.length
+            self.held -= p.length
+        del self.waiting[:at]
+        return out
+
+    def close(self, windows: int) -> None:
+        """Near-equal windows of what fills ``windows`` of them but for the slack."""
+        pieces = self.taken(windows * self.fill)
+        for part in near_equal_windows([p.length for p in pieces], self.capacity):
+            self.sequence_of([pieces[i] for i in part])
+
+    def end(self) -> None:
+        """Whole windows of what waits, and sequences of power-of-two lengths, which need no padding, of the rest."""
+        if self.held >= self.fill:
+            self.close(self.held // self.fill)
+        for n in binary_lengths(self.held):
+            self.sequence_of(self.taken(n))
+
+
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: int = 512, windows: int = 64, slack: int = 24, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document, with its ids and its place in a sequence.
 
     A document is its ids and ``end_id``; null text counts as empty, so its document is the end id alone. Whole
     stretches of ``capacity`` ids fill sequences of their own; the rest of a document is cut into near-equal pieces of at
-    most ``piece`` ids. Each task packs its pieces in groups of about ``windows`` sequences as they arrive, so
-    memory is bounded by a group and nothing is shuffled; ``sequence_id`` holds the task number in its upper bits.
-    Rows with the same or a null id are packed like any others. Other columns of ``docs`` are ignored; an
-    empty table gives no rows.
+    most ``piece`` ids. Each task packs its pieces as they arrive, in groups of just the ids that fill ``windows`` sequences but for
+    ``slack`` ids each, so memory is bounded by a group and nothing is shuffled. What is left at a task's end goes to fewer
+    windows and then to sequences of power-of-two lengths, so padding does not depend on the number of
+    tasks. ``sequence_id`` holds the task number in its upper bits, so it changes with the input's partitions. Rows with the
+    same or a null id are packed like any others. Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(tokenizer_path, 500_000, added_tokens), np.array([end_id], "<u4").tobytes()
-        sequence = task_number() << 32
-        waiting: list[tuple] = []
-        held = 0
-        done: list[tuple] = []
-
-        def close() -> None:
-            nonlocal sequence, held
-            for part in near_equal_windows([p[2] for p in waiting], capacity):
-                offset = 0
-                for i in part:
-                    done.append((*waiting[i], sequence, offset))
-                    offset += waiting[i][2]
-                sequence += 1
-            waiting.clear()
-            held = 0
+        tok, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        packer = Packer(capacity, windows, slack, task_number() << 32)
 
         def rows() -> pa.RecordBatch:
-            columns = list(zip(*done)) or [[]] * 7
+            columns = list(zip(*[(p.doc, p.start, p.length, p.ids, p.total, sequence, offset) for p, sequence, offset in packer.done])) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-            done.clear()
+            packer.done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
@@ -106,20 +165,17 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: i
                     n = len(ids) // 4
                     whole = n - n % capacity
                     for start in range(0, whole, capacity):
-                        done.append((doc, start, capacity, ids[4 * start : 4 * (start + capacity)], n, sequence, 0))
-                        sequence += 1
+                        packer.sequence_of([Piece(doc, start, capacity, ids[4 * start : 4 * (start + capacity)], n)])
                     rest = n - whole
                     cuts = math.ceil(rest / piece)
                     for k in range(cuts):
                         lo, hi = whole + rest * k // cuts, whole + rest * (k + 1) // cuts
-                        waiting.append((doc, lo, hi - lo, ids[4 * lo : 4 * hi], n))
-                        held += hi - lo
-                    if held >= capacity * windows:
-                        close()
-                if len(done) >= 2000:
-                    yield rows()
-        close()
+                        packer.add(Piece(doc, lo, hi - lo, ids[4 * lo : 4 * hi], n))
+                    if len(packer.done) >= 2000:
+                        yield rows()
+        packer.end()
         yield rows()
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text").cast("string")).mapInArrow(run, _SCHEMA)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import new_path, small_batches, task_number
+from .common import give_back, new_path, small_batches, task_number
 from .tokens import tokenizer
 
 # File: magic, five u64 (documents, ids, distinct ids, control bytes, data bytes), then i64 document ids, u8 null marks,
@@ -76,11 +76,11 @@ def unpack_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return doc_ids, nulls, lengths, table[decode_numbers(control, data, n)] if n else np.zeros(0, np.uint32)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 2, file_tokens: int = 4_000_000, added_tokens: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 2, file_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents below ``path`` in ascending id order and return the manifest, one row for each file.
 
     Documents are dealt into ranges of ids and sorted within them, so names in ascending order hold ids in
-    ascending order (null ids first; rows of one id in any order). A file ends after ``file_tokens`` ids, which bounds a
+    ascending order (null ids first; rows of one id by a hash of their text, which also divides an id of many rows). A file ends after ``file_tokens`` ids, which bounds a
     task's memory. A file gets its name only when complete, so a repeated task replaces it by the same bytes.
     Null text counts as empty: its document is the end id alone. An empty table gives no files and an empty manifest.
     """
@@ -89,7 +89,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id
     store, root = fs.FileSystem.from_uri(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(tokenizer_path, 1_500_000, added_tokens), np.array([end_id], "<u4").tobytes()
+        tok, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         store, root = fs.FileSystem.from_uri(path)
         doc_ids: list[int | None] = []
         encoded: list[bytes] = []
@@ -122,12 +122,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id
                     if held >= file_tokens:
                         close()
         close()
+        give_back()
         columns = list(zip(*made)) or [[]] * 5
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "task", "number", "n_docs", "n_tokens"])
 
     store.create_dir(root, recursive=True)
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    ranged = keyed.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").drop("th")
     ranged.mapInArrow(run, "file string, task long, number long, n_docs long, n_tokens long").write.parquet(f"{path}-manifest")
     return spark.read.parquet(f"{path}-manifest")
 

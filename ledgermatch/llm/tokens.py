@@ -2,47 +2,56 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
 #: A single white space between two other characters: no pattern of the supported tokenizers reaches over it from the left.
-_CUT = re.compile(r"(?<=\S)(?=\s\S)")
+_CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c]\S)")
 #: White space next to white space, where cutting has to look closer than at single spaces.
 _RUN = re.compile(r"\s\s")
-
-
-#: Signs that form tokens of their own after a letter or digit; the apostrophe is not among them, as contractions start with it.
+#: Signs that form tokens of their own after an ASCII letter or digit; the apostrophe is not among them, as contractions start with it.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What a word costs in the dictionary beside its characters and ids.
+_WORD_BYTES = 200
 
 
 class WordwiseTokenizer:
     """``encode(texts)`` gives for each text the bytes of its ids, as little-endian unsigned 32-bit integers.
 
-    The ids equal those of the tokenizers library for the whole text, with none added at its ends. With ``added_tokens``, as by the library's
-    default, the content of an added token in a text (such as <|endoftext|>) is that token, and such a text goes to the library whole;
-    without, it is text like any other. Texts are cut in front
-    of single white space, where byte-level and word-level BPE both start a new word; each distinct word goes to the
-    library once and then stays in a dictionary of at most ``keep`` words. Signs after a word are looked up by themselves, and
-    new words of letters go to the library many at a time, to be told apart by the tokens that start or end a word.
+    The ids equal those of the tokenizers library for the whole text with none added at its ends. The content of an added token
+    in a text (such as <|endoftext|>) is that token, as by the library's default: such texts are cut around it first. Texts are then cut
+    in front of single white space, where byte-level and word-level BPE both start a new word; each distinct word goes to the
+    library once and then stays in a dictionary. At half of ``keep_bytes`` a new dictionary begins, which takes over what is
+    asked for again, and the one before the last goes. Signs after a word that ends in an ASCII letter or digit
+    are looked up by themselves (normalizing and splitting treat both apart there), and new words of letters go to the
+    library many at a time, to be told apart by the tokens that start or end a word.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, added_tokens: bool = False):
+    def __init__(self, path: str, keep_bytes: int = 120_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added_tokens
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
-        if added_tokens and any(t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("only added tokens that match the text as it is are supported")
-        self.keep = keep
-        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.around = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
+        self.keep_bytes = keep_bytes
+        self.forget()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.by_end = bool(suffix)
-        self.marks = np.array([t.endswith(suffix) if suffix else t.startswith("\u0120") for t in tokens])
+        self.marks = np.array([t.endswith(suffix) if suffix else t.startswith("Ġ") for t in tokens])
+
+    def forget(self) -> None:
+        self.known: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.former: dict[str, dict[str, bytes]] = {"": {}, " ": {}}
+        self.held = 0
 
     @staticmethod
     def words(text: str) -> tuple[list[str], list[str]]:
@@ -76,11 +85,11 @@ class WordwiseTokenizer:
 
     def _learn(self, new: set[str], lead: str) -> None:
         """Look up words that follow ``lead``: a space, or nothing for words that bring their own white space."""
-        known = self.known[lead]
+        known, bare = self.known[lead], self.known[""]
         split, cores, signs = [], set(), set()
         for w in new:
             core = w.rstrip(_SIGNS)
-            if core is not w and core and core[-1].isalnum():
+            if len(core) < len(w) and core and core[-1].isascii() and core[-1].isalnum():
                 split.append((w, core))
                 cores.add(core)
                 signs.add(w[len(core) :])
@@ -88,58 +97,64 @@ class WordwiseTokenizer:
                 cores.add(w)
         cores = cores.difference(known)
         plain = [c for c in cores if c.isalpha()] if lead else []
-        known.update(zip(plain, self._ask_together([lead + c for c in plain])))
-        other = list(cores.difference(known))
-        known.update(zip(other, self._ask([c if c[:1] == "\n" else lead + c for c in other])))
-        bare = self.known[""]
+        found = dict(zip(plain, self._ask_together([lead + c for c in plain])))
+        other = list(cores.difference(found))
+        found.update(zip(other, self._ask([c if c[:1] == "\n" else lead + c for c in other])))
+        self._keep(found, known)
         signs = list(signs.difference(bare))
         bare.update(zip(signs, self._ask(signs)))
-        for w, core in split:
-            known[w] = known[core] + bare[w[len(core) :]]
+        whole = {w: known[core] + bare[w[len(core) :]] for w, core in split}
+        self._keep(whole, known)
+
+    def _keep(self, words: dict[str, bytes], known: dict[str, bytes]) -> None:
+        known.update(words)
+        self.held += _WORD_BYTES * len(words) + sum(map(len, words)) + sum(map(len, words.values()))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        both = [self.words(t) if t else ([], []) for t in texts]
+        parts = []
+        for lead, side in (("", 0), (" ", 1)):
+            known, former = self.known[lead], self.former[lead]
+            new = set().union(*[cut[side] for cut in both]).difference(known)
+            if new and former:
+                self._keep(again := {w: former[w] for w in new if w in former}, known)
+                new.difference_update(again)
+            if new:
+                self._learn(new, lead)
+            parts.append([b"".join(map(known.__getitem__, cut[side])) for cut in both])
+        return list(map(bytes.__add__, *parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and a collection would walk through all lists of words
+        try:
+            return self._encode_parts(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_parts(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 256):
-            if sum(map(len, self.known.values())) > self.keep:
-                self.known = {"": {}, " ": {}}
-            part = texts[at : at + 256]
-            whole = [i for i, t in enumerate(part) if t and any(a in t for a in self.added)]
-            if whole:
-                ids = {i: self._ask([part[i]])[0] for i in whole}  # one by one: the library's results of whole texts are large
-                part = [None if i in ids else t for i, t in enumerate(part)]
-            both = [self.words(t) if t else ([], []) for t in part]
-            parts = []
-            for lead, side in (("", 0), (" ", 1)):
-                known = self.known[lead]
-                cut = [c[side] for c in both]
-                found = [list(map(known.get, words)) for words in cut]
-                gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
-                new = {words[i] for words, gap in zip(cut, gaps) for i in gap}
-                if new:
-                    self._learn(new, lead)
-                for words, f, gap in zip(cut, found, gaps):
-                    for i in gap:
-                        f[i] = known[words[i]]
-                parts.append(found)
-            out += [b"".join(head) + b"".join(rest) for head, rest in zip(*parts)]
-            for i in whole:
-                out[at + i] = ids[i]
+            if self.held > self.keep_bytes // 2:
+                self.known, self.former, self.held = {"": {}, " ": {}}, self.known, 0
+            rows = [self.around.split(t) if t and any(a in t for a in self.added) else [t or ""] for t in texts[at : at + 256]]
+            coded = iter(self._encode([s for row in rows for s in row[::2]]))
+            out += [b"".join([self.added[s] if k % 2 else next(coded) for k, s in enumerate(row)]) for row in rows]
         return out
 
 
-_LOADED: dict[tuple[str, bool], WordwiseTokenizer] = {}
+_LOADED: dict[str, WordwiseTokenizer] = {}
 
 
 def release() -> None:
     """Drop this worker's words: workers are reused, and operators that don't tokenize need the memory."""
     for t in _LOADED.values():
-        t.known = {"": {}, " ": {}}
+        t.forget()
 
 
-def tokenizer(path: str, keep: int, added_tokens: bool = False) -> WordwiseTokenizer:
-    """The tokenizer of this Python worker, with at most ``keep`` words; workers are reused, so it loads once."""
-    key = path, added_tokens
-    if key not in _LOADED:
-        _LOADED[key] = WordwiseTokenizer(path, added_tokens=added_tokens)
-    _LOADED[key].keep = keep
-    return _LOADED[key]
+def tokenizer(path: str) -> WordwiseTokenizer:
+    """The tokenizer of this Python worker; workers are reused, so it loads once."""
+    if path not in _LOADED:
+        _LOADED[path] = WordwiseTokenizer(path)
+    return _LOADED[path]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgermatch.llm import language_id, line_dedup, minhash, packing, piece_codec, shingles, suffix_dedup, suffix_tree_lm, token_files
+from ledgermatch.llm import language_id, line_dedup, minhash, packing, piece_codec, shingles, suffix_dedup, suffix_tree_lm, token_files, tokens
 from ledgermatch.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -76,10 +76,23 @@ def library_ids(name, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
+ODD = [*"aB9zZ \n\t.,'_-\"<|>&", " ", " ", "İ", "ı", "é", "é", "\u0301", "ß", "日本", "😀", "\x1c", "\x85", "\u00a0", "\u3000", "\x00", "²", "①", "Σ", "ς", "İ.", "'s", "'re", "don't", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "größer,", "\u0338", "한", "\u200d", "\u0345", "Ⅷ"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_wordwise_ids_are_the_librarys(name):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 14))) for _ in range(10_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)]
+    for keep_bytes in (10_000_000, 50_000):  # the second begins new dictionaries all the time
+        assert tokens.WordwiseTokenizer(tokenizer_path(name), keep_bytes).encode(texts) == want
+
+
 def test_variable_length_numbers():
     rng = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 5, 1000):
@@ -103,6 +116,22 @@ def test_token_files(spark):
     assert sorted((r["doc_id"] is None, r["start"]) for r in repeated)[-1] == (True, 0)
 
 
+def padding(by_seq):
+    """Share of padding; a sequence whose length is a power of two has none."""
+    sizes = [sum(r["length"] for r in pieces) for pieces in by_seq.values()]
+    padded = [n if n & (n - 1) == 0 else 2048 for n in sizes]
+    return 1 - sum(sizes) / sum(padded)
+
+
+def test_padding_does_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    docs = frame(spark, [prose(rng, rng.randint(1, 1500)) for _ in range(300)]).repartition(64)
+    by_seq = {}
+    for r in packing.pack(docs, tokenizer_path("byte_bpe_50k.json")).collect():
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    assert padding(by_seq) < 0.02
+
+
 def test_packing(spark):
     rng = random.Random(5)
     texts = [*AWKWARD, *[prose(rng, rng.randint(1, 4000)) for _ in range(40)]]
@@ -124,6 +153,7 @@ def test_packing(spark):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 2048
+    assert padding(by_seq) < 0.02
     assert packing.pack(frame(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
