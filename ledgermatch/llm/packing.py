@@ -126,15 +126,35 @@ class Packer:
         for part in near_equal_windows([p.length for p in pieces], self.capacity):
             self.sequence_of([pieces[i] for i in part])
 
-    def end(self) -> None:
-        """Whole windows of what waits, and sequences of power-of-two lengths, which need no padding, of the rest."""
-        if self.held >= self.fill:
-            self.close(self.held // self.fill)
+    def end(self, piece: int) -> None:
+        """The last windows of what waits, in smaller pieces, as few of them are even less easily; and sequences of power-of-two lengths.
+
+        The latter need no padding. They take what is left over, and what a last window has beyond the capacity, so
+        no further window of which much is padding arises.
+        """
+        while self.held >= self.fill:
+            pieces = []
+            for p in self.taken(self.held // self.fill * self.fill):
+                while p.length > piece:
+                    head, p = p.split(piece)
+                    pieces.append(head)
+                pieces.append(p)
+            for part in differencing([p.length for p in pieces], sum(p.length for p in pieces) // self.fill):
+                window, room = [], self.capacity
+                for p in (pieces[i] for i in part):
+                    if p.length > room:
+                        p, more = (p.split(room) if room else (None, p))
+                        self.waiting.append(more)
+                        self.held += more.length
+                    if p:
+                        window.append(p)
+                        room -= p.length
+                self.sequence_of(window)
         for n in binary_lengths(self.held):
             self.sequence_of(self.taken(n))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: int = 512, windows: int = 64, slack: int = 24, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: int = 512, windows: int = 64, slack: int = 32, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document, with its ids and its place in a sequence.
 
     A document is its ids and ``end_id``; null text counts as empty, so its document is the end id alone. Whole
@@ -173,7 +193,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: i
                         packer.add(Piece(doc, lo, hi - lo, ids[4 * lo : 4 * hi], n))
                     if len(packer.done) >= 2000:
                         yield rows()
-        packer.end()
+        packer.end(max(1, piece // 8))
         yield rows()
         give_back()
 
