@@ -6,6 +6,8 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,8 +37,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,9 +57,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that no plan still to be run reads."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, table._written_to)
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if place in _MADE:
+        _MADE.remove(place)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Within it operators may leave tables in the shared folder; at its end they go, but for those put in the list it gives."""
+    before, keep = set(_MADE), []
+    yield keep
+    for place in set(_MADE) - before - {t._written_to for t in keep}:
+        _delete(spark, place)
 
 
 def give_back() -> None:

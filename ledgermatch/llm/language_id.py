@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 from .tokens import release
 
 PAD = 256  # stands after the end of a short window
@@ -251,6 +251,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128,
                         langs[i], scores[i] = network.languages[best], min(1.0, top)
                 arrays = [part.column(c) for c in kept] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "score"])
+        give_back()
 
     kept = docs.columns
     small_batches(docs.sparkSession)

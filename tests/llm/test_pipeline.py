@@ -51,4 +51,4 @@ def test_awkward_documents(spark):
     assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 4]
     for stage in (pipeline.drop_repeated_lines, pipeline.drop_near_duplicates, pipeline.drop_repeated_strings):
         assert stage(spark, docs, SF).count() == 5
-    assert pipeline.pack_windows(spark, docs, SF).count() == 5
+    assert pipeline.pack_windows(spark, docs, SF).where("start = 0").count() == 5  # a document may be cut into pieces

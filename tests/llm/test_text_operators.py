@@ -235,8 +235,8 @@ def test_near_duplicates(spark, part_rows, monkeypatch):
             for _ in range(rng.randint(0, 8)):
                 w[rng.randrange(len(w))] = "edit" + str(rng.randint(0, 10**6))
             texts.append(" ".join(w))
-    likely = minhash.likely_pairs
-    monkeypatch.setattr(minhash, "likely_pairs", lambda m, **k: likely(m, **{**k, "part_rows": part_rows}))
+    likely = minhash.linking_pairs
+    monkeypatch.setattr(minhash, "linking_pairs", lambda m, **k: likely(m, **{**k, "part_rows": part_rows}))
     out = {r["doc_id"]: r for r in minhash.near_duplicates(frame(spark, texts)).collect()}
     words, at = shingles.word_hashes(texts)
     sets = [minhash.weighted_shingles(words[s:e], 5) for s, e in zip(at[:-1], at[1:])]
@@ -266,6 +266,17 @@ def test_texts_of_one_id_have_wide_hashes(spark):
     assert numbers.select(*suffix_dedup._key("doc_id", "text")).select("th").distinct().count() == 200_000
 
 
+def test_a_heavy_shingle_does_not_hide_a_link(spark):
+    # One run of words makes up most of three texts; the least id is near neither of the two that link.
+    heavy = "w " * 70_000
+    own = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    texts = [heavy + own("a", 21_000), heavy + own("b", 7000), heavy + own("c", 7000)]
+    words, at = shingles.word_hashes(texts)
+    sets = [minhash.weighted_shingles(words[s:e], 5) for s, e in zip(at[:-1], at[1:])]
+    assert [minhash.probability_jaccard(sets[i], sets[j]) >= 0.8 for i, j in ((0, 1), (0, 2), (1, 2))] == [False, False, True]
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, texts)).collect()} == {0: 0, 1: 1, 2: 1}
+
+
 def test_compact_sets_keep_true_counts(spark):
     heavy, other = "w " * 200_000, " ".join(f"x{i}" for i in range(1000))
     row = minhash.compact_sets(spark.createDataFrame([(1, heavy + other)], "id long, text string"), size=5).first()
