@@ -41,7 +41,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = piece_codec.PieceModel(tokenizer_path("piece_bpe_32k.model"))
     coded = piece_codec.encode(docs, model)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(piece_codec.decoded_text(F.col("ids"), model), 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "best_pieces", "best_score", F.sha2(piece_codec.decoded_text(F.col("ids"), model), 256).alias("decoded_sha256"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,17 +330,36 @@ def test_interval_expansion():
 
 # Pieces.
 
-def test_piece_codec(spark):
+def best_path(text, model):
+    """Score and number of pieces of the best path through the whole text's lattice, place by place."""
+    body = "▁" + text.replace(" ", "▁") if text else ""
+    best = [(0.0, 0)]
+    for end in range(1, len(body) + 1):
+        found = [(best[end - 1][0] + model.unknown, best[end - 1][1] - 1)]
+        for start in range(max(0, end - model.longest), end):
+            if body[start:end] in model.by_piece:
+                found.append((best[start][0] + model.by_piece[body[start:end]][1], best[start][1] - 1))
+        best.append(max(found))
+    return best[-1][0], -best[-1][1]
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 3000, "parts": 3}])
+def test_piece_codec(spark, options):
     import sentencepiece
 
     model = piece_codec.PieceModel(tokenizer_path("piece_bpe_32k.model"))
     library = sentencepiece.SentencePieceProcessor(model_file=model.path)
-    texts = [*AWKWARD, "The theatre's  déjà vu, again!", "w" * 70 + " " + "v" * 61]
-    coded = piece_codec.encode(frame(spark, texts).withColumn("ids", F.lit("clash")), model)
-    got = {r["doc_id"]: list(r["ids"]) for r in coded.collect()}
-    assert got == {i: library.encode(t) if t else [] for i, t in enumerate(texts)}
+    rng = random.Random(11)
+    odd = ["".join(rng.choice([*"abcdeth  \n", "é", "日", "▁", "ing", "tion", "\x00", "|", "the"]) for _ in range(rng.randint(0, 150))) for _ in range(60)]
+    texts = [*AWKWARD, "The theatre's  déjà vu, again!", "w" * 70 + " " + "v" * 61, "this" * 40, "日本語の文" * 30, *odd, *[prose(rng, 40) for _ in range(20)]]
+    coded = piece_codec.encode(frame(spark, texts).withColumn("ids", F.lit("clash")), model, **options)
+    rows = coded.collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in rows} == {i: library.encode(t) if t else [] for i, t in enumerate(texts)}
+    for r in rows:
+        score, n = best_path(texts[r["doc_id"]] or "", model)
+        assert r["best_pieces"] == n and math.isclose(r["best_score"], score, rel_tol=1e-9, abs_tol=1e-6)
     back = {r["doc_id"]: r["text"] for r in piece_codec.decode(coded, model).collect()}
-    assert back == {i: t or "" for i, t in enumerate(texts)}
+    assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}  # the library takes both for the same, too
     assert piece_codec.encode(frame(spark, []), model).count() == 0
 
 
@@ -362,8 +381,8 @@ def test_viterbi_fold(spark):
     pieces = {"a": -1.0, "b": -1.2, "ab": -1.5, "ba": -2.5, "aba": -2.2, "bb": -1.9}
     table = spark.createDataFrame([(p, i, s, i) for i, (p, s) in enumerate(pieces.items())], "piece string, id int, score double, rank int")
     words = ["".join(w) for n in range(1, 6) for w in itertools.product("abc", repeat=n)]
-    df = spark.createDataFrame([(w,) for w in words], "word string")
-    full = df.join(piece_codec.lattice(df, table, 3), "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<rank:int,start:int,end:int,id:int,score:double>>")))
+    df = spark.createDataFrame(list(enumerate(words)), "w long, word string")
+    full = piece_codec.lattice(df, table, 3)
     for r in full.select("word", piece_codec.viterbi_fold(F.col("word"), F.col("edges")).alias("cuts")).collect():
         score = lambda cuts, w=r["word"]: sum(pieces.get(w[s:e], -1e6 if e - s == 1 else -math.inf) for s, e in zip(cuts, cuts[1:]))
         n = len(r["word"])
