@@ -76,7 +76,7 @@ def build(vectors: np.ndarray, degree: int = 20, alpha: float = 1.2, pool: int =
     return [np.array(x, np.int64) for x in links], medoid
 
 
-def range_search(points: np.ndarray, links: np.ndarray, medoid: int, queries: np.ndarray, threshold: float, beam: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def range_search(points: np.ndarray, links: np.ndarray, medoid: int, queries: np.ndarray, threshold: float, beam: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, point) with similarity of at least ``threshold`` that greedy search finds.
 
     ``links`` is the adjacency padded with -1. Each query walks from the medoid, always expanding the best point of its beam that is not

@@ -58,9 +58,32 @@ def test_vector_classes(spark, options):
     assert np.mean([out[i]["component_id"] == label[i] for i in range(n)]) >= 0.97
     for i in (n, n + 50, n + 51, n + 52, n + 53, n + 54):
         assert (out[i]["n_links"], out[i]["component_id"], out[i]["kept"]) == (0, i, True)
+    assert out[0]["recall"] >= 0.98 and out[0]["audited_links"] > 0
     assert vector_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id_and_of_other_lengths(spark):
+    rows = [(7, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (8, [1.0, 0.01], 0), (9, [0.0, 2.0], 0), (10, [1.0, 0.0, 0.0], 0), (11, [3.0, 0.1, 0.0], 0), (None, [1.0, 0.0], 0), (12, [-1.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("n_links", F.lit("clash")).withColumn("v", F.lit(1))
+    out = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicate_vectors(df).collect())
+    assert out == [(-1, 0, None, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False), (10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True)]
+
+
+def test_recall_is_null_where_nothing_links(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(rng.normal(size=(200, 40)))], SCHEMA)
+    out = vector_dedup.near_duplicate_vectors(df).collect()
+    assert {(r["recall"], r["n_links"], r["kept"]) for r in out} == {(None, 0, True)}
+
+
+def test_comparison_of_whole_shards(spark, monkeypatch):
+    df, x, n = vectors(spark)
+    monkeypatch.setattr(vector_dedup, "range_search", lambda *a: (np.zeros(0, int), np.zeros(0, int)))  # finds nothing
+    out = {r["vec_id"]: r for r in vector_dedup.near_duplicate_vectors(df, cluster_rows=100, shard_rows=64).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    assert [out[i]["n_links"] for i in range(n)] == ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist() and out[0]["recall"] == 1.0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 9), (7, 7), (None, 4)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
