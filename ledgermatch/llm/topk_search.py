@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import discard, written
 from .vectors import usable
 
 
@@ -82,31 +82,35 @@ def quantized(column: str, scale: int) -> Column:
     return F.transform(column, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
-def top_k(vectors: DataFrame, *, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int = 4096, query_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, *, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int | None = None, query_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id_col, score): the ``k`` best other rows of each query row, by inner product of the quantized vectors.
 
     Equal scores go to smaller ids; a query with fewer than k others gets all. Vectors that are null, empty, or hold null or
     non-finite components take no part. Of equal vectors only the k + 1 smallest ids can be among the best, so the
     others are left out first, which keeps a vector of many copies from filling a shard. Rows of one id
-    count once for each vector. An empty table gives none.
+    count once for each vector. Vectors of different lengths have no score with each other. Scores of 2**53 or more, which a
+    double can't hold exactly, fail. An empty table gives none.
 
-    Candidates are dealt to shards of about ``shard_rows`` by a hash, each with a KD-tree. Queries go in blocks of about
-    ``query_rows``: first to one shard each, then, with the kth score found there, to all others, where boxes whose bound is under
-    the kth score are passed over. No shard's or query's share depends on how values are spread.
+    Candidates are dealt to shards by a hash, each with a KD-tree, and queries to blocks: first each query meets one shard,
+    then, with the kth score found there, all others, where boxes whose bound is under the kth score are passed over. Shards and blocks
+    both grow with the root of the number of rows (unless ``shard_rows`` and ``query_rows`` are given), so vectors are copied about
+    as often as the root of that number, and a task holds as many. No shard's or query's share depends on how values are spread.
     """
     spark = vectors.sparkSession
-    given = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantized(vector_col, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    given = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantized(vector_col, scale).alias("v"), F.size(vector_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"))
     given = written(given.dropDuplicates(["id", "v"]).withColumn("h", F.xxhash64("v")), "vectors")
     first = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))
     few = given.withColumn("n", first).where(F.col("n") <= k + 1)
     n = given.count()
     if n == 0:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
+    shard_rows = shard_rows or max(4096, 4 * math.isqrt(n))
     shards = max(1, -(-n // shard_rows))
     shard = F.pmod(F.xxhash64("h", "id"), F.lit(shards)).cast("int")
-    candidates = written(few.select(shard.alias("shard"), "id", "v"), "candidates")
-    queries = given.where("q").select(F.col("id").alias("query_id"), "v", shard.alias("home"), F.xxhash64("id", F.lit("block")).alias("b"))
+    candidates = written(few.select(shard.alias("shard"), "dim", "id", "v"), "candidates")
+    queries = given.where("q").select(F.col("id").alias("query_id"), "dim", "v", shard.alias("home"), F.xxhash64("id", F.lit("block")).alias("b"))
     queries = written(queries, "queries")
+    query_rows = query_rows or max(4096, 4 * math.isqrt(n))
     blocks = max(1, -(-queries.count() // query_rows))
     queries = queries.withColumn("block", F.pmod("b", F.lit(blocks)).cast("int")).drop("b")
     repeated = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -115,6 +119,9 @@ def top_k(vectors: DataFrame, *, is_query: Column, k: int = 5, scale: int = 256,
     def search(key, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(asked):
             return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
+        largest = [math.sqrt(max(float(np.dot(v, v)) for v in np.stack(t["v"].to_numpy()).astype(np.float64))) for t in (points, asked)]
+        if largest[0] * largest[1] >= 2.0**53:
+            raise ValueError("inner products of 2**53 and more are not exact in double precision")
         tree = KDTree(np.stack(points["v"].to_numpy()).astype(np.float64), points["id"].to_numpy(np.int64))
         rows = []
         for at in range(0, len(asked), 256):
@@ -124,14 +131,16 @@ def top_k(vectors: DataFrame, *, is_query: Column, k: int = 5, scale: int = 256,
                 rows += [(own, -neg, score) for score, neg in tree.search(q[i], bounds, k, kth, own)]
         return pd.DataFrame(rows, columns=["query_id", "id", "score"]).astype("int64")
 
+    key = ["dim", "shard", "block"]
+
     def at_shards(asked: DataFrame) -> DataFrame:
-        return repeated.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, out)
+        return repeated.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(search, out)
 
     lowest = F.lit(float("-inf"))
-    near = written(at_shards(queries.select(F.col("home").alias("shard"), "block", "query_id", "v", lowest.alias("kth"))), "near")
+    near = written(at_shards(queries.select("dim", F.col("home").alias("shard"), "block", "query_id", "v", lowest.alias("kth"))), "near")
     kths = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("kth"))
-    others = queries.join(kths, "query_id", "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "home", "query_id", "v", F.coalesce("kth", lowest).alias("kth")).where("shard != home")
-    found = near.union(at_shards(others.select("shard", "block", "query_id", "v", "kth")))
+    others = queries.join(kths, "query_id", "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", "block", "home", "query_id", "v", F.coalesce("kth", lowest).alias("kth")).where("shard != home")
+    found = near.union(at_shards(others.select("dim", "shard", "block", "query_id", "v", "kth")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
 
@@ -140,7 +149,7 @@ ORACLE_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select a.vec_id as query_id, b.vec_id as vec_id, list_dot_product(a.q::double[], b.q::double[])::bigint as score
-      from v a, v b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+      from v a, v b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """

@@ -20,7 +20,7 @@ def vectors(spark, n=300, d=12, seed=1):
     return spark.createDataFrame(rows + odd, SCHEMA).repartition(4), x, n
 
 
-@pytest.mark.parametrize("shard_rows, query_rows", [(4096, 20_000), (40, 2)])
+@pytest.mark.parametrize("shard_rows, query_rows", [(None, None), (40, 2)])
 def test_top_k(spark, shard_rows, query_rows):
     df, x, n = vectors(spark)
     out = topk_search.top_k(df.withColumn("score", F.lit("clash")), is_query=F.col("vec_id") % 50 == 0, shard_rows=shard_rows, query_rows=query_rows).collect()
@@ -38,6 +38,11 @@ def test_top_k_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], SCHEMA)
     assert [tuple(r) for r in topk_search.top_k(few, is_query=F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk_search.top_k(few.limit(0), is_query=F.lit(True)).count() == 0
+    odd = spark.createDataFrame([(0, [1.0], 0), (1, [2.0, 1.0], 0), (2, [3.0], 0), (3, [1.0, 1.0], 0), (3, [2.0], 0)], SCHEMA)
+    assert [(r["query_id"], r["vec_id"]) for r in topk_search.top_k(odd, is_query=F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 2), (0, 3)]
+    large = spark.createDataFrame([(0, [1e6], 0), (1, [1e6], 0)], SCHEMA)
+    with pytest.raises(Exception, match="not exact"):
+        topk_search.top_k(large, is_query=F.lit(True), scale=256).collect()
 
 
 @pytest.mark.parametrize("options", [{}, {"cluster_rows": 30, "shard_rows": 16, "overlap": 2}])
