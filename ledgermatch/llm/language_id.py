@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import give_back, small_batches
 from .tokens import release
@@ -58,6 +58,9 @@ class ByteNetwork:
         saved = []
         s = np.zeros((n, h), self.out.dtype)
         r, z, c, spare = (np.empty_like(s) for _ in range(4))
+        # After a window's end the state is 0, so the backward direction begins at the window's last byte, whatever else is in the batch.
+        ended = x == PAD
+        some_ended = ended.any(axis=1)
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             if keep:
                 r, z, c = np.empty_like(s), np.empty_like(s), np.empty_like(s)
@@ -79,6 +82,8 @@ class ByteNetwork:
             np.subtract(s, c, out=new)
             new *= z
             new += c
+            if some_ended[t]:
+                new[ended[t]] = 0
             s = new
         return states, saved
 
@@ -118,7 +123,7 @@ class ByteNetwork:
             later = np.zeros((x.shape[1], h), p.dtype)
             u = self.inner[d]
             for t, s, r, z, c in reversed(saved):
-                ds = d_both[t, :, d * h : (d + 1) * h] + later
+                ds = (d_both[t, :, d * h : (d + 1) * h] + later) * real[t][:, None]
                 dc = ds * (1 - z) * (1 - np.abs(c)) ** 2
                 drs = dc @ u[2].T
                 dr = drs * s * 0.5 * (1 - np.abs(2 * r - 1)) ** 2
@@ -174,49 +179,42 @@ class ByteNetwork:
         return pooled / np.array([len(t) for t in texts])[:, None]
 
 
-def training_windows(texts: list[str], labels: list[int], length: int, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``each`` windows from evenly spread places of every text."""
-    rows, y = [], []
-    for text, label in zip(texts, labels):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        n = min(each, -(-len(raw) // length))
-        for k in range(n):
-            at = max(0, len(raw) - length) * k // max(1, n - 1)
-            row = np.full(length, PAD, np.int16)
-            part = raw[at : at + length]
-            row[: len(part)] = part
-            rows.append(row)
-            y.append(label)
-    return (np.stack(rows).T.copy(), np.array(y)) if rows else (np.zeros((length, 0), np.int16), np.zeros(0, int))
+def training_windows(text: Column, length: int, each: int) -> Column:
+    """Up to ``each`` windows of ``length`` bytes from evenly spread places of a text, as a list of binaries."""
+    raw = text.cast("binary")
+    size = F.octet_length(text)
+    n = F.least(F.lit(each), F.ceil(size / length)).cast("int")
+    start = lambda k: F.greatest(size - length, F.lit(0)) * k / F.greatest(n - 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(raw, F.floor(start(k)).cast("int") + 1, F.lit(length)))
 
 
 def train(docs: DataFrame, *, usable: Column, rows_per_language: int = 300, windows_per_text: int = 8, length: int = 64, hidden: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNetwork | None:
     """Fit a network on a sample of at most ``rows_per_language`` labelled texts a language where ``usable`` holds.
 
     Languages are counted over all usable rows; each is then sampled by a hash of the id at a rate that gives the bound
-    one and a half times over, and cut at the bound, so the driver gets a few hundred texts a language at any input
-    size. None if no usable row has a label and a text.
+    one and a half times over, and cut at the bound. Only ``windows_per_text`` windows of ``length`` bytes of each text leave the executors, so the
+    driver gets a bounded number of bytes a language, at any input size and length of texts. (Windows are shorter here than in ``identify``: they
+    give more different beginnings and ends to learn from, and a state does not depend on the window's length.) None if no
+    usable row has a label and a text.
     """
     known = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.lit("language sample"), F.col(id_col)).alias("h"))
-    counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    counts = known.groupBy("l").agg(F.count("*").alias("n"))
+    rate = F.least(F.lit(1.0), F.lit(1.5 * (rows_per_language + 10)) / F.col("n"))
+    bar = F.when(rate >= 1.0, F.lit(2**63 - 1)).otherwise((rate * 2.0**64 - 2.0**63).cast("long"))
+    drawn = known.join(F.broadcast(counts.select("l", bar.alias("bar"))), "l").where(F.col("h") <= F.col("bar"))
+    # Rows with one id have one hash; the bound holds for them, too.
+    order = F.row_number().over(Window.partitionBy("l").orderBy("h", F.xxhash64("t")))
+    taken = drawn.withColumn("r", order).where(F.col("r") <= rows_per_language).select("l", "r", training_windows(F.col("t"), length, windows_per_text).alias("w"))
+    rows = sorted(taken.collect(), key=lambda r: (r["l"], r["r"]))
+    if not rows:
         return None
-    bar = F.lit(-(2**63))
-    for lang, n in counts.items():
-        share = min(1.0, 1.5 * (rows_per_language + 10) / n)
-        bar = F.when(F.col("l") == lang, F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).otherwise(bar)
-    rows = sorted(known.where(F.col("h") <= bar).collect(), key=lambda r: (r["l"], r["h"], r["t"]))
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    languages = sorted(counts)
-    for r in rows:
-        if taken.setdefault(r["l"], 0) < rows_per_language:
-            taken[r["l"]] += 1
-            texts.append(r["t"])
-            labels.append(languages.index(r["l"]))
-    x, y = training_windows(texts, labels, length, windows_per_text)
+    languages = sorted({r["l"] for r in rows})
+    windows = [(languages.index(r["l"]), w) for r in rows for w in r["w"]]
+    x = np.full((len(windows), length), PAD, np.int16)
+    for row, (_, w) in zip(x, windows):
+        row[: len(w)] = np.frombuffer(w, np.uint8)
     network = ByteNetwork.fresh(languages, hidden)
-    network.fit(x, y)
+    network.fit(np.ascontiguousarray(x.T), np.array([label for label, _ in windows]))
     return network
 
 

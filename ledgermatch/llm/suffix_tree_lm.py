@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, small_batches, task_number, written
+from .common import discard, give_back, small_batches, task_number, written
 from .shingles import _LOWER, SPACE, mix, word_hashes
 
 #: Stands before a text's first and after its last word; no word holds it.
@@ -291,12 +291,12 @@ def chunked(given: DataFrame, size: int) -> DataFrame:
             mark = np.array(train, np.uint8)
             sizes = np.diff(np.concatenate([[-1], places]))
             keys, counts = np.unique(gram_keys(buffer, places, _TOGETHER - 1)[np.repeat(mark, sizes) > 0], return_counts=True)
-            row = [[serial], [list(ids)], [mark.tobytes()], [_pressed(buffer.tobytes())], [keys.tobytes()], [counts.astype(np.int64).tobytes()]]
+            row = [[serial], [held], [list(ids)], [mark.tobytes()], [_pressed(buffer.tobytes())], [keys.tobytes()], [counts.astype(np.int64).tobytes()]]
             serial, held = serial + 1, 0
             for x in (ids, train, texts):
                 x.clear()
-            kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["chunk", "ids", "train", "buffer", "low", "low_counts"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], names=["chunk", "size", "ids", "train", "buffer", "low", "low_counts"])
 
         for batch in batches:
             for i, t, mark in zip(*(batch.column(c) for c in ("id", "text", "train"))):
@@ -308,8 +308,9 @@ def chunked(given: DataFrame, size: int) -> DataFrame:
                     yield close()
         if ids:
             yield close()
+        give_back()
 
-    return given.mapInArrow(run, "chunk long, ids array<long>, train binary, buffer binary, low binary, low_counts binary")
+    return given.mapInArrow(run, "chunk long, size long, ids array<long>, train binary, buffer binary, low binary, low_counts binary")
 
 
 def _opened(pressed: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -403,6 +404,7 @@ def answers(asked: DataFrame, low, depth: int, options: dict) -> DataFrame:
                 held.append((chunk, _numbers(keys, np.uint64), _numbers(counts, np.uint32)))
         if held:
             yield close()
+        give_back()
 
     return asked.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(run, _ANSWER)
 
@@ -434,7 +436,7 @@ def finished(chunks: DataFrame, answered: DataFrame, depth: int, blocks: int, n_
         doc = np.repeat(np.arange(len(ids)), n)
         c = values("word", words, np.int64) if len(words) else np.zeros(0, np.int64)
         known = np.bincount(doc, weights=c > 0, minlength=len(ids)).astype(np.int64) + (n_texts > 0)
-        logs = np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(ids)) + end_log
+        logs = np.bincount(doc, weights=np.log10(c + 0.5), minlength=len(ids)).astype(np.float64) + end_log
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64) + 1), pa.array(known), pa.array(logs), pa.array(score)], names=["id", "n_tokens", "n_known", "logs", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,6 +455,7 @@ def finished(chunks: DataFrame, answered: DataFrame, depth: int, blocks: int, n_
                     got[kind].append(batch.column("body")[i].as_py())
         if ids is not None:
             yield settle(ids, buffer, got)
+        give_back()
 
     docs = chunks.select("chunk", F.lit("docs").alias("kind"), F.lit(0).alias("block"), "ids", F.col("buffer").alias("body"))
     back = answered.select("chunk", "kind", "block", F.lit(None).cast("array<long>").alias("ids"), F.col("answer").alias("body"))
@@ -461,7 +464,7 @@ def finished(chunks: DataFrame, answered: DataFrame, depth: int, blocks: int, n_
 
 
 def score_texts(
-    docs: DataFrame, *, training: Column, depth: int = 6, share: float = 1e-5, least: int = 8, divergence: float = 6.0, strength: float = 10.0, blocks: int | None = None, chunk_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, *, training: Column, depth: int = 6, share: float = 1e-5, least: int = 8, divergence: float = 6.0, strength: float = 10.0, blocks: int | None = None, chunk_bytes: int = 6_000_000, block_bytes: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score), one row for each row of ``docs``.
 
@@ -474,16 +477,17 @@ def score_texts(
     distinct ones there.
 
     No task holds the whole tree: a byte's probability depends on its gram alone. Texts stay together in chunks of about ``chunk_bytes``; each
-    sends its distinct grams and words by block, where all counts of a context meet, and gets their probabilities and counts back. Only contexts
+    sends its distinct grams and words by block, where all counts of a context meet, and gets their probabilities and counts back. There is a
+    block for every ``block_bytes`` of text, so a block's share does not grow with the input, unless one context of three bytes alone has more. Only contexts
     shorter than _TOGETHER, whose number the alphabet bounds, go to all tasks. Null texts count as
     empty: their one token is the end. Rows that repeat an id, and rows without one, stay rows of their own. With no training
     rows the tree is uniform, and N and V are 0. Empty tables give none.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = blocks or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     chunks = written(chunked(given, chunk_bytes), "chunks")
+    blocks = blocks or max(16, (chunks.agg(F.sum("size")).first()[0] or 0) // block_bytes)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

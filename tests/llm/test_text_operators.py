@@ -465,6 +465,88 @@ def test_gram_logs_equal_tree():
         assert np.allclose(np.add.reduceat(logs, np.concatenate([[0], places[:-1] + 1])), tree.scores(other), rtol=1e-4)
 
 
+def brute_scores(texts, train, depth, least, divergence, strength):
+    """The model by its definition: counts of all contexts, smoothing from the root, retention, and the longest state for every byte."""
+    end = bytes([suffix_tree_lm.END])
+    forms = [b" ".join(w for w in (t or "").encode().lower().replace(b"\x0b", b" ").replace(b"\x0c", b" ").split()) + end for t in texts]
+    counts = {}
+    for form, mark in zip(forms, train):
+        if mark:
+            padded = end * depth + form
+            for i in range(depth, len(padded)):
+                for n in range(depth + 1):
+                    counts.setdefault(padded[i - n : i], Counter())[padded[i]] += 1
+    p, kept = {}, set()
+    for context in sorted(counts, key=len):
+        q = p[context[1:]] if context else np.full(256, 1 / 256)
+        c = np.array([counts[context][b] for b in range(256)], float)
+        p[context] = (c + strength * q) / (c.sum() + strength)
+        gain = c.sum() * (p[context] * np.log(p[context] / q)).sum()
+        if not context or c.sum() >= least and (len(context) < 3 or gain >= divergence):
+            kept |= {context[i:] for i in range(len(context) + 1)}
+    out = []
+    for form in forms:
+        padded, total = end * depth + form, 0.0
+        for i in range(depth, len(padded)):
+            state = next((padded[i - n : i] for n in range(depth, -1, -1) if padded[i - n : i] in kept), None)
+            total += math.log10(p[state][padded[i]] if state in p else 1 / 256)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"blocks": 5, "chunk_bytes": 300}])
+def test_score_is_that_of_the_longest_states(spark, options):
+    rng = random.Random(12)
+    texts = [None, "", " ", "a", "Été  d'été", "a  b\n\n c\td ", *[prose(rng, rng.randint(1, 30)) for _ in range(40)], "unseen Words ÿ here"]
+    train = [i % 5 != 1 for i in range(len(texts))]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.score_texts(frame(spark, texts), training=F.col("doc_id") % 5 != 1, share=1.0, least=4, divergence=2.0, **options).collect()}
+    want = brute_scores(texts, train, 6, 4, 2.0, 10.0)
+    assert all(math.isclose(got[i], w, rel_tol=1e-5, abs_tol=1e-4) for i, w in enumerate(want))
+
+
+@pytest.mark.parametrize("partitions, rows", [(1, 1), (4, 3), (200, 3), (200, 0)])
+def test_scores_of_few_rows(spark, partitions, rows):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        docs = frame(spark, ["a b", "word", None][:rows]).repartition(max(1, rows))
+        out = suffix_tree_lm.score_texts(docs, training=F.lit(True)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in out) == [(0, 3), (1, 2), (2, 1)][:rows]
+
+
+def test_classify_equals_a_plain_loop():
+    rng = np.random.default_rng(5)
+    net = language_id.ByteNetwork.fresh(["a", "b", "c"], 4)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 7, 8, 9, 30, 64, 3)]
+    soft = lambda v: v / (1 + np.abs(v))
+    for text, got in zip(texts, net.classify(texts, 8, block=3)):
+        total = np.zeros(3)
+        for at in range(0, len(text), 8):
+            window, states = text[at : at + 8], []
+            for d, order in ((0, range(len(window))), (1, range(len(window) - 1, -1, -1))):
+                h, found = np.zeros(4), {}
+                for t in order:
+                    r, z = ((1 + soft(net.tables[d][k][window[t]] + h @ net.inner[d][k])) / 2 for k in (0, 1))
+                    c = soft(net.tables[d][2][window[t]] + (r * h) @ net.inner[d][2])
+                    h = found[t] = z * h + (1 - z) * c
+                states.append(found)
+            for t in range(len(window)):
+                e = np.exp(np.concatenate([states[0][t], states[1][t]]) @ net.out + net.bias)
+                total += e / e.sum()
+        assert np.allclose(got, total / len(text), atol=1e-5)
+
+
+def test_training_windows(spark):
+    texts = ["", "abc", "é" * 50, "".join(chr(97 + i % 26) for i in range(1000))]
+    rows = frame(spark, texts).where("text != ''").select("doc_id", language_id.training_windows(F.col("text"), 64, 8).alias("w")).collect()
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        n = min(8, -(-len(raw) // 64))
+        assert [bytes(w) for w in r["w"]] == [raw[(at := max(0, len(raw) - 64) * k // max(1, n - 1)) : at + 64] for k in range(n)]
+
+
 def test_hash_is_stable():
     words, at = shingles.word_hashes(["a b", "b a", None, "A"], lower=True)
     assert at.tolist() == [0, 2, 4, 4, 5] and words[0] == words[3] == words[4] and words[1] == words[2]
