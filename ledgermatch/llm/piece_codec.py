@@ -61,15 +61,16 @@ def words_in(text: str, prefix: bool = True) -> list[str]:
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """``words`` (with columns w, a number of each row, and word) with edges: every substring that is a piece, as (rank, start, end, id, score).
 
-    Substrings are exploded by start and length, joined with the piece table and grouped by the word's number. Edges come in
-    ascending order; null where no substring is a piece. Partitioned by a column of ``words``, nothing is shuffled when that
-    column stands among its other columns.
+    Substrings are exploded by start and length, joined with the piece table and grouped by the word's number; edges come in
+    ascending order. The first character's row stays also where it is no piece, so that every word has a row. Where ``words`` is
+    partitioned by one of its other columns, nothing is shuffled.
     """
     keys = [c for c in words.columns if c not in ("w", "word")]
     starts = words.select("w", *keys, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
     cut = starts.select("w", *keys, "word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("s")))).alias("n"))
     cut = cut.withColumn("piece", F.expr("substring(word, s + 1, n)"))
-    edges = cut.join(F.broadcast(pieces), "piece", "left").select("w", *keys, "word", F.when(F.col("id").isNotNull(), F.struct("rank", F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end"), "id", "score")).alias("edge"))
+    found = cut.join(F.broadcast(pieces), "piece", "left").where("id is not null or s = 0 and n = 1")
+    edges = found.select("w", *keys, "word", F.when(F.col("id").isNotNull(), F.struct("rank", F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end"), "id", "score")).alias("edge"))
     return edges.groupBy("w", *keys).agg(F.first("word").alias("word"), F.array_sort(F.collect_list("edge")).alias("edges"))
 
 
@@ -217,7 +218,7 @@ def _opened(body: bytes, sizes: list[int]) -> list[str]:
     return [raw[e - n : e].decode() for e, n in zip(ends, sizes)]
 
 
-def encode(docs: DataFrame, model: PieceModel, *, chunk_bytes: int = 6_000_000, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, *, chunk_bytes: int = 4_000_000, task_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, best_score, best_pieces) for each row of ``docs``: the library's ids of the whole text.
 
     best_score and best_pieces are of the path with the highest sum of piece scores through the same lattices, which for a
@@ -230,7 +231,6 @@ def encode(docs: DataFrame, model: PieceModel, *, chunk_bytes: int = 6_000_000,
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +265,16 @@ def encode(docs: DataFrame, model: PieceModel, *, chunk_bytes: int = 6_000_000,
         give_back()
 
     chunks = written(given.mapInArrow(gather, "chunk long, ids array<long>, sizes array<long>, body binary"), "chunks")
-    asked = written(chunks.mapInArrow(ask, "part int, chunk long, words string"), "asked").repartition("part")
+    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
+    # The number of tasks is given, as what is sent is small and grows a hundredfold in the lattices.
+    parts = tasks = max(4, total // task_bytes)
+    asked = written(chunks.mapInArrow(ask, "part int, chunk long, words string"), "asked").repartition(tasks, "part")
     used = asked.select("part", "chunk", F.posexplode(F.split("words", "\n")).alias("at", "word"))
     distinct = used.select("part", "word").distinct().withColumn("w", F.monotonically_increasing_id())
     coded = encode_words(distinct.select("w", "part", "word"), model)
     answer = F.concat_ws(" ", F.transform("ids", lambda i: i.cast("string")))
     coded = written(coded.select("part", "word", F.concat_ws("|", answer, F.col("best_pieces").cast("string"), F.col("best_score").cast("string")).alias("answer")), "words")
-    answers = used.join(coded.repartition("part"), ["part", "word"]).groupBy("part", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "answer"))).alias("list"))
+    answers = used.join(coded.repartition(tasks, "part"), ["part", "word"]).groupBy("part", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "answer"))).alias("list"))
     answers = answers.select("part", "chunk", F.array_join(F.transform("list", lambda x: x["answer"]), "\n").alias("answers"))
     first = chunks.select("chunk", F.lit(-1).alias("part"), "ids", "sizes", "body", F.lit(None).cast("string").alias("answers"))
     back = answers.select("chunk", "part", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("sizes"), F.lit(None).cast("binary").alias("body"), "answers")

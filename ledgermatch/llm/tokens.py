@@ -30,7 +30,7 @@ class WordwiseTokenizer:
     library many at a time, to be told apart by the tokens that start or end a word.
     """
 
-    def __init__(self, path: str, keep_bytes: int = 120_000_000):
+    def __init__(self, path: str, keep_bytes: int = 240_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

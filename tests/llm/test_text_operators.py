@@ -343,7 +343,7 @@ def best_path(text, model):
     return best[-1][0], -best[-1][1]
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 3000, "parts": 3}])
+@pytest.mark.parametrize("options", [{}, {"chunk_bytes": 3000, "task_bytes": 3000}])
 def test_piece_codec(spark, options):
     import sentencepiece
 
