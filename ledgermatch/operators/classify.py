@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,7 +33,7 @@ class PolicyRule:
 
 @dataclass(frozen=True)
 class Rule:
-    """``evaluator`` is EXACT, TOLERANCE or POLICY; ``enabled`` None means all types."""
+    """``evaluator`` is EXACT, TOLERANCE, POLICY or a registered one; ``enabled`` None means all types."""
 
     evaluator: str = "EXACT"
     enabled: tuple[str, ...] | None = None
@@ -101,15 +102,57 @@ def _tolerated(rule: Rule) -> Column:
 
 def default_policies(rule: Rule) -> tuple[PolicyRule, ...]:
     """Policy rules that say the same as the exact and tolerance evaluators."""
-    out = []
-    if rule.enabled is not None:
-        listed = ", ".join(f"'{t}'" for t in rule.enabled) or "''"
-        out.append(PolicyRule(f"type not in ({listed})", "suppress", salience=100))
-    if rule.abs_minor > 0:
-        out.append(PolicyRule(f"type = 'AMOUNT_MISMATCH' and abs(delta) <= {rule.abs_minor}", "suppress", salience=50))
-    if rule.bps > 0:
-        out.append(PolicyRule(f"type = 'AMOUNT_MISMATCH' and abs(delta) * 10000 <= {rule.bps} * abs(expected)", "suppress", salience=50))
-    return tuple(out)
+    return PolicyRule("not type_enabled", "suppress", salience=100), PolicyRule("type = 'AMOUNT_MISMATCH' and within_amount_tolerance", "suppress", salience=90)
+
+
+def _exact(groups: DataFrame, rule: Rule) -> Column:
+    return _keep_enabled(F.col("type"), rule.enabled)
+
+
+def _tolerance(groups: DataFrame, rule: Rule) -> Column:
+    return F.when(~_tolerated(rule), _keep_enabled(F.col("type"), rule.enabled))
+
+
+def _policy(groups: DataFrame, rule: Rule) -> Column:
+    """Rules are applied by falling salience; a later retyping replaces an earlier one, and a suppression that holds wins over all of them.
+
+    Predicates see the group's columns and the facts multi_line, type_enabled, within_amount_tolerance and abs_delta. A bad
+    predicate fails here, when the plan is built.
+    """
+    kind, suppressed = F.col("type"), F.lit(False)
+    for p in sorted((*rule.policies, *default_policies(rule)), key=lambda p: -p.salience):
+        if p.action not in ("suppress", "retype") or p.action == "retype" and p.to_type not in TYPES:
+            raise ValueError(f"bad policy {p}")
+        groups.select(F.expr(p.predicate).cast("boolean"))
+        holds = F.col("type").isNotNull() & F.coalesce(F.expr(p.predicate), F.lit(False))
+        if p.action == "suppress":
+            suppressed = suppressed | holds
+        else:
+            kind = F.when(holds, F.lit(p.to_type)).otherwise(kind)
+    return F.when(~suppressed, kind)
+
+
+def with_facts(groups: DataFrame, rule: Rule) -> DataFrame:
+    """Groups with what policies may ask beside the groups' own columns."""
+    return groups.withColumns({
+        "multi_line": (F.col("left_count") > 1) | (F.col("right_count") > 1), "type_enabled": _keep_enabled(F.col("type"), rule.enabled).isNotNull(),
+        "within_amount_tolerance": _tolerated(rule), "abs_delta": F.abs(F.col("delta")),
+    })
+
+
+FACTS = ["multi_line", "type_enabled", "within_amount_tolerance", "abs_delta"]
+#: Evaluators by name: fn(groups with their types, rule) gives the type that is left (null: clean).
+EVALUATORS: dict[str, Callable[[DataFrame, Rule], Column]] = {}
+
+
+def register_evaluator(name: str, evaluator: Callable[[DataFrame, Rule], Column]) -> None:
+    if name in EVALUATORS:
+        raise ValueError(f"evaluator {name} is registered already")
+    EVALUATORS[name] = evaluator
+
+
+for _name, _evaluator in (("EXACT", _exact), ("TOLERANCE", _tolerance), ("POLICY", _policy)):
+    register_evaluator(_name, _evaluator)
 
 
 def classify(groups: DataFrame, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str) -> DataFrame:
@@ -118,22 +161,10 @@ def classify(groups: DataFrame, roles: dict[str, Roles], rule: Rule, *, scenario
     A fingerprint holds no run, so it is the same in every run; groups without a match key stand in it by the reference of their record.
     An unknown evaluator fails, and so does a policy with a bad predicate, when the plan is built.
     """
-    out = primary_type(groups, roles, rule).withColumn("raw_type", F.col("type"))
-    if rule.evaluator == "EXACT":
-        kind = _keep_enabled(F.col("type"), rule.enabled)
-    elif rule.evaluator == "TOLERANCE":
-        kind = F.when(~_tolerated(rule), _keep_enabled(F.col("type"), rule.enabled))
-    elif rule.evaluator == "POLICY":
-        kind = F.col("type")
-        for p in sorted((*rule.policies, *default_policies(rule)), key=lambda p: p.salience):
-            if p.action not in ("suppress", "retype") or p.action == "retype" and p.to_type not in TYPES:
-                raise ValueError(f"bad policy {p}")
-            holds = F.col("type").isNotNull() & F.coalesce(F.expr(p.predicate), F.lit(False))
-            kind = F.when(holds, F.lit(p.to_type if p.action == "retype" else None)).otherwise(kind)
-        _ = out.select(kind)  # a bad predicate fails here
-    else:
-        raise ValueError(f"unknown evaluator {rule.evaluator}")
-    out = out.withColumn("type", kind)
+    if rule.evaluator not in EVALUATORS:
+        raise ValueError(f"unknown evaluator {rule.evaluator}; known: {sorted(EVALUATORS)}")
+    out = with_facts(primary_type(groups, roles, rule).withColumn("raw_type", F.col("type")), rule)
+    out = out.withColumn("type", EVALUATORS[rule.evaluator](out, rule)).drop(*FACTS)
     out = out.withColumn("stage", F.when(F.col("type") == "BRIDGE_BROKEN", F.col("stage")))
     slot = F.coalesce("match_key", F.when(F.col("left_count") > 0, F.col("left_ref")).otherwise(F.col("right_ref")))
     mark = fingerprint(scenario, period, F.col("segment_id"), F.col("type"), F.col("group_key"), slot, F.col("stage"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values, in the order in which labels are listed.
 LABELS = ["MISSING_INTERNAL", "MISSING_PROVIDER", "EXTRA_INTERNAL", "EXTRA_PROVIDER", "DUPLICATE_INTERNAL", "DUPLICATE_PROVIDER", "QUANTITY_MISMATCH", "SKU_MISMATCH", "STATUS_MISMATCH", "PROVIDER_REFERENCE_MISMATCH", "UNKNOWN"]
 
+OBSERVED = ["tenant_id", "event_id", "issue_id", "sku_id", "quantity", "status", "provider_ref", "role", "raw_ref"]
+
 
 def split_observations(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejects): text fields must not be blank, quantities must be positive."""
@@ -46,3 +50,13 @@ def entitlement_labels(groups: DataFrame) -> DataFrame:
     ]
     labels = F.array_compact(F.array(*[F.when(x, F.lit(name)) for x, name in zip(conditions, LABELS)]))
     return groups.withColumn("labels", F.when(F.size(labels) == 0, F.array(F.lit("CLEAN"))).otherwise(labels))
+
+
+def reconcile_entitlements(sides: dict[str, DataFrame], tenant_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labelled groups, rejects) of the observations of the roles EXPECTED, INTERNAL and PROVIDER, of one tenant or all."""
+    parts = [df.withColumn("role", F.lit(role)).select(*OBSERVED) for role, df in sides.items()]
+    observed = reduce(DataFrame.unionByName, parts)
+    if tenant_id is not None:
+        observed = observed.where(F.col("tenant_id") == tenant_id)
+    valid, rejects = split_observations(observed)
+    return entitlement_labels(entitlement_groups(valid)), rejects

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.keys import name_uuid
 from ..sources.sinks import absent_only
@@ -43,7 +43,7 @@ def transition(state: DataFrame, requests: DataFrame, steps: list[tuple[str, str
     now = state.select(key, "status", "version")
     out = first_of_each(requests, [key], order).join(now, key, "left").join(goals, "action", "left").join(table, ["status", "action"], "left")
     outcome = (
-        F.when(F.col("status").isNull(), "not_found").when((F.col("nth") > 1) | (F.col("expected_version") != F.col("version")), "conflict")
+        F.when(F.col("status").isNull(), "not_found").when((F.col("nth") > 1) | F.coalesce(F.col("expected_version") != F.col("version"), F.col("expected_version").isNotNull()), "conflict")
         .when(F.col("goal") == F.col("status"), "noop").when(F.col("target").isNull(), "illegal").otherwise("accepted")
     )
     return out.withColumn("outcome", outcome)
@@ -99,32 +99,39 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 def apply_dispositions(dispositions: DataFrame, requests: DataFrame, known: DataFrame) -> DataFrame:
     """Requests (fingerprint, action, operator, note, expected_version, at) with outcome, target, next version and audit key.
 
-    ``known`` has the fingerprints that exist. A discrepancy without a disposition is OPEN; its first disposition has version 0, later ones
-    one more. Reaching the status that is there already is a no-op without audit.
+    ``known`` has the fingerprints that exist. A discrepancy without a disposition is OPEN and has no version, so a request that expects one
+    is a conflict; negative versions are invalid. Its first disposition has version 0, later ones one more. Reaching the status that is there already is a no-op without audit.
     """
     steps = [(s, a, TARGETS[a]) for s, actions in ALLOWED.items() for a in actions]
     state = known.select("fingerprint").distinct().join(dispositions.select("fingerprint", "status", "version"), "fingerprint", "left")
-    state = state.select("fingerprint", F.coalesce("status", F.lit("OPEN")).alias("status"), F.coalesce("version", F.lit(-1)).cast("long").alias("version"))
+    state = state.select("fingerprint", F.coalesce("status", F.lit("OPEN")).alias("status"), F.col("version").cast("long").alias("version"))
     out = transition(state, requests, steps, key="fingerprint", order=["at", "action"])
-    bad = (F.coalesce(F.length(F.trim("operator")), F.lit(0)) == 0) | (F.length("operator") > 64) | (F.length("note") > 512) | ~F.col("action").isin(list(TARGETS))
+    bad = (F.coalesce(F.length(F.trim("operator")), F.lit(0)) == 0) | (F.length("operator") > 64) | (F.length("note") > 512) | ~F.col("action").isin(list(TARGETS)) | (F.col("expected_version") < 0)
     out = out.withColumn("outcome", F.when(F.coalesce(bad, F.lit(True)) & F.col("operator").isNull() | F.coalesce(bad, F.lit(False)), "invalid").otherwise(F.col("outcome")))
-    version = F.when(F.col("outcome") == "accepted", F.col("version") + 1)
+    version = F.when(F.col("outcome") == "accepted", F.coalesce(F.col("version") + 1, F.lit(0)))
     return out.withColumns({"new_version": version, "audit_key": F.when(version.isNotNull(), F.concat_ws(":", F.lit("manual"), "action", "fingerprint", version.cast("string")))})
 
 
-def converge_dispositions(dispositions: DataFrame, run_fingerprints: DataFrame, run_id: str) -> DataFrame:
-    """Live dispositions of the run's scenario and period after the run, which must be its latest.
+def converge_dispositions(dispositions: DataFrame, run_fingerprints: DataFrame, run_id: str, runs: DataFrame | None = None) -> DataFrame:
+    """Dispositions after a run, with the audit of those that changed their status.
 
-    Those whose discrepancy is there again are seen by this run; the others become STALE with a version more and an audit
-    key that holds the version before.
+    Live ones whose discrepancy is there again are seen by this run; the others become STALE with a version more and an audit
+    key that holds the version before. With ``runs`` (run_id, scenario, period, sequence_no) this holds for the dispositions of
+    the run's scenario and period only, and for none if a later run of these exists.
     """
     here = run_fingerprints.select("fingerprint").distinct().withColumn("__here", F.lit(True))
     out = dispositions.join(here, "fingerprint", "left")
     live, gone = F.col("status") != "STALE", F.col("__here").isNull()
+    if runs is not None:
+        newest = latest_runs(runs).where(F.col("run_id") == run_id).select("scenario", "period", F.lit(True).alias("__latest"))
+        out = out.join(F.broadcast(newest), ["scenario", "period"], "left")  # one row, or none
+        live = live & F.coalesce("__latest", F.lit(False))
+    scope = [c for c in ("scenario", "period") if c in dispositions.columns]
     return out.select(
-        "fingerprint", F.when(live & gone, "STALE").otherwise(F.col("status")).alias("status"), (F.col("version") + (live & gone).cast("int")).alias("version"),
+        "fingerprint", *scope, F.when(live & gone, "STALE").otherwise(F.col("status")).alias("status"), (F.col("version") + (live & gone).cast("int")).alias("version"),
         F.when(live & ~gone, F.lit(run_id)).otherwise(F.col("last_seen_run")).alias("last_seen_run"),
         F.when(live & gone, F.concat_ws(":", F.lit("stale"), "fingerprint", F.col("version").cast("string"))).alias("audit_key"),
+        F.when(live & gone, F.concat(F.lit("priorStatus="), "status", F.lit(f",runId={run_id}"))).alias("audit_payload"),
     )
 
 
@@ -180,7 +187,12 @@ def alerts_after(alerts: DataFrame, results: DataFrame) -> DataFrame:
 
 def deliver(alerts: DataFrame, send: Callable) -> None:
     """Call ``send(row)`` for every row, on the executors."""
-    alerts.foreachPartition(lambda rows: [send(r) for r in rows] and None)
+
+    def each(rows) -> None:
+        for row in rows:
+            send(row)
+
+    alerts.foreachPartition(each)
 
 
 def decide_reversals(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -200,6 +212,15 @@ def settle_reversals(suggestions: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumns({"status": F.when(moved & F.col("__ok"), "EXECUTED").when(moved, "EXECUTION_FAILED").otherwise(F.col("status")), "version": F.col("version") + F.coalesce(moved, F.lit(False)).cast("int")}).drop("__ok")
 
 
+def reversal_audit(suggestions: DataFrame, results: DataFrame, operator: str = "system") -> DataFrame:
+    """An action row for each execution of a CONFIRMED suggestion, failed ones included. Results are (idempotency_key, ok, reference)."""
+    r = results.groupBy("idempotency_key").agg(F.bool_or("ok").alias("__ok"), F.max("reference").alias("__ref"))
+    done = suggestions.where("status = 'CONFIRMED'").join(r, "idempotency_key")
+    key = F.concat(F.when(F.col("__ok"), "reversal-exec-ok:").otherwise("reversal-exec-fail:"), "idempotency_key")
+    payload = F.concat(F.when(F.col("__ok"), "executed ref=").otherwise("execution failed: "), F.coalesce("__ref", F.lit("")))
+    return done.select(key.alias("idempotency_key"), "fingerprint", F.lit("REVERSAL_EXECUTED").alias("action"), F.lit(operator).alias("operator"), payload.alias("payload"))
+
+
 def propose_remediations(proposals: DataFrame, existing: DataFrame) -> DataFrame:
     """Proposals (tenant_id, scenario, discrepancy_ref, award_item_no, original_operation_no, action, reason) with id and outcome.
 
@@ -223,6 +244,16 @@ def step_remediations(state: DataFrame, requests: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(barred, "illegal").otherwise(F.col("outcome"))).drop("__manual")
 
 
+def settle_remediations(state: DataFrame, commands: DataFrame, results: DataFrame) -> DataFrame:
+    """Result events (tenant_id, event_id, command_id, action) as requests against the lifecycle, with outcomes.
+
+    A command belongs to its tenant; an unknown one is not found.
+    """
+    named = results.join(commands.select("tenant_id", "command_id", "suggestion_id"), ["tenant_id", "command_id"], "left")
+    requests = named.select("tenant_id", "event_id", "command_id", "suggestion_id", "action", F.lit(None).cast("long").alias("expected_version"), F.col("event_id").alias("at"))
+    return step_remediations(state, requests)
+
+
 def remediation_commands(approved: DataFrame) -> DataFrame:
     """The command of each approved suggestion, with the hash of its envelope."""
     command = F.concat(F.lit("recon-remediation:"), "suggestion_id")
@@ -247,8 +278,3 @@ def commands_after(commands: DataFrame, results: DataFrame, now: Column, *, most
         "status": F.when(F.col("__ok"), "PUBLISHED").when(failed & (F.col("attempt") >= most), "DEAD").when(failed, "FAILED").otherwise(F.col("status")),
         "next_attempt": F.when(failed, now + F.make_dt_interval(secs=wait)).otherwise(F.col("next_attempt")), "last_error": F.when(failed, F.substring("__error", 1, 512)).otherwise(F.col("last_error")),
     }).drop("__ok", "__error")
-
-
-def transitions_table(spark: SparkSession) -> DataFrame:
-    """All disposition steps, one row each."""
-    return spark.createDataFrame([(s, a, TARGETS[a]) for s, actions in ALLOWED.items() for a in actions], "status string, action string, target string")

@@ -59,6 +59,10 @@ def bucket_skew(records: DataFrame, *, by: str = "bucket", factor: float = 5.0,
     return counts.join(stats, "segment_id").withColumn("hot", (F.col("n") > F.col("mean") * factor) & (F.col("n") >= least))
 
 
+def run_status_counts(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def refine_violations(records: DataFrame, *, most: int = 100) -> DataFrame:
     """Match keys with several group keys, worst first; one row over ``most`` shows that there are more."""
     keys = records.where("match_key is not null").groupBy("segment_id", "match_key").agg(F.count_distinct("group_key").alias("n_groups"))
@@ -93,7 +97,7 @@ def enriched(discrepancies: DataFrame, dispositions: DataFrame, runs: DataFrame)
 
 
 def list_discrepancies(rows: DataFrame, *, text: str | None = None, status: str | None = None, page: int = 0, size: int = 20, **equal: str | None) -> tuple[DataFrame, DataFrame]:
-    """A page of enriched discrepancies, last changed first, and one row with the total.
+    """A page of enriched discrepancies, last changed first, ties by falling discrepancy id, and one row with the total.
 
     ``equal`` filters columns such as run_id, scenario, period, segment_id and type; ``text`` is looked for without case in ids, keys and
     references, with % and _ as wildcards; status OPEN means no disposition.
@@ -104,12 +108,12 @@ def list_discrepancies(rows: DataFrame, *, text: str | None = None, status: str
     if status is not None:
         rows = rows.where(open_for_filters(F.col("disposition")) if status == "OPEN" else F.col("disposition") == status)
     if text:
-        like = [F.coalesce(F.lower(c).like(f"%{text.lower()}%"), F.lit(False)) for c in ("fingerprint", "group_key", "match_key", "left_ref", "right_ref")]
+        like = [F.coalesce(F.lower(c).like(f"%{text.lower()}%"), F.lit(False)) for c in ("discrepancy_id", "fingerprint", "group_key", "match_key", "left_ref", "right_ref")]
         anywhere = like[0]
         for x in like[1:]:
             anywhere = anywhere | x
         rows = rows.where(anywhere)
-    ordered = rows.orderBy(F.desc(F.coalesce("disposed_at", "updated_at")), F.desc("fingerprint"))
+    ordered = rows.orderBy(F.desc(F.coalesce("disposed_at", "updated_at")), F.desc("discrepancy_id"))
     return _page(ordered, page, size), rows.agg(F.count("*").alias("total"))
 
 

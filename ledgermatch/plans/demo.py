@@ -59,12 +59,12 @@ def run(spark: SparkSession, sf_dir: str, *, rule: Rule | None = None, run_id: s
     return Reconciliation(spark, scenario, run_id, PERIOD, ledgers(spark, sf_dir, dropped=dropped))
 
 
-def records_sql(dropped: int = 0) -> str:
+def records_sql(dropped: int = 0, only: str = "true") -> str:
     """Common table expressions b, marketing, accounting, channel, raw, rejects and records."""
     extra = f" and k % {dropped} <> 0" if dropped else ""
     return f"""
 b as (select o_orderkey as k, cast(round(o_totalprice * 100) as bigint) as amt, case when o_orderkey % 5 = 0 then 'EUR' else 'USD' end as base_ccy, o_orderstatus as st,
-      cast(o_orderdate as timestamp) as ts, 'O' || cast(o_orderkey // 4 as varchar) as order_no, 'I' || o_orderkey as issue, 'C' || o_orderkey as serial from orders),
+      cast(o_orderdate as timestamp) as ts, 'O' || cast(o_orderkey // 4 as varchar) as order_no, 'I' || o_orderkey as issue, 'C' || o_orderkey as serial from orders where {only}),
 m0 as (select 'm-' || k as id, amt as a, 'ISSUE' as e, * from b where k % 41 <> 0 union all select 'm2-' || k, amt, 'ISSUE', * from b where k % 41 <> 0 and k % 19 = 0
        union all select 'm3-' || k, -100, 'REFUND', * from b where k % 41 <> 0 and k % 23 = 0),
 marketing as (select id, order_no, rtrim(issue || case when k % 11 = 0 then '  ' else '' end) as issue_id, base_ccy as ccy, a as amt, e as entry_type, st, ts as posted from m0),
@@ -100,9 +100,9 @@ cl0 as (select *, case when right_count = 0 then 'LEFT_ONLY' when left_count = 0
 """
 
 
-def classified_sql(kept: str = "raw_type", dropped: int = 0) -> str:
+def classified_sql(kept: str = "raw_type", dropped: int = 0, only: str = "true") -> str:
     """A with clause up to ``cl``, the classified groups; ``kept`` is the type that the rule leaves of raw_type."""
-    return f"""with {records_sql(dropped)}{GROUPS_SQL}
+    return f"""with {records_sql(dropped, only)}{GROUPS_SQL}
 cl1 as (select *, case when left_count > 0 then left_sum else 0 end as expected, case when right_count > 0 then right_sum else 0 end as actual,
   case when raw_type in ('CURRENCY_MISMATCH', 'STATUS_MISMATCH', 'TIMING') then 0 else left_sum - right_sum end as delta from cl0),
 cl as (select * exclude (kind), kind as type, case when kind = 'BRIDGE_BROKEN' then left(segment_id, 4) end as stage,

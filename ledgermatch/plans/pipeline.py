@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.classify import classify, discrepancies
 from ..operators.conserve import conservation_report, proven_report
-from ..operators.match import match_groups, standardize
+from ..operators.ledger import HANDLERS, finished
+from ..operators.match import STRATEGIES, broken_rejects, guarded, mixed_rejects, standardize
 from ..sources.mapping import ReadContext
 from ..sources.readers import both_sides, route_source
+from ..sources.sinks import append_absent, read_run, replace_run, with_discrepancy_ids
 from .scenario import Scenario
 
 
@@ -35,34 +37,55 @@ class Reconciliation:
         for s in self.scenario.segments:
             for side, role, source in (("LEFT", s.left_role, s.left), ("RIGHT", s.right_role, s.right)):
                 ctx = ReadContext(self.run_id, s.id, side, role, self.cutoff, self.scenario.tenant_id)
-                kind, location = ("memory", self.tables[source.location]) if self.tables else (source.kind, source.location)
-                reads.append(route_source(self.spark, kind, location, source.mapping, ctx))
+                if self.tables:
+                    reads.append(route_source(self.spark, "memory", self.tables[source.location], source.mapping, ctx))
+                else:
+                    reads.append(route_source(self.spark, source.kind, source.location, source.mapping, ctx, **source.options))
         return both_sides(*reads)
 
     @cached_property
-    def records(self) -> DataFrame:
+    def _standard(self) -> DataFrame:
         return standardize(self._read[0], buckets=self.buckets)
 
-    @property
+    @cached_property
+    def _quarantined(self) -> tuple[DataFrame, DataFrame]:
+        return mixed_rejects(self._standard, self._matched(self._standard))
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """Standardized records; with ``on_mixed='quarantine'`` without those of mixed groups."""
+        return self._quarantined[0] if self.on_mixed == "quarantine" else self._standard
+
+    @cached_property
     def rejects(self) -> DataFrame:
-        return self._read[1]
+        """Rows that the readers refuse, match keys without a group key, and quarantined records."""
+        out = self._read[1].unionByName(broken_rejects(self._read[0]))
+        return out.unionByName(self._quarantined[1]) if self.on_mixed == "quarantine" else out
+
+    def _matched(self, records: DataFrame) -> DataFrame:
+        by_strategy: dict[str, list[str]] = {}
+        for s in self.scenario.segments:
+            by_strategy.setdefault(s.strategy, []).append(s.id)
+        rows = records.drop("bucket")
+        parts = [STRATEGIES[name](rows if len(by_strategy) == 1 else rows.where(F.col("segment_id").isin(ids))) for name, ids in by_strategy.items()]
+        return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def groups(self) -> DataFrame:
-        return match_groups(self.records.drop("bucket"), on_mixed=self.on_mixed)
+        return guarded(self._matched(self._standard), self.on_mixed)
 
-    @cached_property
-    def classified(self) -> DataFrame:
+    def classify_groups(self, groups: DataFrame) -> DataFrame:
         """All segments' groups, each classified under its segment's rule."""
         roles = {s.id: s.roles() for s in self.scenario.segments}
         by_rule: dict = {}
         for s in self.scenario.segments:
             by_rule.setdefault(s.rule, []).append(s.id)
-        parts = [classify(self.groups if len(by_rule) == 1 else self.groups.where(F.col("segment_id").isin(ids)), roles, rule, scenario=self.scenario.code, period=self.period) for rule, ids in by_rule.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        parts = [classify(groups if len(by_rule) == 1 else groups.where(F.col("segment_id").isin(ids)), roles, rule, scenario=self.scenario.code, period=self.period) for rule, ids in by_rule.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        return self.classify_groups(self.groups)
 
     @property
     def discrepancies(self) -> DataFrame:
@@ -76,3 +99,28 @@ class Reconciliation:
     def proven(self) -> DataFrame:
         """The report, balanced only where independent sums over the records agree with it."""
         return proven_report(self.report, self.records)
+
+
+def write_run(r: Reconciliation, root: str, handlers=None) -> dict[str, DataFrame]:
+    """Carry out a run and write its tables below ``root``, each computed once; gives them as read back, and the run's final ``status``.
+
+    Records, rejects, classified groups, discrepancies and the report take the place of what an earlier attempt of the run left, so calling this
+    again is a re-run. Handlers' rows are appended where their idempotency keys are new; what people decided is not touched.
+    """
+    out: dict[str, DataFrame] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        replace_run(df, f"{root}/{name}", r.run_id)
+        out[name] = read_run(r.spark, f"{root}/{name}", r.run_id, df.schema)
+        return out[name]
+
+    records = keep("records", r.records)
+    keep("rejects", r.rejects)
+    classified = keep("classified", r.classify_groups(guarded(r._matched(records), r.on_mixed)))
+    found = keep("discrepancies", with_discrepancy_ids(discrepancies(classified)))
+    report = keep("report", proven_report(conservation_report(classified), records))
+    for name, handler in handlers or HANDLERS:
+        append_absent(handler(found), r.spark, f"{root}/{name}", "idempotency_key")
+        out[name] = r.spark.read.parquet(f"{root}/{name}")
+    out["status"] = finished(r.spark.createDataFrame([(r.run_id,)], "run_id string"), report)
+    return out

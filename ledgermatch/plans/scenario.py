@@ -5,18 +5,21 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from ..operators.classify import PolicyRule, Roles, Rule
+from ..operators.classify import EVALUATORS, PolicyRule, Roles, Rule
+from ..operators.match import STRATEGIES
 from ..schema import TYPES
 from ..sources.mapping import SourceMapping
 
 
 @dataclass(frozen=True)
 class Source:
-    """``kind`` is a registered source type; ``location`` what it reads; ``mapping`` names its columns."""
+    """``kind`` is a registered source type; ``location`` what it reads; ``mapping`` names its columns; ``options`` go to the reader,
+    such as a JDBC source's url and partition bounds."""
 
     kind: str
     location: str
     mapping: SourceMapping
+    options: dict = field(default_factory=dict, hash=False)
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,7 @@ class Segment:
     spine_role: str | None = None
     stage: str | None = None
     rule: Rule = field(default_factory=Rule)
+    strategy: str = "group-sum"
 
     def roles(self) -> Roles:
         return Roles(self.left_role, self.right_role, self.spine_role, self.stage or self.id)
@@ -56,8 +60,10 @@ class Scenario:
                 raise ValueError(f"segment {s.id}: the spine role is on neither side")
             if s.left_role == s.right_role:
                 raise ValueError(f"segment {s.id}: both sides have one role")
-            if s.rule.evaluator not in ("EXACT", "TOLERANCE", "POLICY"):
+            if s.rule.evaluator not in EVALUATORS:
                 raise ValueError(f"segment {s.id}: unknown evaluator {s.rule.evaluator}")
+            if s.strategy not in STRATEGIES:
+                raise ValueError(f"segment {s.id}: unknown match strategy {s.strategy}")
             if s.rule.abs_minor < 0 or s.rule.bps < 0 or (s.rule.fx_tolerance or 0) < 0:
                 raise ValueError(f"segment {s.id}: tolerances must not be negative")
             if unknown := set(s.rule.enabled or ()) - set(TYPES):
@@ -75,7 +81,7 @@ class Scenario:
         raw = json.loads(text)
 
         def source(x: dict) -> Source:
-            return Source(x["kind"], x["location"], SourceMapping(**x["mapping"]))
+            return Source(x["kind"], x["location"], SourceMapping(**x["mapping"]), x.get("options", {}))
 
         def rule(x: dict) -> Rule:
             x = dict(x)
@@ -110,3 +116,24 @@ def benefit_cash_three_way(tenant_id: str, kind: str = "db") -> Scenario:
     tables = ("recon_ods_cash_expected", "recon_ods_cash_accounting", "recon_ods_cash_channel")
     a, b, c = (Source(kind, t, SourceMapping(t, tenant="tenant_id")) for t in tables)
     return _chain("BENEFIT_CASH_3WAY", a, b, c, ("issue_id", "order_no"), ("channel_serial_no", "channel_serial_no"), tenant_id=tenant_id)
+
+
+@dataclass(frozen=True)
+class EntitlementScenario:
+    """Three observed sides of entitlements, which are reconciled by quantity instead of money."""
+
+    code: str
+    sides: tuple[Source, Source, Source]
+    tenant_id: str | None = None
+
+    def validate(self) -> EntitlementScenario:
+        if len(self.sides) != 3:
+            raise ValueError("an entitlement scenario has the sides EXPECTED, INTERNAL and PROVIDER")
+        return self
+
+
+def entitlement_fulfillment(kind: str = "db", tenant_id: str | None = None) -> EntitlementScenario:
+    """The entitlement tables that events fill."""
+    tables = [f"recon_ods_entitlement_{role}" for role in ("expected", "internal", "provider")]
+    sides = tuple(Source(kind, t, SourceMapping(t, match_key="issue_id", biz_time="occurred_at", tenant="tenant_id")) for t in tables)
+    return EntitlementScenario("ENTITLEMENT_FULFILLMENT", sides, tenant_id).validate()

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.keys import strip_trailing, sub_index_of
 from .operators import entitlement, ledger, views
-from .operators.classify import PolicyRule, Roles, Rule, classify
-from .operators.match import identity_keys, match_groups
+from .operators.classify import EVALUATORS, PolicyRule, Roles, Rule, classify, register_evaluator
+from .operators.match import broken_rejects, identity_keys, match_groups
 from .plans import demo
 from .plans.demo import classified_sql, records_sql
+from .plans.pipeline import Reconciliation, write_run
+from .plans.scenario import Scenario, Segment, Source, benefit_cash_three_way
 from .sources.mapping import ReadContext, SourceMapping
-from .sources.readers import read_csv_source
+from .sources.readers import read_csv_source, read_table_source
 from .sources.sinks import with_discrepancy_ids
 from .sources.work import work_path
 from .streaming import events as ev, reconcile
@@ -55,10 +58,20 @@ def recon_match_groups(spark, sf_dir):
     return demo.run(spark, sf_dir).groups.select("segment_id", "match_key", "null_ref", "group_key", "left_count", "right_count", "left_sum", "right_sum", "left_currency", "right_currency", "left_ref", "right_ref", "left_status", "right_status", "left_copies", "right_copies", "presence")
 
 
-@query(classified_sql() + "select segment_id, fingerprint, type, stage, match_key, group_key, currency, expected, actual, delta, left_ref, right_ref from cl where type is not null")
+def _uuid(name: str) -> str:
+    """SQL of the version-3 id of a name."""
+    m = f"md5({name})"
+    variant = f"printf('%02x', (('0x' || substr({m}, 17, 2))::int & 63) | 128)"
+    return f"substr({m}, 1, 8) || '-' || substr({m}, 9, 4) || '-3' || substr({m}, 14, 3) || '-' || {variant} || substr({m}, 19, 2) || '-' || substr({m}, 21, 12)"
+
+
+_ID = _uuid(f"'{demo.RUN}|' || fingerprint")
+
+
+@query(classified_sql() + f"select segment_id, fingerprint, {_ID} as discrepancy_id, type, stage, match_key, group_key, currency, expected, actual, delta, left_ref, right_ref from cl where type is not null")
 def recon_discrepancies(spark, sf_dir):
-    """CL6, SNK2: discrepancies with fingerprints that no run changes."""
-    return with_discrepancy_ids(demo.run(spark, sf_dir).discrepancies).drop("run_id", "discrepancy_id")
+    """CL6, SNK2: discrepancies with ids and with fingerprints that no run changes."""
+    return with_discrepancy_ids(demo.run(spark, sf_dir).discrepancies).drop("run_id")
 
 
 _REPORT = """, sd as (
@@ -208,7 +221,7 @@ def _dispositions(d: DataFrame) -> DataFrame:
 
 @query(_TWO_RUNS + f""", dp as (select x1.f as fingerprint, {_DISPOSED.replace('fingerprint', 'x1.f')} as status, (ascii(substr(x1.f, 2, 1)) % 4)::bigint as version from x1)
 select fingerprint, case when status <> 'STALE' and x2.f is null then 'STALE' else status end as status, version + case when status <> 'STALE' and x2.f is null then 1 else 0 end as version,
-case when status <> 'STALE' and x2.f is not null then 'RUN1' else 'RUN0' end as last_seen_run, case when status <> 'STALE' and x2.f is null then 'stale:' || fingerprint || ':' || version end as audit_key from dp left join x2 on fingerprint = x2.f where status is not null""")
+case when status <> 'STALE' and x2.f is not null then 'RUN1' else 'RUN0' end as last_seen_run, case when status <> 'STALE' and x2.f is null then 'stale:' || fingerprint || ':' || version end as audit_key, case when status <> 'STALE' and x2.f is null then 'priorStatus=' || status || ',runId=RUN1' end as audit_payload from dp left join x2 on fingerprint = x2.f where status is not null""")
 def recon_converge_dispositions(spark, sf_dir):
     """LC3, LC4, WN3, JN5."""
     first, second = demo.run(spark, sf_dir).discrepancies, demo.run(spark, sf_dir, dropped=7).discrepancies
@@ -304,10 +317,10 @@ def recon_run_metrics(spark, sf_dir):
     return views.run_metrics(_runs(spark, sf_dir))
 
 
-@query(classified_sql() + f"select fingerprint, type, coalesce({_DISPOSED}, 'none') as disposition from cl where type is not null and type = 'AMOUNT_MISMATCH' and {_DISPOSED} is null and (lower(fingerprint) like '%c1_%' or lower(group_key) like '%c1_%' or lower(match_key) like '%c1_%' or lower(left_ref) like '%c1_%' or lower(right_ref) like '%c1_%') order by fingerprint desc limit 50")
+@query(classified_sql() + f"select fingerprint, type, disposition from (select fingerprint, type, coalesce({_DISPOSED}, 'none') as disposition, {_ID} as discrepancy_id from cl where type = 'AMOUNT_MISMATCH' and {_DISPOSED} is null and (lower({_ID}) like '%c1_%' or lower(fingerprint) like '%c1_%' or lower(group_key) like '%c1_%' or lower(match_key) like '%c1_%' or lower(left_ref) like '%c1_%' or lower(right_ref) like '%c1_%')) order by discrepancy_id desc limit 50")
 def recon_list_discrepancies(spark, sf_dir):
     """SO2: the first page of open amount mismatches that hold a text."""
-    d = demo.run(spark, sf_dir).discrepancies.withColumn("updated_at", F.lit("2026-08-17").cast("timestamp"))
+    d = with_discrepancy_ids(demo.run(spark, sf_dir).discrepancies).withColumn("updated_at", F.lit("2026-08-17").cast("timestamp"))
     runs = spark.createDataFrame([(demo.RUN, demo.SCENARIO, demo.PERIOD)], "run_id string, scenario string, period string")
     page, _ = views.list_discrepancies(views.enriched(d, _dispositions(d), runs), text="C1_", status="OPEN", type="AMOUNT_MISMATCH", size=50)
     return page.select("fingerprint", "type", F.coalesce("disposition", F.lit("none")).alias("disposition"))
@@ -393,16 +406,18 @@ _OBSERVED = """select 'T' || k % 3 as tenant_id, 'I' || k as issue_id, role, eve
  {'role': 'PROVIDER', 'event': 'p' || k, 'sku': case when k % 29 = 0 then 'other' else p end, 'q': 1 + k % 5 + case when k % 31 = 0 then 1 else 0 end, 'st': case when k % 37 = 0 then 'UNKNOWN' when k % 41 = 0 then 'FAILED' else 'ISSUED' end, 'ref': case when k % 43 = 0 then 'x' else 'r' || k end, 'keep': k % 13 <> 0}], recursive := true) from (select o_orderkey as k, o_orderpriority as p from orders)) where keep"""
 
 
-@query(f"""with ob as ({_OBSERVED}), ev as (select tenant_id, issue_id, role, event, count(*) as n, sum(case when st in ('REVERSED', 'FAILED') then 0 else q end) as q from ob group by all),
+_ENTITLEMENT = f"""with ob as ({_OBSERVED}), ev as (select tenant_id, issue_id, role, event, count(*) as n, sum(case when st in ('REVERSED', 'FAILED') then 0 else q end) as q from ob group by all),
 g as (select tenant_id, issue_id, count(*) filter (role = 'INTERNAL') as i_n, count(*) filter (role = 'PROVIDER') as p_n, coalesce(sum(q) filter (role = 'EXPECTED'), 0) as e, coalesce(sum(q) filter (role = 'INTERNAL'), 0) as i, coalesce(sum(q) filter (role = 'PROVIDER'), 0) as p,
  coalesce(max(n) filter (role = 'INTERNAL') > 1, false) as ir, coalesce(max(n) filter (role = 'PROVIDER') > 1, false) as pr from ev group by all),
 s as (select tenant_id, issue_id, count(distinct sku) as skus, count(distinct st) filter (role <> 'EXPECTED' and st <> 'UNKNOWN') as sts, count(*) filter (role <> 'EXPECTED' and st = 'UNKNOWN') as unk,
  list_sort(list(distinct ref) filter (role = 'INTERNAL')) as irf, list_sort(list(distinct ref) filter (role = 'PROVIDER')) as prf from ob group by all),
 l as (select tenant_id, issue_id, list_filter([case when i_n = 0 and e > 0 then 'MISSING_INTERNAL' end, case when p_n = 0 and e > 0 then 'MISSING_PROVIDER' end, case when e = 0 and i > 0 then 'EXTRA_INTERNAL' end, case when e = 0 and p > 0 then 'EXTRA_PROVIDER' end, case when ir then 'DUPLICATE_INTERNAL' end, case when pr then 'DUPLICATE_PROVIDER' end,
  case when not (e = i and i = p) then 'QUANTITY_MISMATCH' end, case when skus > 1 then 'SKU_MISMATCH' end, case when sts > 1 then 'STATUS_MISMATCH' end, case when irf is not null and prf is not null and irf <> prf then 'PROVIDER_REFERENCE_MISMATCH' end, case when unk > 0 then 'UNKNOWN' end], lambda x: x is not null) as labels from g join s using (tenant_id, issue_id))
-select tenant_id, issue_id, case when len(labels) = 0 then 'CLEAN' else array_to_string(labels, ',') end as labels from l""")
-def recon_entitlement(spark, sf_dir):
-    """JN7, CL8: labels of every issue."""
+select tenant_id, issue_id, case when len(labels) = 0 then 'CLEAN' else array_to_string(labels, ',') end as labels from l"""
+
+
+def _observations(spark, sf_dir) -> DataFrame:
+    """Observations of three roles for every order."""
     k, p = F.col("o_orderkey"), F.col("o_orderpriority")
     text = lambda a, b: F.concat(F.lit(a), b.cast("string"))
     row = lambda role, event, sku, q, st, ref, keep: F.when(keep, F.struct(F.lit(role).alias("role"), text(event, k).alias("event_id"), sku.alias("sku_id"), q.cast("long").alias("quantity"), st.alias("status"), ref.cast("string").alias("provider_ref")))
@@ -411,8 +426,13 @@ def recon_entitlement(spark, sf_dir):
         row("EXPECTED", "e", p, q, F.lit("EXPECTED"), F.lit(None), k % 17 != 0), row("INTERNAL", "i", p, q, F.when(k % 19 == 0, "REVERSED").otherwise("ISSUED"), r, k % 11 != 0), row("INTERNAL", "i", p, q, F.lit("ISSUED"), r, (k % 23 == 0) & (k % 19 != 0)),
         row("PROVIDER", "p", F.when(k % 29 == 0, "other").otherwise(p), q + (k % 31 == 0).cast("int"), F.when(k % 37 == 0, "UNKNOWN").when(k % 41 == 0, "FAILED").otherwise("ISSUED"), F.when(k % 43 == 0, "x").otherwise(r), k % 13 != 0),
     )
-    obs = _orders(spark, sf_dir).select(text("T", k % 3).alias("tenant_id"), text("I", k).alias("issue_id"), F.explode(F.array_compact(rows)).alias("x")).select("tenant_id", "issue_id", "x.*", F.concat_ws(":", "issue_id", "x.role").alias("raw_ref"))
-    valid, _ = entitlement.split_observations(obs)
+    return _orders(spark, sf_dir).select(text("T", k % 3).alias("tenant_id"), text("I", k).alias("issue_id"), F.explode(F.array_compact(rows)).alias("x")).select("tenant_id", "issue_id", "x.*", F.concat_ws(":", "issue_id", "x.role").alias("raw_ref"))
+
+
+@query(_ENTITLEMENT)
+def recon_entitlement(spark, sf_dir):
+    """JN7, CL8: labels of every issue."""
+    valid, _ = entitlement.split_observations(_observations(spark, sf_dir))
     return entitlement.entitlement_labels(entitlement.entitlement_groups(valid)).select("tenant_id", "issue_id", F.array_join("labels", ",").alias("labels"))
 
 
@@ -436,7 +456,7 @@ def _event_json(spark, sf_dir) -> DataFrame:
 
 _EVENTS = """with b as (select event_id as k, event_id % 4 = 0 as cash, case event_id % 3 when 0 then 'EXPECTED' when 1 then 'INTERNAL' else 'PROVIDER' end as fact from events),
 ev as (select *, 0 as seen from b union all select *, 1 from b where k % 97 = 0 union all select *, 2 from b where k % 89 = 0 and not cash),
-r as (select *, case when k % 43 = 0 then 'unsupported schemaVersion' when k % 37 = 0 then 'eventType does not match factType' when not cash and k % 41 = 0 then 'entitlement fact must not use synthetic currency/amount' end as reason,
+r as (select *, case when k % 43 = 0 then 'schemaVersion is not 1' when k % 37 = 0 then 'eventType and factType differ' when not cash and k % 41 = 0 then 'an entitlement event has currency or amount' end as reason,
  case when cash and fact = 'INTERNAL' then 'CASH_EXPECTED' when cash and fact = 'PROVIDER' then 'CASH_CHANNEL' when not cash then 'ENTITLEMENT_' || fact end as t from ev),
 f as (select *, case when reason is null then t end as target from r) """
 
@@ -508,3 +528,260 @@ def recon_event_stream(spark, sf_dir):
     return spark.read.parquet(f"{root}/out/facts").select("event_id", "target")
 
 
+# Written runs.
+
+_REPORT_KEY = "segment_id || '|' || currency"
+
+
+@query(classified_sql() + _REPORT + f"""select 'discrepancies' as part, {_ID} as key, delta as value from cl where type is not null
+union all select 'report', {_REPORT_KEY}, expected_total from rp union all select 'rejects', raw_ref, null from rejects
+union all select 'records', 'all', count(*) from records union all select 'status', 'COMPLETED', null
+union all select 'ledger', 'ledger:' || fingerprint, null from cl where type is not null""")
+def recon_written_run(spark, sf_dir):
+    """SNK1-SNK5, LC2, LC6: a run's tables as written and read back."""
+    t = write_run(demo.run(spark, sf_dir), work_path(spark, "run"))
+    row = lambda part, key, value=None: [F.lit(part).alias("part"), key.alias("key"), (F.lit(None) if value is None else value).cast("long").alias("value")]
+    parts = [
+        t["discrepancies"].select(*row("discrepancies", F.col("discrepancy_id"), F.col("delta"))), t["report"].where("balanced").select(*row("report", F.concat_ws("|", "segment_id", "currency"), F.col("expected_total"))),
+        t["rejects"].select(*row("rejects", F.col("raw_ref"))), t["records"].agg(F.count("*").alias("n")).select(*row("records", F.lit("all"), F.col("n"))), t["status"].select(*row("status", F.col("status"))), t["ledger"].select(*row("ledger", F.col("idempotency_key"))),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+@query(_TWO_RUNS + " select 'discrepancies' as part, f as key from x1 union all select 'ledger', 'ledger:' || f from (select f from x1 union select f from x2)")
+def recon_rerun(spark, sf_dir):
+    """LC3, SNK4, SNK5: a run carried out twice, the first time without some rows; machine tables are replaced, ledgers grow."""
+    root = work_path(spark, "rerun")
+    write_run(demo.run(spark, sf_dir, dropped=7), root)
+    t = write_run(demo.run(spark, sf_dir), root)
+    return t["discrepancies"].select(F.lit("discrepancies").alias("part"), F.col("fingerprint").alias("key")).union(t["ledger"].select(F.lit("ledger"), "idempotency_key"))
+
+
+@query(_TWO_RUNS + f""", dp as (select x1.f as fingerprint, {_DISPOSED.replace('fingerprint', 'x1.f')} as status, 0::bigint as version, case when ascii(substr(x1.f, 3, 1)) % 2 = 0 then 'MINE' else 'OTHER' end as scenario from x1),
+rs as (select * from (values ('RUN1'), ('RUN2')) t(run_id))
+select run_id, fingerprint, case when run_id = 'RUN2' and scenario = 'MINE' and status <> 'STALE' and x2.f is null then 'STALE' else status end as status, version + case when run_id = 'RUN2' and scenario = 'MINE' and status <> 'STALE' and x2.f is null then 1 else 0 end as version,
+case when run_id = 'RUN2' and scenario = 'MINE' and status <> 'STALE' and x2.f is not null then 'RUN2' else 'RUN0' end as last_seen_run from dp cross join rs left join x2 on fingerprint = x2.f where status is not null""")
+def recon_converge_latest(spark, sf_dir):
+    """LC4: two runs of a scenario and period, of which only the latest changes dispositions, and only those of its scenario."""
+    first, second = demo.run(spark, sf_dir).discrepancies, demo.run(spark, sf_dir, dropped=7).discrepancies
+    scenario = F.when(F.ascii(F.substring("fingerprint", 3, 1)) % 2 == 0, "MINE").otherwise("OTHER")
+    state = _dispositions(first).withColumns({"scenario": scenario, "period": F.lit("P"), "version": F.lit(0).cast("long")})
+    runs = spark.createDataFrame([("RUN1", "MINE", "P", 1), ("RUN2", "MINE", "P", 2)], "run_id string, scenario string, period string, sequence_no long")
+    out = [ledger.converge_dispositions(state, second, run, runs).select(F.lit(run).alias("run_id"), "fingerprint", "status", "version", "last_seen_run") for run in ("RUN1", "RUN2")]
+    return out[0].union(out[1])
+
+
+# Sources and guards.
+
+@query("""select 'orders:' || o_orderkey as raw_ref, 'K' || o_orderkey as match_key, 'G' || o_orderkey // 4 as group_key, round(o_totalprice * 100)::bigint as amount from orders where o_orderkey % 3 = 1 and o_orderdate <= timestamp '1995-06-30 00:00:00'""")
+def recon_filtered_source(spark, sf_dir):
+    """PRJ9, PRJ10, EX2: rows of one tenant up to a cutoff, with keys from expressions."""
+    k = F.col("o_orderkey")
+    o = _orders(spark, sf_dir).select(k.alias("id"), F.concat(F.lit("T"), (k % 3).cast("string")).alias("tenant_id"), F.lit("USD").alias("ccy"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_minor"), F.col("o_orderdate").alias("posting_time"))
+    mapping = SourceMapping("orders", entry_type=None, biz_status=None, biz_time=None, tenant="tenant_id", match_expr="concat('K', id)", group_expr="concat('G', cast(floor(id / 4) as string))")
+    records, _ = read_table_source(o, mapping, ReadContext("r", "S", "LEFT", "ORDERS", cutoff="1995-06-30", tenant_id="T1"))
+    return records.select("raw_ref", "match_key", "group_key", F.col("signed_amount_minor").alias("amount"))
+
+
+@query("""with l as (select 'l-' || o_orderkey as id, o_orderkey as k, 'USD' as ccy, round(o_totalprice * 100)::bigint as a from orders union all select 'l2-' || o_orderkey, o_orderkey, 'EUR', 5 from orders where o_orderkey % 10 = 0),
+r as (select 'r-' || o_orderkey as id, o_orderkey as k, 'USD' as ccy, round(o_totalprice * 100)::bigint as a from orders)
+select 'reject' as part, 'left:' || id as key, 'several currencies on one side of its group' as reason, null::bigint as amount from l where k % 10 = 0 union all select 'reject', 'right:' || id, 'several currencies on one side of its group', null from r where k % 10 = 0
+union all select 'reject', 'o:' || o_orderkey, 'match key without group key', null from orders where o_orderkey % 9 = 0 union all select 'total', 'USD', null, sum(a)::bigint from l where k % 10 <> 0""")
+def recon_quarantine(spark, sf_dir):
+    """AG3, PRJ5: records of groups with mixed currencies, and match keys without a group key, become rejects; the report holds without them."""
+    k, amount = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
+    row = lambda p, ccy, a: F.struct(F.concat(F.lit(p), k.cast("string")).alias("id"), F.lit(ccy).alias("ccy"), a.alias("amount_minor"))
+    table = lambda *rows: _orders(spark, sf_dir).select(k.cast("string").alias("key"), F.explode(F.array_compact(F.array(*rows))).alias("x")).select("key", "x.*")
+    mapping = lambda name: SourceMapping(name, match_key="key", group_key="key", entry_type=None, biz_status=None, biz_time=None, posting_time=None)
+    scenario = Scenario("MIXED", (Segment("S", "ORDERS", "PAYMENTS", Source("memory", "left", mapping("left")), Source("memory", "right", mapping("right"))),))
+    tables = {"left": table(row("l-", "USD", amount), F.when(k % 10 == 0, row("l2-", "EUR", F.lit(5).cast("long")))), "right": table(row("r-", "USD", amount))}
+    r = Reconciliation(spark, scenario, "MIXED:1", "all", tables, on_mixed="quarantine")
+    broken = _plain_records(spark, sf_dir).where("side = 'LEFT'").withColumn("group_key", F.when(F.col("match_key").cast("long") % 9 != 0, F.col("group_key"))).withColumn("payload", F.lit(None).cast("string"))
+    none = F.lit(None).cast("long").alias("amount")
+    rejects = r.rejects.select(F.lit("reject").alias("part"), F.col("raw_ref").alias("key"), "reason", none).union(broken_rejects(broken).select(F.lit("reject"), "raw_ref", "reason", none))
+    return rejects.union(r.proven.where("balanced").select(F.lit("total"), "currency", F.lit(None).cast("string"), "expected_total"))
+
+
+_WINNING = "case when raw_type = 'AMOUNT_MISMATCH' then null when raw_type = 'STATUS_MISMATCH' then 'TIMING' when raw_type = 'DUPLICATE' and delta <> 0 then 'GROUP_SUM_MISMATCH' else raw_type end"
+
+
+@query(classified_sql(_WINNING) + "select segment_id, type, fingerprint, delta from cl where type is not null")
+def recon_policy_suppression(spark, sf_dir):
+    """CL4: a disabled type stays suppressed although a rule of higher salience retypes it; facts in predicates."""
+    enabled = tuple(t for t in (*_ENABLED, "TIMING") if t != "AMOUNT_MISMATCH")
+    rules = (PolicyRule("type in ('AMOUNT_MISMATCH', 'STATUS_MISMATCH')", "retype", "TIMING", 200), PolicyRule("multi_line and type = 'DUPLICATE' and abs_delta > 0", "retype", "GROUP_SUM_MISMATCH", 5))
+    return demo.run(spark, sf_dir, rule=Rule("POLICY", enabled, policies=rules)).discrepancies.select("segment_id", "type", "fingerprint", "delta")
+
+
+if "ONE_SIDED" not in EVALUATORS:
+    register_evaluator("ONE_SIDED", lambda groups, rule: F.when(F.col("presence") != "BOTH", F.col("type")))
+
+
+@query(classified_sql("case when presence <> 'BOTH' then raw_type end") + "select 'notice:' || fingerprint as idempotency_key, type from cl where type is not null")
+def recon_registered_parts(spark, sf_dir):
+    """EX3-EX5: an evaluator and a handler of the user's own, with the registered match strategy."""
+    d = demo.run(spark, sf_dir, rule=Rule("ONE_SIDED")).discrepancies
+    notice = ("notice", lambda d: d.select(F.concat(F.lit("notice:"), "fingerprint").alias("idempotency_key"), "type"))
+    return ledger.handle(d, handlers=[notice])["notice"]
+
+
+@query(classified_sql(only="o_orderkey % 3 = 1") + _TYPES)
+def recon_benefit_cash(spark, sf_dir):
+    """EX7, PRJ10: the three-way scenario of one tenant's cash tables."""
+    scenario = benefit_cash_three_way("T1")
+    tables = dict(zip(("recon_ods_cash_expected", "recon_ods_cash_accounting", "recon_ods_cash_channel"), demo.ledgers(spark, sf_dir).values()))
+    number = F.regexp_extract("id", "-([0-9]+)$", 1).cast("long")
+    tables = {n: t.withColumn("tenant_id", F.concat(F.lit("T"), (number % 3).cast("string"))) for n, t in tables.items()}
+    return _types(Reconciliation(spark, scenario, "BENEFIT_CASH_3WAY:1", demo.PERIOD, tables).classified)
+
+
+@query(ORACLE_SQL["recon_entitlement"].replace("from l", "from l where tenant_id = 'T1'"))
+def recon_entitlement_scenario(spark, sf_dir):
+    """EX7: the entitlement scenario of one tenant, from a table for each role."""
+    obs = _observations(spark, sf_dir)
+    sides = {role: obs.where(F.col("role") == role).drop("role") for role in ("EXPECTED", "INTERNAL", "PROVIDER")}
+    return entitlement.reconcile_entitlements(sides, "T1")[0].select("tenant_id", "issue_id", F.array_join("labels", ",").alias("labels"))
+
+
+@query(f"with {records_sql()} select count(*) as n, count(*) as n_refs, true as gapless from marketing")
+def recon_csv_lines(spark, sf_dir):
+    """SRC3: a ledger in CSV files, its rows named by file and line."""
+    path = work_path(spark, "csv")
+    demo.ledgers(spark, sf_dir)["marketing"].select("id", "order_no", "issue_id", "ccy", F.col("amount_minor").cast("string").alias("amount_minor")).repartition(3).write.option("header", True).csv(path)
+    mapping = SourceMapping("marketing", match_key="issue_id", group_key="order_no", entry_type=None, biz_status=None, biz_time=None, posting_time=None)
+    records, _ = read_csv_source(spark, path, mapping, ReadContext(demo.RUN, "SEG1_MKT_ACCT", "LEFT", "MARKETING"), lineage="line")
+    parts = records.select("raw_ref", F.regexp_extract("raw_ref", "^(.*):([0-9]+)$", 1).alias("file"), F.regexp_extract("raw_ref", ":([0-9]+)$", 1).cast("long").alias("number"))
+    files = parts.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("raw_ref").alias("n_refs"), F.min("number").alias("lo"), F.max("number").alias("hi"))
+    return files.agg(F.sum("n").alias("n"), F.sum("n_refs").alias("n_refs"), F.bool_and((F.col("lo") == 2) & (F.col("hi") - 1 == F.col("n"))).alias("gapless"))
+
+
+# Views and lifecycles.
+
+@query(_RUNS + "select status, count(*) as n from runs group by status")
+def recon_run_status_counts(spark, sf_dir):
+    """AG8."""
+    return views.run_status_counts(_runs(spark, sf_dir))
+
+
+@query(_RUNS + "select run_id, scenario, period from runs order by created_at desc, sequence_no desc, run_id desc limit 5")
+def recon_latest_five(spark, sf_dir):
+    """AG8: the five latest runs."""
+    return views.list_runs(_runs(spark, sf_dir), size=5)[0].select("run_id", "scenario", "period")
+
+
+@query(_RUNS + "select count(*) as total from runs where status = 'FAILED'")
+def recon_run_totals(spark, sf_dir):
+    """SO1: the total that goes with a page."""
+    return views.list_runs(_runs(spark, sf_dir), status="FAILED")[1]
+
+
+@query(classified_sql() + _REPORT + "select segment_id, currency, expected_total, right_total from rp order by segment_id, currency")
+def recon_run_detail(spark, sf_dir):
+    """SO5."""
+    return views.run_detail(demo.run(spark, sf_dir).report, demo.RUN).select("segment_id", "currency", "expected_total", "right_total")
+
+
+@query("select 'S' || o_custkey % 50 as code, max(o_orderkey)::bigint as version, max(o_orderkey) % 2 = 0 as enabled from orders group by 1 order by 1")
+def recon_scenario_list(spark, sf_dir):
+    """SO6."""
+    s = _orders(spark, sf_dir).groupBy(F.concat(F.lit("S"), (F.col("o_custkey") % 50).cast("string")).alias("code")).agg(F.max("o_orderkey").cast("long").alias("version"))
+    return views.scenario_list(s.withColumn("enabled", F.col("version") % 2 == 0))
+
+
+@query("select 'F' || o_orderkey as fingerprint, (o_orderkey % 4)::bigint as version, 's' || o_orderkey % 4 as status from orders")
+def recon_latest_dispositions(spark, sf_dir):
+    """WN3: the newest row of each key in a log of one to four versions."""
+    k = F.col("o_orderkey")
+    log = _orders(spark, sf_dir).select(F.concat(F.lit("F"), k.cast("string")).alias("fingerprint"), F.explode(F.sequence(F.lit(0).cast("long"), (k % 4).cast("long"))).alias("version"))
+    return ledger.latest(log.withColumn("status", F.concat(F.lit("s"), F.col("version").cast("string"))), ["fingerprint"])
+
+
+_COMMANDS = "with c as (select 'C' || o_orderkey as command_id, case o_orderkey % 4 when 0 then 'PENDING' when 1 then 'FAILED' when 2 then 'PUBLISHING' else 'PUBLISHED' end as status, o_orderkey % 7 as late, o_orderdate as created_at, o_orderkey % 2 = 0 as expired from orders) "
+
+
+def _commands(spark, sf_dir):
+    k, now = F.col("o_orderkey"), F.lit("2026-08-17").cast("timestamp")
+    status = F.when(k % 4 == 0, "PENDING").when(k % 4 == 1, "FAILED").when(k % 4 == 2, "PUBLISHING").otherwise("PUBLISHED")
+    shifted = lambda hours: now + F.make_dt_interval(hours=hours.cast("int"))
+    lease = F.when(k % 8 < 4, shifted(F.lit(-1))).otherwise(shifted(F.lit(1)))
+    return _orders(spark, sf_dir).select(F.concat(F.lit("C"), k.cast("string")).alias("command_id"), status.alias("status"), shifted(k % 7 - 3).alias("next_attempt"), F.col("o_orderdate").alias("created_at"), lease.alias("lease_until"), F.lit(0).alias("attempt"), F.lit(None).cast("string").alias("last_error")), now
+
+
+@query(_COMMANDS + "select command_id, status from c where status in ('PENDING', 'FAILED') and late <= 3 order by created_at, command_id limit 100")
+def recon_due_commands(spark, sf_dir):
+    """LC13: what one relay pass takes."""
+    commands, now = _commands(spark, sf_dir)
+    return ledger.commands_due(commands, now).select("command_id", "status")
+
+
+@query("select 'C' || o_orderkey as command_id, case o_orderkey % 4 when 0 then 'PENDING' when 1 then 'FAILED' when 2 then case when o_orderkey % 8 < 4 then 'FAILED' else 'PUBLISHING' end else 'PUBLISHED' end as status from orders")
+def recon_expired_leases(spark, sf_dir):
+    """LC13: a lease that has run out makes its command fail."""
+    commands, now = _commands(spark, sf_dir)
+    none = spark.createDataFrame([], "command_id string, ok boolean, error string")
+    return ledger.commands_after(commands, none, now).select("command_id", "status")
+
+
+@query("""select 'reversal-exec-' || case when o_orderkey % 2 = 0 then 'ok:' else 'fail:' end || 'R' || o_orderkey as idempotency_key, 'F' || o_orderkey as fingerprint, case when o_orderkey % 2 = 0 then 'executed ref=' else 'execution failed: ' end || 'x' || o_orderkey as payload
+from orders where o_orderkey % 3 = 0""")
+def recon_reversal_audit(spark, sf_dir):
+    """LC11: audit rows of executions, failed ones included."""
+    k = F.col("o_orderkey")
+    s = _orders(spark, sf_dir).select(k, F.concat(F.lit("R"), k.cast("string")).alias("idempotency_key"), F.concat(F.lit("F"), k.cast("string")).alias("fingerprint"), F.when(k % 3 == 0, "CONFIRMED").otherwise("SUGGESTED").alias("status"))
+    results = s.select("idempotency_key", (k % 2 == 0).alias("ok"), F.concat(F.lit("x"), k.cast("string")).alias("reference"))
+    return ledger.reversal_audit(s, results).select("idempotency_key", "fingerprint", "payload")
+
+
+# Streams.
+
+@query("""with r as (select o_orderkey as k, case o_orderkey % 4 when 0 then 'DISPATCHING' when 1 then 'UNKNOWN' when 2 then 'SUCCEEDED' else 'PROPOSED' end as st, case when o_orderkey % 3 = 0 then 'FAILED' else 'SUCCEEDED' end as a from orders)
+select 'e' || k as event_id, case when k % 11 = 0 then 'rejected' when k % 17 = 0 then 'replay' when k % 19 = 0 then 'conflict' when k % 13 = 0 then 'acknowledged' when k % 23 = 0 then 'not_found' when st = a then 'noop' when st in ('DISPATCHING', 'UNKNOWN') then 'accepted' else 'illegal' end as outcome from r""")
+def recon_result_events(spark, sf_dir):
+    """SM6: result events through the inbox to the remediation lifecycle."""
+    k = F.col("o_orderkey")
+    text = lambda p, c=None: F.concat(F.lit(p), (k if c is None else c).cast("string"))
+    o = _orders(spark, sf_dir)
+    status = F.when(k % 4 == 0, "DISPATCHING").when(k % 4 == 1, "UNKNOWN").when(k % 4 == 2, "SUCCEEDED").otherwise("PROPOSED")
+    state = o.select(text("S").alias("suggestion_id"), status.alias("status"), F.lit(0).cast("long").alias("version"), F.lit("REISSUE").alias("action"))
+    commands = o.where(k % 23 != 0).select(text("T", k % 3).alias("tenant_id"), text("c").alias("command_id"), text("S").alias("suggestion_id"))
+    payload = F.struct(text("c").alias("externalCommandId"), F.when(k % 3 == 0, "FAILED").otherwise("SUCCEEDED").alias("status"))
+    kind = F.when(k % 13 == 0, "REMEDIATION_DISPATCHED").otherwise("REMEDIATION_RESULT")
+    events = o.select(k, F.to_json(F.struct(text("e").alias("eventId"), kind.alias("eventType"), F.when(k % 11 == 0, "2").otherwise("1.0").alias("schemaVersion"), text("T", k % 3).alias("tenantId"), payload.alias("payload"))).alias("value"))
+    seen = events.where((k % 17 == 0) | (k % 19 == 0)).select(text("T", k % 3).alias("tenant_id"), F.lit("recon-benefit-remediation-result-v1").alias("consumer"), text("e").alias("event_id"), F.when(k % 17 == 0, F.sha2("value", 256)).otherwise("other").alias("hash"))
+    return ev.settle_results(events, state, commands, seen.where("event_id is not null"))[1]
+
+
+@query(_EVENTS.replace("else 'PROVIDER' end as fact", "else 'ACCOUNTING' end as fact").replace("cash and fact = 'PROVIDER' then 'CASH_CHANNEL'", "cash and fact = 'ACCOUNTING' then 'CASH_ACCOUNTING'").replace("when not cash and k % 41", "when not cash and fact = 'ACCOUNTING' then 'factType is not known' when not cash and k % 41") + "select 'ev' || k as event_id, target, reason from f where seen = 0")
+def recon_direct_replay(spark, sf_dir):
+    """SM5: a replay by hand, which may fill the accounting table."""
+    raw = _event_json(spark, sf_dir).where("seen = 0").withColumn("value", F.replace("value", F.lit("PROVIDER"), F.lit("ACCOUNTING")))
+    return ev.routed(raw, direct=True).select("event_id", "target", "reason")
+
+
+@query(classified_sql() + "select fingerprint, kind, case kind when 'sliding' then 2 else 1 end::bigint as n_windows from cl, (select unnest(['sliding', 'session']) as kind) where type is not null")
+def recon_stream_windows(spark, sf_dir):
+    """SM3: sliding windows of two days, in which every group comes twice, and sessions of one hour."""
+    root = work_path(spark, "windows")
+    r = demo.run(spark, sf_dir)
+    records = r.records.drop("bucket")
+    records.write.parquet(f"{root}/in")
+    last = records.limit(1).withColumns({"biz_time": F.lit("2999-01-01").cast("timestamp"), "raw_ref": F.lit("end"), "match_key": F.lit("end"), "group_key": F.lit("end")})
+    last.write.mode("append").parquet(f"{root}/in")
+    roles = {s.id: s.roles() for s in r.scenario.segments}
+    source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
+    out = []
+    for kind, window in (("sliding", {"size": "2 days", "slide": "1 day"}), ("session", {"gap": "1 hour"})):
+        found = reconcile.reconcile_stream(source, roles, Rule(), scenario=demo.SCENARIO, period=demo.PERIOD, **window)
+        reconcile.write_discrepancies(found, f"{root}/{kind}", f"{root}/check-{kind}").awaitTermination()
+        out.append(spark.read.parquet(f"{root}/{kind}").groupBy("fingerprint").agg(F.lit(kind).alias("kind"), F.count("*").alias("n_windows")))
+    return out[0].union(out[1])
+
+
+@query(f"with {records_sql()} select segment_id, side, raw_ref from records")
+def recon_kept_raw(spark, sf_dir):
+    """SM2: every input row is kept, whatever the watermark."""
+    root = work_path(spark, "raw")
+    records = demo.run(spark, sf_dir).records.drop("bucket")
+    records.write.parquet(f"{root}/in")
+    reconcile.keep_raw(spark.readStream.schema(records.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/check").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("segment_id", "side", "raw_ref")

@@ -12,6 +12,7 @@ CLEAN = "CLEAN"
 RECORDS = """run_id string, segment_id string, side string, source_role string, match_key string, group_key string, bucket int,
 currency string, signed_amount_minor long, base_amount_minor long, fx_rate decimal(20,10), fx_rate_time timestamp, fx_rate_source string,
 entry_type string, biz_status string, biz_time timestamp, posting_time timestamp, raw_ref string, record_id string"""
+REJECT_COLUMNS = ["run_id", "segment_id", "side", "raw_ref", "reason", "payload"]
 REJECTS = "run_id string, segment_id string, side string, raw_ref string, reason string, payload string"
 DISPOSITIONS = "fingerprint string, scenario string, period string, status string, version long, operator string, note string, last_seen_run string, updated_at timestamp"
 ACTIONS = "idempotency_key string, fingerprint string, run_id string, action string, operator string, payload string, created_at timestamp"

@@ -7,7 +7,10 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class SourceMapping:
-    """Names of a source's columns. Optional ones may be None; ``table`` names the source in references to its rows."""
+    """Names of a source's columns. Optional ones may be None; ``table`` names the source in references to its rows.
+
+    ``match_expr`` and ``group_expr`` are SQL expressions over the source's columns that take the place of the key columns.
+    """
 
     table: str
     id: str = "id"
@@ -21,9 +24,11 @@ class SourceMapping:
     posting_time: str | None = "posting_time"
     base_amount: str | None = None
     tenant: str | None = None
+    match_expr: str | None = None
+    group_expr: str | None = None
 
     def required(self) -> list[str]:
-        names = [self.id, self.match_key, self.group_key, self.currency, self.amount, self.entry_type, self.biz_status, self.biz_time, self.posting_time, self.base_amount, self.tenant]
+        names = [self.id, None if self.match_expr else self.match_key, None if self.group_expr else self.group_key, self.currency, self.amount, self.entry_type, self.biz_status, self.biz_time, self.posting_time, self.base_amount, self.tenant]
         return [n for n in names if n]
 
 

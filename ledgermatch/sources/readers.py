@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..schema import ENTRY_TYPES
 from .mapping import ReadContext, SourceMapping
@@ -17,6 +17,10 @@ def _column(name: str | None, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name else F.lit(None).cast(kind)
 
 
+def _key(expression: str | None, name: str | None) -> Column:
+    return F.expr(expression).cast("string") if expression else _column(name, "string")
+
+
 def _split(rows: DataFrame, reason: Column, payload: Column, ctx: ReadContext) -> tuple[DataFrame, DataFrame]:
     marked = rows.withColumn("reason", reason)
     context = [F.lit(ctx.run_id).alias("run_id"), F.lit(ctx.segment_id).alias("segment_id"), F.lit(ctx.side).alias("side")]
@@ -45,7 +49,7 @@ def read_table_source(df: DataFrame, mapping: SourceMapping, ctx: ReadContext) -
         df = df.where(F.col(mapping.posting_time).cast("timestamp") <= F.lit(ctx.cutoff).cast("timestamp"))
     kind = F.upper(F.trim(_column(mapping.entry_type, "string")))
     rows = df.select(
-        F.concat(F.lit(mapping.table + ":"), _column(mapping.id, "string")).alias("raw_ref"), _column(mapping.match_key, "string").alias("match_key"), _column(mapping.group_key, "string").alias("group_key"),
+        F.concat(F.lit(mapping.table + ":"), _column(mapping.id, "string")).alias("raw_ref"), _key(mapping.match_expr, mapping.match_key).alias("match_key"), _key(mapping.group_expr, mapping.group_key).alias("group_key"),
         _column(mapping.currency, "string").alias("currency"), _column(mapping.amount, "long").alias("signed_amount_minor"), _column(mapping.base_amount, "long").alias("base_amount_minor"),
         F.when(kind.isin(ENTRY_TYPES), kind).otherwise(F.lit("ISSUE")).alias("entry_type"),
         _column(mapping.biz_status, "string").alias("biz_status"), _column(mapping.biz_time, "timestamp").alias("biz_time"), _column(mapping.posting_time, "timestamp").alias("posting_time"),
@@ -59,20 +63,28 @@ def read_table_source(df: DataFrame, mapping: SourceMapping, ctx: ReadContext) -
     return _split(rows, reason, F.to_json(F.struct("match_key", "group_key", "currency", "signed_amount_minor")), ctx)
 
 
-def read_csv_source(spark: SparkSession, path: str, mapping: SourceMapping, ctx: ReadContext, *, charset: str = "UTF-8", delimiter: str = ",", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_csv_source(spark: SparkSession, path: str, mapping: SourceMapping, ctx: ReadContext, *, charset: str = "UTF-8", delimiter: str = ",", multi_line: bool = False, lineage: str = "id") -> tuple[DataFrame, DataFrame]:
     """Map CSV rows with a header. Currencies are trimmed and upper-cased, blank optional fields become null, amounts are signed longs.
 
     Rejects rows without id, group key, currency or amount, with a bad amount, currency, entry type or time, and those with fewer
     fields than the header. A missing required header fails at once. ``multi_line`` is needed for quoted line ends and UTF-16, and
-    makes one task of each file; rows are named by file and id.
+    makes one task of each file. Rows are named by file and id, or with ``lineage='line'`` by file and line (not for multi-line
+    values), whose numbers shift when lines are inserted.
     """
+    if lineage not in ("id", "line") or lineage == "line" and multi_line:
+        raise ValueError("lineage is by id, or by line where every row is one line")
     options = {"header": True, "sep": delimiter, "encoding": charset, "multiLine": multi_line, "mode": "PERMISSIVE"}
     header = spark.read.options(**options).csv(path).columns
     missing = [n for n in mapping.required() if n not in header]
     if missing:
         raise ValueError(f"{path} has no headers {missing}")
     schema = ", ".join(f"`{c}` string" for c in header) + ", `__bad` string"
-    raw = spark.read.options(**options, columnNameOfCorruptRecord="__bad").schema(schema).csv(path).withColumn("__file", F.col("_metadata.file_path"))
+    if lineage == "line":
+        parsing = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+        lines = with_line_numbers(spark, path, charset=charset).where("number > 1")
+        raw = lines.withColumn("row", F.from_csv("line", schema, parsing)).select("row.*", "file", "number").withColumnsRenamed({"file": "__file", "number": "__line"})
+    else:
+        raw = spark.read.options(**options, columnNameOfCorruptRecord="__bad").schema(schema).csv(path).withColumns({"__file": F.col("_metadata.file_path"), "__line": F.lit(None).cast("string")})
     field = lambda n: F.when(F.trim(F.col(f"`{n}`")) != "", F.col(f"`{n}`")) if n else F.lit(None).cast("string")
     amount, kind = F.trim(field(mapping.amount)), F.upper(F.trim(field(mapping.entry_type)))
     biz, posting = F.trim(field(mapping.biz_time)), F.trim(field(mapping.posting_time))
@@ -80,7 +92,7 @@ def read_csv_source(spark: SparkSession, path: str, mapping: SourceMapping, ctx:
     time = lambda c: F.when(c.rlike(_INSTANT), c.try_cast("timestamp"))
     rows = raw.select(
         "__bad", amount.alias("__amount"), kind.alias("__kind"), biz.alias("__biz"), posting.alias("__posting"),
-        field(mapping.id).alias("__id"), F.concat_ws(":", "__file", F.coalesce(field(mapping.id), F.lit("?"))).alias("raw_ref"),
+        field(mapping.id).alias("__id"), F.concat_ws(":", "__file", F.coalesce(F.col("__line").cast("string"), field(mapping.id), F.lit("?"))).alias("raw_ref"),
         field(mapping.match_key).alias("match_key"), field(mapping.group_key).alias("group_key"), F.upper(F.trim(field(mapping.currency))).alias("currency"),
         long(amount).alias("signed_amount_minor"), long(F.trim(field(mapping.base_amount))).alias("base_amount_minor"),
         F.coalesce(kind, F.lit("ISSUE")).alias("entry_type"), field(mapping.biz_status).alias("biz_status"), time(biz).alias("biz_time"), time(posting).alias("posting_time"),
@@ -99,13 +111,17 @@ def read_csv_source(spark: SparkSession, path: str, mapping: SourceMapping, ctx:
     return _split(rows, reason, payload, ctx)
 
 
-def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(raw_ref, line) of text files, named ``file:line``, for lineage by line; numbers shift when lines are inserted."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    from pyspark.sql import Window
+def with_line_numbers(spark: SparkSession, path: str, *, charset: str = "UTF-8") -> DataFrame:
+    """(file, number, line) of text files, numbers from 1.
 
-    number = F.row_number().over(Window.partitionBy("file").orderBy("at"))
-    return lines.select(F.concat_ws(":", "file", number).alias("raw_ref"), F.col("value").alias("line"))
+    Partitions are numbered in the order in which files are cut, so a line's number is its place in its partition and file, and the
+    lines of the file that earlier partitions hold: one row for each file and partition, and never a whole file in one task.
+    """
+    lines = spark.read.option("encoding", charset).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("file", "block", "first", "before")
+    return lines.join(offsets, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("number"), "line")
 
 
 #: Source types and their readers: fn(spark, location, mapping, ctx, **options) gives (records, rejects).

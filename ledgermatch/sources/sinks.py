@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.keys import name_uuid
 
 #: Rewritten as a whole when a run is repeated.
-MACHINE_TABLES = ["records", "rejects", "discrepancies", "partials", "report"]
+MACHINE_TABLES = ["records", "rejects", "classified", "discrepancies", "report"]
 
 
 def replace_run(df: DataFrame, path: str, run_id: str) -> None:
@@ -15,7 +16,22 @@ def replace_run(df: DataFrame, path: str, run_id: str) -> None:
 
     The partition of a run is a folder, and overwriting it is one job's commit, so a repeated or lost task changes nothing.
     """
-    df.where(F.col("run_id") == run_id).drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={run_id.replace(':', '%3A')}")
+    df.where(F.col("run_id") == run_id).drop("run_id").write.mode("overwrite").parquet(_of_run(path, run_id))
+
+
+def _of_run(path: str, run_id: str) -> str:
+    return f"{path}/run_id={run_id.replace(':', '%3A')}"
+
+
+def read_run(spark: SparkSession, path: str, run_id: str, schema: StructType) -> DataFrame:
+    """A run's rows of a table."""
+    own = StructType([f for f in schema if f.name != "run_id"])
+    return spark.read.schema(own).parquet(_of_run(path, run_id)).withColumn("run_id", F.lit(run_id)).select(*schema.names)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def clear_run(spark: SparkSession, root: str, run_id: str, schemas: dict[str, str]) -> None:
@@ -27,8 +43,8 @@ def clear_run(spark: SparkSession, root: str, run_id: str, schemas: dict[str, st
 
 
 def with_discrepancy_ids(discrepancies: DataFrame) -> DataFrame:
-    """One row for each (run_id, fingerprint), with an id that the two alone determine."""
-    return discrepancies.dropDuplicates(["run_id", "fingerprint"]).withColumn("discrepancy_id", name_uuid(F.concat_ws("|", "run_id", "fingerprint")))
+    """Discrepancies with an id that run and fingerprint alone determine. A run has one group for each fingerprint, so none repeats."""
+    return discrepancies.withColumn("discrepancy_id", name_uuid(F.concat_ws("|", "run_id", "fingerprint")))
 
 
 def absent_only(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -38,12 +54,7 @@ def absent_only(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 def append_absent(new: DataFrame, spark: SparkSession, path: str, key: str) -> DataFrame:
     """Append the rows with new keys to a table and return them; a second call with the same rows adds none."""
-    try:
-        existing = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        existing = new.limit(0)
+    existing = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
     added = absent_only(new, existing, key).persist()
     added.write.mode("append").parquet(path)
     return added

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.classify import Roles, Rule, classify
-from ..operators.match import GROUP
+from ..operators.match import COPY, GROUP, copy_columns, guarded, side_columns, with_null_refs, with_presence
 
 
 def time_window(time: str, size: str, slide: str | None = None, gap: str | None = None) -> Column:
@@ -14,29 +14,33 @@ def time_window(time: str, size: str, slide: str | None = None, gap: str | None
     return F.session_window(time, gap) if gap else F.window(time, size, slide) if slide else F.window(time, size)
 
 
-def windowed_groups(records: DataFrame, *, watermark: str = "1 hour", size: str = "1 day", slide: str | None = None) -> DataFrame:
-    """Match groups of every window of ``biz_time``; as in batch, copies are counted first and then groups are made.
+def windowed_groups(records: DataFrame, *, watermark: str = "1 hour", size: str = "1 day", slide: str | None = None, gap: str | None = None, on_mixed: str = "fail") -> DataFrame:
+    """Match groups of every window of ``biz_time``, by the aggregations of the batch run: copies first, then groups.
 
-    On a stream the rows of a window come when the watermark passes its end. Rows later than the watermark are dropped by the
-    engine without a trace in its progress figures, so keep the raw records (``keep_raw``) and let the batch run decide.
+    With ``gap`` windows are sessions of a group. The engine takes no second aggregation above session windows, so there copies are gathered
+    within the group's one aggregation. On a stream the rows of a window come when the watermark passes its end. Rows later than the
+    watermark are dropped by the engine without a trace in its progress figures, so keep the raw records (``keep_raw``) and let the batch run decide.
     """
-    own = F.when(F.col("match_key").isNull(), F.concat_ws(":", "side", "raw_ref"))
-    rows = records.withColumn("null_ref", own).withWatermark("biz_time", watermark)
-    equal = rows.groupBy(time_window("biz_time", size, slide).alias("window"), *GROUP, "side", "currency", "entry_type", "signed_amount_minor").agg(
-        F.count("*").alias("n"), F.sum("signed_amount_minor").alias("amount"), F.min("group_key").alias("group_key"), F.min("raw_ref").alias("ref"),
-        F.min("biz_status").alias("status"), F.min("posting_time").alias("posted"), F.sum("base_amount_minor").alias("base"), F.count("base_amount_minor").alias("n_base"),
-    )
+    rows = with_null_refs(records).withWatermark("biz_time", watermark)
+    window = time_window("biz_time", size, slide, gap).alias("window")
+    if gap:
+        return guarded(with_presence(_session_groups(rows, window)), on_mixed)
+    copies = rows.groupBy(window, *GROUP, *COPY).agg(*copy_columns())
+    return guarded(with_presence(copies.groupBy("window", *GROUP).agg(*side_columns())), on_mixed)
+
+
+def _session_groups(rows: DataFrame, window: Column) -> DataFrame:
     columns = [F.min("group_key").alias("group_key")]
     for side, p in (("LEFT", "left"), ("RIGHT", "right")):
-        of = lambda c, side=side: F.when(F.col("side") == side, F.col(c))
+        here = F.col("side") == side
+        of = lambda c, here=here: F.when(here, F.col(c))
+        kinds = F.collect_set(F.when(here, F.struct("currency", "entry_type", "signed_amount_minor")))
         columns += [
-            F.coalesce(F.sum(of("n")), F.lit(0)).alias(f"{p}_count"), F.coalesce(F.sum(of("amount")), F.lit(0)).alias(f"{p}_sum"), F.min(of("currency")).alias(f"{p}_currency"),
-            F.min(of("ref")).alias(f"{p}_ref"), F.min(of("status")).alias(f"{p}_status"), F.min(of("posted")).alias(f"{p}_posted"), F.coalesce(F.max(of("n")) > 1, F.lit(False)).alias(f"{p}_copies"),
-            F.when(F.sum(of("n_base")) == F.sum(of("n")), F.sum(of("base"))).alias(f"{p}_base"),
+            F.count_if(here).alias(f"{p}_count"), F.coalesce(F.sum(of("signed_amount_minor")), F.lit(0)).alias(f"{p}_sum"), F.min(of("currency")).alias(f"{p}_currency"), F.max(of("currency")).alias(f"{p}_last_currency"),
+            F.min(of("raw_ref")).alias(f"{p}_ref"), F.min(of("biz_status")).alias(f"{p}_status"), F.min(of("posting_time")).alias(f"{p}_posted"), (F.size(kinds) < F.count_if(here)).alias(f"{p}_copies"),
+            F.when(F.count(of("base_amount_minor")) == F.count_if(here), F.sum(of("base_amount_minor"))).alias(f"{p}_base"),
         ]
-    groups = equal.groupBy("window", *GROUP).agg(*columns)
-    presence = F.when(F.col("right_count") == 0, "LEFT_ONLY").when(F.col("left_count") == 0, "RIGHT_ONLY").otherwise("BOTH")
-    return groups.withColumns({"mixed": F.lit(False), "presence": presence})
+    return rows.groupBy(window, *GROUP).agg(*columns)
 
 
 def reconcile_stream(records: DataFrame, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, **window) -> DataFrame:

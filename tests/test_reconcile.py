@@ -195,8 +195,8 @@ def test_csv_source(spark, tmp_path):
     assert reasons["2"].startswith("not a signed long") and reasons["3"].startswith("unknown entry_type") and reasons["4"].startswith("not an instant") and reasons["5"] == "group_key is required" and "6" in reasons
     with pytest.raises(ValueError):
         read_csv_source(spark, str(path), SourceMapping("m", match_key="none", group_key="order_no"), ReadContext("r", "s", "LEFT", "MARKETING"), delimiter=";")
-    lines = with_line_numbers(spark, str(path)).collect()
-    assert len(lines) == 8 and lines[0]["raw_ref"].endswith("m.csv:1")
+    lines = with_line_numbers(spark, str(path)).orderBy("file", "number").collect()
+    assert [r["number"] for r in lines] == list(range(1, 9)) and lines[0]["file"].endswith("m.csv")
 
 
 def test_routing(spark):
