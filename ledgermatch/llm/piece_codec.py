@@ -267,7 +267,8 @@ def encode(docs: DataFrame, model: PieceModel, *, chunk_bytes: int = 4_000_000,
     chunks = written(given.mapInArrow(gather, "chunk long, ids array<long>, sizes array<long>, body binary"), "chunks")
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
     # The number of tasks is given, as what is sent is small and grows a hundredfold in the lattices.
-    parts = tasks = max(4, total // task_bytes)
+    tasks = max(4, total // task_bytes)
+    parts = 4 * tasks
     asked = written(chunks.mapInArrow(ask, "part int, chunk long, words string"), "asked").repartition(tasks, "part")
     used = asked.select("part", "chunk", F.posexplode(F.split("words", "\n")).alias("at", "word"))
     distinct = used.select("part", "word").distinct().withColumn("w", F.monotonically_increasing_id())

@@ -52,3 +52,41 @@ def test_awkward_documents(spark):
     for stage in (pipeline.drop_repeated_lines, pipeline.drop_near_duplicates, pipeline.drop_repeated_strings):
         assert stage(spark, docs, SF).count() == 5
     assert pipeline.pack_windows(spark, docs, SF).where("start = 0").count() == 5  # a document may be cut into pieces
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
+
+
+def test_repeated_rows_and_other_columns(spark):
+    text = "\n".join(f"line {i} of a document with some words" for i in range(12))
+    rows = [(1, text, "en", "s", len(text))] * 2 + [(2, "another text that stands alone", "en", "s", 30)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as kept", "2 as class_id", "3 as n_removed", "'x' as th")
+    for name, stage in pipeline.STAGES[1:3]:
+        out = stage(spark, docs, SF)
+        assert out.columns == pipeline.COLUMNS and out.where("doc_id = 1").select("text").collect() == [(text,)] * 2, name
+    # By the contract of string removal every copy counts, and here each string starts elsewhere, too.
+    assert pipeline.drop_repeated_strings(spark, docs, SF).where("doc_id = 1").select("text").collect() == [("",)] * 2
+
+
+def test_whole_run(spark, tmp_path):
+    from ledgermatch.llm import common
+
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    body = lambda k, n: " ".join(words[(i * k + i // 7) % len(words)] + str((i * i * k) % 97) for i in range(n))
+    rows = [(i, body(i + 1, 120), "en", "s", 600) for i in range(6)] + [(6, body(1, 119) + " end", "en", "s", 600), (7, None, None, "s", None), (8, "12 34", "en", "s", 5)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    made = set(common._MADE)
+    out = pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {0, 1, 2, 3, 4, 5}
+    pieces = {}
+    for r in out.collect():
+        pieces.setdefault(r["doc_id"], {})[r["start"]] = r["length"]
+    totals = {r["doc_id"]: r["doc_tokens"] for r in out.collect()}
+    assert all(sum(p.values()) == totals[i] for i, p in pieces.items())
+    assert set(common._MADE) - made == {out._written_to}  # nothing else is left in the shared folder
