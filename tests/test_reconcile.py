@@ -4,13 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.functions.keys import bucket_of, fingerprint, name_uuid, string_hash, strip_trailing, sub_index_of
-from ledgermatch.operators.classify import PolicyRule, Roles, Rule, classify, discrepancies
+from ledgermatch.operators.classify import PolicyRule, Roles, Rule, classify, discrepancies, register_evaluator
 from ledgermatch.operators.conserve import conservation_report
-from ledgermatch.operators.match import match_groups, standardize
+from ledgermatch.operators.match import MIXED, broken_rejects, match_groups, standardize
 from ledgermatch.plans.pipeline import Reconciliation
-from ledgermatch.plans.scenario import Scenario, marketing_three_way
+from ledgermatch.plans.scenario import Scenario, Segment, Source, marketing_three_way
 from ledgermatch.sources.mapping import ReadContext, SourceMapping
 from ledgermatch.sources.readers import read_csv_source, read_table_source, register_source, route_source, with_line_numbers
+from ledgermatch.sources.sinks import with_discrepancy_ids
+from ledgermatch.streaming.reconcile import windowed_groups
 
 SCHEMA = "segment_id string, side string, match_key string, group_key string, currency string, signed_amount_minor long, entry_type string, biz_status string, posting_time string, base_amount_minor long, raw_ref string"
 DAY = "2026-08-17 10:00:00"
@@ -219,3 +221,88 @@ def test_standardize_checks_keys(spark):
     assert [tuple(r) for r in standardize(df).select("match_key", "group_key").collect()] == [("k", "g")]
     with pytest.raises(Exception, match="without group key"):
         standardize(df, strict=True).collect()
+
+
+def ledger_table(spark, rows):
+    return spark.createDataFrame(rows, "id string, key string, ccy string, amount_minor long")
+
+
+def plain(name, **options):
+    return Source("memory", name, SourceMapping(name, match_key="key", group_key="key", entry_type=None, biz_status=None, biz_time=None, posting_time=None), **options)
+
+
+def test_quarantine_of_mixed_currencies(spark):
+    tables = {"l": ledger_table(spark, [("1", "a", "USD", 5), ("2", "b", "USD", 7), ("3", "b", "EUR", 7)]), "r": ledger_table(spark, [("4", "a", "USD", 5), ("5", "b", "USD", 14), ("6", None, "USD", 1)])}
+    scenario = Scenario("S", (Segment("S", "A", "B", plain("l"), plain("r")),))
+    with pytest.raises(Exception, match="several currencies"):
+        Reconciliation(spark, scenario, "S:1", "p", tables).report.collect()  # though the report needs no single currency
+    r = Reconciliation(spark, scenario, "S:1", "p", tables, on_mixed="quarantine")
+    assert {(x["raw_ref"], x["reason"]) for x in r.rejects.collect()} == {("l:2", MIXED), ("l:3", MIXED), ("r:5", MIXED), ("r:6", "null group_key")}
+    assert [(x["expected_total"], x["right_total"], x["balanced"]) for x in r.proven.collect()] == [(5, 5, True)]
+    marked = Reconciliation(spark, scenario, "S:1", "p", tables, on_mixed="mark")
+    assert {x["match_key"]: x["mixed"] for x in marked.groups.collect()} == {"a": False, "b": True}
+
+
+def test_broken_keys_become_rejects(spark):
+    df = frame(spark, [row("LEFT", "k", 1, ref="x"), row("LEFT", "j", 1, group="g ")]).withColumn("group_key", F.when(F.col("match_key") != "k", F.col("group_key")))
+    assert standardize(df).select("match_key", "group_key").collect() == [("j", "g")]
+    assert [(x["raw_ref"], x["reason"]) for x in broken_rejects(df).collect()] == [("x", "match key without group key")]
+
+
+def test_suppression_wins_over_retyping(spark):
+    rows = [row("LEFT", "k", 10), row("RIGHT", "k", 8), row("LEFT", "t", 5), row("RIGHT", "t", 5, status="X")]
+    retype = PolicyRule("type in ('AMOUNT_MISMATCH', 'STATUS_MISMATCH')", "retype", "TIMING", 200)
+    assert types(run(spark, rows, Rule("POLICY", enabled=("STATUS_MISMATCH", "TIMING"), policies=(retype,)))) == {"k": None, "t": "TIMING"}
+    later = PolicyRule("abs_delta > 1 and not multi_line", "retype", "MISSING", 1)
+    assert types(run(spark, rows, Rule("POLICY", policies=(retype, later)))) == {"k": "MISSING", "t": "TIMING"}
+    assert types(run(spark, rows, Rule("POLICY", abs_minor=2, policies=(later,)))) == {"k": None, "t": "STATUS_MISMATCH"}
+
+
+def test_scenario_with_options_and_unknown_parts(spark):
+    scenario = Scenario("S", (Segment("S", "A", "B", plain("l", options={"url": "u", "numPartitions": "4"}), plain("r")),)).validate()
+    assert Scenario.from_json(scenario.to_json()) == scenario and scenario.segments[0].left.options["numPartitions"] == "4"
+    with pytest.raises(ValueError, match="strategy"):
+        Scenario("S", (Segment("S", "A", "B", plain("l"), plain("r"), strategy="none"),)).validate()
+    with pytest.raises(ValueError, match="registered already"):
+        register_evaluator("EXACT", None)
+
+
+def test_jdbc_source_in_a_scenario(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    try:
+        spark._jvm.java.lang.Class.forName(driver)
+    except Exception:
+        pytest.skip("no embedded database on the class path")
+    left = ledger_table(spark, [(str(i), f"k{i}", "USD", i) for i in range(20)]).withColumn("n", F.col("amount_minor").cast("int"))
+    left.write.format("jdbc").options(url=url, driver=driver, dbtable="ledger_rows").save()
+    mapping = SourceMapping("ledger_rows", match_key="key", group_key="key", entry_type=None, biz_status=None, biz_time=None, posting_time=None)
+    options = {"url": url, "driver": driver, "partitionColumn": "n", "lowerBound": "0", "upperBound": "20", "numPartitions": "4"}
+    source = Source("jdbc", "ledger_rows", mapping, options)
+    r = Reconciliation(spark, Scenario("S", (Segment("S", "A", "B", source, source),)), "S:1", "p")
+    assert r._read[0].rdd.getNumPartitions() == 8 and r.records.count() == 40 and r.discrepancies.count() == 0
+
+
+def test_csv_rows_by_line(spark, tmp_path):
+    for name, rows in (("a.csv", 3), ("b.csv", 2)):
+        (tmp_path / name).write_text("id,key,ccy,amount_minor\n" + "".join(f"{name}{i},k,USD,{i}\n" for i in range(rows)))
+    mapping = SourceMapping("t", match_key="key", group_key="key", entry_type=None, biz_status=None, biz_time=None, posting_time=None)
+    ctx = ReadContext("r", "s", "LEFT", "M")
+    records, _ = read_csv_source(spark, str(tmp_path), mapping, ctx, lineage="line")
+    assert sorted(("/".join(r["raw_ref"].rsplit("/", 1)[1:]), r["signed_amount_minor"]) for r in records.collect()) == [("a.csv:2", 0), ("a.csv:3", 1), ("a.csv:4", 2), ("b.csv:2", 0), ("b.csv:3", 1)]
+    with pytest.raises(ValueError, match="lineage"):
+        read_csv_source(spark, str(tmp_path), mapping, ctx, lineage="line", multi_line=True)
+
+
+def test_session_windows_group_as_the_batch_does(spark):
+    df = frame(spark, E2E).withColumn("biz_time", F.lit(DAY).cast("timestamp"))
+    names = ["match_key", "left_count", "right_count", "left_sum", "right_sum", "left_copies", "right_copies", "left_currency", "presence", "left_base"]
+    batch = sorted(map(tuple, match_groups(df).select(*names).collect()), key=repr)
+    assert sorted(map(tuple, windowed_groups(df, gap="1 hour").select(*names).collect()), key=repr) == batch
+    assert sorted(map(tuple, windowed_groups(df).select(*names).collect()), key=repr) == batch
+
+
+def test_discrepancies_need_two_exchanges(spark):
+    from ledgermatch.plans import demo
+
+    plan = with_discrepancy_ids(demo.run(spark, "/root/testdata/sf0.001").discrepancies)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and "Python" not in plan
