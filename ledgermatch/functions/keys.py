@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
+# White space by Java's rules, which leave out the no-break spaces.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680" + "".join(chr(c) for c in range(0x2000, 0x200B) if c != 0x2007) + "\u2028\u2029\u205f\u3000"
+
+
 def strip_trailing(key: Column) -> Column:
     """The key without white space at its end, no-break spaces excepted; null stays null, blanks become empty."""
-    return F.regexp_replace(key, r"\p{javaWhitespace}+\z", "")
+    return F.rtrim(key, F.lit(_WHITE))
 
 
 def _signed(x: Column) -> Column:
