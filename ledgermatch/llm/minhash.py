@@ -257,7 +257,9 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     shared = buckets.groupBy("band", "h").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").select("band", "h", "a")
     members = written(buckets.join(shared, ["band", "h"]), "members")
     # From here on only texts that share a bucket with another one count.
-    bodies = written(given.where("id is not null").select(F.col("t1").alias("id"), "text").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]), "bodies")
+    # One row gives a text, that of its least id, so copies are never gathered.
+    asked = texts.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("t1"), F.col("least").alias("id"))
+    bodies = written(given.join(asked, ["t1", "id"], "left_semi").dropDuplicates(["t1", "id"]).select(F.col("t1").alias("id"), "text"), "bodies")
     first = written(members.where("a != rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     links = written(verify(first, bodies, size=size, threshold=threshold), "links")
     labels = connected_components(links)
