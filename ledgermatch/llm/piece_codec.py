@@ -269,14 +269,31 @@ def encode(docs: DataFrame, model: PieceModel, *, chunk_bytes: int = 4_000_000,
     # The number of tasks is given, as what is sent is small and grows a hundredfold in the lattices.
     tasks = max(4, total // task_bytes)
     parts = 4 * tasks
-    asked = written(chunks.mapInArrow(ask, "part int, chunk long, words string"), "asked").repartition(tasks, "part")
-    used = asked.select("part", "chunk", F.posexplode(F.split("words", "\n")).alias("at", "word"))
-    distinct = used.select("part", "word").distinct().withColumn("w", F.monotonically_increasing_id())
+    asked = written(chunks.mapInArrow(ask, "part int, chunk long, words string"), "asked")
+    distinct = asked.repartition(tasks, "part").select("part", F.explode(F.split("words", "\n")).alias("word")).distinct().withColumn("w", F.monotonically_increasing_id())
     coded = encode_words(distinct.select("w", "part", "word"), model)
     answer = F.concat_ws(" ", F.transform("ids", lambda i: i.cast("string")))
-    coded = written(coded.select("part", "word", F.concat_ws("|", answer, F.col("best_pieces").cast("string"), F.col("best_score").cast("string")).alias("answer")), "words")
-    answers = used.join(coded.repartition(tasks, "part"), ["part", "word"]).groupBy("part", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "answer"))).alias("list"))
-    answers = answers.select("part", "chunk", F.array_join(F.transform("list", lambda x: x["answer"]), "\n").alias("answers"))
+    coded = written(coded.select("part", F.concat_ws("|", answer, F.col("best_pieces").cast("string"), F.col("best_score").cast("string")).alias("answer"), "word"), "words")
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            parts_, chunks_, words, found = [], [], [], []
+            for part, chunk, text, a in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "words", "answer"))):
+                if part != now:
+                    now, known = part, {}
+                if a is not None:  # comes first
+                    known[text] = a
+                else:
+                    parts_.append(part)
+                    chunks_.append(chunk)
+                    found.append("\n".join([known[w] for w in text.split("\n")]))
+            yield pa.RecordBatch.from_arrays([pa.array(parts_, pa.int32()), pa.array(chunks_, pa.int64()), pa.array(found, pa.string())], names=["part", "chunk", "answers"])
+        give_back()
+
+    told = coded.select("part", F.lit(None).cast("long").alias("chunk"), F.col("word").alias("words"), "answer")
+    both = told.unionByName(asked.withColumn("answer", F.lit(None).cast("string"))).repartition(tasks, "part").sortWithinPartitions("part", F.asc_nulls_first("chunk"))
+    answers = both.mapInArrow(reply, "part int, chunk long, answers string")
     first = chunks.select("chunk", F.lit(-1).alias("part"), "ids", "sizes", "body", F.lit(None).cast("string").alias("answers"))
     back = answers.select("chunk", "part", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("sizes"), F.lit(None).cast("binary").alias("body"), "answers")
     newline = [model.first_byte + 10], 1, model.unknown

@@ -367,7 +367,7 @@ def questions(chunks: DataFrame, depth: int, blocks: int) -> DataFrame:
     return chunks.select("chunk", "train", "buffer").mapInArrow(run, _ROW)
 
 
-def answers(asked: DataFrame, low, depth: int, options: dict) -> DataFrame:
+def answers(asked: DataFrame, low, depth: int, blocks: int, options: dict) -> DataFrame:
     """For each chunk and block what was asked: grams' log10 probabilities or words' training counts.
 
     A block has all grams of its contexts, so their part of the tree arises here, however large the whole tree is. A row of
@@ -406,10 +406,11 @@ def answers(asked: DataFrame, low, depth: int, options: dict) -> DataFrame:
             yield close()
         give_back()
 
-    return asked.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(run, _ANSWER)
+    # As many tasks as blocks, of grams and of words, so that no more of them share a task in larger inputs.
+    return asked.repartition(2 * blocks, "kind", "block").sortWithinPartitions("kind", "block").mapInArrow(run, _ANSWER)
 
 
-def finished(chunks: DataFrame, answered: DataFrame, depth: int, blocks: int, n_texts: int) -> DataFrame:
+def finished(chunks: DataFrame, answered: DataFrame, depth: int, blocks: int, tasks: int, n_texts: int) -> DataFrame:
     """(id, n_tokens, n_known, logs, score), one row for each text of each chunk, from the chunk and its answers.
 
     Rows of kind ``sum`` stay rows: n_tokens and n_known hold their numbers, and logs is null.
@@ -459,7 +460,7 @@ def finished(chunks: DataFrame, answered: DataFrame, depth: int, blocks: int, n_
 
     docs = chunks.select("chunk", F.lit("docs").alias("kind"), F.lit(0).alias("block"), "ids", F.col("buffer").alias("body"))
     back = answered.select("chunk", "kind", "block", F.lit(None).cast("array<long>").alias("ids"), F.col("answer").alias("body"))
-    both = docs.union(back).repartition("chunk").sortWithinPartitions("chunk", "kind", "block")
+    both = docs.union(back).repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "block")
     return both.select("kind", "ids", "body").mapInArrow(run, "id long, n_tokens long, n_known long, logs double, score double")
 
 
@@ -487,7 +488,8 @@ def score_texts(
     small_batches(spark)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     chunks = written(chunked(given, chunk_bytes), "chunks")
-    blocks = blocks or max(16, (chunks.agg(F.sum("size")).first()[0] or 0) // block_bytes)
+    size, n_chunks = chunks.agg(F.sum("size"), F.count("*")).first()
+    blocks = blocks or max(16, (size or 0) // block_bytes)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -501,7 +503,7 @@ def score_texts(
     keys, n = (short[c][short["key"] >= 0].to_numpy(t) for c, t in (("key", np.uint64), ("n", np.int64)))
     options = {"least": min(least, max(2, int(share * int(n.sum())))), "divergence": divergence, "strength": strength}
     low = spark.sparkContext.broadcast(grow([], keys, n, _TOGETHER - 1, **options))
-    scored = written(finished(chunks, answers(questions(chunks, depth, blocks), low, depth, options), depth, blocks, n_texts), "scored")
+    scored = written(finished(chunks, answers(questions(chunks, depth, blocks), low, depth, blocks, options), depth, blocks, max(1, n_chunks), n_texts), "scored")
     sums = scored.where("logs is null").agg(F.sum("n_tokens"), F.sum("n_known")).first()
     n_train, n_kinds = (sums[0] or 0) + n_texts, (sums[1] or 0) + (n_texts > 0)
     offset = math.log10(n_train + 0.5 * (n_kinds + 1))
