@@ -159,9 +159,9 @@ def build_tree(rows: list[tuple[int, int, np.ndarray, np.ndarray]], depth: int,
     return SuffixTree(classes, step, log, start)
 
 
-def _pressed(raw: bytes) -> bytes:
+def _pressed(raw: bytes, level: int = 1) -> bytes:
     """Length and bytes by zstd: what is shuffled is mostly letters and low numbers, which Spark's own codec leaves as they are."""
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def _expanded(pressed: bytes) -> bytes:
@@ -291,7 +291,7 @@ def chunked(given: DataFrame, size: int) -> DataFrame:
             mark = np.array(train, np.uint8)
             sizes = np.diff(np.concatenate([[-1], places]))
             keys, counts = np.unique(gram_keys(buffer, places, _TOGETHER - 1)[np.repeat(mark, sizes) > 0], return_counts=True)
-            row = [[serial], [held], [list(ids)], [mark.tobytes()], [_pressed(buffer.tobytes())], [keys.tobytes()], [counts.astype(np.int64).tobytes()]]
+            row = [[serial], [held], [list(ids)], [mark.tobytes()], [_pressed(buffer.tobytes(), 6)], [keys.tobytes()], [counts.astype(np.int64).tobytes()]]
             serial, held = serial + 1, 0
             for x in (ids, train, texts):
                 x.clear()
