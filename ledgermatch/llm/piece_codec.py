@@ -238,7 +238,7 @@ def encode(docs: DataFrame, model: PieceModel, *, chunk_bytes: int = 4_000_000,
 
         def close() -> pa.RecordBatch:
             nonlocal chunk, held
-            row = [[chunk], [list(ids)], [[len(t) for t in texts]], [pa.Codec("zstd").compress(b"".join(texts), asbytes=True)]]
+            row = [[chunk], [list(ids)], [[len(t) for t in texts]], [pa.Codec("zstd", compression_level=6).compress(b"".join(texts), asbytes=True)]]
             chunk, held = chunk + 1, 0
             ids.clear()
             texts.clear()
