@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -30,11 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold at most ``rows`` rows: whole texts are long, and a worker has several batches at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32_000_000) -> None:
+    """Let Arrow batches hold at most ``rows`` rows and about ``size`` bytes: whole texts are long, and a worker has several batches at a time."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(-?\d+)([bB]?)", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose values of ``column`` (text or binary) have ``most`` bytes together, or of one longer row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and total + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
 
 
 _MADE: list[str] = []

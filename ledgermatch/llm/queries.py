@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, minhash, packing, piece_codec, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
+from . import language_id, line_dedup, minhash, packing, periodic_runs, piece_codec, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
 from .common import fold, read_table
 
 
@@ -70,6 +70,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def _perturbed() -> Column:
+    """The contract's rewriting: in a tenth of the documents the words from one place on repeat a stretch of the text."""
+    g = F.expr("__h div 10")
+    n = F.size("__words")
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    again = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(F.col("__words"), a + i % p))
+    return F.when(n > 0, F.array_join(F.concat(F.slice(F.col("__words"), F.lit(1), a), again), " ")).otherwise(F.col("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("__h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    docs = docs.withColumn("__words", F.when(F.col("__h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    found = periodic_runs.find_runs(docs.select("doc_id", _perturbed().alias("text")), periods=4, min_length=6)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.withColumn("__top", longest)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("__top.start")).alias("start"), F.col("__top.length").alias("length"), (-F.col("__top.period")).alias("period"),
+        F.expr("1000 * __top.length div -__top.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -81,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_line_dedup": op10_line_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {"op3_topk_search": topk_search.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
