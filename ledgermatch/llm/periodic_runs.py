@@ -216,7 +216,7 @@ def collapse(texts: list[bytes | None], *, periods: int = 4, min_length: int = 6
     return np.diff(starts).tolist(), found, out
 
 
-def find_runs(docs: DataFrame, *, periods: int = 4, min_length: int = 6, text_col: str = "text", chunk_bytes: int = 400_000) -> DataFrame:
+def find_runs(docs: DataFrame, *, periods: int = 4, min_length: int = 6, text_col: str = "text", chunk_bytes: int = 200_000) -> DataFrame:
     """``docs`` with n_words, runs and collapsed.
 
     Words lie between ASCII white space and are numbered from 0. ``runs`` lists the text's runs as (start, length, period), by start and then period: stretches
