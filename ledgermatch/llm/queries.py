@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, minhash, packing, periodic_runs, piece_codec, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
+from . import language_id, line_dedup, minhash, packing, periodic_runs, piece_codec, quality_mil, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
 from .common import fold, read_table
 
 
@@ -70,6 +70,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op12_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = quality_mil.train(docs, labels, usable=~held_out)
+    return quality_mil.judge(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def _perturbed() -> Column:
     """The contract's rewriting: in a tenth of the documents the words from one place on repeat a stretch of the text."""
     g = F.expr("__h div 10")
@@ -104,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_line_dedup": op10_line_dedup,
+    "op12_quality_mil": op12_quality_mil,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
