@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, minhash, packing, periodic_runs, piece_codec, quality_mil, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
+from . import collocations, language_id, line_dedup, minhash, packing, periodic_runs, piece_codec, quality_mil, suffix_dedup, suffix_tree_lm, token_files, topk_search, vector_dedup
 from .common import fold, read_table
 
 
@@ -70,6 +70,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -112,8 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
     "op12_quality_mil": op12_quality_mil,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL = {"op3_topk_search": topk_search.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op3_topk_search": topk_search.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}
