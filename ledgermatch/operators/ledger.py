@@ -17,7 +17,6 @@ from ..sources.sinks import absent_only
 TARGETS = {"RESOLVE": "RESOLVED", "CLOSE": "CLOSED", "SUPPRESS": "SUPPRESSED", "REOPEN": "REOPENED"}
 ALLOWED = {"OPEN": ["RESOLVE", "CLOSE", "SUPPRESS"], "RESOLVED": ["CLOSE", "REOPEN"], "CLOSED": ["REOPEN"], "SUPPRESSED": ["CLOSE", "REOPEN"], "REOPENED": ["RESOLVE", "CLOSE", "SUPPRESS"], "STALE": ["RESOLVE", "CLOSE", "SUPPRESS"]}
 REMEDIATION_STEPS = [("PROPOSED", "APPROVE", "APPROVED"), ("PROPOSED", "REJECT", "REJECTED"), ("APPROVED", "DISPATCH", "DISPATCHING"), *[(s, t, t) for s in ("DISPATCHING", "UNKNOWN") for t in ("SUCCEEDED", "FAILED", "UNKNOWN")]]
-REVERSAL_STEPS = [("SUGGESTED", "APPROVE", "CONFIRMED"), ("SUGGESTED", "DISCARD", "DISCARDED"), ("CONFIRMED", "EXECUTED", "EXECUTED"), ("CONFIRMED", "FAILED", "EXECUTION_FAILED")]
 
 
 def first_of_each(requests: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -61,8 +60,8 @@ def advanced(state: DataFrame, handled: DataFrame, *, key: str) -> DataFrame:
 def plan_runs(requests: DataFrame, runs: DataFrame) -> DataFrame:
     """Launch requests (request_id, scenario, period, buckets) with their run: window, cutoff, sequence and id, or a reason against it.
 
-    Sequences go on from the highest of the scenario and period, without gaps. The window runs from the day's start to the next
-    day's last second, the cutoff is at 23:00; buckets are 64 unless given, 1 to 4096.
+    Sequences go on from the highest of the scenario and period, without gaps. The window runs from the UTC day's start to the next
+    day's last second, the cutoff is at 23:00 UTC; buckets are 64 unless given, 1 to 4096.
     """
     day = F.try_to_timestamp("period", F.lit("yyyy-MM-dd")).cast("date")
     buckets = F.coalesce("buckets", F.lit(64))
@@ -74,7 +73,8 @@ def plan_runs(requests: DataFrame, runs: DataFrame) -> DataFrame:
     top = runs.groupBy("scenario", "period").agg(F.max("sequence_no").alias("top"))
     number = F.row_number().over(Window.partitionBy("scenario", "period", F.col("reason").isNull()).orderBy("request_id"))
     out = marked.join(top, ["scenario", "period"], "left").withColumn("sequence_no", F.when(F.col("reason").isNull(), F.coalesce("top", F.lit(0)) + number))
-    start = F.col("day").cast("timestamp")
+    # Days are UTC days, whatever the session's time zone is.
+    start = F.timestamp_seconds(F.unix_date("day").cast("long") * 86400)
     run_id = F.concat_ws(":", "scenario", "period", F.col("sequence_no").cast("string"))
     out = out.withColumns({
         "run_id": F.when(F.col("reason").isNull(), run_id), "window_start": start, "window_end": start + F.expr("interval 47 hours 59 minutes 59 seconds"), "cutoff": start + F.expr("interval 23 hours"),
@@ -178,21 +178,39 @@ def alerts_due(alerts: DataFrame, *, most: int = 5) -> DataFrame:
 
 
 def alerts_after(alerts: DataFrame, results: DataFrame) -> DataFrame:
-    """Results (idempotency_key, ok): sent is final; a failure counts an attempt and never takes a sent alert back."""
+    """Results (idempotency_key, ok): sent is final; a failure counts an attempt and never takes a sent alert back.
+
+    Several results of one alert in a batch count together: one that went through makes it sent, and each failure is an attempt.
+    """
     r = results.groupBy("idempotency_key").agg(F.bool_or("ok").alias("__ok"), F.count_if(~F.col("ok")).alias("__failed"))
     open_ = F.col("__ok").isNotNull() & (F.col("status") != "SENT")
     out = alerts.join(r, "idempotency_key", "left").withColumn("attempt", F.when(open_, F.col("attempt") + F.col("__failed")).otherwise(F.col("attempt")).cast("int"))
     return out.withColumn("status", F.when(open_ & F.col("__ok"), "SENT").when(open_, "FAILED").otherwise(F.col("status"))).drop("__ok", "__failed")
 
 
-def deliver(alerts: DataFrame, send: Callable) -> None:
-    """Call ``send(row)`` for every row, on the executors."""
+def deliver(rows: DataFrame, send: Callable, path: str, *, key: str = "idempotency_key") -> DataFrame:
+    """Call ``send(row)`` for every row, on the executors, and give the results (key, ok, error), which ``alerts_after`` takes.
+
+    A row counts as delivered if ``send`` returns; what it raises is the error, cut to 512 characters. Results are written to ``path`` once and read back, as each
+    evaluation would send again; a task that is repeated sends its rows again, so receivers go by the key.
+    """
+
+    def each(batches):
+        import pandas as pd
 
-    def each(rows) -> None:
-        for row in rows:
-            send(row)
+        for frame in batches:
+            found = []
+            for row in frame.itertuples(index=False):
+                try:
+                    send(row._asdict())
+                    found.append((getattr(row, key), True, None))
+                except Exception as e:  # noqa: BLE001  whatever a receiver does is a result
+                    found.append((getattr(row, key), False, str(e)[:512]))
+            yield pd.DataFrame(found, columns=[key, "ok", "error"])
 
-    alerts.foreachPartition(each)
+    schema = f"{key} string, ok boolean, error string"
+    rows.mapInPandas(each, schema).write.mode("errorifexists").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def decide_reversals(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -236,12 +254,21 @@ def propose_remediations(proposals: DataFrame, existing: DataFrame) -> DataFrame
 
 
 def step_remediations(state: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (suggestion_id, action, expected_version, at) against the lifecycle; manual reviews can't be approved."""
-    handled = transition(state, requests, REMEDIATION_STEPS, key="suggestion_id", order=["at", "action"])
+    """Requests (suggestion_id, action, expected_version, at, approval_ref) against the lifecycle.
+
+    Approving needs a reference to the approval, else the request is invalid; manual reviews can't be approved. A batch without the column
+    approval_ref approves nothing.
+    """
+    if "approval_ref" not in requests.columns:
+        requests = requests.withColumn("approval_ref", F.lit(None).cast("string"))
+    unfounded = (F.col("action") == "APPROVE") & (F.coalesce(F.length(F.trim("approval_ref")), F.lit(0)) == 0)
+    invalid = requests.where(F.coalesce(unfounded, F.lit(False)))
+    handled = transition(state, requests.where(~F.coalesce(unfounded, F.lit(False))), REMEDIATION_STEPS, key="suggestion_id", order=["at", "action"])
     manual = state.select("suggestion_id", (F.col("action") == "MANUAL_REVIEW").alias("__manual"))
     out = handled.join(manual, "suggestion_id", "left")
     barred = F.col("__manual") & (F.col("action") == "APPROVE") & (F.col("outcome") == "accepted")
-    return out.withColumn("outcome", F.when(barred, "illegal").otherwise(F.col("outcome"))).drop("__manual")
+    out = out.withColumn("outcome", F.when(barred, "illegal").otherwise(F.col("outcome"))).drop("__manual")
+    return out.unionByName(invalid.withColumn("outcome", F.lit("invalid")), allowMissingColumns=True)
 
 
 def settle_remediations(state: DataFrame, commands: DataFrame, results: DataFrame) -> DataFrame:
@@ -254,27 +281,17 @@ def settle_remediations(state: DataFrame, commands: DataFrame, results: DataFram
     return step_remediations(state, requests)
 
 
-def remediation_commands(approved: DataFrame) -> DataFrame:
-    """The command of each approved suggestion, with the hash of its envelope."""
+def remediation_commands(approved: DataFrame, now: Column) -> DataFrame:
+    """The command of each approved suggestion, due at once, with the hash of its envelope. ``approved`` has the approval's reference as approval_ref."""
     command = F.concat(F.lit("recon-remediation:"), "suggestion_id")
-    envelope = F.to_json(F.struct(command.alias("eventId"), F.lit("REMEDIATION_COMMAND").alias("eventType"), F.lit("1.0").alias("schemaVersion"), F.col("tenant_id").alias("tenantId"), F.col("award_item_no").alias("partitionKey"), F.struct(F.col("award_item_no").alias("awardItemNo"), F.col("original_operation_no").alias("originalOperationNo"), "reason").alias("payload")))
-    return approved.select("tenant_id", command.alias("command_id"), "suggestion_id", envelope.alias("payload"), F.sha2(envelope, 256).alias("payload_hash"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempt"))
-
-
-def commands_due(commands: DataFrame, now: Column, *, limit: int = 100) -> DataFrame:
-    """Pending and failed commands whose time has come, oldest first; the limit is the size of one relay pass."""
-    return commands.where(F.col("status").isin("PENDING", "FAILED") & (F.col("next_attempt") <= now)).orderBy("created_at", "command_id").limit(limit)
-
-
-def commands_after(commands: DataFrame, results: DataFrame, now: Column, *, most: int = 10) -> DataFrame:
-    """Results (command_id, ok, error): published, or an attempt more with backoff, or dead after ``most``; expired leases become FAILED."""
-    r = results.groupBy("command_id").agg(F.bool_or("ok").alias("__ok"), F.max("error").alias("__error"))
-    expired = (F.col("status") == "PUBLISHING") & (F.col("lease_until") < now)
-    out = commands.withColumn("status", F.when(expired, "FAILED").otherwise(F.col("status"))).join(r, "command_id", "left")
-    failed = F.col("__ok").isNotNull() & ~F.col("__ok")
-    out = out.withColumn("attempt", F.when(failed, F.col("attempt") + 1).otherwise(F.col("attempt")))
-    wait = F.least(F.lit(300), F.pow(F.lit(2), F.least(F.col("attempt"), F.lit(8))).cast("int"))
-    return out.withColumns({
-        "status": F.when(F.col("__ok"), "PUBLISHED").when(failed & (F.col("attempt") >= most), "DEAD").when(failed, "FAILED").otherwise(F.col("status")),
-        "next_attempt": F.when(failed, now + F.make_dt_interval(secs=wait)).otherwise(F.col("next_attempt")), "last_error": F.when(failed, F.substring("__error", 1, 512)).otherwise(F.col("last_error")),
-    }).drop("__ok", "__error")
+    instant = F.date_format(F.to_utc_timestamp(now, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    payload = F.struct(command.alias("externalCommandId"), "action", F.col("award_item_no").alias("awardItemNo"), F.col("original_operation_no").alias("originalOperationNo"), "reason", F.col("approval_ref").alias("approvalRef"))
+    envelope = F.to_json(F.struct(
+        command.alias("eventId"), F.lit("REMEDIATION_COMMAND").alias("eventType"), F.lit("1.0").alias("schemaVersion"), F.col("tenant_id").alias("tenantId"), instant.alias("occurredAt"), F.col("suggestion_id").alias("traceId"),
+        F.col("award_item_no").alias("partitionKey"), payload.alias("payload"),
+    ))
+    none = lambda kind: F.lit(None).cast(kind)
+    return approved.select(
+        "tenant_id", command.alias("command_id"), "suggestion_id", envelope.alias("payload"), F.sha2(envelope, 256).alias("payload_hash"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempt"),
+        none("timestamp").alias("next_attempt"), none("string").alias("lease_owner"), none("timestamp").alias("lease_until"), none("timestamp").alias("published_at"), none("string").alias("last_error"), now.alias("created_at"),
+    )

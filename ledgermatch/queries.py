@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.keys import strip_trailing, sub_index_of
-from .operators import entitlement, ledger, views
+from .operators import entitlement, ledger, outbox, views
 from .operators.classify import EVALUATORS, PolicyRule, Roles, Rule, classify, register_evaluator
 from .operators.match import broken_rejects, identity_keys, match_groups
 from .plans import demo
@@ -380,24 +380,53 @@ _STEP = "case o_orderkey % 6 when 0 then 'APPROVE' when 1 then 'REJECT' when 2 t
 
 
 @query(f"""with r as (select o_orderkey as k, {_REM} as st, {_STEP} as a, o_orderkey % 11 = 0 as manual from orders), g as (select *, case a when 'APPROVE' then 'APPROVED' when 'REJECT' then 'REJECTED' when 'DISPATCH' then 'DISPATCHING' else a end as goal from r)
-select 'S' || k as suggestion_id, a as action, case when goal = st then 'noop' when manual and a = 'APPROVE' then 'illegal' when st = 'PROPOSED' and a in ('APPROVE', 'REJECT') or st = 'APPROVED' and a = 'DISPATCH' or st in ('DISPATCHING', 'UNKNOWN') and a in ('SUCCEEDED', 'FAILED', 'UNKNOWN') then 'accepted' else 'illegal' end as outcome from g""")
+select 'S' || k as suggestion_id, a as action, case when a = 'APPROVE' and k % 13 = 0 then 'invalid' when goal = st then 'noop' when manual and a = 'APPROVE' then 'illegal' when st = 'PROPOSED' and a in ('APPROVE', 'REJECT') or st = 'APPROVED' and a = 'DISPATCH' or st in ('DISPATCHING', 'UNKNOWN') and a in ('SUCCEEDED', 'FAILED', 'UNKNOWN') then 'accepted' else 'illegal' end as outcome from g""")
 def recon_remediation(spark, sf_dir):
     """LC12."""
     k = F.col("o_orderkey")
     o = _orders(spark, sf_dir).select(k, F.concat(F.lit("S"), k.cast("string")).alias("suggestion_id"))
     state = o.select("suggestion_id", F.expr(_REM).alias("status"), F.lit(0).cast("long").alias("version"), F.when(k % 11 == 0, "MANUAL_REVIEW").otherwise("REISSUE").alias("action"))
-    requests = o.select("suggestion_id", F.expr(_STEP).alias("action"), F.lit(None).cast("long").alias("expected_version"), k.alias("at"))
+    requests = o.select("suggestion_id", F.expr(_STEP).alias("action"), F.lit(None).cast("long").alias("expected_version"), k.alias("at"), F.when(k % 13 == 0, " ").otherwise("REF").alias("approval_ref"))
     return ledger.step_remediations(state, requests).select("suggestion_id", "action", "outcome")
 
 
-@query("""with c as (select o_orderkey as k, (o_orderkey % 12)::int as att from orders)
-select 'C' || k as command_id, case when k % 2 = 0 then 'PUBLISHED' when att + 1 >= 10 then 'DEAD' else 'FAILED' end as status, (att + case when k % 2 = 0 then 0 else 1 end)::int as attempt, case when k % 2 = 1 then least(300, (2 ^ least(att + 1, 8)))::bigint end as wait from c""")
-def recon_command_outbox(spark, sf_dir):
-    """LC13: publication, backoff and dead letters."""
+_HELD = """with c as (select o_orderkey as k, (1 + o_orderkey % 12)::int as att, case o_orderkey % 5 when 0 then 'PUBLISHED' when 1 then 'DEAD' else 'SENDING' end as st, case when o_orderkey % 5 > 1 then 'w' || o_orderkey % 3 end as own from orders),
+r as (select *, st = 'SENDING' and own = 'w1' as mine, k % 2 = 0 as ok from c)"""
+
+
+def _held(spark, sf_dir):
+    """Commands of which most are held by one of three workers, and worker w1's results for all of them."""
     k, now = F.col("o_orderkey"), F.lit("2026-08-17").cast("timestamp")
-    c = _orders(spark, sf_dir).select(k, F.concat(F.lit("C"), k.cast("string")).alias("command_id"), F.lit("PENDING").alias("status"), (k % 12).cast("int").alias("attempt"), now.alias("next_attempt"), F.lit(None).cast("timestamp").alias("lease_until"), F.lit(None).cast("string").alias("last_error"))
-    out = ledger.commands_after(c, c.select("command_id", (k % 2 == 0).alias("ok"), F.lit("e").alias("error")), now)
-    return out.select("command_id", "status", "attempt", F.when(k % 2 == 1, F.unix_timestamp("next_attempt") - F.unix_timestamp(now)).alias("wait"))
+    status = F.when(k % 5 == 0, "PUBLISHED").when(k % 5 == 1, "DEAD").otherwise("SENDING")
+    none = lambda kind: F.lit(None).cast(kind)
+    commands = _orders(spark, sf_dir).select(
+        k, F.lit("T").alias("tenant_id"), F.concat(F.lit("C"), k.cast("string")).alias("command_id"), F.concat(F.lit("S"), k.cast("string")).alias("suggestion_id"), status.alias("status"), (1 + k % 12).cast("int").alias("attempt"),
+        none("timestamp").alias("next_attempt"), F.when(k % 5 > 1, F.concat(F.lit("w"), (k % 3).cast("string"))).alias("lease_owner"), F.when(k % 5 > 1, now + F.expr("interval 1 minute")).alias("lease_until"), none("timestamp").alias("published_at"), none("string").alias("last_error"), now.alias("created_at"),
+    )
+    results = commands.select("tenant_id", "command_id", F.lit("w1").alias("worker"), (k % 2 == 0).alias("ok"), F.lit("e").alias("error"), now.alias("at"))
+    return commands, results, now
+
+
+@query(_HELD + """ select 'C' || k as command_id, case when not mine then st when ok then 'PUBLISHED' when att >= 10 then 'DEAD' else 'FAILED' end as status, att as attempt, case when mine then null else own end as lease_owner,
+case when mine and not ok then least(300, (2 ^ least(att, 8)))::bigint end as wait, case when not mine then 'lost' when ok then 'published' when att >= 10 then 'dead' else 'failed' end as outcome from r""")
+def recon_command_outbox(spark, sf_dir):
+    """LC13: publication, backoff and dead letters; results count only from the worker that holds the lease."""
+    commands, results, now = _held(spark, sf_dir)
+    after, outcomes = outbox.settle_commands(commands, results, now)
+    wait = F.unix_timestamp("next_attempt") - F.unix_timestamp(now)
+    return after.join(outcomes.select("command_id", "outcome"), "command_id").select("command_id", "status", "attempt", "lease_owner", wait.alias("wait"), "outcome")
+
+
+@query(_HELD + """, s as (select *, case k % 4 when 3 then 'REJECTED' else 'APPROVED' end as sug from r), t as (select *, mine and ok and sug = 'APPROVED' as gone from s)
+select 'C' || k as command_id, case when not mine then st when gone then 'PUBLISHED' when att >= 10 then 'DEAD' else 'FAILED' end as status, case when gone then 'DISPATCHING' else sug end as suggestion, case when gone then 1 else 0 end::bigint as version,
+case when mine and not gone then case when ok then 'the suggestion can''t be dispatched: illegal' else 'e' end end as last_error from t""".replace("k % 4 when 3", "(k // 2) % 4 when 3"))
+def recon_relay(spark, sf_dir):
+    """LC13, LC12: a published command dispatches its suggestion in the same step, or counts as failed."""
+    commands, results, now = _held(spark, sf_dir)
+    k = F.col("o_orderkey")
+    suggestions = _orders(spark, sf_dir).select(F.concat(F.lit("S"), k.cast("string")).alias("suggestion_id"), F.when(F.floor(k / 2) % 4 == 3, "REJECTED").otherwise("APPROVED").alias("status"), F.lit(0).cast("long").alias("version"))
+    after, dispatched, _ = outbox.relay(commands, suggestions, results, now)
+    return after.join(dispatched.withColumnsRenamed({"status": "suggestion"}), "suggestion_id").select("command_id", "status", "suggestion", "version", "last_error")
 
 
 _OBSERVED = """select 'T' || k % 3 as tenant_id, 'I' || k as issue_id, role, event, sku, q, st, ref from (select *, unnest([{'role': 'EXPECTED', 'event': 'e' || k, 'sku': p, 'q': 1 + k % 5, 'st': 'EXPECTED', 'ref': null, 'keep': k % 17 <> 0},
@@ -696,30 +725,44 @@ def recon_latest_dispositions(spark, sf_dir):
     return ledger.latest(log.withColumn("status", F.concat(F.lit("s"), F.col("version").cast("string"))), ["fingerprint"])
 
 
-_COMMANDS = "with c as (select 'C' || o_orderkey as command_id, case o_orderkey % 4 when 0 then 'PENDING' when 1 then 'FAILED' when 2 then 'PUBLISHING' else 'PUBLISHED' end as status, o_orderkey % 7 as late, o_orderdate as created_at, o_orderkey % 2 = 0 as expired from orders) "
+_COMMANDS = """with c0 as (select o_orderkey as k, 'C' || o_orderkey as command_id, case o_orderkey % 4 when 0 then 'PENDING' when 1 then 'FAILED' when 2 then 'SENDING' else 'PUBLISHED' end as status, case when o_orderkey % 5 = 0 then null else o_orderkey % 7 - 3 end as late, o_orderdate as created_at from orders),
+c as (select *, status = 'SENDING' and k % 8 < 4 as expired from c0), d as (select *, (status in ('PENDING', 'FAILED') or expired) and coalesce(late <= 0, true) as due from c),
+t as (select *, due and row_number() over (partition by due order by created_at, command_id) <= 100 as taken from d) """
 
 
 def _commands(spark, sf_dir):
+    """Commands of all statuses; a fifth has no time of a next attempt, and half of the leases have run out."""
     k, now = F.col("o_orderkey"), F.lit("2026-08-17").cast("timestamp")
-    status = F.when(k % 4 == 0, "PENDING").when(k % 4 == 1, "FAILED").when(k % 4 == 2, "PUBLISHING").otherwise("PUBLISHED")
+    status = F.when(k % 4 == 0, "PENDING").when(k % 4 == 1, "FAILED").when(k % 4 == 2, "SENDING").otherwise("PUBLISHED")
     shifted = lambda hours: now + F.make_dt_interval(hours=hours.cast("int"))
-    lease = F.when(k % 8 < 4, shifted(F.lit(-1))).otherwise(shifted(F.lit(1)))
-    return _orders(spark, sf_dir).select(F.concat(F.lit("C"), k.cast("string")).alias("command_id"), status.alias("status"), shifted(k % 7 - 3).alias("next_attempt"), F.col("o_orderdate").alias("created_at"), lease.alias("lease_until"), F.lit(0).alias("attempt"), F.lit(None).cast("string").alias("last_error")), now
+    lease = F.when(k % 4 == 2, F.when(k % 8 < 4, shifted(F.lit(-1))).otherwise(shifted(F.lit(1))))
+    return _orders(spark, sf_dir).select(
+        F.lit("T").alias("tenant_id"), F.concat(F.lit("C"), k.cast("string")).alias("command_id"), status.alias("status"), F.lit(0).alias("attempt"), F.when(k % 5 != 0, shifted(k % 7 - 3)).alias("next_attempt"),
+        F.when(k % 4 == 2, "other").alias("lease_owner"), lease.alias("lease_until"), F.col("o_orderdate").alias("created_at"),
+    ), now
 
 
-@query(_COMMANDS + "select command_id, status from c where status in ('PENDING', 'FAILED') and late <= 3 order by created_at, command_id limit 100")
+@query(_COMMANDS + "select command_id, status from c where status in ('PENDING', 'FAILED') and coalesce(late <= 0, true) order by created_at, command_id limit 100")
 def recon_due_commands(spark, sf_dir):
-    """LC13: what one relay pass takes."""
+    """LC13: what is due, commands without a time of a next attempt among them; the limit is the size of a relay pass."""
     commands, now = _commands(spark, sf_dir)
-    return ledger.commands_due(commands, now).select("command_id", "status")
+    return outbox.due(commands, now).select("command_id", "status")
 
 
-@query("select 'C' || o_orderkey as command_id, case o_orderkey % 4 when 0 then 'PENDING' when 1 then 'FAILED' when 2 then case when o_orderkey % 8 < 4 then 'FAILED' else 'PUBLISHING' end else 'PUBLISHED' end as status from orders")
+@query(_COMMANDS + "select command_id, case when expired then 'FAILED' else status end as status, case when status = 'SENDING' and not expired then 'other' end as lease_owner from c")
 def recon_expired_leases(spark, sf_dir):
-    """LC13: a lease that has run out makes its command fail."""
+    """LC13: a lease that has run out makes its command fail, without an owner."""
+    commands, now = _commands(spark, sf_dir)
+    return outbox.release_expired(commands, now).select("command_id", "status", "lease_owner")
+
+
+@query(_COMMANDS + """select command_id, case when taken then 'SENDING' when expired then 'FAILED' else status end as status, taken::int as attempt, case when taken then 'me' when status = 'SENDING' and not expired then 'other' end as lease_owner,
+case when taken then 60 when status = 'SENDING' and not expired then 3600 end::bigint as lease_seconds from t""")
+def recon_claim_commands(spark, sf_dir):
+    """LC13: a worker's pass takes what is due, expired leases among it, for a minute."""
     commands, now = _commands(spark, sf_dir)
-    none = spark.createDataFrame([], "command_id string, ok boolean, error string")
-    return ledger.commands_after(commands, none, now).select("command_id", "status")
+    out = outbox.claim_commands(commands, "me", now)
+    return out.select("command_id", "status", "attempt", "lease_owner", (F.unix_timestamp("lease_until") - F.unix_timestamp(now)).alias("lease_seconds"))
 
 
 @query("""select 'reversal-exec-' || case when o_orderkey % 2 = 0 then 'ok:' else 'fail:' end || 'R' || o_orderkey as idempotency_key, 'F' || o_orderkey as fingerprint, case when o_orderkey % 2 = 0 then 'executed ref=' else 'execution failed: ' end || 'x' || o_orderkey as payload

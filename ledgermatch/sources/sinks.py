@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.keys import name_uuid
@@ -43,18 +43,26 @@ def clear_run(spark: SparkSession, root: str, run_id: str, schemas: dict[str, st
 
 
 def with_discrepancy_ids(discrepancies: DataFrame) -> DataFrame:
-    """Discrepancies with an id that run and fingerprint alone determine. A run has one group for each fingerprint, so none repeats."""
+    """Discrepancies with an id that run and fingerprint alone determine. A run has one group for each fingerprint, so none repeats; ``assert_unique`` holds that."""
     return discrepancies.withColumn("discrepancy_id", name_uuid(F.concat_ws("|", "run_id", "fingerprint")))
 
 
+def assert_unique(df: DataFrame, key: list[str], what: str) -> DataFrame:
+    """``df``, after failing where rows share ``key``. Give it a written table: it is read for the test."""
+    twice = df.groupBy(*key).count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"{what}: {', '.join(str(twice[k]) for k in key)}")
+    return df
+
+
 def absent_only(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """The new rows whose key is neither in ``existing`` nor in an earlier new row."""
     return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
-def append_absent(new: DataFrame, spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Append the rows with new keys to a table and return them; a second call with the same rows adds none."""
+def append_absent(new: DataFrame, spark: SparkSession, path: str, key: str) -> int:
+    """Append the rows with new keys to a table and say how many there were; a second call with the same rows adds none."""
     existing = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
-    added = absent_only(new, existing, key).persist()
-    added.write.mode("append").parquet(path)
-    return added
+    added = Observation()
+    absent_only(new, existing, key).observe(added, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return added.get["n"]

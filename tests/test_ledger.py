@@ -2,11 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.operators import entitlement, ledger, views
 from ledgermatch.plans import demo
-from ledgermatch.sources.sinks import append_absent, clear_run, replace_run, with_discrepancy_ids
+from ledgermatch.sources.sinks import append_absent, assert_unique, clear_run, replace_run, with_discrepancy_ids
 from ledgermatch.streaming import events as ev, reconcile
 
 D = "run_id string, segment_id string, fingerprint string, type string, currency string, delta long"
@@ -50,15 +51,29 @@ def test_handlers_are_idempotent(spark):
     first = ledger.handle(d)
     assert {n: t.count() for n, t in first.items()} == {"ledger": 2, "reversal": 1, "alert": 2}
     assert all(t.count() == 0 for t in ledger.handle(d, first).values())
+
+
+def test_delivery_gives_results_that_alerts_take(spark, tmp_path):
+    d = spark.createDataFrame([("R", "S", f"f{i}", "TIMING", "USD", 0) for i in range(3)], D)
+    alerts = ledger.handle(d)["alert"]
     sent = spark.sparkContext.accumulator(0)
-    ledger.deliver(first["alert"], lambda r: sent.add(len(r["idempotency_key"])))  # runs on the executors
-    assert sent.value == len("alert:f1") + len("alert:f2")
+
+    def send(row):
+        sent.add(1)
+        if row["fingerprint"] == "f1":
+            raise OSError("no receiver")
+
+    results = ledger.deliver(alerts, send, f"file://{tmp_path}/sent")
+    got = {r["idempotency_key"]: (r["ok"], r["error"]) for r in results.collect()}
+    assert got == {"alert:f0": (True, None), "alert:f1": (False, "no receiver"), "alert:f2": (True, None)} and results.count() == 3 and sent.value == 3
+    after = {r["idempotency_key"]: (r["status"], r["attempt"]) for r in ledger.alerts_after(alerts, results).collect()}
+    assert after == {"alert:f0": ("SENT", 0), "alert:f1": ("FAILED", 1), "alert:f2": ("SENT", 0)}
 
 
 def test_insert_if_absent_and_run_replacement(spark, tmp_path):
     new = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
     path = f"file://{tmp_path}/t"
-    assert append_absent(new, spark, path, "k").count() == 2 and append_absent(new, spark, path, "k").count() == 0 and spark.read.parquet(path).count() == 2
+    assert append_absent(new, spark, path, "k") == 2 and append_absent(new, spark, path, "k") == 0 and spark.read.parquet(path).count() == 2
     runs = spark.createDataFrame([("R:1", 1), ("R:2", 2)], "run_id string, v int")
     root = f"file://{tmp_path}/m"
     for r in ("R:1", "R:2", "R:1"):
@@ -69,8 +84,16 @@ def test_insert_if_absent_and_run_replacement(spark, tmp_path):
 
 
 def test_ids_depend_on_run_and_fingerprint(spark):
-    d = spark.createDataFrame([("R", "S", "f", "TIMING", None, 0), ("R", "S", "f", "TIMING", None, 0), ("Q", "S", "f", "TIMING", None, 0)], D)
-    assert with_discrepancy_ids(d).select("discrepancy_id").distinct().count() == 2 == with_discrepancy_ids(d).count()
+    d = spark.createDataFrame([("R", "S", "f", "TIMING", None, 0), ("R", "S", "g", "TIMING", None, 0), ("Q", "S", "f", "TIMING", None, 0)], D)
+    ids = [r["discrepancy_id"] for r in with_discrepancy_ids(d).collect()]
+    assert len(set(ids)) == 3 and ids == [r["discrepancy_id"] for r in with_discrepancy_ids(d).collect()]
+
+
+def test_repeated_discrepancies_fail(spark):
+    twice = spark.createDataFrame([("R", "S", "f", "TIMING", None, 0), ("R", "S", "f", "TIMING", None, 0)], D)
+    with pytest.raises(Exception, match="run holds a fingerprint twice"):
+        assert_unique(with_discrepancy_ids(twice), ["run_id", "fingerprint"], "a run holds a fingerprint twice")
+    assert assert_unique(twice.limit(1), ["run_id", "fingerprint"], "no") is not None
 
 
 def test_rerun_gives_equal_results(spark):
@@ -83,8 +106,32 @@ def test_remediation_proposals(spark):
     p = spark.createDataFrame(rows, "tenant_id string, scenario string, discrepancy_ref string, award_item_no string, original_operation_no string, action string, reason string")
     out = ledger.propose_remediations(p, spark.createDataFrame([], "suggestion_id string"))
     assert sorted(r["outcome"] for r in out.collect()) == ["accepted", "accepted", "duplicate", "invalid"]
-    cmd = ledger.remediation_commands(out.where("outcome = 'accepted' and action = 'REISSUE'")).first()
-    assert json.loads(cmd["payload"])["eventId"] == cmd["command_id"] == "recon-remediation:" + cmd["suggestion_id"]
+    approved = out.where("outcome = 'accepted' and action = 'REISSUE'").withColumn("approval_ref", F.lit("REF"))
+    cmd = ledger.remediation_commands(approved, F.lit("2026-08-17 01:02:03").cast("timestamp")).first()
+    event = json.loads(cmd["payload"])
+    assert event["eventId"] == event["payload"]["externalCommandId"] == cmd["command_id"] == "recon-remediation:" + cmd["suggestion_id"]
+    assert event["payload"]["approvalRef"] == "REF" and event["payload"]["action"] == "REISSUE" and event["occurredAt"] == "2026-08-17T01:02:03Z" and event["traceId"] == cmd["suggestion_id"]
+    assert (cmd["status"], cmd["attempt"], cmd["next_attempt"], cmd["lease_owner"]) == ("PENDING", 0, None, None)
+
+
+def test_approval_needs_a_reference(spark):
+    state = spark.createDataFrame([("a", "PROPOSED", 0, "REISSUE"), ("b", "PROPOSED", 0, "REISSUE"), ("c", "PROPOSED", 0, "MANUAL_REVIEW")], "suggestion_id string, status string, version long, action string")
+    ask = [("a", "APPROVE", None, 1, " "), ("a", "APPROVE", None, 2, "REF"), ("b", "REJECT", None, 1, None), ("c", "APPROVE", None, 1, "REF")]
+    out = ledger.step_remediations(state, spark.createDataFrame(ask, "suggestion_id string, action string, expected_version long, at long, approval_ref string"))
+    assert sorted((r["suggestion_id"], r["at"], r["outcome"]) for r in out.collect()) == [("a", 1, "invalid"), ("a", 2, "accepted"), ("b", 1, "accepted"), ("c", 1, "illegal")]
+
+
+def test_run_windows_are_utc_days(spark):
+    request = spark.createDataFrame([("r", "S", "2026-08-17", None)], "request_id string, scenario string, period string, buckets int")
+    runs = spark.createDataFrame([], "scenario string, period string, sequence_no long")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            row = ledger.plan_runs(request, runs).select(*[F.unix_timestamp(c).alias(c) for c in ("window_start", "window_end", "cutoff")]).first()
+            assert (row["window_start"], row["window_end"], row["cutoff"]) == (1786924800, 1786924800 + 172799, 1786924800 + 82800)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_rollup_and_skew(spark):
@@ -138,7 +185,7 @@ def test_event_inbox(spark, tmp_path):
 def test_remediation_results(spark):
     text = [json.dumps({"eventId": "1", "eventType": t, "schemaVersion": "1.0", "tenantId": "T", "payload": {"externalCommandId": "c", "status": "FAILED"}}) for t in ("REMEDIATION_RESULT", "REMEDIATION_DISPATCHED", "OTHER")]
     got = [(r["command_id"], r["action"], r["reason"]) for r in ev.remediation_results(spark.createDataFrame([(t,) for t in text], "value string")).collect()]
-    assert got == [("c", "FAILED", None), (None, None, None), (None, None, "unsupported eventType")]
+    assert got == [("c", "FAILED", None), (None, None, None), (None, None, "eventType is not known")]
 
 
 def test_windows(spark):
