@@ -213,8 +213,11 @@ def collocations(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "te
     scored = sides.select("lang", "ids", "a", cuts.alias("best")).select("lang", "ids", "a", "best.l", "best.r", "best.score")
     longer = candidates.where(F.size("ids") >= 3).select("lang", F.explode(by_size(lambda ids, n: _inside(ids, n) if n > 2 else F.lit(None))).alias("ids"), "f").groupBy("lang", "ids").agg(F.max("f").alias("most"))
     kept = scored.join(longer, ["lang", "ids"], "left").where(F.col("most").isNull() | (F.lit(100).cast("decimal(3,0)") * wide("most") < F.lit(inside_percent).cast("decimal(5,0)") * wide("a")))
-    # Ties at the border stay until their words are there to order them.
-    first = kept.withColumn("r0", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("r0") <= top).drop("r0")
+    # Ties at the border stay until their words are there to order them. A lang's phrases are ranked in parts first, so the task that ranks them all gets few.
+    first = kept.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(64)))
+    for part in (["lang", "part"], ["lang"]):
+        first = first.withColumn("r0", F.rank().over(Window.partitionBy(*part).orderBy(F.desc("score"), F.desc("a")))).where(F.col("r0") <= top)
+    first = first.drop("r0", "part")
     spelled = first.select("lang", "ids", F.posexplode("ids").alias("at", "id")).join(words.select("lang", "id", "word"), ["lang", "id"])
     spelled = spelled.groupBy("lang", "ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("phrase"))
     out = first.join(spelled, ["lang", "ids"])
