@@ -39,6 +39,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32_000_000)
             spark.conf.set(key, str(most))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that is none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose values of ``column`` (text or binary) have ``most`` bytes together, or of one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import give_back, small_batches
+from .common import byte_slices, give_back, small_batches, unused
 from .tokens import release
 
 PAD = 256  # stands after the end of a short window
@@ -158,7 +158,7 @@ class ByteNetwork:
     def classify(self, texts: list[bytes], length: int, block: int = 1024) -> np.ndarray:
         """(texts, languages): mean of the label distributions over all positions of each text; no row may be empty."""
         windows = np.array([-(-len(t) // length) for t in texts])
-        x = np.full((int(windows.sum()), length), PAD, np.intp)
+        x = np.full((int(windows.sum()), length), PAD, np.int16)
         firsts = np.concatenate([[0], np.cumsum(windows)])
         flat = x.reshape(-1)
         for t, at in zip(texts, firsts):
@@ -170,7 +170,7 @@ class ByteNetwork:
         for at in range(0, len(order), block):
             pick = order[at : at + block]
             steps = int(used[pick[-1]])
-            part = np.ascontiguousarray(x[pick, :steps].T)
+            part = np.ascontiguousarray(x[pick, :steps].T).astype(np.intp)
             p = self.probabilities(part)
             if used[pick[0]] < steps:
                 p *= (part != PAD)[:, :, None]
@@ -222,13 +222,14 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 1_000_000) -> DataFrame:
     """``docs`` with lang_pred and score, from every byte of every text.
 
     A text is read in windows of ``length`` bytes; every position is labelled and the document's probabilities are the means
     over its positions. lang_pred is the likeliest language (ties: the first in order), score its
     probability. Null texts, texts without a letter, and all texts where nothing was learned get `und` and 0.0. Other
-    columns pass through, except that lang_pred and score are replaced. Empty tables give none.
+    columns pass through, except that lang_pred and score are replaced. Empty tables give none. Texts are read ``chunk_bytes`` at a time, a
+    longer text alone; it takes about ten bytes of memory for each of its own.
     """
     letters = has_letter(F.col(text_col))
     docs = docs.drop("lang_pred", "score")
@@ -238,9 +239,8 @@ def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                texts, usable = part.column(text_col).to_pylist(), part.column("__letters").to_pylist()
+            for part in byte_slices(batch, text_col, chunk_bytes):
+                texts, usable = part.column(text_col).to_pylist(), part.column(mark).to_pylist()
                 rows = [i for i, ok in enumerate(usable) if ok]
                 langs, scores = [UND] * len(texts), [0.0] * len(texts)
                 if rows:
@@ -252,7 +252,8 @@ def identify(docs: DataFrame, network: ByteNetwork | None, *, length: int = 128,
         give_back()
 
     kept = docs.columns
+    mark = unused("letters", kept)
     small_batches(docs.sparkSession)
-    given = docs.withColumn("__letters", letters)
+    given = docs.withColumn(mark, letters)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return given.mapInArrow(run, f"{fields}, lang_pred string, score double")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import give_back, small_batches, task_number
+from .common import byte_slices, give_back, small_batches, task_number
 from .tokens import tokenizer
 
 _SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -178,8 +178,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: i
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in byte_slices(batch, "text", 2_000_000):
                 for doc, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist())):
                     ids += end
                     n = len(ids) // 4

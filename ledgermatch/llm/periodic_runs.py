@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_slices, give_back, small_batches
+from .common import byte_slices, give_back, small_batches, unused
 
 RUN_TYPE = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
@@ -230,7 +230,7 @@ def find_runs(docs: DataFrame, *, periods: int = 4, min_length: int = 6, text_co
     """
     docs = docs.drop("n_words", "runs", "collapsed")
     kept = docs.columns
-    raw = "ledgermatch raw text"
+    raw = unused("raw", kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

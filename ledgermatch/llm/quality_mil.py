@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import byte_slices, give_back, small_batches
+from .common import byte_slices, give_back, small_batches, unused
 
 #: Kinds of bytes, of which three in a row make a feature; a byte that is not here is of kind 1, and 0 stands behind a text's end.
 _KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".,;:", "!?", "'\"-()", "|/\\<>[]{}=_~^`", "#$%&*+@"]
@@ -205,7 +205,7 @@ def judge(docs: DataFrame, model: AttentionModel | None, *, size: int = 256, tex
     if model is None:
         return docs.withColumns({"score": F.lit(0.5), "passage": F.lit(0)})
     kept = docs.columns
-    raw = "ledgermatch raw text"
+    raw = unused("raw", kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

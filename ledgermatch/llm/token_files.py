@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import give_back, new_path, small_batches, task_number
+from .common import byte_slices, give_back, new_path, small_batches, task_number
 from .tokens import tokenizer
 
 # File: magic, five u64 (documents, ids, distinct ids, control bytes, data bytes), then i64 document ids, u8 null marks,
@@ -112,8 +112,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id
             held = 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in byte_slices(batch, "text", 1_000_000):
                 new = [e + end for e in tok.encode(part.column(1).to_pylist())]
                 for d, e in zip(part.column(0).to_pylist(), new):
                     doc_ids.append(d)

@@ -87,8 +87,8 @@ def top_k(vectors: DataFrame, *, is_query: Column, k: int = 5, scale: int = 256,
 
     Equal scores go to smaller ids; a query with fewer than k others gets all. Vectors that are null, empty, or hold null or
     non-finite components take no part. Of equal vectors only the k + 1 smallest ids can be among the best, so the
-    others are left out first, which keeps a vector of many copies from filling a shard. Rows of one id
-    count once for each vector. Vectors of different lengths have no score with each other. Scores of 2**53 or more, which a
+    others are left out first, which keeps a vector of many copies from filling a shard. Repeated rows are candidates each, so that one id
+    may fill several ranks (k copies at most are looked at), and one query; rows of the query's id are never its candidates. Vectors of different lengths have no score with each other. Scores of 2**53 or more, which a
     double can't hold exactly, fail. An empty table gives none.
 
     Candidates are dealt to shards by a hash, each with a KD-tree, and queries to blocks: first each query meets one shard,
@@ -98,7 +98,7 @@ def top_k(vectors: DataFrame, *, is_query: Column, k: int = 5, scale: int = 256,
     """
     spark = vectors.sparkSession
     given = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), quantized(vector_col, scale).alias("v"), F.size(vector_col).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    given = written(given.dropDuplicates(["id", "v"]).withColumn("h", F.xxhash64("v")), "vectors")
+    vectors_table = given = written(given.groupBy("id", "v", "dim", "q").agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("v")), "vectors")
     first = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))
     few = given.withColumn("n", first).where(F.col("n") <= k + 1)
     n = given.count()
@@ -107,9 +107,10 @@ def top_k(vectors: DataFrame, *, is_query: Column, k: int = 5, scale: int = 256,
     shard_rows = shard_rows or max(4096, 4 * math.isqrt(n))
     shards = max(1, -(-n // shard_rows))
     shard = F.pmod(F.xxhash64("h", "id"), F.lit(shards)).cast("int")
-    candidates = written(few.select(shard.alias("shard"), "dim", "id", "v"), "candidates")
+    each = F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)).cast("int"))).alias("copy")
+    candidates = written(few.select(shard.alias("shard"), "dim", "id", "v", each).drop("copy"), "candidates")
     queries = given.where("q").select(F.col("id").alias("query_id"), "dim", "v", shard.alias("home"), F.xxhash64("id", F.lit("block")).alias("b"))
-    queries = written(queries, "queries")
+    asked_table = queries = written(queries, "queries")
     query_rows = query_rows or max(4096, 4 * math.isqrt(n))
     blocks = max(1, -(-queries.count() // query_rows))
     queries = queries.withColumn("block", F.pmod("b", F.lit(blocks)).cast("int")).drop("b")
@@ -142,14 +143,17 @@ def top_k(vectors: DataFrame, *, is_query: Column, k: int = 5, scale: int = 256,
     others = queries.join(kths, "query_id", "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", "block", "home", "query_id", "v", F.coalesce("kth", lowest).alias("kth")).where("shard != home")
     found = near.union(at_shards(others.select("dim", "shard", "block", "query_id", "v", "kth")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+    best = written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score"), "best")
+    discard(vectors_table, candidates, asked_table, near)
+    return best
 
 
 ORACLE_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
            where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select distinct vec_id, q from v where vec_id % 50 = 0),
 s as (select a.vec_id as query_id, b.vec_id as vec_id, list_dot_product(a.q::double[], b.q::double[])::bigint as score
-      from v a, v b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+      from a, v b where a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """

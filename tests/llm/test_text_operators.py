@@ -209,6 +209,41 @@ def test_line_dedup(spark):
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in same.collect()) == [(False, 3), (False, 3), (True, 0)]
 
 
+def test_line_dedup_equals_its_sql_on_odd_rows(spark):
+    """Repeated rows, null ids, and columns named like those that the operator makes."""
+    import duckdb
+    import pandas as pd
+
+    texts = ["a\nb\nc\nd", "a\nb\nc\nd", "x\na\nb\nc", None, "", "a\nb\nc", "p\nq\nr", "p\nq\nr", "a\nb"]
+    ids = [7, 7, 8, 9, 10, None, None, None, None]
+    names = ["lines", "covered", "covered_id", "covered_text", "hash", "kept", "row", "__covered", "a.b"]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in zip(ids, texts)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"] and all(tuple(r)[2:-2] == tuple(names) for r in out.collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text": texts}))
+    want = sorted(con.execute(line_dedup.ORACLE_SQL).fetchall(), key=repr)
+    assert sorted(map(tuple, out.select("doc_id", "n_lines", "n_removed", "text").collect()), key=repr) == want
+
+
+def test_columns_named_like_the_operators_own(spark, labelled):
+    network = language_id.train(labelled, usable=F.lit(True), rows_per_language=20)
+    odd = labelled.limit(5).selectExpr("*", "1 as letters", "2 as letters_", "3 as __letters")
+    rows = language_id.identify(odd, network, chunk_bytes=40).collect()
+    assert len(rows) == 5 and all((r["letters"], r["letters_"], r["__letters"]) == (1, 2, 3) and r["lang_pred"] in network.languages for r in rows)
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from ledgermatch.llm.common import byte_slices
+
+    batch = pa.RecordBatch.from_pydict({"t": ["aaaa", None, "", "bb", "c" * 50, "d", None]})
+    parts = [p.column("t").to_pylist() for p in byte_slices(batch, "t", 6)]
+    assert parts == [["aaaa", None, "", "bb"], ["c" * 50], ["d", None]]
+    assert list(byte_slices(batch.slice(0, 0), "t", 6)) == []
+
+
 # Near duplicates.
 
 def test_prob_minhash_estimates_probability_jaccard():

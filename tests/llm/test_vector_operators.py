@@ -34,6 +34,20 @@ def test_top_k(spark, shard_rows, query_rows):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out) == sorted(want)
 
 
+def test_top_k_of_repeated_rows_equals_its_sql(spark):
+    import duckdb
+
+    rows = [(i, [((i * 7 + d * 3) % 11) / 11 for d in range(4)]) for i in range(0, 120, 3)]
+    rows += [rows[3]] * 8 + [(50, [0.5] * 4)] * 2 + [(100, [0.25] * 4), (100, [0.9] * 4), (150, None), (200, [float("nan")] * 4), (53, [0.9, 0.9, 0.9, 0.9])] + [rows[3]] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    want = sorted(con.execute(topk_search.ORACLE_SQL).fetchall())
+    got = topk_search.top_k(df, is_query=F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == want and {r["query_id"] for r in got} == {0, 50, 100}
+
+
 def test_top_k_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], SCHEMA)
     assert [tuple(r) for r in topk_search.top_k(few, is_query=F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
