@@ -69,8 +69,9 @@ class Scenario:
             if unknown := set(s.rule.enabled or ()) - set(TYPES):
                 raise ValueError(f"segment {s.id}: unknown types {sorted(unknown)}")
             for source in (s.left, s.right):
-                if not source.mapping.group_key or not source.mapping.match_key:
-                    raise ValueError(f"segment {s.id}: sources need match and group key columns")
+                m = source.mapping
+                if not (m.group_key or m.group_expr) or not (m.match_key or m.match_expr):
+                    raise ValueError(f"segment {s.id}: sources need match and group keys, as columns or expressions")
         return self
 
     def to_json(self) -> str:

@@ -612,6 +612,34 @@ def recon_filtered_source(spark, sf_dir):
     return records.select("raw_ref", "match_key", "group_key", F.col("signed_amount_minor").alias("amount"))
 
 
+@query(ORACLE_SQL["recon_filtered_source"].replace("'orders:' || o_orderkey", "o_orderkey::varchar"))
+def recon_csv_filtered(spark, sf_dir):
+    """SRC2, PRJ9, PRJ10, EX2: the same filters and keys over CSV files."""
+    path = work_path(spark, "csv-filtered")
+    k = F.col("o_orderkey")
+    o = _orders(spark, sf_dir).select(k.alias("id"), F.concat(F.lit("T"), (k % 3).cast("string")).alias("tenant_id"), F.lit(" usd").alias("ccy"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_minor"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("posting_time"))
+    o.write.option("header", True).csv(path)
+    mapping = SourceMapping("orders", entry_type=None, biz_status=None, biz_time=None, tenant="tenant_id", match_expr="concat('K', id)", group_expr="concat('G', cast(floor(cast(id as bigint) / 4) as string))")
+    records, _ = read_csv_source(spark, path, mapping, ReadContext("r", "S", "LEFT", "ORDERS", cutoff="1995-06-30", tenant_id="T1"))
+    return records.select(F.substring_index("raw_ref", ":", -1).alias("raw_ref"), "match_key", "group_key", F.col("signed_amount_minor").alias("amount"))
+
+
+@query("""select o_orderkey % 4 + 1 as n_lines, count(*) as n_rows, sum(round(o_totalprice * 100)::bigint)::bigint as amount, sum((o_orderkey % 4) * 5 + 2)::bigint as sum_status, true as gapless from orders group by 1""")
+def recon_csv_ranges(spark, sf_dir):
+    """SRC3: rows with quoted line ends, of one to four lines, put together across tasks and named by their first and last line."""
+    path = work_path(spark, "csv-ranges")
+    k = F.col("o_orderkey")
+    status = F.concat(F.repeat(F.lit('a"b,\n'), (k % 4).cast("int")), F.lit("xy"))
+    _orders(spark, sf_dir).select(k.alias("id"), k.alias("key"), F.lit("USD").alias("ccy"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_minor"), status.alias("biz_status")).write.option("header", True).option("escape", '"').csv(path)
+    mapping = SourceMapping("orders", match_key="key", group_key="key", entry_type=None, biz_time=None, posting_time=None)
+    records, _ = read_csv_source(spark, path, mapping, ReadContext("r", "S", "LEFT", "ORDERS"), lineage="line", multi_line=True)
+    parts = F.split(F.substring_index("raw_ref", ":", -1), "-")
+    rows = records.select(F.substring_index("raw_ref", ":", 2).alias("file"), parts[0].cast("long").alias("lo"), F.get(parts, F.size(parts) - 1).cast("long").alias("hi"), "signed_amount_minor", F.length("biz_status").alias("n_status"))
+    files = rows.groupBy("file").agg((F.max("hi") == F.sum(F.col("hi") - F.col("lo") + 1) + 1).alias("whole")).agg(F.bool_and("whole").alias("gapless"))
+    out = rows.groupBy((F.col("hi") - F.col("lo") + 1).alias("n_lines")).agg(F.count("*").alias("n_rows"), F.sum("signed_amount_minor").alias("amount"), F.sum("n_status").alias("sum_status"))
+    return out.crossJoin(F.broadcast(files))  # files has one row
+
+
 @query("""with l as (select 'l-' || o_orderkey as id, o_orderkey as k, 'USD' as ccy, round(o_totalprice * 100)::bigint as a from orders union all select 'l2-' || o_orderkey, o_orderkey, 'EUR', 5 from orders where o_orderkey % 10 = 0),
 r as (select 'r-' || o_orderkey as id, o_orderkey as k, 'USD' as ccy, round(o_totalprice * 100)::bigint as a from orders)
 select 'reject' as part, 'left:' || id as key, 'several currencies on one side of its group' as reason, null::bigint as amount from l where k % 10 = 0 union all select 'reject', 'right:' || id, 'several currencies on one side of its group', null from r where k % 10 = 0

@@ -290,7 +290,70 @@ def test_csv_rows_by_line(spark, tmp_path):
     records, _ = read_csv_source(spark, str(tmp_path), mapping, ctx, lineage="line")
     assert sorted(("/".join(r["raw_ref"].rsplit("/", 1)[1:]), r["signed_amount_minor"]) for r in records.collect()) == [("a.csv:2", 0), ("a.csv:3", 1), ("a.csv:4", 2), ("b.csv:2", 0), ("b.csv:3", 1)]
     with pytest.raises(ValueError, match="lineage"):
-        read_csv_source(spark, str(tmp_path), mapping, ctx, lineage="line", multi_line=True)
+        read_csv_source(spark, str(tmp_path), mapping, ctx, lineage="place")
+    with pytest.raises(ValueError, match="charsets"):
+        read_csv_source(spark, str(tmp_path), mapping, ctx, lineage="line", charset="UTF-16LE")
+
+
+LINES = SourceMapping("t", id="id", match_key="key", group_key="key", entry_type=None, biz_time=None, posting_time=None)
+CTX = ReadContext("r", "s", "LEFT", "M")
+
+
+def ranges(df):
+    return sorted((r["raw_ref"].rsplit(":", 1)[1], r["biz_status"]) for r in df.collect())
+
+
+def test_rows_of_several_lines(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    path.write_text('\ufeffid,key,ccy,amount_minor,biz_status\n1,k,USD,1,plain\n2,k,USD,1,"a ""quoted"" word,\n\nand more"\n\n3,k,USD,1,"one"\n4,k,USD,x,"bad\n"\n5,k\n6,k,USD,1,"open\n7,k,USD,1,lost\n8,k,USD,1,lost\n')
+    records, rejects = read_csv_source(spark, str(path), LINES, CTX, lineage="line", multi_line=True)
+    assert ranges(records) == [("2", "plain"), ("3-5", 'a "quoted" word,\n\nand more'), ("7", "one")]
+    got = sorted((r["raw_ref"].rsplit(":", 1)[1], r["reason"].split(":")[0]) for r in rejects.collect())
+    assert got == [("10", "row does not fit the header"), ("11", "a quote that no line closes; nothing is read behind it"), ("8-9", "not a signed long")]
+    by_id, _ = read_csv_source(spark, str(path), LINES, CTX, multi_line=True)
+    assert {r["biz_status"] for r in by_id.collect()} >= {"plain", 'a "quoted" word,\n\nand more', "one"}
+
+
+def test_one_file_of_many_blocks(spark, tmp_path):
+    """Rows may begin and end in any block; the numbers are those of reading the file line by line."""
+    import csv
+    import random
+
+    rng, want, line = random.Random(5), [], 2
+    with open(tmp_path / "big.csv", "w", newline="") as f:
+        w = csv.writer(f, lineterminator="\n")
+        w.writerow(["id", "key", "ccy", "amount_minor", "biz_status"])
+        for i in range(4000):
+            n = rng.choice([0, 0, 0, 1, 2, 40])
+            text = "".join(rng.choice(['x" ', "y,", "z"]) + "\n" for _ in range(n)) + "e"
+            w.writerow([i, "k", "USD", i, text])
+            want.append((str(line) if n == 0 else f"{line}-{line + n}", i))
+            line += n + 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+    try:
+        records, rejects = read_csv_source(spark, str(tmp_path / "big.csv"), LINES, CTX, lineage="line", multi_line=True)
+        assert spark.read.text(str(tmp_path / "big.csv")).rdd.getNumPartitions() > 10
+        assert sorted((r["raw_ref"].rsplit(":", 1)[1], r["signed_amount_minor"]) for r in records.collect()) == sorted(want) and rejects.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_csv_filters_and_expressions(spark, tmp_path):
+    path = tmp_path / "m.csv"
+    head = "id,order no,ccy,amount_minor,tenant,posted\n"
+    rows = ["1,O1,usd,1,T1,2026-08-17T00:00:00Z", "2,O2,usd,2,T2,2026-08-17T00:00:00Z", "3,O3,usd,3,T1,2026-08-18T00:00:01Z", "4,O4,usd,4,T1,", "5,O5,usd,5,T1,soon", "6,O6,usd,6,,2026-08-17T00:00:00Z", "7,,usd,7,T1,2026-08-17T00:00:00Z", "8,O8"]
+    path.write_text(head + "\n".join(rows) + "\n")
+    mapping = SourceMapping("m", group_key=None, match_expr="concat(`order no`, '/', id)", group_expr="lower(`order no`)", entry_type=None, biz_status=None, biz_time=None, posting_time="posted", tenant="tenant")
+    for lineage in ("id", "line"):
+        records, rejects = read_csv_source(spark, str(path), mapping, ReadContext("r", "s", "LEFT", "M", cutoff="2026-08-18", tenant_id="T1"), lineage=lineage)
+        assert [(r["match_key"], r["group_key"], r["signed_amount_minor"]) for r in records.collect()] == [("O1/1", "o1", 1)]
+        assert sorted(r["reason"] for r in rejects.collect()) == ["group_key is required", "not an instant: soon", "row does not fit the header"]
+    source = Source("csv-file", str(path), mapping)
+    assert Scenario("S", (Segment("S", "A", "B", source, source),)).validate()
+    with pytest.raises(ValueError, match="keys"):
+        bare = Source("csv-file", str(path), SourceMapping("m"))
+        Scenario("S", (Segment("S", "A", "B", bare, bare),)).validate()
 
 
 def test_session_windows_group_as_the_batch_does(spark):
