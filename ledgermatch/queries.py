@@ -19,7 +19,7 @@ from .sources.mapping import ReadContext, SourceMapping
 from .sources.readers import read_csv_source, read_table_source
 from .sources.sinks import with_discrepancy_ids
 from .sources.work import work_path
-from .streaming import events as ev, reconcile
+from .streaming import batches, events as ev, keyed, reconcile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -545,16 +545,75 @@ def recon_stream(spark, sf_dir):
 ORACLE_SQL["recon_stream"] = classified_sql() + "select segment_id, fingerprint, type, match_key, group_key, currency, expected, actual, delta from cl where type is not null"
 
 
-@query(_EVENTS + "select 'ev' || k as event_id, target from f where target is not null and seen = 0")
+@query(_EVENTS + """select 'fact' as part, target as what, count(*) as n from f where target is not null and seen = 0 group by all
+union all select 'reject', coalesce(reason, 'conflicting content'), count(*) from f where reason is not null or target is not null and seen = 2 group by all""")
 def recon_event_stream(spark, sf_dir):
-    """SM4 in micro-batches: the events arrive as a stream, then again; each claimed event is stored once."""
+    """SM4, SM5 over three micro-batches: the events, replays and conflicts among them later; the inbox is state. Each claimed event is stored once, and no reject is lost."""
     root = work_path(spark, "events")
-    _event_json(spark, sf_dir).where("seen = 0").select("value").write.text(f"{root}/in")
-    source = spark.readStream.text(f"{root}/in")
-    ev.ingest_stream(source, f"{root}/out", f"{root}/check").awaitTermination()
-    _event_json(spark, sf_dir).where("seen > 0").select("value").write.mode("append").text(f"{root}/in")
-    ev.ingest_stream(source, f"{root}/out", f"{root}/check").awaitTermination()
-    return spark.read.parquet(f"{root}/out/facts").select("event_id", "target")
+    source = spark.readStream.schema("value string").text(f"{root}/in")
+    for seen in range(3):
+        _event_json(spark, sf_dir).where(F.col("seen") == seen).select("value").write.mode("append").text(f"{root}/in")
+        ev.ingest_stream(source, f"{root}/out", f"{root}/check").awaitTermination()
+    stored, refused = (spark.read.parquet(f"{root}/out/{t}") for t in ("facts", "rejects"))
+    return stored.groupBy(F.lit("fact").alias("part"), F.col("target").alias("what")).agg(F.count("*").alias("n")).unionByName(refused.groupBy(F.lit("reject").alias("part"), F.col("reason").alias("what")).agg(F.count("*").alias("n")))
+
+
+def _end(records: DataFrame) -> DataFrame:
+    """A record far ahead, which closes every window and lets every timer run out."""
+    return records.limit(1).withColumns({"biz_time": F.lit("2999-01-01").cast("timestamp"), "raw_ref": F.lit("end"), "match_key": F.lit("end"), "group_key": F.lit("end")})
+
+
+@query(ORACLE_SQL["recon_match_groups"])
+def recon_keyed_stream(spark, sf_dir):
+    """SM7: groups come out when they balance or when their timers run out, over a restart; the last of each is the batch run's."""
+    root = work_path(spark, "keyed")
+    keyed.use_rocksdb(spark)
+    records = demo.run(spark, sf_dir).records.drop("bucket")
+    source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
+    for part in (records, _end(records)):
+        part.write.mode("append").parquet(f"{root}/in")
+        batches.run_batches(keyed.keyed_groups(source), lambda df, i: batches.write_batch(df, f"{root}/groups", i), f"{root}/check").awaitTermination()
+    out = keyed.latest_groups(spark.read.parquet(f"{root}/groups"))
+    return out.select("segment_id", "match_key", "null_ref", "group_key", "left_count", "right_count", "left_sum", "right_sum", "left_currency", "right_currency", "left_ref", "right_ref", "left_status", "right_status", "left_copies", "right_copies", "presence")
+
+
+@query(f"""with {records_sql()}, r as (select *, raw_ref like '%7' as untimed, case when raw_ref like 'marketing:m2-%' then 'CHF' else currency end as ccy from records), t as (select * from r where not untimed),
+m as (select segment_id, match_key, null_ref from t group by all having count(distinct case when side = 'LEFT' then ccy end) > 1 or count(distinct case when side = 'RIGHT' then ccy end) > 1),
+x as (select t.*, m.segment_id is not null as mixed from t left join m on t.segment_id = m.segment_id and t.match_key is not distinct from m.match_key and t.null_ref is not distinct from m.null_ref)
+select 'no event time' as part, segment_id, count(*)::bigint as n from r where untimed group by all union all select case when mixed then 'several currencies on one side of its group' else 'grouped' end, segment_id, count(*)::bigint from x group by all""")
+def recon_lossless_stream(spark, sf_dir):
+    """AG3, SM1 in micro-batches: every row is in a group or among the rejects, those without a time and those of mixed groups included."""
+    root = work_path(spark, "lossless")
+    r = demo.run(spark, sf_dir)
+    records = r.records.drop("bucket").withColumns({"biz_time": F.when(~F.col("raw_ref").endswith("7"), F.col("biz_time")), "currency": F.when(F.col("raw_ref").startswith("marketing:m2-"), "CHF").otherwise(F.col("currency"))})
+    roles = {s.id: s.roles() for s in r.scenario.segments}
+    schema = batches.ddl(records)
+    source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
+    for part in (records, _end(records)):
+        part.write.mode("append").parquet(f"{root}/in")
+        reconcile.land(source, f"{root}/t", f"{root}/check-land").awaitTermination()
+        reconcile.reconcile_landed(spark, f"{root}/t", schema, roles, Rule(), scenario=demo.SCENARIO, period=demo.PERIOD, checkpoint=f"{root}/check").awaitTermination()
+    groups = reconcile.current_groups(spark, f"{root}/t").groupBy(F.lit("grouped").alias("part"), "segment_id").agg(F.sum(F.col("left_count") + F.col("right_count")).alias("n"))
+    return groups.unionByName(reconcile.all_rejects(spark, f"{root}/t").groupBy(F.col("reason").alias("part"), "segment_id").agg(F.count("*").alias("n")))
+
+
+@query(classified_sql() + "select segment_id, match_key, null_ref, left_count, right_count, left_sum, right_sum, type, fingerprint from cl")
+def recon_late_repair(spark, sf_dir):
+    """SM2: a third of the rows comes after its windows have closed; the repair recomputes the groups that lack rows, and all equals the batch run."""
+    root = work_path(spark, "late")
+    r = demo.run(spark, sf_dir)
+    records = r.records.drop("bucket")
+    late = F.crc32(F.col("raw_ref").cast("binary")) % 3 == 0
+    roles = {s.id: s.roles() for s in r.scenario.segments}
+    schema = batches.ddl(records)
+    source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
+    rest = {"scenario": demo.SCENARIO, "period": demo.PERIOD}
+    for part in (records.where(~late), _end(records), records.where(late)):
+        part.write.mode("append").parquet(f"{root}/in")
+        reconcile.land(source, f"{root}/t", f"{root}/check-land").awaitTermination()
+        reconcile.reconcile_landed(spark, f"{root}/t", schema, roles, Rule(), checkpoint=f"{root}/check", **rest).awaitTermination()
+    reconcile.repair(spark, f"{root}/t", schema, roles, Rule(), name="one", **rest)
+    return reconcile.current_groups(spark, f"{root}/t").select("segment_id", "match_key", "null_ref", "left_count", "right_count", "left_sum", "right_sum", "type", "fingerprint")
 
 
 # Written runs.

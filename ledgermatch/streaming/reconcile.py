@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.classify import Roles, Rule, classify
-from ..operators.match import COPY, GROUP, copy_columns, guarded, side_columns, with_null_refs, with_presence
+from ..operators.match import COPY, GROUP, MIXED, as_rejects, copy_columns, guarded, side_columns, with_null_refs, with_presence
+from ..schema import REJECTS
+from ..sources.sinks import exists
+from .batches import ddl, read_batches, run_batches, write_batch
+
+UNTIMED = "no event time"
 
 
 def time_window(time: str, size: str, slide: str | None = None, gap: str | None = None) -> Column:
@@ -19,7 +24,8 @@ def windowed_groups(records: DataFrame, *, watermark: str = "1 hour", size: str
 
     With ``gap`` windows are sessions of a group. The engine takes no second aggregation above session windows, so there copies are gathered
     within the group's one aggregation. On a stream the rows of a window come when the watermark passes its end. Rows later than the
-    watermark are dropped by the engine without a trace in its progress figures, so keep the raw records (``keep_raw``) and let the batch run decide.
+    watermark are dropped by the engine without a trace in its progress figures, and rows without a time are in no window: ``land`` keeps the former and rejects
+    the latter, ``reconcile_landed`` rejects what 'quarantine' would leave out here, and ``repair`` brings late rows in.
     """
     rows = with_null_refs(records).withWatermark("biz_time", watermark)
     window = time_window("biz_time", size, slide, gap).alias("window")
@@ -56,3 +62,100 @@ def keep_raw(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def write_discrepancies(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# Nothing gets lost: what arrives is landed first, and is later in a group or among the rejects.
+
+def land(records: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep every record with an event time below ``root``/raw by day, late ones included, and reject the others.
+
+    Both tables have a folder for each micro-batch, written once, so a batch that is done again neither loses nor doubles rows.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(as_rejects(batch.where("biz_time is null"), UNTIMED), f"{root}/rejects-untimed", batch_id)
+        write_batch(batch.where("biz_time is not null").withColumn("day", F.to_date("biz_time")), f"{root}/raw", batch_id, ["day"])
+
+    return run_batches(records, each, checkpoint)
+
+
+def landed(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    return read_batches(spark, f"{root}/raw", f"{schema}, day date")
+
+
+def _in_groups(raw: DataFrame, groups: DataFrame) -> DataFrame:
+    """The raw records in the windows of ``groups``; only the days that these touch are read."""
+    span = groups.agg(F.to_date(F.min("window.start")).alias("lo"), F.to_date(F.max("window.end")).alias("hi")).first()
+    if span["lo"] is None:
+        return raw.limit(0)
+    keys = groups.select("window", *[F.col(c).alias(f"__{c}") for c in GROUP]).distinct()
+    same = (F.col("biz_time") >= F.col("window.start")) & (F.col("biz_time") < F.col("window.end"))
+    for c in GROUP:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    near = raw.where(F.col("day").between(F.lit(span["lo"]), F.lit(span["hi"])))
+    return with_null_refs(near).join(keys, same, "left_semi")
+
+
+def reconcile_landed(spark: SparkSession, root: str, schema: str, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, checkpoint: str, **window) -> StreamingQuery:
+    """Classify the windows of what has been landed: closed groups, clean ones included, go to ``root``/groups, and the records of groups
+    with several currencies on a side to ``root``/rejects-mixed, each by micro-batch."""
+    source = spark.readStream.schema(f"{schema}, batch string, day date").parquet(f"{root}/raw")
+    groups = windowed_groups(source, on_mixed="mark", **window)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        # Written first, as the groups are needed several times; the classified ones follow, so readers never see a part of a batch.
+        write_batch(batch, f"{root}/closed", batch_id)
+        closed = spark.read.schema(batch.schema).parquet(f"{root}/closed/batch={batch_id}")
+        mixed = closed.where("mixed")
+        write_batch(as_rejects(_in_groups(landed(spark, root, schema), mixed), MIXED), f"{root}/rejects-mixed", batch_id)
+        write_batch(mixed.select("window", *GROUP, "left_count", "right_count"), f"{root}/mixed", batch_id)
+        write_batch(classify(closed.where("not mixed"), roles, rule, scenario=scenario, period=period).withColumn("revision", F.lit(0)), f"{root}/groups", batch_id)
+
+    return run_batches(groups, each, checkpoint)
+
+
+def current_groups(spark: SparkSession, root: str) -> DataFrame:
+    """The classified groups of all closed windows, as last corrected."""
+    schema = ddl(spark.read.parquet(f"{root}/groups"), "batch")
+    out = read_batches(spark, f"{root}/groups", schema).unionByName(read_batches(spark, f"{root}/corrections", schema))
+    newest = F.row_number().over(Window.partitionBy("window", *GROUP).orderBy(F.desc("revision")))
+    return out.withColumn("__n", newest).where("__n = 1").drop("__n", "batch")
+
+
+def repair(spark: SparkSession, root: str, schema: str, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, name: str, watermark: str = "1 hour", **window) -> DataFrame:
+    """Bring late records in: recompute the groups whose closed windows lack landed records, and publish them as ``root``/corrections.
+
+    A window is closed once the newest landed record is a watermark behind its end. Records and groups meet as counts by window and
+    key; only records of groups whose counts differ are read again, by day. ``name`` names the repair, and a repair of a name is published once. Groups
+    that become mixed are rejected as a whole, and their former results stay.
+    """
+    raw = landed(spark, root, schema)
+    part = time_window("biz_time", window.get("size", "1 day"), window.get("slide"), window.get("gap")).alias("window")
+    if window.get("gap"):
+        raise ValueError("late records may join sessions; repair fixed windows")
+    newest = raw.agg(F.max("biz_time")).first()[0]
+    there = with_null_refs(raw).groupBy(part, *GROUP).agg(F.count("*").alias("n")).where(F.col("window.end") <= F.lit(newest) - F.expr(f"interval {watermark}"))
+    known = current_groups(spark, root).select("window", *GROUP, (F.col("left_count") + F.col("right_count")).alias("m"), "revision")
+    mixed = read_batches(spark, f"{root}/mixed", "window struct<start: timestamp, end: timestamp>, " + ", ".join(f"{c} string" for c in GROUP) + ", left_count long, right_count long")
+    known = known.unionByName(mixed.select("window", *GROUP, (F.col("left_count") + F.col("right_count")).alias("m"), F.lit(0).alias("revision")))
+    same = [there[c].eqNullSafe(known[c]) for c in ("window", *GROUP)]
+    touched = there.join(known, same, "left").where(~F.col("n").eqNullSafe(F.col("m"))).select(*[there[c] for c in ("window", *GROUP)], F.coalesce("revision", F.lit(-1)).alias("revision")).persist()
+    again = windowed_groups(_in_groups(raw, touched).drop("null_ref"), on_mixed="mark", **window)
+    marked = [again[c].eqNullSafe(touched[c]) for c in ("window", *GROUP)]
+    again = again.join(touched, marked).select(*[again[c] for c in again.columns], (F.col("revision") + 1).alias("revision"))
+    write_batch(as_rejects(_in_groups(raw, again.where("mixed")), MIXED), f"{root}/rejects-late-mixed", name)
+    fixed = classify(again.where("not mixed").drop("revision"), roles, rule, scenario=scenario, period=period)
+    back = [fixed[c].eqNullSafe(touched[c]) for c in ("window", *GROUP)]
+    fixed = fixed.join(touched, back).select(*[fixed[c] for c in fixed.columns], (F.col("revision") + 1).alias("revision"))
+    write_batch(fixed, f"{root}/corrections", name)
+    touched.unpersist()
+    return spark.read.parquet(f"{root}/corrections/batch={name}")
+
+
+def all_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """What was rejected while landing and reconciling."""
+    tables = ["rejects-untimed", "rejects-mixed", "rejects-late-mixed"]
+    out = spark.createDataFrame([], f"{REJECTS}, batch string")
+    for t in tables:
+        out = out.unionByName(read_batches(spark, f"{root}/{t}", REJECTS)) if exists(spark, f"{root}/{t}") else out
+    return out.drop("batch")

@@ -170,18 +170,6 @@ def envelope(event_id="e1", fact="EXPECTED", **payload):
     return json.dumps({"eventId": event_id, "eventType": "FULFILLMENT_" + fact, "schemaVersion": "1", "tenantId": "T", "occurredAt": "2026-08-17T00:00:00Z", "payload": body})
 
 
-def test_event_inbox(spark, tmp_path):
-    root = f"file://{tmp_path}/ods"
-    batch = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
-    ev.ingest_batch(batch(envelope(), envelope(), "{"), root)
-    ev.ingest_batch(batch(envelope(), envelope(quantity=2), envelope("e2", currency="USD"), envelope("e3", "PROVIDER", status="SUCCEEDED")), root)
-    facts = ev.facts(spark, root, "ENTITLEMENT_EXPECTED").collect()
-    assert [(f["event_id"], f["status"], f["quantity"]) for f in facts] == [("e1", "EXPECTED", 1)]
-    assert [f["status"] for f in ev.facts(spark, root, "ENTITLEMENT_PROVIDER").collect()] == ["ISSUED"]
-    reasons = sorted(r["reason"] for r in spark.read.parquet(f"{root}/rejects").collect())
-    assert reasons == ["an entitlement event has currency or amount", "conflicting content", "not an event"]
-
-
 def test_remediation_results(spark):
     text = [json.dumps({"eventId": "1", "eventType": t, "schemaVersion": "1.0", "tenantId": "T", "payload": {"externalCommandId": "c", "status": "FAILED"}}) for t in ("REMEDIATION_RESULT", "REMEDIATION_DISPATCHED", "OTHER")]
     got = [(r["command_id"], r["action"], r["reason"]) for r in ev.remediation_results(spark.createDataFrame([(t,) for t in text], "value string")).collect()]
