@@ -550,10 +550,9 @@ union all select 'reject', coalesce(reason, 'conflicting content'), count(*) fro
 def recon_event_stream(spark, sf_dir):
     """SM4, SM5 over three micro-batches: the events, replays and conflicts among them later; the inbox is state. Each claimed event is stored once, and no reject is lost."""
     root = work_path(spark, "events")
-    source = spark.readStream.schema("value string").text(f"{root}/in")
     for seen in range(3):
         _event_json(spark, sf_dir).where(F.col("seen") == seen).select("value").write.mode("append").text(f"{root}/in")
-        ev.ingest_stream(source, f"{root}/out", f"{root}/check").awaitTermination()
+        ev.ingest_stream(spark.readStream.schema("value string").text(f"{root}/in"), f"{root}/out", f"{root}/check").awaitTermination()
     stored, refused = (spark.read.parquet(f"{root}/out/{t}") for t in ("facts", "rejects"))
     return stored.groupBy(F.lit("fact").alias("part"), F.col("target").alias("what")).agg(F.count("*").alias("n")).unionByName(refused.groupBy(F.lit("reject").alias("part"), F.col("reason").alias("what")).agg(F.count("*").alias("n")))
 
@@ -569,9 +568,9 @@ def recon_keyed_stream(spark, sf_dir):
     root = work_path(spark, "keyed")
     keyed.use_rocksdb(spark)
     records = demo.run(spark, sf_dir).records.drop("bucket")
-    source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
     for part in (records, _end(records)):
         part.write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
         batches.run_batches(keyed.keyed_groups(source), lambda df, i: batches.write_batch(df, f"{root}/groups", i), f"{root}/check").awaitTermination()
     out = keyed.latest_groups(spark.read.parquet(f"{root}/groups"))
     return out.select("segment_id", "match_key", "null_ref", "group_key", "left_count", "right_count", "left_sum", "right_sum", "left_currency", "right_currency", "left_ref", "right_ref", "left_status", "right_status", "left_copies", "right_copies", "presence")
@@ -588,10 +587,10 @@ def recon_lossless_stream(spark, sf_dir):
     records = r.records.drop("bucket").withColumns({"biz_time": F.when(~F.col("raw_ref").endswith("7"), F.col("biz_time")), "currency": F.when(F.col("raw_ref").startswith("marketing:m2-"), "CHF").otherwise(F.col("currency"))})
     roles = {s.id: s.roles() for s in r.scenario.segments}
     schema = batches.ddl(records)
-    source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
     for part in (records, _end(records)):
         part.write.mode("append").parquet(f"{root}/in")
-        reconcile.land(source, f"{root}/t", f"{root}/check-land").awaitTermination()
+        source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
+        reconcile.land(source, f"{root}/t", f"{root}/check-land", by="year").awaitTermination()
         reconcile.reconcile_landed(spark, f"{root}/t", schema, roles, Rule(), scenario=demo.SCENARIO, period=demo.PERIOD, checkpoint=f"{root}/check").awaitTermination()
     groups = reconcile.current_groups(spark, f"{root}/t").groupBy(F.lit("grouped").alias("part"), "segment_id").agg(F.sum(F.col("left_count") + F.col("right_count")).alias("n"))
     return groups.unionByName(reconcile.all_rejects(spark, f"{root}/t").groupBy(F.col("reason").alias("part"), "segment_id").agg(F.count("*").alias("n")))
@@ -606,11 +605,11 @@ def recon_late_repair(spark, sf_dir):
     late = F.crc32(F.col("raw_ref").cast("binary")) % 3 == 0
     roles = {s.id: s.roles() for s in r.scenario.segments}
     schema = batches.ddl(records)
-    source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
     rest = {"scenario": demo.SCENARIO, "period": demo.PERIOD}
     for part in (records.where(~late), _end(records), records.where(late)):
         part.write.mode("append").parquet(f"{root}/in")
-        reconcile.land(source, f"{root}/t", f"{root}/check-land").awaitTermination()
+        source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
+        reconcile.land(source, f"{root}/t", f"{root}/check-land", by="year").awaitTermination()
         reconcile.reconcile_landed(spark, f"{root}/t", schema, roles, Rule(), checkpoint=f"{root}/check", **rest).awaitTermination()
     reconcile.repair(spark, f"{root}/t", schema, roles, Rule(), name="one", **rest)
     return reconcile.current_groups(spark, f"{root}/t").select("segment_id", "match_key", "null_ref", "left_count", "right_count", "left_sum", "right_sum", "type", "fingerprint")

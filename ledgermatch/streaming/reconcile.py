@@ -66,40 +66,42 @@ def write_discrepancies(stream: DataFrame, path: str, checkpoint: str) -> Stream
 
 # Nothing gets lost: what arrives is landed first, and is later in a group or among the rejects.
 
-def land(records: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keep every record with an event time below ``root``/raw by day, late ones included, and reject the others.
+def land(records: DataFrame, root: str, checkpoint: str, *, by: str = "month") -> StreamingQuery:
+    """Keep every record with an event time below ``root``/raw, late ones included, and reject the others.
 
-    Both tables have a folder for each micro-batch, written once, so a batch that is done again neither loses nor doubles rows.
+    Both tables have a folder for each micro-batch, written once, so a batch that is done again neither loses nor doubles rows. The raw table is parted ``by`` day ('day'
+    suits streams whose event times are near each other), week, month, quarter or year of event time, so that repairs read little.
     """
+    part = F.to_date(F.date_trunc(by, "biz_time"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         write_batch(as_rejects(batch.where("biz_time is null"), UNTIMED), f"{root}/rejects-untimed", batch_id)
-        write_batch(batch.where("biz_time is not null").withColumn("day", F.to_date("biz_time")), f"{root}/raw", batch_id, ["day"])
+        write_batch(batch.where("biz_time is not null").withColumn("part", part).hint("rebalance", "part"), f"{root}/raw", batch_id, ["part"])
 
     return run_batches(records, each, checkpoint)
 
 
 def landed(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    return read_batches(spark, f"{root}/raw", f"{schema}, day date")
+    return read_batches(spark, f"{root}/raw", f"{schema}, part date")
 
 
 def _in_groups(raw: DataFrame, groups: DataFrame) -> DataFrame:
-    """The raw records in the windows of ``groups``; only the days that these touch are read."""
-    span = groups.agg(F.to_date(F.min("window.start")).alias("lo"), F.to_date(F.max("window.end")).alias("hi")).first()
+    """The raw records in the windows of ``groups``; parts behind the last and before the first window's year are not read."""
+    span = groups.agg(F.trunc(F.min("window.start"), "year").alias("lo"), F.to_date(F.max("window.end")).alias("hi")).first()
     if span["lo"] is None:
         return raw.limit(0)
     keys = groups.select("window", *[F.col(c).alias(f"__{c}") for c in GROUP]).distinct()
     same = (F.col("biz_time") >= F.col("window.start")) & (F.col("biz_time") < F.col("window.end"))
     for c in GROUP:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    near = raw.where(F.col("day").between(F.lit(span["lo"]), F.lit(span["hi"])))
+    near = raw.where(F.col("part").between(F.lit(span["lo"]), F.lit(span["hi"])))
     return with_null_refs(near).join(keys, same, "left_semi")
 
 
 def reconcile_landed(spark: SparkSession, root: str, schema: str, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, checkpoint: str, **window) -> StreamingQuery:
     """Classify the windows of what has been landed: closed groups, clean ones included, go to ``root``/groups, and the records of groups
     with several currencies on a side to ``root``/rejects-mixed, each by micro-batch."""
-    source = spark.readStream.schema(f"{schema}, batch string, day date").parquet(f"{root}/raw")
+    source = spark.readStream.schema(f"{schema}, batch string, part date").parquet(f"{root}/raw")
     groups = windowed_groups(source, on_mixed="mark", **window)
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -126,7 +128,7 @@ def repair(spark: SparkSession, root: str, schema: str, roles: dict[str, Roles],
     """Bring late records in: recompute the groups whose closed windows lack landed records, and publish them as ``root``/corrections.
 
     A window is closed once the newest landed record is a watermark behind its end. Records and groups meet as counts by window and
-    key; only records of groups whose counts differ are read again, by day. ``name`` names the repair, and a repair of a name is published once. Groups
+    key; only records of groups whose counts differ meet again. ``name`` names the repair, and a repair of a name is published once. Groups
     that become mixed are rejected as a whole, and their former results stay.
     """
     raw = landed(spark, root, schema)
