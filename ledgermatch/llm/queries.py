@@ -58,6 +58,16 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def vector_links_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's operator over the vectors and near copies of a third of them, a ninth twice: all embeddings alone hold hardly a link. Copies differ by a twentieth of their length."""
+    given = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    number = F.explode(F.sequence(F.lit(0), F.when(F.col("vec_id") % 9 == 0, 2).when(F.col("vec_id") % 3 == 0, 1).otherwise(0))).alias("copy")
+    rows = given.select("vec_id", "embedding", number, F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x) / F.size("embedding")).alias("size"))
+    noise = lambda x, i: x + F.col("copy") * 0.05 * F.col("size") * F.sin(F.col("vec_id") * 7.3 + F.col("copy") * 2.1 + i * 1.7)
+    copies = rows.select((F.col("vec_id") + F.col("copy") * 1_000_000_000).alias("vec_id"), F.transform("embedding", noise).alias("embedding"))
+    return vector_dedup.near_duplicate_vectors(copies)
+
+
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id")) == 1
@@ -119,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_collocations": op11_collocations,
     "op12_quality_mil": op12_quality_mil,
     "op13_periodic_runs": op13_periodic_runs,
+    "vector_links_planted": vector_links_planted,
 }
 
 ORACLE_SQL = {"op3_topk_search": topk_search.ORACLE_SQL, "op10_line_dedup": line_dedup.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}

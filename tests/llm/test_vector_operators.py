@@ -81,6 +81,26 @@ def test_vector_classes(spark, options):
     assert vector_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_planted_copies_are_linked(spark):
+    from ledgermatch.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    out = {r["vec_id"]: r for r in queries.vector_links_planted(spark, sf).collect()}
+    given = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r["embedding"] is not None}
+    ids = [i + c * 10**9 for i in given for c in range(1 + (i % 3 == 0) + (i % 9 == 0))]
+    made = []
+    for i in ids:
+        base, c = i % 10**9, i // 10**9
+        v = given[base]
+        made.append(v + c * 0.05 * np.sqrt((v * v).mean()) * np.sin(base * 7.3 + c * 2.1 + np.arange(len(v)) * 1.7))
+    u = np.array(made)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    found = np.array([out[i]["n_links"] for i in ids])
+    assert want.sum() > len(given) / 3 and found.sum() >= 0.98 * want.sum() and (found <= want).all()
+    assert out[ids[0]]["recall"] >= 0.9 and out[ids[0]]["audited_links"] >= 30
+
+
 def test_vectors_of_one_id_and_of_other_lengths(spark):
     rows = [(7, [1.0, 0.0], 0), (7, [0.0, 1.0], 0), (8, [1.0, 0.01], 0), (9, [0.0, 2.0], 0), (10, [1.0, 0.0, 0.0], 0), (11, [3.0, 0.1, 0.0], 0), (None, [1.0, 0.0], 0), (12, [-1.0], 0)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("n_links", F.lit("clash")).withColumn("v", F.lit(1))
