@@ -49,7 +49,7 @@ def type_counts(discrepancies: DataFrame) -> DataFrame:
 
 
 def latest_five(runs: DataFrame) -> DataFrame:
-    return runs.orderBy(F.desc("created_at"), F.desc("sequence_no"), F.desc("run_id")).limit(5)
+    return list_runs(runs, size=5)[0]
 
 
 def bucket_skew(records: DataFrame, *, by: str = "bucket", factor: float = 5.0, least: int = 1000) -> DataFrame:
@@ -75,18 +75,61 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     return runs.groupBy("scenario", "status").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "FAILED").alias("n_failed"), F.sum(seconds).alias("seconds"))
 
 
-def _page(df: DataFrame, page: int, size: int) -> DataFrame:
+def _checked_page(page: int, size: int) -> None:
     if not 1 <= size <= 100 or not 0 <= page <= 1_000_000:
         raise ValueError("pages hold 1 to 100 rows, and there are at most 1000001")
-    return df.offset(page * size).limit(size)
 
 
-def list_runs(runs: DataFrame, *, scenario: str | None = None, period: str | None = None, status: str | None = None, page: int = 0, size: int = 20) -> tuple[DataFrame, DataFrame]:
-    """A page of runs, newest first, and one row with the total."""
+def _time_cells(time: Column) -> list[Column]:
+    return [F.date_trunc(unit, time) for unit in ("year", "day", "hour", "minute", "second", "microsecond")]
+
+
+def located(rows: DataFrame, cells: list[Column], skip: int, *, most: int = 10_000) -> tuple[DataFrame, int]:
+    """(rows from some place on, rows to skip there), so that the place is ``most`` rows at most before the row number ``skip`` in falling order.
+
+    ``cells`` are ever finer parts of the order. Rows are counted by cell, and then by finer cells within the one that the row is in: a few
+    counts over ever fewer rows, none of which sorts any. Nulls come last.
+    """
+    inside = after = F.lit(True)
+    for cell in cells:
+        before, found = 0, None
+        for c in rows.where(inside).groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).orderBy(F.desc("cell")).toLocalIterator():
+            if before + c["n"] > skip:
+                found = c
+                break
+            before += c["n"]
+        if found is None:
+            return rows.where(F.lit(False)), 0
+        skip -= before
+        here = cell.isNull() if found["cell"] is None else cell == F.lit(found["cell"])
+        later = cell.isNull() if found["cell"] is None else F.coalesce(cell <= F.lit(found["cell"]), F.lit(True))
+        after, inside = after & (~F.coalesce(inside, F.lit(False)) | later), F.coalesce(inside & here, F.lit(False))
+        if found["n"] <= most:
+            break
+    return rows.where(after), skip
+
+
+def _page(rows: DataFrame, order: list[Column], cells: list[Column], page: int, size: int, after: tuple | None, keys: list[Column]) -> DataFrame:
+    """Page number ``page``, or the ``size`` rows behind ``after``. No task sorts more than the rows that it keeps of a page and its skip."""
+    _checked_page(page, size)
+    if after is not None:
+        behind = F.lit(False)
+        for k, v in reversed(list(zip(keys, after))):
+            behind = (k < F.lit(v)) | ((k == F.lit(v)) & behind)
+        return rows.where(behind).orderBy(*order).limit(size)
+    skip = page * size
+    if skip:
+        rows, skip = located(rows, cells, skip)
+    return rows.orderBy(*order).limit(skip + size).offset(skip)
+
+
+def list_runs(runs: DataFrame, *, scenario: str | None = None, period: str | None = None, status: str | None = None, page: int = 0, size: int = 20, after: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """A page of runs, newest first, and one row with the total. ``after`` (created_at, sequence_no, run_id) asks for the rows behind that one instead of a page by number."""
     for column, value in (("scenario", scenario), ("period", period), ("status", status)):
         if value is not None:
             runs = runs.where(F.col(column) == value)
-    return _page(runs.orderBy(F.desc("created_at"), F.desc("sequence_no"), F.desc("run_id")), page, size), runs.agg(F.count("*").alias("total"))
+    keys = [F.col("created_at"), F.col("sequence_no"), F.col("run_id")]
+    return _page(runs, [F.desc("created_at"), F.desc("sequence_no"), F.desc("run_id")], _time_cells(keys[0]), page, size, after, keys), runs.agg(F.count("*").alias("total"))
 
 
 def enriched(discrepancies: DataFrame, dispositions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -96,11 +139,24 @@ def enriched(discrepancies: DataFrame, dispositions: DataFrame, runs: DataFrame)
     return discrepancies.join(d, "fingerprint", "left").join(r, "run_id")
 
 
-def list_discrepancies(rows: DataFrame, *, text: str | None = None, status: str | None = None, page: int = 0, size: int = 20, **equal: str | None) -> tuple[DataFrame, DataFrame]:
+#: The columns that a text is looked for in.
+SEARCHED = ["discrepancy_id", "fingerprint", "group_key", "match_key", "left_ref", "right_ref"]
+
+
+def holds_text(text: str) -> Column:
+    """Whether one of the searched columns holds ``text``, without case, with % and _ as wildcards."""
+    found = F.lit(False)
+    for c in SEARCHED:
+        found = found | F.coalesce(F.lower(c).like(f"%{text.lower()}%"), F.lit(False))
+    return found
+
+
+def list_discrepancies(rows: DataFrame, *, text: str | None = None, status: str | None = None, page: int = 0, size: int = 20, after: tuple | None = None, **equal: str | None) -> tuple[DataFrame, DataFrame]:
     """A page of enriched discrepancies, last changed first, ties by falling discrepancy id, and one row with the total.
 
     ``equal`` filters columns such as run_id, scenario, period, segment_id and type; ``text`` is looked for without case in ids, keys and
-    references, with % and _ as wildcards; status OPEN means no disposition.
+    references, with % and _ as wildcards (``text_index`` finds it without reading all rows); status OPEN means no disposition. ``after`` (changed at, discrepancy id)
+    asks for the rows behind that one instead of a page by number.
     """
     for column, value in equal.items():
         if value is not None:
@@ -108,13 +164,10 @@ def list_discrepancies(rows: DataFrame, *, text: str | None = None, status: str
     if status is not None:
         rows = rows.where(open_for_filters(F.col("disposition")) if status == "OPEN" else F.col("disposition") == status)
     if text:
-        like = [F.coalesce(F.lower(c).like(f"%{text.lower()}%"), F.lit(False)) for c in ("discrepancy_id", "fingerprint", "group_key", "match_key", "left_ref", "right_ref")]
-        anywhere = like[0]
-        for x in like[1:]:
-            anywhere = anywhere | x
-        rows = rows.where(anywhere)
-    ordered = rows.orderBy(F.desc(F.coalesce("disposed_at", "updated_at")), F.desc("discrepancy_id"))
-    return _page(ordered, page, size), rows.agg(F.count("*").alias("total"))
+        rows = rows.where(holds_text(text))
+    changed = F.coalesce("disposed_at", "updated_at")
+    cells = [*_time_cells(changed), *[F.substring("discrepancy_id", 1, n) for n in (2, 4, 6)]]
+    return _page(rows, [F.desc(changed), F.desc("discrepancy_id")], cells, page, size, after, [changed, F.col("discrepancy_id")]), rows.agg(F.count("*").alias("total"))
 
 
 def group_records(records: DataFrame, run_id: str, segment_id: str, group_key: str, *, most: int = 500) -> DataFrame:

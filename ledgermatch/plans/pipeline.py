@@ -13,7 +13,8 @@ from ..operators.ledger import HANDLERS, finished
 from ..operators.match import STRATEGIES, broken_rejects, guarded, mixed_rejects, standardize
 from ..sources.mapping import ReadContext
 from ..sources.readers import both_sides, route_source
-from ..sources.sinks import append_absent, read_run, replace_run, with_discrepancy_ids
+from ..sources.sinks import append_absent, assert_unique, with_discrepancy_ids
+from ..sources.versions import Attempt
 from .scenario import Scenario
 
 
@@ -101,26 +102,32 @@ class Reconciliation:
         return proven_report(self.report, self.records)
 
 
+#: The tables of a run, which are published together.
+RUN_TABLES = ["records", "rejects", "classified", "discrepancies", "report", "status"]
+
+
 def write_run(r: Reconciliation, root: str, handlers=None) -> dict[str, DataFrame]:
-    """Carry out a run and write its tables below ``root``, each computed once; gives them as read back, and the run's final ``status``.
+    """Carry out a run and publish its tables below ``root``, each computed once; gives them as read back.
 
-    Records, rejects, classified groups, discrepancies and the report take the place of what an earlier attempt of the run left, so calling this
-    again is a re-run. Handlers' rows are appended where their idempotency keys are new; what people decided is not touched.
+    Records, rejects, classified groups, discrepancies, the report and the run's final status are written aside and become the run's in one step, after it has been
+    asserted that no fingerprint repeats. Whatever ends an attempt before leaves the former publication whole; calling this again is a re-run. Handlers' rows are appended after that where
+    their idempotency keys are new, so an attempt that died between is completed by the next; what people decided is not touched.
     """
+    attempt = Attempt(r.spark, root, r.run_id)
     out: dict[str, DataFrame] = {}
 
     def keep(name: str, df: DataFrame) -> DataFrame:
-        replace_run(df, f"{root}/{name}", r.run_id)
-        out[name] = read_run(r.spark, f"{root}/{name}", r.run_id, df.schema)
+        out[name] = attempt.write(name, df)
         return out[name]
 
     records = keep("records", r.records)
     keep("rejects", r.rejects)
     classified = keep("classified", r.classify_groups(guarded(r._matched(records), r.on_mixed)))
-    found = keep("discrepancies", with_discrepancy_ids(discrepancies(classified)))
+    found = assert_unique(keep("discrepancies", with_discrepancy_ids(discrepancies(classified))), ["fingerprint"], "a run holds a fingerprint twice")
     report = keep("report", proven_report(conservation_report(classified), records))
+    status = keep("status", finished(r.spark.createDataFrame([(r.run_id,)], "run_id string"), report))
+    attempt.publish(scenario=r.scenario.code, period=r.period, status=status.first()["status"])
     for name, handler in handlers or HANDLERS:
         append_absent(handler(found), r.spark, f"{root}/{name}", "idempotency_key")
         out[name] = r.spark.read.parquet(f"{root}/{name}")
-    out["status"] = finished(r.spark.createDataFrame([(r.run_id,)], "run_id string"), report)
     return out

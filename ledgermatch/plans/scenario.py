@@ -5,10 +5,14 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..operators.classify import EVALUATORS, PolicyRule, Roles, Rule
+from ..operators.entitlement import reconcile_entitlements
 from ..operators.match import STRATEGIES
 from ..schema import TYPES
 from ..sources.mapping import SourceMapping
+from ..sources.readers import load_table
 
 
 @dataclass(frozen=True)
@@ -132,9 +136,17 @@ class EntitlementScenario:
             raise ValueError("an entitlement scenario has the sides EXPECTED, INTERNAL and PROVIDER")
         return self
 
+    def reconcile(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """(labelled groups, rejects) of the sides' tables; the tenant is a filter on their scans."""
+        tables = {}
+        for role, source in zip(("EXPECTED", "INTERNAL", "PROVIDER"), self.sides):
+            df = load_table(spark, source.kind, source.location, **source.options)
+            tables[role] = df.where(df[source.mapping.tenant] == self.tenant_id) if self.tenant_id is not None and source.mapping.tenant else df
+        return reconcile_entitlements(tables)
+
 
-def entitlement_fulfillment(kind: str = "db", tenant_id: str | None = None) -> EntitlementScenario:
-    """The entitlement tables that events fill."""
+def entitlement_fulfillment(kind: str = "db", tenant_id: str | None = None, locations: tuple[str, str, str] | None = None) -> EntitlementScenario:
+    """The entitlement tables that events fill, or others of the same columns at ``locations``."""
     tables = [f"recon_ods_entitlement_{role}" for role in ("expected", "internal", "provider")]
-    sides = tuple(Source(kind, t, SourceMapping(t, match_key="issue_id", biz_time="occurred_at", tenant="tenant_id")) for t in tables)
+    sides = tuple(Source(kind, at, SourceMapping(t, match_key="issue_id", biz_time="occurred_at", tenant="tenant_id")) for t, at in zip(tables, locations or tables))
     return EntitlementScenario("ENTITLEMENT_FULFILLMENT", sides, tenant_id).validate()

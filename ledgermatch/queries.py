@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.keys import strip_trailing, sub_index_of
-from .operators import entitlement, ledger, outbox, views
-from .operators.classify import EVALUATORS, PolicyRule, Roles, Rule, classify, register_evaluator
-from .operators.match import broken_rejects, identity_keys, match_groups
+from .operators import entitlement, ledger, outbox, text_index, views
+from .operators.classify import EVALUATORS, PolicyRule, Roles, Rule, classify, discrepancies, register_evaluator
+from .operators.conserve import conservation_report
+from .operators.match import broken_rejects, identity_keys, match_groups, register_strategy
 from .plans import demo
 from .plans.demo import classified_sql, records_sql
 from .plans.pipeline import Reconciliation, write_run
-from .plans.scenario import Scenario, Segment, Source, benefit_cash_three_way
+from .plans.scenario import Scenario, Segment, Source, benefit_cash_three_way, entitlement_fulfillment
 from .sources.mapping import ReadContext, SourceMapping
-from .sources.readers import read_csv_source, read_table_source
+from .sources.readers import read_csv_source, read_table_source, register_source
+from .sources.bucketed import store_bucketed
 from .sources.sinks import with_discrepancy_ids
 from .sources.work import work_path
 from .streaming import batches, events as ev, keyed, reconcile
@@ -39,6 +42,29 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that is written once and read by all that follows, as a run's are."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _written_path(df: DataFrame) -> str:
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return path
+
+
+def _found(spark, sf_dir, **options) -> DataFrame:
+    """The demo run's discrepancies, stored."""
+    return _stored(demo.run(spark, sf_dir, **options).discrepancies, "discrepancies")
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """A ledger stored by fingerprint."""
+    return store_bucketed(df, f"ledger_{uuid.uuid4().hex}", buckets=16, path=work_path(df.sparkSession, "ledger"))
+
+
 def _types(classified: DataFrame) -> DataFrame:
     return classified.groupBy("segment_id", F.coalesce("type", F.lit("CLEAN")).alias("type")).agg(F.count("*").alias("n_groups"), F.sum("left_sum").alias("sum_left"), F.sum("right_sum").alias("sum_right"))
 
@@ -209,7 +235,7 @@ _TWO_RUNS = classified_sql() + ", x1 as (select fingerprint as f from cl where t
 @query(_TWO_RUNS + " select coalesce(x1.f, x2.f) as fingerprint, case when x2.f is null then 'vanished' when x1.f is null then 'new' else 'relinked' end as change from x1 full join x2 on x1.f = x2.f")
 def recon_run_difference(spark, sf_dir):
     """ST4: fingerprints of two runs of which the second lacks some accounting rows."""
-    return ledger.run_difference(demo.run(spark, sf_dir).discrepancies, demo.run(spark, sf_dir, dropped=7).discrepancies)
+    return ledger.run_difference(*[_dealt(demo.run(spark, sf_dir, dropped=d).discrepancies.select("fingerprint")) for d in (0, 7)])
 
 
 _DISPOSED = "case when substr(fingerprint, 1, 1) < '4' then 'RESOLVED' when substr(fingerprint, 1, 1) < '6' then 'CLOSED' when substr(fingerprint, 1, 1) = '6' then 'SUPPRESSED' when substr(fingerprint, 1, 1) = '7' then 'REOPENED' when substr(fingerprint, 1, 1) = '8' then 'STALE' end"
@@ -225,14 +251,14 @@ case when status <> 'STALE' and x2.f is not null then 'RUN1' else 'RUN0' end as
 def recon_converge_dispositions(spark, sf_dir):
     """LC3, LC4, WN3, JN5."""
     first, second = demo.run(spark, sf_dir).discrepancies, demo.run(spark, sf_dir, dropped=7).discrepancies
-    return ledger.converge_dispositions(_dispositions(first), second, "RUN1")
+    return ledger.converge_dispositions(_dealt(_dispositions(first)), _dealt(second.select("fingerprint")), "RUN1")
 
 
 @query(classified_sql() + f", d as (select fingerprint, {_DISPOSED} as s from cl where type is not null) select count(*) as n, count(*) filter (s is null or s = 'REOPENED') as n_open, count(*) filter (s = 'RESOLVED') as n_resolved, count(*) filter (s = 'CLOSED') as n_closed, count(*) filter (s = 'SUPPRESSED') as n_suppressed from d")
 def recon_dashboard(spark, sf_dir):
     """AG8, JN6."""
-    d = demo.run(spark, sf_dir).discrepancies
-    return views.dashboard_counts(d, _dispositions(d))
+    d = _dealt(demo.run(spark, sf_dir).discrepancies.select("fingerprint"))
+    return views.dashboard_counts(d, _dealt(_dispositions(d)))
 
 
 @query(classified_sql() + "select type, count(*) as n from cl where type is not null group by type")
@@ -245,9 +271,10 @@ def recon_type_counts(spark, sf_dir):
 def recon_run_summary(spark, sf_dir):
     """AG7, LC2."""
     r = demo.run(spark, sf_dir)
-    d = r.discrepancies
-    runs = ledger.finished(d.select("run_id").distinct(), r.report).where("status = 'COMPLETED'")
-    return views.run_summary(runs.select("run_id"), d, _dispositions(d), r.report)
+    classified = _stored(r.classified, "classified")
+    d, report = discrepancies(classified), conservation_report(classified)
+    runs = ledger.finished(d.select("run_id").distinct(), report).where("status = 'COMPLETED'")
+    return views.run_summary(runs.select("run_id"), d, _dispositions(d), report)
 
 
 @query(classified_sql() + """select 'ledger:' || fingerprint as idempotency_key, 'ledger' as handler, null::bigint as amount_minor from cl where type is not null
@@ -255,7 +282,7 @@ union all select 'alert:' || fingerprint, 'alert', null from cl where type is no
 union all select 'reversal-suggestion:' || fingerprint, 'reversal', delta from cl where type in ('AMOUNT_MISMATCH', 'GROUP_SUM_MISMATCH') and delta <> 0""")
 def recon_handlers(spark, sf_dir):
     """LC6-LC9, SNK4, ST3: all handlers' rows, where some alerts exist already."""
-    d = demo.run(spark, sf_dir).discrepancies
+    d = _found(spark, sf_dir)
     out = ledger.handle(d, {"alert": ledger.alert_outbox(d.where("fingerprint < '8'"))})
     pick = lambda n: out[n].select("idempotency_key", F.lit(n).alias("handler"), (F.col("amount_minor") if n == "reversal" else F.lit(None).cast("long")).alias("amount_minor"))
     return pick("ledger").union(pick("alert")).union(pick("reversal"))
@@ -320,12 +347,28 @@ def recon_run_metrics(spark, sf_dir):
 @query(classified_sql() + f"select fingerprint, type, disposition from (select fingerprint, type, coalesce({_DISPOSED}, 'none') as disposition, {_ID} as discrepancy_id from cl where type = 'AMOUNT_MISMATCH' and {_DISPOSED} is null and (lower({_ID}) like '%c1_%' or lower(fingerprint) like '%c1_%' or lower(group_key) like '%c1_%' or lower(match_key) like '%c1_%' or lower(left_ref) like '%c1_%' or lower(right_ref) like '%c1_%')) order by discrepancy_id desc limit 50")
 def recon_list_discrepancies(spark, sf_dir):
     """SO2: the first page of open amount mismatches that hold a text."""
-    d = with_discrepancy_ids(demo.run(spark, sf_dir).discrepancies).withColumn("updated_at", F.lit("2026-08-17").cast("timestamp"))
+    d = with_discrepancy_ids(_found(spark, sf_dir)).withColumn("updated_at", F.lit("2026-08-17").cast("timestamp"))
     runs = spark.createDataFrame([(demo.RUN, demo.SCENARIO, demo.PERIOD)], "run_id string, scenario string, period string")
     page, _ = views.list_discrepancies(views.enriched(d, _dispositions(d), runs), text="C1_", status="OPEN", type="AMOUNT_MISMATCH", size=50)
     return page.select("fingerprint", "type", F.coalesce("disposition", F.lit("none")).alias("disposition"))
 
 
+@query(classified_sql() + f"select fingerprint, discrepancy_id from (select fingerprint, {_ID} as discrepancy_id, row_number() over (order by {_ID} desc) as nth from cl where type is not null) where nth > 300 and nth <= 350")
+def recon_deep_page(spark, sf_dir):
+    """SO2: a page far back, all of whose rows have one time; counts by cell find it. A page's size is the limit."""
+    d = with_discrepancy_ids(_found(spark, sf_dir)).withColumns({"updated_at": F.lit("2026-08-17").cast("timestamp"), "disposed_at": F.lit(None).cast("timestamp"), "disposition": F.lit(None).cast("string")})
+    return views.list_discrepancies(d, page=6, size=50)[0].select("fingerprint", "discrepancy_id")
+
+
+@query(classified_sql() + f"""select fingerprint, pattern from cl, (select unnest(['c1_0', '1234', 'i%77', 'A-9']) as pattern) where type is not null and (lower({_ID}) like '%' || lower(pattern) || '%' or fingerprint like '%' || lower(pattern) || '%' or lower(group_key) like '%' || lower(pattern) || '%'
+or coalesce(lower(match_key) like '%' || lower(pattern) || '%', false) or coalesce(lower(left_ref) like '%' || lower(pattern) || '%', false) or coalesce(lower(right_ref) like '%' || lower(pattern) || '%', false))""")
+def recon_text_search(spark, sf_dir):
+    """SO2: texts with wildcards looked up by an index of grams."""
+    path = work_path(spark, "index")
+    text_index.write_index(with_discrepancy_ids(demo.run(spark, sf_dir).discrepancies), path, parts=16)
+    return reduce(DataFrame.union, [text_index.search(spark, path, p).select("fingerprint", F.lit(p).alias("pattern")) for p in ("c1_0", "1234", "i%77", "A-9")])
+
+
 @query(f"with {records_sql()} select side, match_key, raw_ref from records where segment_id = 'SEG1_MKT_ACCT' and group_key = 'O100'")
 def recon_group_records(spark, sf_dir):
     """SO3."""
@@ -335,7 +378,7 @@ def recon_group_records(spark, sf_dir):
 @query(classified_sql() + "select fingerprint, 1 as n_actions, (case when type in ('AMOUNT_MISMATCH', 'GROUP_SUM_MISMATCH') and delta <> 0 then 1 else 0 end) as n_reversals, 1 as n_alerts from cl where type is not null")
 def recon_discrepancy_detail(spark, sf_dir):
     """SO4."""
-    d = demo.run(spark, sf_dir).discrepancies
+    d = _found(spark, sf_dir)
     h = {n: t.withColumn("created_at", F.lit("2026-08-17").cast("timestamp")) for n, t in ledger.handle(d).items()}
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}")
     out = views.discrepancy_detail(d, h["ledger"], h["reversal"], h["alert"])
@@ -650,7 +693,7 @@ select run_id, fingerprint, case when run_id = 'RUN2' and scenario = 'MINE' and
 case when run_id = 'RUN2' and scenario = 'MINE' and status <> 'STALE' and x2.f is not null then 'RUN2' else 'RUN0' end as last_seen_run from dp cross join rs left join x2 on fingerprint = x2.f where status is not null""")
 def recon_converge_latest(spark, sf_dir):
     """LC4: two runs of a scenario and period, of which only the latest changes dispositions, and only those of its scenario."""
-    first, second = demo.run(spark, sf_dir).discrepancies, demo.run(spark, sf_dir, dropped=7).discrepancies
+    first, second = _found(spark, sf_dir), _found(spark, sf_dir, dropped=7)
     scenario = F.when(F.ascii(F.substring("fingerprint", 3, 1)) % 2 == 0, "MINE").otherwise("OTHER")
     state = _dispositions(first).withColumns({"scenario": scenario, "period": F.lit("P"), "version": F.lit(0).cast("long")})
     runs = spark.createDataFrame([("RUN1", "MINE", "P", 1), ("RUN2", "MINE", "P", 2)], "run_id string, scenario string, period string, sequence_no long")
@@ -752,10 +795,12 @@ def recon_benefit_cash(spark, sf_dir):
 
 @query(ORACLE_SQL["recon_entitlement"].replace("from l", "from l where tenant_id = 'T1'"))
 def recon_entitlement_scenario(spark, sf_dir):
-    """EX7: the entitlement scenario of one tenant, from a table for each role."""
-    obs = _observations(spark, sf_dir)
-    sides = {role: obs.where(F.col("role") == role).drop("role") for role in ("EXPECTED", "INTERNAL", "PROVIDER")}
-    return entitlement.reconcile_entitlements(sides, "T1")[0].select("tenant_id", "issue_id", F.array_join("labels", ",").alias("labels"))
+    """EX7: the entitlement scenario of one tenant, run through its sources: a table for each role."""
+    obs, root = _observations(spark, sf_dir), work_path(spark, "sides")
+    for role in ("EXPECTED", "INTERNAL", "PROVIDER"):
+        obs.where(F.col("role") == role).drop("role").write.parquet(f"{root}/{role}")
+    scenario = entitlement_fulfillment("parquet", "T1", tuple(f"{root}/{role}" for role in ("EXPECTED", "INTERNAL", "PROVIDER")))
+    return scenario.reconcile(spark)[0].select("tenant_id", "issue_id", F.array_join("labels", ",").alias("labels"))
 
 
 @query(f"with {records_sql()} select count(*) as n, count(*) as n_refs, true as gapless from marketing")
@@ -770,6 +815,35 @@ def recon_csv_lines(spark, sf_dir):
     return files.agg(F.sum("n").alias("n"), F.sum("n_refs").alias("n_refs"), F.bool_and((F.col("lo") == 2) & (F.col("hi") - 1 == F.col("n"))).alias("gapless"))
 
 
+def _read_priority_lines(spark, path, mapping, ctx):
+    """A reader of our own: lines of id=amount."""
+    parts = F.split("value", "=")
+    rows = spark.read.text(path).select(parts[0].alias("id"), parts[0].alias("key"), F.lit("USD").alias("ccy"), parts[1].cast("long").alias("amount_minor"))
+    return read_table_source(rows, mapping, ctx)
+
+
+def _match_without_case(records: DataFrame) -> DataFrame:
+    """A strategy of our own: keys that differ in case only match."""
+    return match_groups(records.withColumns({"match_key": F.lower("match_key"), "group_key": F.lower("group_key")}), on_mixed="mark")
+
+
+register_source("priority-lines", _read_priority_lines)
+register_strategy("without-case", _match_without_case)
+
+
+@query("""select case when o_orderkey % 7 = 0 then 'AMOUNT_MISMATCH' else 'CLEAN' end as type, count(*) as n_groups, sum(round(o_totalprice * 100)::bigint)::bigint as sum_left, sum(round(o_totalprice * 100)::bigint + case when o_orderkey % 7 = 0 then 1 else 0 end)::bigint as sum_right from orders group by 1""")
+def recon_own_reader_and_strategy(spark, sf_dir):
+    """EX1, EX3: a registered reader and a registered match strategy in a run."""
+    path, k = work_path(spark, "lines"), F.col("o_orderkey")
+    amount = F.round(F.col("o_totalprice") * 100).cast("long")
+    _orders(spark, sf_dir).select(F.concat(F.lit("K"), k.cast("string"), F.lit("="), (amount).cast("string"))).write.text(path)
+    right = _orders(spark, sf_dir).select(F.concat(F.lit("k"), k.cast("string")).alias("id"), F.concat(F.lit("k"), k.cast("string")).alias("key"), F.lit("USD").alias("ccy"), (amount + F.when(k % 7 == 0, 1).otherwise(0)).alias("amount_minor"))
+    bare = {"match_key": "key", "group_key": "key", "entry_type": None, "biz_status": None, "biz_time": None, "posting_time": None}
+    sides = Source("priority-lines", path, SourceMapping("lines", **bare)), Source("parquet", _written_path(right), SourceMapping("right", **bare))
+    r = Reconciliation(spark, Scenario("OWN", (Segment("OWN", "MARKETING", "CHANNEL", *sides, strategy="without-case"),)), "OWN:1", "p")
+    return _types(r.classified).drop("segment_id")
+
+
 # Views and lifecycles.
 
 @query(_RUNS + "select status, count(*) as n from runs group by status")

@@ -210,14 +210,25 @@ def route_source(spark: SparkSession, kind: str, location, mapping: SourceMappin
     return READERS[kind](spark, location, mapping, ctx, **options)
 
 
-def _jdbc(spark, location, mapping, ctx, **options):
-    return read_table_source(spark.read.format("jdbc").option("dbtable", location).options(**options).load(), mapping, ctx)
+#: Kinds of sources that are tables: fn(spark, location, **options) gives the table.
+TABLES: dict[str, Callable] = {
+    "memory": lambda spark, df: df, "db": lambda spark, name: spark.table(name), "parquet": lambda spark, path: spark.read.parquet(path),
+    "jdbc": lambda spark, table, **options: spark.read.format("jdbc").option("dbtable", table).options(**options).load(),
+}
 
 
-register_source("memory", lambda spark, df, mapping, ctx: read_table_source(df, mapping, ctx))
-register_source("db", lambda spark, name, mapping, ctx: read_table_source(spark.table(name), mapping, ctx))
-register_source("parquet", lambda spark, path, mapping, ctx: read_table_source(spark.read.parquet(path), mapping, ctx))
-register_source("jdbc", _jdbc)
+def load_table(spark: SparkSession, kind: str, location, **options) -> DataFrame:
+    if kind not in TABLES:
+        raise ValueError(f"unknown kind of table {kind}; known: {sorted(TABLES)}")
+    return TABLES[kind](spark, location, **options)
+
+
+def _table_reader(kind: str) -> Callable:
+    return lambda spark, location, mapping, ctx, **options: read_table_source(load_table(spark, kind, location, **options), mapping, ctx)
+
+
+for _kind in TABLES:
+    register_source(_kind, _table_reader(_kind))
 register_source("csv-file", read_csv_source)
 
 

@@ -100,7 +100,7 @@ class Attempt:
         out.write(bytearray(json.dumps({"run_id": self.run_id, "tables": self.tables, "facts": facts}, ensure_ascii=False).encode()))
         out.close()
         never = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             never.rename(aside, final, none)  # refuses to replace a file
         except Py4JJavaError as e:
