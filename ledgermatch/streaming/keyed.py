@@ -81,7 +81,7 @@ class KeyedGroups(StatefulProcessor):
         return ", ".join(f"{x.strip().split(' ', 1)[0]}: {x.strip().split(' ', 1)[1]}" for x in _SIDE.split(", one ")[0].split(",")) + ", one: struct<currency: string, entry_type: string, amount: bigint, n: bigint>"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        group = self.group.get() if self.group.exists() else None
+        group = self.group.get()  # None for a new key
         group_key, since, newest, revision, changed = group[:5] if group else (None, None, None, 0, True)
         sides = {LEFT: self._side(group[5]), RIGHT: self._side(group[6])} if group else {LEFT: self._side(), RIGHT: self._side()}
         old = newest
