@@ -335,12 +335,12 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [4096, 1])
-def test_remove_repeats(spark, most):
+@pytest.mark.parametrize("most, part", [(4096, 400_000), (1, 400_000), (4096, 150), (4096, 1)])
+def test_remove_repeats(spark, most, part):
     rng = random.Random(8)
     passages = [prose(rng, rng.randint(30, 60)) for _ in range(4)]
     texts = [*AWKWARD, *[prose(rng, rng.randint(0, 40)) + rng.choice(passages) + prose(rng, rng.randint(0, 40)) for _ in range(30)], passages[0], passages[1][:-3]]
-    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, texts), most=most).collect()}
+    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, texts), most=most, part=part).collect()}
     for i, (kept, removed, spans) in enumerate(brute_repeats(texts, 200)):
         r = out[i]
         assert (bytes(r["kept"]), r["n_removed"], r["n_spans"], r["n_bytes"]) == (kept, removed, spans, len((texts[i] or "").encode()))
@@ -349,6 +349,16 @@ def test_remove_repeats(spark, most):
     assert all(r["n_removed"] == r["n_bytes"] for r in twice)
 
 
+def test_parts_of_long_texts_hold_each_window_once():
+    for length, part in ((1, 1), (5, 3), (5, 100), (200, 150)):
+        sizes = [0, length - 1, length, length + 1, part, part + length - 1, part + length, 3 * part + 2 * length]
+        found = list(suffix_dedup.parts_of(sizes, length, part))
+        for i, size in enumerate(sizes):
+            mine = [(lo, hi) for j, lo, hi in found if j == i]
+            assert [w for lo, hi in mine for w in range(lo, hi - length + 1)] == list(range(size - length + 1))
+            assert all(hi <= size and hi - lo < part + length for lo, hi in mine)
+
+
 def test_interval_expansion():
     from ledgermatch.llm.suffix_intervals import repeated_starts
 
