@@ -349,6 +349,17 @@ def test_remove_repeats(spark, most, part):
     assert all(r["n_removed"] == r["n_bytes"] for r in twice)
 
 
+def test_runs_of_one_polynomial_sum_are_not_copies(spark):
+    """Thue-Morse strings and their complements around one anchor: equal sums of powers modulo 2**64, but no common string of 200 bytes."""
+    rng = random.Random(25)
+    gap = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(64))
+    one = "".join("8U"[i.bit_count() % 2] for i in range(128))
+    other = one.translate(str.maketrans("8U", "U8"))
+    texts = [one + gap + other, other + gap + one]
+    rows = suffix_dedup.remove_repeats(frame(spark, texts)).collect()
+    assert [(bytes(r["kept"]).decode(), r["n_removed"], r["n_spans"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(t, 0, 0) for t in texts]
+
+
 def test_parts_of_long_texts_hold_each_window_once():
     for length, part in ((1, 1), (5, 3), (5, 100), (200, 150)):
         sizes = [0, length - 1, length, length + 1, part, part + length - 1, part + length, 3 * part + 2 * length]
