@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -83,11 +84,11 @@ class Piece:
 
 
 class Packer:
-    """Puts pieces into sequences; ``done`` gathers (piece, sequence, offset)."""
+    """Puts pieces into sequences, numbered by ``sequences``; ``done`` gathers (piece, sequence, offset)."""
 
-    def __init__(self, capacity: int, windows: int, slack: int, first_sequence: int):
+    def __init__(self, capacity: int, windows: int, slack: int, sequences: Iterator[int]):
         self.capacity, self.windows, self.fill = capacity, windows, capacity - min(slack, capacity - 1)
-        self.sequence = first_sequence
+        self.sequences = sequences
         self.waiting: list[Piece] = []
         self.held = 0
         self.done: list[tuple[Piece, int, int]] = []
@@ -99,11 +100,10 @@ class Packer:
             self.close(self.windows)
 
     def sequence_of(self, pieces: list[Piece]) -> None:
-        offset = 0
+        offset, sequence = 0, next(self.sequences)
         for p in pieces:
-            self.done.append((p, self.sequence, offset))
+            self.done.append((p, sequence, offset))
             offset += p.length
-        self.sequence += 1
 
     def taken(self, n: int) -> list[Piece]:
         """The first ``n`` waiting ids as pieces; the last one is cut to fit."""
@@ -154,7 +154,7 @@ class Packer:
             self.sequence_of(self.taken(n))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: int = 512, windows: int = 64, slack: int = 32, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: int = 512, windows: int = 64, slack: int = 32, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", by: str | None = None, most_open: int = 32) -> DataFrame:
     """One row for each piece of a document, with its ids and its place in a sequence.
 
     A document is its ids and ``end_id``; null text counts as empty, so its document is the end id alone. Whole
@@ -164,22 +164,40 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: i
     windows and then to sequences of power-of-two lengths, so padding does not depend on the number of
     tasks. ``sequence_id`` holds the task number in its upper bits, so it changes with the input's partitions. Rows with the
     same or a null id are packed like any others. Other columns of ``docs`` are ignored; an empty table gives no rows.
+
+    With ``by``, a string column that follows the others in the result, no sequence holds documents of two of its values; null is one of its own. A task has pieces of ``most_open`` values
+    waiting at a time; when a further one comes, those of the value that was longest without a document are packed as at a task's end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        packer = Packer(capacity, windows, slack, task_number() << 32)
+        sequences = itertools.count(task_number() << 32)
+        packers: dict[str | None, Packer] = {}  # the one used last is the last
 
-        def rows() -> pa.RecordBatch:
+        def rows(value: str | None, packer: Packer) -> pa.RecordBatch:
             columns = list(zip(*[(p.doc, p.start, p.length, p.ids, p.total, sequence, offset) for p, sequence, offset in packer.done])) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            if by:
+                arrays.append(pa.array([value] * len(packer.done), pa.string()))
+                names.append(by)
             packer.done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        def ended(value: str | None) -> pa.RecordBatch:
+            packer = packers.pop(value)
+            packer.end(max(1, piece // 8))
+            return rows(value, packer)
 
         for batch in batches:
             for part in byte_slices(batch, "text", 2_000_000):
-                for doc, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist())):
+                values = part.column(2).to_pylist() if by else [None] * part.num_rows
+                for doc, ids, value in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), values):
+                    packer = packers.pop(value, None) or Packer(capacity, windows, slack, sequences)
+                    packers[value] = packer
+                    if len(packers) > most_open:
+                        yield ended(next(iter(packers)))
                     ids += end
                     n = len(ids) // 4
                     whole = n - n % capacity
@@ -191,10 +209,11 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, piece: i
                         lo, hi = whole + rest * k // cuts, whole + rest * (k + 1) // cuts
                         packer.add(Piece(doc, lo, hi - lo, ids[4 * lo : 4 * hi], n))
                     if len(packer.done) >= 2000:
-                        yield rows()
-        packer.end(max(1, piece // 8))
-        yield rows()
+                        yield rows(value, packer)
+        for value in list(packers):
+            yield ended(value)
         give_back()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text").cast("string")).mapInArrow(run, _SCHEMA)
+    columns = [F.col(id_col).alias("doc_id").cast("long"), F.col(text_col).alias("text").cast("string"), *([F.col(by).cast("string")] if by else [])]
+    return docs.select(*columns).mapInArrow(run, f"{_SCHEMA}, `{by}` string" if by else _SCHEMA)

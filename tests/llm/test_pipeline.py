@@ -44,6 +44,18 @@ def test_language_stage_decides(spark):
     assert all(langs[i] == ("aa" if i % 2 else "bb") for i in range(60)) and all(langs[i] in ("aa", "bb") for i in range(60, 70))
 
 
+def test_windows_hold_the_identified_language(spark):
+    """What the first stage decides parts the windows: documents without a language share theirs with those of the language identified."""
+    rows = [(i, ("the quick brown fox " if i % 2 else "zwölf größer über schön ") * 60, None if i >= 60 else "aa" if i % 2 else "bb", "s", 1200) for i in range(70)]
+    identified = pipeline.identify_language(spark, spark.createDataFrame(rows, SCHEMA).coalesce(1), SF)
+    packed = pipeline.pack_windows(spark, identified, SF).collect()
+    windows = {}
+    for r in packed:
+        windows.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 2)
+        assert r["lang"] == ("aa" if r["doc_id"] % 2 else "bb")
+    assert all(len(kinds) == 1 for kinds in windows.values()) and {r["doc_id"] for r in packed} == set(range(70))
+
+
 def test_awkward_documents(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12", "en", "s", 2), (4, "words of a text", "en", "s", 15), (None, "words of another text", "en", "s", 21)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -157,6 +157,29 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_by_a_column(spark):
+    """No sequence holds two values, each id is in one piece, and a sequence is gapless, also when values are packed early because many are open."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randint(0, 900)), rng.choice(["a", "b", "c", None]), "s", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    for most_open in (32, 1):
+        got = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), by="lang", most_open=most_open).collect()
+        of = {i: lang for i, _, lang, _, _ in rows}
+        sequences, ids = {}, {}
+        for r in got:
+            assert r["lang"] == of[r["doc_id"]]
+            sequences.setdefault(r["sequence_id"], []).append(r)
+            ids.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+        for s in sequences.values():
+            s.sort(key=lambda r: r["offset"])
+            assert len({r["lang"] for r in s}) == 1 and sum(r["length"] for r in s) <= 2048
+            assert [r["offset"] for r in s] == [sum(x["length"] for x in s[:k]) for k in range(len(s))]
+        assert set(ids) == set(of)
+        for pieces in ids.values():
+            pieces.sort()
+            assert [p[0] for p in pieces] == [sum(x[1] for x in pieces[:k]) for k in range(len(pieces))] and sum(p[1] for p in pieces) == pieces[0][2]
+
+
 def test_added_tokens_as_the_library(spark, tmp_path):
     import zlib as z
 
