@@ -80,6 +80,19 @@ def test_a_search_reads_few_parts(spark, rows, tmp_path):
         text_index.search(spark, f"{path}-none", "abc")
 
 
+def test_the_index_is_small_beside_its_rows(spark, tmp_path):
+    """Rows with a gram stand together as places in a block, not as a row each with its id."""
+    made = [(f"{i:08x}-{i * 7919 % 65536:04x}", f"{i * 2654435761 % 2**32:08x}" * 8, f"O{i}", f"K{i % 50}", f"l:{i}", None) for i in range(3000)]
+    rows = spark.createDataFrame(made, ROW.split(", updated_at")[0]).coalesce(1)
+    text_index.write_index(rows, f"file://{tmp_path}/index", parts=2)
+    size = lambda table: sum(f.stat().st_size for f in (tmp_path / "index" / table).rglob("*.parquet"))
+    pairs = sum(len({v.lower()[i : i + 3] for v in r if v for i in range(len(v) - 2)}) for r in made)
+    assert spark.read.parquet(f"file://{tmp_path}/index/grams").count() < pairs / 4 and size("grams") < 2 * pairs + 200_000
+    for text in ("K7", "2654", "0000%1"):
+        found = text_index.search(spark, f"file://{tmp_path}/index", text)
+        assert sorted(found.collect()) == sorted(rows.where(views.holds_text(text)).collect())
+
+
 def test_bucketed_ledgers_meet_without_exchanges(spark, tmp_path):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
