@@ -1,153 +1,31 @@
 """Reconciliation of a stream key by key: a group comes out as soon as its sides balance, and at the latest when its timer runs out.
 
-The state of a group is what the batch run's aggregations keep of it, so the last row of each group equals the batch run's. State is in
-the engine's RocksDB store by key; it needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider (``use_rocksdb``).
+The state of a group is what the batch run's aggregations keep of it, so the last row of each group equals the batch run's. State is by slot
+(``slots``), in the engine's RocksDB store; it needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider (``use_rocksdb``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..operators.match import COPY, GROUP, with_null_refs, with_presence
-from ..schema import LEFT, RIGHT
+from ..operators.match import GROUP, with_presence
+from .slots import SLOTS, combined, stepped, timers_step
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_COPY_ROW = "n long, amount long, group_key string, ref string, status string, posted long, base long, n_base long, last long, first long"
-_SIDE = "count long, sum long, ccy string, last_ccy string, ref string, status string, posted long, base long, n_base long, copies boolean, one struct<currency: string, entry_type: string, amount: long, n: long>"
-_NAMES = ["count", "sum", "currency", "last_currency", "ref", "status", "posted", "base", "copies"]
-OUTPUT = ", ".join([
-    "run_id string, segment_id string, match_key string, null_ref string, group_key string",
-    *[f"{p}_{n} {t}" for p in ("left", "right") for n, t in zip(_NAMES, ["long", "long", "string", "string", "string", "string", "long", "long", "boolean"])],
-    "since long, revision int, cause string",
-])
-
-_EMITTED = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
-
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
-def combined(records: DataFrame) -> DataFrame:
-    """Copies within an Arrow batch as one row, so that a key of very many records sends few to its one task. Times are microseconds."""
-    rows = with_null_refs(records).select(
-        *GROUP, *COPY, "group_key", F.col("raw_ref").alias("ref"), F.col("biz_status").alias("status"), F.unix_micros("posting_time").alias("posted"), F.col("base_amount_minor").alias("base"), "biz_time", F.unix_micros("biz_time").alias("at"),
-    )
-    keys = [*GROUP, *COPY]
-    schema = "run_id string, segment_id string, match_key string, null_ref string, side string, currency string, entry_type string, signed_amount_minor long, n long, amount long, group_key string, ref string, status string, posted long, base long, n_base long, last long, first long, biz_time timestamp"
-    wanted = [("n", "sum"), ("amount", "sum"), ("group_key", "min"), ("ref", "min"), ("status", "min"), ("posted", "min"), ("base", "sum"), ("base", "count"), ("at", "max"), ("at", "min"), ("biz_time", "max")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch]).append_column("n", pa.array([1] * batch.num_rows, pa.int64())).append_column("amount", batch.column("signed_amount_minor"))
-                out = table.group_by(keys, use_threads=False).aggregate(wanted)
-                made = out.select([*keys, *[f"{c}_{how}" for c, how in wanted]]).rename_columns([*keys, "n", "amount", "group_key", "ref", "status", "posted", "base", "n_base", "last", "first", "biz_time"])
-                yield from made.combine_chunks().to_batches()
-
-    return rows.mapInArrow(run, schema)
-
-
-def _least(a, b):
-    return b if a is None else a if b is None else min(a, b)
-
-
-def _most(a, b):
-    return b if a is None else a if b is None else max(a, b)
-
-
-class KeyedGroups(StatefulProcessor):
-    """Keeps a group's sums by side, and how often each different record has come; emits balanced groups at once and others when the timer runs out.
-
-    The timer stands ``patience`` milliseconds of event time behind the group's newest record. A group that changes after it was emitted is
-    emitted again, with a higher revision, when it balances anew or at its timer, which ends it. One-to-one groups have all
-    in one value; only further records of a side are counted in a map, of which a batch reads and writes just the entries that it meets.
-    """
-
-    def __init__(self, patience: int):
-        self.patience = patience
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.group = handle.getValueState("group", f"group_key string, since long, newest long, revision int, changed boolean, l struct<{self._ddl()}>, r struct<{self._ddl()}>")
-        self.counts = handle.getMapState("counts", "side string, currency string, entry_type string, amount long", "n long")
-
-    @staticmethod
-    def _ddl() -> str:
-        return ", ".join(f"{x.strip().split(' ', 1)[0]}: {x.strip().split(' ', 1)[1]}" for x in _SIDE.split(", one ")[0].split(",")) + ", one: struct<currency: string, entry_type: string, amount: bigint, n: bigint>"
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        group = self.group.get()  # None for a new key
-        group_key, since, newest, revision, changed = group[:5] if group else (None, None, None, 0, True)
-        sides = {LEFT: self._side(group[5]), RIGHT: self._side(group[6])} if group else {LEFT: self._side(), RIGHT: self._side()}
-        old = newest
-        for row in rows:
-            changed = True
-            group_key, since, newest = _least(group_key, row.group_key), _least(since, row.first), _most(newest, row.last)
-            self._add(sides[row.side], row)
-        if old != newest:
-            if old is not None:
-                self.handle.deleteTimer(old // 1000 + self.patience)
-            self.handle.registerTimer(newest // 1000 + self.patience)
-        left, right = sides[LEFT], sides[RIGHT]
-        if changed and left[0] and right[0] and left[1] == right[1] and left[2] == left[3] == right[2] == right[3]:
-            revision, changed = revision + 1, False
-            yield self._row(key, group_key, since, revision, "balanced", sides)
-        self.group.update((group_key, since, newest, revision, changed, tuple(left), tuple(right)))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        group = self.group.get()
-        if group[4]:
-            yield self._row(key, group[0], group[1], group[3] + 1, "timer", {LEFT: group[5], RIGHT: group[6]})
-        self.group.clear()
-        self.counts.clear()
-
-    @staticmethod
-    def _side(stored=None) -> list:
-        """What is stored of a side, as plain values that can be stored again, or an empty side."""
-        if stored is None:
-            return [0, 0, None, None, None, None, None, None, 0, False, None]
-        *rest, one = stored
-        return [*rest, None if one is None else tuple(one)]
-
-    def _add(self, side: list, row) -> None:
-        """One more row of copies; sums are exact, and the engine refuses those that pass 64 bits."""
-        side[0], side[1] = side[0] + row.n, side[1] + row.amount
-        side[2], side[3] = _least(side[2], row.currency), _most(side[3], row.currency)
-        side[4], side[5], side[6] = _least(side[4], row.ref), _least(side[5], row.status), _least(side[6], row.posted)
-        side[7], side[8] = (side[7] or 0) + (row.base or 0) if row.n_base or side[7] is not None else None, side[8] + row.n_base
-        same = (row.currency, row.entry_type, row.signed_amount_minor)
-        one = side[10]
-        if one is None or tuple(one[:3]) == same:
-            n = row.n + (one[3] if one else 0)
-            side[10] = (*same, n)
-        else:
-            at = (row.side, *same)
-            n = row.n + (self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0)
-            self.counts.updateValue(at, (n,))
-        side[9] = side[9] or n > 1
-
-    @staticmethod
-    def _row(key, group_key, since, revision, cause, sides) -> Row:
-        flat = []
-        for name in (LEFT, RIGHT):
-            count, total, ccy, last, ref, status, posted, base, n_base, copies, _ = sides[name]
-            flat += [count, total, ccy, last, ref, status, posted, base if count and n_base == count else None, copies]
-        return _EMITTED(*key, group_key, *flat, since, revision, cause)
-
-
-def keyed_groups(records: DataFrame, *, watermark: str = "1 hour", patience_seconds: int = 86_400) -> DataFrame:
+def keyed_groups(records: DataFrame, *, watermark: str = "1 hour", patience_seconds: int = 86_400, slots: int = SLOTS) -> DataFrame:
     """The groups of a stream of records with event time ``biz_time``, as rows of ``match_groups`` with since, revision and cause (balanced or timer).
 
     ``since`` is the time of the group's first record: after its timer a key begins a new group. Of equal key and ``since`` the highest revision
-    holds (``latest_groups``). Records without a time must be taken out before (``land``); those later than the watermark never reach the state.
+    holds (``latest_groups``). A group's timer stands ``patience_seconds`` of event time behind its newest record. A group that changes after it was
+    emitted is emitted again when it balances anew, or at its timer, which ends it. A checkpoint goes with its number of ``slots``. Records without a time must be taken out before (``land``); those later than the watermark never reach the state.
     """
     rows = combined(records).withWatermark("biz_time", watermark)
-    out = rows.groupBy(*GROUP).transformWithState(KeyedGroups(patience_seconds * 1000), OUTPUT, "append", "EventTime")
+    out = stepped(rows, timers_step(patience_seconds * 1000), slots)
     times = {f"{p}_posted": F.timestamp_micros(f"{p}_posted") for p in ("left", "right")}
     return out.withColumns({**times, "since": F.timestamp_micros("since")})
 

@@ -178,3 +178,24 @@ def test_the_inbox_is_state(spark, tmp_path):
     assert reasons == ["an entitlement event has currency or amount"] + ["conflicting content"] * 3 + ["not an event"]
     # State grows by what is claimed; a batch reads its own lines, once for each branch of its plan.
     assert held == [2, 2, 3] and read == [2 * len(b) for b in batch]
+
+
+def test_state_is_asked_by_slot(spark, tmp_path):
+    """1000 groups are kept in at most as many values as there are slots, and times beyond pandas' range are kept; sums past 2**53 stay exact."""
+    keyed.use_rocksdb(spark)
+    root = f"file://{tmp_path}"
+    rows = [rec("LEFT", f"k{i}", 2**60 + i, base=2**60 + i) for i in range(1000)] + [rec("RIGHT", f"k{i}", 2**60 + i) for i in range(500)]
+    far = list(rec("LEFT", "end", 1))
+    far[10] = datetime(2999, 1, 1)
+    held = []
+    for part in (rows, [tuple(far)]):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
+        q = batches.run_batches(keyed.keyed_groups(source, slots=16), lambda df, i: batches.write_batch(df, f"{root}/out", i), f"{root}/check")
+        q.awaitTermination()
+        held.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]))
+    assert max(held) <= 16
+    last = keyed.latest_groups(spark.read.parquet(f"{root}/out")).where("match_key <> 'end'")
+    names = ["match_key", "left_count", "right_count", "left_sum", "right_sum", "left_base", "left_copies", "presence"]
+    batch = match_groups(spark.createDataFrame(rows, SCHEMA), on_mixed="mark")
+    assert sorted(map(tuple, last.select(*names).collect())) == sorted(map(tuple, batch.select(*names).collect()))
