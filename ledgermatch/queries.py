@@ -577,12 +577,12 @@ def recon_stream(spark, sf_dir):
     records.write.parquet(f"{root}/in")
     schema = spark.read.parquet(f"{root}/in").schema
     roles = {s.id: s.roles() for s in r.scenario.segments}
-    source = spark.readStream.schema(schema).parquet(f"{root}/in")
-    out = reconcile.reconcile_stream(source, roles, Rule(), scenario=demo.SCENARIO, period=demo.PERIOD)
-    reconcile.write_discrepancies(out, f"{root}/out", f"{root}/check").awaitTermination()
-    last.write.mode("append").parquet(f"{root}/in")
-    reconcile.write_discrepancies(out, f"{root}/out", f"{root}/check").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("segment_id", "fingerprint", "type", "match_key", "group_key", "currency", "expected", "actual", "delta")
+    for part in (None, last):
+        if part is not None:
+            part.write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(schema).parquet(f"{root}/in")
+        reconcile.reconcile_windows(source, f"{root}/t", roles, Rule(), scenario=demo.SCENARIO, period=demo.PERIOD, checkpoint=f"{root}/check", by="year").awaitTermination()
+    return spark.read.parquet(f"{root}/t/discrepancies").select("segment_id", "fingerprint", "type", "match_key", "group_key", "currency", "expected", "actual", "delta")
 
 
 ORACLE_SQL["recon_stream"] = classified_sql() + "select segment_id, fingerprint, type, match_key, group_key, currency, expected, actual, delta from cl where type is not null"
@@ -974,9 +974,8 @@ def recon_stream_windows(spark, sf_dir):
     source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
     out = []
     for kind, window in (("sliding", {"size": "2 days", "slide": "1 day"}), ("session", {"gap": "1 hour"})):
-        found = reconcile.reconcile_stream(source, roles, Rule(), scenario=demo.SCENARIO, period=demo.PERIOD, **window)
-        reconcile.write_discrepancies(found, f"{root}/{kind}", f"{root}/check-{kind}").awaitTermination()
-        out.append(spark.read.parquet(f"{root}/{kind}").groupBy("fingerprint").agg(F.lit(kind).alias("kind"), F.count("*").alias("n_windows")))
+        reconcile.reconcile_windows(source, f"{root}/{kind}", roles, Rule(), scenario=demo.SCENARIO, period=demo.PERIOD, checkpoint=f"{root}/check-{kind}", by="year", **window).awaitTermination()
+        out.append(spark.read.parquet(f"{root}/{kind}/discrepancies").groupBy("fingerprint").agg(F.lit(kind).alias("kind"), F.count("*").alias("n_windows")))
     return out[0].union(out[1])
 
 

@@ -49,10 +49,74 @@ def _session_groups(rows: DataFrame, window: Column) -> DataFrame:
     return rows.groupBy(window, *GROUP).agg(*columns)
 
 
-def reconcile_stream(records: DataFrame, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, **window) -> DataFrame:
-    """The discrepancies of closed windows; clean groups are left out."""
-    classified = classify(windowed_groups(records, **window), roles, rule, scenario=scenario, period=period)
-    return classified.where("type is not null").select(F.col("window.start").alias("window_start"), "segment_id", "fingerprint", "type", "match_key", "group_key", "currency", "expected", "actual", "delta")
+def _watermarks(batch: DataFrame, root: str, batch_id: int, delay: str) -> tuple:
+    """The watermark before a micro-batch and the one after it, which is kept below ``root``/marks; None, where no record has come."""
+    spark = batch.sparkSession
+    at = read_batches(spark, f"{root}/marks", "newest timestamp").where(F.col("batch").cast("long") < batch_id)
+    write_batch(batch.agg(F.max("biz_time").alias("newest")), f"{root}/marks", batch_id)
+    own = spark.read.schema("newest timestamp").parquet(f"{root}/marks/batch={batch_id}")
+    behind = F.max("newest") - F.expr(f"interval {delay}")
+    low = at.agg(behind.alias("w")).first()["w"]
+    high = own.agg(behind.alias("w")).first()["w"]
+    return low, high if low is None else low if high is None else max(low, high)
+
+
+def _closing(raw: DataFrame, low, high, *, size: str = "1 day", slide: str | None = None) -> DataFrame:
+    """The groups of the windows that end behind ``low`` and not behind ``high``, from landed records; other years' parts are not read."""
+    if high is None or low == high:
+        return windowed_groups(raw.where(F.lit(False)), size=size, slide=slide, on_mixed="mark")
+    near = raw.where((F.col("biz_time") < F.lit(high)) & (F.col("part") <= F.to_date(F.lit(high))))
+    if low is not None:
+        since = F.lit(low) - F.expr(f"interval {size}")
+        near = near.where((F.col("biz_time") >= since) & (F.col("part") >= F.to_date(F.date_trunc("year", since))))
+    end = F.col("window.end")
+    return windowed_groups(near, size=size, slide=slide, on_mixed="mark").where((end <= F.lit(high)) & (F.lit(True) if low is None else end > F.lit(low)))
+
+
+def _closing_sessions(batch: DataFrame, root: str, batch_id: int, low, high, gap: str) -> DataFrame:
+    """The groups of sessions that end not behind ``high``. The records of the others are kept below ``root``/open, for the next batch."""
+    spark = batch.sparkSession
+    schema = ddl(batch)
+    before = read_batches(spark, f"{root}/open", schema).where(F.col("batch").cast("long") < batch_id)
+    last = before.agg(F.max(F.col("batch").cast("long"))).first()[0]
+    rows = batch if low is None else batch.where(F.col("biz_time") + F.expr(f"interval {gap}") > F.lit(low))
+    if last is not None:
+        rows = rows.unionByName(before.where(F.col("batch").cast("long") == last).drop("batch"))
+    write_batch(windowed_groups(rows, gap=gap, on_mixed="mark"), f"{root}/sessions", batch_id)
+    found = spark.read.parquet(f"{root}/sessions/batch={batch_id}")
+    open_ = found.where(F.lit(True) if high is None else F.col("window.end") > F.lit(high))
+    keys = open_.select("window", *[F.col(c).alias(f"__{c}") for c in GROUP])
+    same = (F.col("biz_time") >= F.col("window.start")) & (F.col("biz_time") < F.col("window.end"))
+    for c in GROUP:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    write_batch(with_null_refs(rows).join(keys, same, "left_semi").drop("null_ref"), f"{root}/open", batch_id)
+    return found.where(F.lit(False) if high is None else F.col("window.end") <= F.lit(high))
+
+
+def reconcile_windows(records: DataFrame, root: str, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, checkpoint: str, by: str = "month", on_mixed: str = "fail", watermark: str = "1 hour", size: str = "1 day", slide: str | None = None, gap: str | None = None) -> StreamingQuery:
+    """The discrepancies of closed windows go to ``root``/discrepancies by micro-batch; clean groups are left out.
+
+    Records are landed below ``root``/raw, parted ``by`` time, and a window is grouped once, by the batch run's aggregations, when the watermark has passed its
+    end. So no record is state of the engine, and a batch reads the parts in which windows close. Records without a time are in no window, and
+    later ones than their window's end come to no discrepancy (``land``, ``reconcile_landed`` and ``repair`` bring them in).
+    """
+    part = F.to_date(F.date_trunc(by, "biz_time"))
+    schema = ddl(records)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        timed = batch.where("biz_time is not null")
+        low, high = _watermarks(timed, root, batch_id, watermark)
+        if gap:
+            closed = _closing_sessions(timed, root, batch_id, low, high, gap)
+        else:
+            write_batch(timed.withColumn("part", part).hint("rebalance", "part"), f"{root}/raw", batch_id, ["part"])
+            closed = _closing(landed(spark, root, schema), low, high, size=size, slide=slide)
+        classified = classify(guarded(closed, on_mixed), roles, rule, scenario=scenario, period=period).where("type is not null")
+        found = classified.select(F.col("window.start").alias("window_start"), "segment_id", "fingerprint", "type", "match_key", "group_key", "currency", "expected", "actual", "delta")
+        write_batch(found, f"{root}/discrepancies", batch_id)
+
+    return run_batches(records, each, checkpoint)
 
 
 def keep_raw(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -60,10 +124,6 @@ def keep_raw(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return records.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_discrepancies(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 # Nothing gets lost: what arrives is landed first, and is later in a group or among the rejects.
 
 def land(records: DataFrame, root: str, checkpoint: str, *, by: str = "month") -> StreamingQuery:
@@ -100,20 +160,28 @@ def _in_groups(raw: DataFrame, groups: DataFrame) -> DataFrame:
 
 def reconcile_landed(spark: SparkSession, root: str, schema: str, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, checkpoint: str, **window) -> StreamingQuery:
     """Classify the windows of what has been landed: closed groups, clean ones included, go to ``root``/groups, and the records of groups
-    with several currencies on a side to ``root``/rejects-mixed, each by micro-batch."""
+    with several currencies on a side to ``root``/rejects-mixed, each by micro-batch.
+
+    The stream of landed records moves the watermark; the groups of the windows that it closes are made from the landed table, in the batch run's way.
+    """
+    if window.get("gap"):
+        raise ValueError("sessions come from reconcile_windows; landed records are in fixed windows")
+    delay = window.pop("watermark", "1 hour")
+    window.pop("gap", None)
     source = spark.readStream.schema(f"{schema}, batch string, part date").parquet(f"{root}/raw")
-    groups = windowed_groups(source, on_mixed="mark", **window)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        low, high = _watermarks(batch, root, batch_id, delay)
         # Written first, as the groups are needed several times; the classified ones follow, so readers never see a part of a batch.
-        write_batch(batch, f"{root}/closed", batch_id)
-        closed = spark.read.schema(batch.schema).parquet(f"{root}/closed/batch={batch_id}")
+        groups = _closing(landed(spark, root, schema), low, high, **window)
+        write_batch(groups, f"{root}/closed", batch_id)
+        closed = spark.read.schema(groups.schema).parquet(f"{root}/closed/batch={batch_id}")
         mixed = closed.where("mixed")
         write_batch(as_rejects(_in_groups(landed(spark, root, schema), mixed), MIXED), f"{root}/rejects-mixed", batch_id)
         write_batch(mixed.select("window", *GROUP, "left_count", "right_count"), f"{root}/mixed", batch_id)
         write_batch(classify(closed.where("not mixed"), roles, rule, scenario=scenario, period=period).withColumn("revision", F.lit(0)), f"{root}/groups", batch_id)
 
-    return run_batches(groups, each, checkpoint)
+    return run_batches(source, each, checkpoint)
 
 
 def current_groups(spark: SparkSession, root: str) -> DataFrame:

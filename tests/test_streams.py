@@ -199,3 +199,25 @@ def test_state_is_asked_by_slot(spark, tmp_path):
     names = ["match_key", "left_count", "right_count", "left_sum", "right_sum", "left_base", "left_copies", "presence"]
     batch = match_groups(spark.createDataFrame(rows, SCHEMA), on_mixed="mark")
     assert sorted(map(tuple, last.select(*names).collect())) == sorted(map(tuple, batch.select(*names).collect()))
+
+
+@pytest.mark.parametrize("window", [{"size": "1 hour"}, {"size": "2 hours", "slide": "1 hour"}, {"gap": "30 minutes"}])
+def test_windows_close_without_state(spark, tmp_path, window):
+    """Windows over restarts: each closes once, sessions grow over batches, late rows stay out, and the engine keeps no state."""
+    root, found = f"file://{tmp_path}", []
+
+    def go(*rows):
+        spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        q = reconcile.reconcile_windows(spark.readStream.schema(SCHEMA).parquet(f"{root}/in"), f"{root}/t", ROLES, Rule(), scenario="C", period="P", checkpoint=f"{root}/check", watermark="10 minutes", **window)
+        q.awaitTermination()
+        assert not any(p["stateOperators"] for p in q.recentProgress)
+        out = spark.read.parquet(f"{root}/t/discrepancies").groupBy("match_key", "type", "actual", "expected").count().collect()
+        return sorted((r["match_key"], r["type"], r["expected"], r["actual"], r["count"]) for r in out)
+
+    twice = 2 if "slide" in window else 1
+    assert go(rec("LEFT", "a", 10, 0), rec("LEFT", "b", 10, 1), rec("RIGHT", "b", 10, 1), rec("LEFT", None, 3, None)) == []
+    assert go(rec("RIGHT", "a", 9, 20)) == []
+    a = ("a", "AMOUNT_MISMATCH", 10, 9, twice)
+    assert go(rec("LEFT", "end", 1, 600)) == [a]
+    assert go(rec("RIGHT", "a", 1, 2), rec("RIGHT", "c", 5, 595)) == [a]  # the first is late
+    assert go(rec("LEFT", "end", 1, 1200))[:2] == [a, ("c", "EXTRA", 0, 5, twice)]
