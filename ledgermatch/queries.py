@@ -542,10 +542,7 @@ def recon_routed_events(spark, sf_dir):
 @query(_EVENTS + "select 'ev' || k as event_id, target, case when seen = 0 then 'claimed' when seen = 1 then 'replay' else 'conflict' end as outcome from f where target is not null")
 def recon_claimed_events(spark, sf_dir):
     """SM4: replays and conflicts."""
-    raw = _event_json(spark, sf_dir)
-    rows = ev.routed(raw).join(raw.select(F.sha2("value", 256).alias("hash"), "seen").groupBy("hash").agg(F.collect_list("seen").alias("times")), "hash")
-    # Copies of one content came more than once; each row gets its own turn.
-    rows = rows.where("target is not null").dropDuplicates(["tenant_id", "event_id", "hash"]).withColumn("seen", F.explode("times"))
+    rows = ev.routed(_event_json(spark, sf_dir), carry=["seen"]).where("target is not null")
     inbox = spark.createDataFrame([], ev.INBOX)
     return ev.claim(rows, inbox, "c").select("event_id", "target", "outcome")
 

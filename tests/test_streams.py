@@ -221,3 +221,15 @@ def test_windows_close_without_state(spark, tmp_path, window):
     assert go(rec("LEFT", "end", 1, 600)) == [a]
     assert go(rec("RIGHT", "a", 1, 2), rec("RIGHT", "c", 5, 595)) == [a]  # the first is late
     assert go(rec("LEFT", "end", 1, 1200))[:2] == [a, ("c", "EXTRA", 0, 5, twice)]
+
+
+def test_events_are_parsed_once_whatever_follows(spark):
+    good = {"eventId": "e1", "eventType": "FULFILLMENT_INTERNAL", "schemaVersion": "1.0", "tenantId": "T", "occurredAt": "2026-08-17T00:00:00Z", "payload": {"factType": "INTERNAL", "benefitType": "GOODS", "awardItemNo": "A", "awardOrderNo": "O", "skuId": "s", "quantity": 1, "status": "SUCCEEDED"}}
+    other = good | {"payload": good["payload"] | {"quantity": 2}}
+    raw = spark.createDataFrame([(0, json.dumps(good)), (1, json.dumps(good)), (2, json.dumps(other)), (0, "{"), (0, None)], "seen int, value string")
+    rows = ev.claim(ev.routed(raw, carry=["seen"]).where("target is not null"), spark.createDataFrame([], ev.INBOX), "c").select("event_id", "seen", "outcome")
+    assert sorted(map(tuple, rows.collect())) == [("e1", 0, "claimed"), ("e1", 1, "replay"), ("e1", 2, "conflict")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r["reason"] for r in ev.routed(raw).where("target is null").collect()] == ["not an event"] * 2
+    known = spark.createDataFrame([("T", "c", "e1", "h"), ("T", "d", "e1", "h")], ev.INBOX)
+    assert {r["outcome"] for r in ev.claim(ev.routed(raw).where("target is not null"), known, "c").collect()} == {"conflict"}
