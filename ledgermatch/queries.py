@@ -808,7 +808,9 @@ def recon_csv_lines(spark, sf_dir):
     mapping = SourceMapping("marketing", match_key="issue_id", group_key="order_no", entry_type=None, biz_status=None, biz_time=None, posting_time=None)
     records, _ = read_csv_source(spark, path, mapping, ReadContext(demo.RUN, "SEG1_MKT_ACCT", "LEFT", "MARKETING"), lineage="line")
     parts = records.select("raw_ref", F.regexp_extract("raw_ref", "^(.*):([0-9]+)$", 1).alias("file"), F.regexp_extract("raw_ref", ":([0-9]+)$", 1).cast("long").alias("number"))
-    files = parts.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("raw_ref").alias("n_refs"), F.min("number").alias("lo"), F.max("number").alias("hi"))
+    # A reference is a file and a number, so the references of a file are as many as its distinct numbers: the bits set in bitmaps of 32,768 numbers each.
+    bits = parts.groupBy("file", F.bitmap_bucket_number("number").alias("bucket")).agg(F.count("*").alias("n"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("number"))).alias("n_refs"), F.min("number").alias("lo"), F.max("number").alias("hi"))
+    files = bits.groupBy("file").agg(F.sum("n").alias("n"), F.sum("n_refs").alias("n_refs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return files.agg(F.sum("n").alias("n"), F.sum("n_refs").alias("n_refs"), F.bool_and((F.col("lo") == 2) & (F.col("hi") - 1 == F.col("n"))).alias("gapless"))
 
 

@@ -104,7 +104,8 @@ def read_csv_source(spark: SparkSession, path: str, mapping: SourceMapping, ctx:
         else:
             lines = with_line_numbers(spark, path, charset=charset).where(F.trim("line") != "").select("file", F.col("number").alias("first"), F.col("number").alias("last"), F.col("line").alias("text"), F.lit(True).alias("closed"))
         place = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
-        raw = lines.where("first > 1").select(F.from_csv("text", schema, quoting).alias("row"), F.col("file").alias("__file"), place.alias("__line"), "closed", "text")
+        # A row is parsed once: filters on its fields would be moved below a plain projection, with a parse for each field, but aren't moved below explode.
+        raw = lines.where("first > 1").select(F.explode(F.array(F.from_csv("text", schema, quoting))).alias("row"), F.col("file").alias("__file"), place.alias("__line"), "closed", "text")
         raw = raw.select("row.*", "__file", "__line", F.col("closed").alias("__closed"), F.col("text").alias("__text")).withColumn("__bad", F.when(F.col("__closed"), F.col("__bad")).otherwise(F.col("__text"))).drop("__text")
     else:
         raw = spark.read.options(**options).schema(schema).csv(path).withColumns({"__file": F.col("_metadata.file_path"), "__line": F.lit(None).cast("string"), "__closed": F.lit(True)})
@@ -149,47 +150,54 @@ def _cut_lines(spark: SparkSession, path: str, charset: str) -> DataFrame:
 
 
 def _earlier() -> WindowSpec:
-    """The blocks of a file before one, of which each has a row."""
-    return Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    """The parts of a file before one, of which each has a row."""
+    return Window.partitionBy("file").orderBy("block", "lo").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_line_numbers(spark: SparkSession, path: str, *, charset: str = "UTF-8") -> DataFrame:
     """(file, number, line) of text files, numbers from 1.
 
     Partitions are numbered in the order in which files are cut, so a line's number is its place in its partition and file, and the
-    lines of the file that earlier partitions hold: one row for each file and partition, and never a whole file in one task.
+    lines of the file that earlier partitions hold: one row for each file and partition, which is sent to all tasks, so that no line is moved or sorted.
     """
     lines = _cut_lines(spark, path, charset)
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(_earlier()), F.lit(0))).select("file", "block", "first", "before")
-    return lines.join(offsets, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("number"), "line")
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("lo"))
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(_earlier()), F.lit(0))).select("file", "block", "lo", "before")
+    return lines.join(F.broadcast(offsets), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("lo") + 1).alias("number"), "line")
 
 
-def csv_rows(spark: SparkSession, path: str, *, charset: str = "UTF-8") -> DataFrame:
+#: Lines of a part, as a power of two: what a task sorts at once, and for how many lines a row is sent to all tasks.
+_PART_BITS = 18
+
+
+def csv_rows(spark: SparkSession, path: str, *, charset: str = "UTF-8", part_bits: int = _PART_BITS) -> DataFrame:
     """(file, first, last, text, closed): rows of CSV files as lines from ``first`` to ``last``, where quoted values may hold line ends.
 
-    A line starts a row if an even number of quotes stands before it in the file. Blocks of files count lines and quotes by themselves, and sums over the earlier
-    blocks (a row for each) tell each block how it begins; then only the lines of rows of several lines meet, by row. Line ends within a row are line feeds. If
+    A line starts a row if an even number of quotes stands before it in the file. Parts of files (of at most 2**part_bits lines) count lines and quotes by themselves, and sums over the earlier
+    parts (a row for each, sent to all tasks) tell each part how it begins; then only the lines of rows of several lines meet, by row. Line ends within a row are line feeds. If
     a file's quotes are odd in number, the row that the last one opens has only its first line and is not ``closed``, and nothing behind it is a row. Blank lines outside of quotes are no rows.
+
+    A part is named by ``lo``, the number of its first line among all: lines are dealt and sorted by two numbers instead of by paths.
     """
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    lines = _cut_lines(spark, path, charset).withColumn("quotes", quotes.cast("long"))
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.sum("quotes").alias("q"))
+    lines = _cut_lines(spark, path, charset).withColumns({"quotes": quotes.cast("long"), "part": F.shiftright("at", part_bits)})
+    sizes = lines.groupBy("file", "block", "part").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.sum("quotes").alias("q"))
     earlier = lambda c: F.coalesce(F.sum(c).over(_earlier()), F.lit(0))
-    offsets = sizes.select("file", "block", "lo", earlier("n").alias("lines_before"), earlier("q").alias("quotes_before"), (F.sum("q").over(Window.partitionBy("file")) % 2 == 1).alias("unclosed"))
-    within = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "block", "part", "lo", earlier("n").alias("lines_before"), earlier("q").alias("quotes_before"), (F.sum("q").over(Window.partitionBy("file")) % 2 == 1).alias("unclosed"))
+    within = Window.partitionBy("lo").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("quotes_before") + F.coalesce(F.sum("quotes").over(within), F.lit(0))
-    numbered = lines.join(offsets, ["file", "block"]).select("file", "block", "at", "line", "unclosed", (F.col("lines_before") + F.col("at") - F.col("lo") + 1).alias("number"), (before % 2 == 1).alias("inside"), ((before + F.col("quotes")) % 2 == 1).alias("open"))
+    placed = lines.join(F.broadcast(offsets), ["file", "block", "part"])
+    numbered = placed.select("file", "lo", "at", "line", "unclosed", (F.col("lines_before") + F.col("at") - F.col("lo") + 1).alias("number"), (before % 2 == 1).alias("inside"), ((before + F.col("quotes")) % 2 == 1).alias("open"))
     whole = numbered.where("not inside and not open and trim(line) != ''").select("file", F.col("number").alias("first"), F.col("number").alias("last"), F.col("line").alias("text"), F.lit(True).alias("closed"))
     parts = numbered.where("inside or open")
-    starts = parts.where("not inside").groupBy("file", "block").agg(F.max("number").alias("start"))
-    blocks = sizes.select("file", "block").join(starts, ["file", "block"], "left")
-    carried = blocks.select("file", "block", F.last("start", True).over(_earlier()).alias("carried"), F.max("start").over(Window.partitionBy("file")).alias("final"))
-    so_far = F.max(F.when(~F.col("inside"), F.col("number"))).over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = parts.withColumn("own", so_far).join(carried, ["file", "block"]).withColumn("first", F.coalesce("own", "carried"))
+    starts = parts.where("not inside").groupBy("lo").agg(F.max("number").alias("start"))
+    known = sizes.select("file", "block", "lo").join(starts, "lo", "left")
+    carried = known.select("lo", F.last("start", True).over(_earlier()).alias("carried"), F.max("start").over(Window.partitionBy("file")).alias("final"))
+    so_far = F.max(F.when(~F.col("inside"), F.col("number"))).over(Window.partitionBy("lo").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = parts.withColumn("own", so_far).join(F.broadcast(carried), "lo").withColumn("first", F.coalesce("own", "carried"))
     lost = F.col("unclosed") & (F.col("first") == F.col("final"))
     placed = placed.where(~lost | (F.col("number") == F.col("first"))).withColumn("closed", ~lost)
-    joined = placed.groupBy("file", "first").agg(F.max("number").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n").alias("text"), F.bool_and("closed").alias("closed"))
+    joined = placed.groupBy("first", "file").agg(F.max("number").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n").alias("text"), F.bool_and("closed").alias("closed"))
     return whole.unionByName(joined)
 
 

@@ -10,7 +10,7 @@ from ledgermatch.operators.match import MIXED, broken_rejects, match_groups, sta
 from ledgermatch.plans.pipeline import Reconciliation
 from ledgermatch.plans.scenario import Scenario, Segment, Source, marketing_three_way
 from ledgermatch.sources.mapping import ReadContext, SourceMapping
-from ledgermatch.sources.readers import read_csv_source, read_table_source, register_source, route_source, with_line_numbers
+from ledgermatch.sources.readers import csv_rows, read_csv_source, read_table_source, register_source, route_source, with_line_numbers
 from ledgermatch.sources.sinks import with_discrepancy_ids
 from ledgermatch.streaming.reconcile import windowed_groups
 
@@ -369,3 +369,26 @@ def test_discrepancies_need_two_exchanges(spark):
 
     plan = with_discrepancy_ids(demo.run(spark, "/root/testdata/sf0.001").discrepancies)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan and "Python" not in plan
+
+
+def test_rows_of_several_lines_are_put_together_across_small_parts(spark, tmp_path):
+    """Parts of two lines, within which rows begin, end and lie whole; the lines are not joined by file and a row is parsed once."""
+    (tmp_path / "in").mkdir()
+    for name, unclosed in (("a", False), ("b", True)):
+        rows = [f'{i},k,USD,{i},"' + "\n".join(['q""x'] * (i % 6 + 1)) + '"' if i % 3 else f"{i},k,USD,{i},plain" for i in range(50)]
+        (tmp_path / "in" / f"{name}.csv").write_text("id,key,ccy,amount_minor,biz_status\n" + "\n".join(rows) + ('\n99,k,USD,1,"open\n100,k,USD,1,z\n' if unclosed else "\n"))
+    path = f"file://{tmp_path}/in"
+    small, large = (sorted(map(tuple, csv_rows(spark, path, part_bits=b).collect())) for b in (1, 18))
+    assert small == large and len(small) == 103 and sum(not r[4] for r in small) == 1
+    at = {r[0].rsplit("/", 1)[1]: 2 for r in small}
+    for file, first, last, text, closed in small:  # no line is lost or in two rows
+        if first > 1 and closed:
+            assert first == at[file.rsplit("/", 1)[1]] and text.count("\n") == last - first
+            at[file.rsplit("/", 1)[1]] = last + 1
+    mapping = SourceMapping("orders", match_key="key", group_key="key", entry_type=None, biz_time=None, posting_time=None)
+    for multi_line in (False, True):
+        records, rejects = read_csv_source(spark, path, mapping, ReadContext("r", "S", "LEFT", "ORDERS"), lineage="line", multi_line=multi_line)
+        plan = records._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_csv(") == 1
+    assert records.count() == 100 and rejects.count() == 1
+    assert "SortMergeJoin" not in with_line_numbers(spark, path)._jdf.queryExecution().executedPlan().toString()
