@@ -166,7 +166,8 @@ def classify(groups: DataFrame, roles: dict[str, Roles], rule: Rule, *, scenario
     out = with_facts(primary_type(groups, roles, rule).withColumn("raw_type", F.col("type")), rule)
     out = out.withColumn("type", EVALUATORS[rule.evaluator](out, rule)).drop(*FACTS)
     out = out.withColumn("stage", F.when(F.col("type") == "BRIDGE_BROKEN", F.col("stage")))
-    slot = F.coalesce("match_key", F.when(F.col("left_count") > 0, F.col("left_ref")).otherwise(F.col("right_ref")))
+    # A group without a match key is one side's records of one reference, which stands behind the side in null_ref. It is taken from there, so that who asks for fingerprints only needs no minima of references.
+    slot = F.coalesce("match_key", F.when(F.instr("null_ref", ":") > 0, F.substring("null_ref", F.instr("null_ref", ":") + 1, F.length("null_ref"))))
     mark = fingerprint(scenario, period, F.col("segment_id"), F.col("type"), F.col("group_key"), slot, F.col("stage"))
     return out.withColumn("fingerprint", F.when(F.col("type").isNotNull(), mark))
 

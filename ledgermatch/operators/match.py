@@ -10,6 +10,8 @@ from ..functions.keys import bucket_of, strip_trailing
 from ..schema import REJECT_COLUMNS
 
 GROUP = ["run_id", "segment_id", "match_key", "null_ref"]
+#: The order in which groups are sorted: keys differ most, runs least.
+_BY_KEY = ["match_key", "null_ref", "segment_id", "run_id"]
 #: Why a record is rejected that reached matching.
 BROKEN, MIXED = "match key without group key", "several currencies on one side of its group"
 
@@ -24,11 +26,11 @@ def _broken() -> Column:
 
 def standardize(records: DataFrame, *, buckets: int = 64, strict: bool = False) -> DataFrame:
     """Strip keys' trailing white space and add the bucket. A match key without a group key fails if ``strict``, else ``broken_rejects`` has its row."""
-    out = stripped(records)
+    # Stripping makes no key null, so the test comes before it: a filter on stripped keys would be moved below and strip them twice.
     if strict:
-        out = out.withColumn("group_key", F.when(_broken(), F.raise_error(F.lit(BROKEN)).cast("string")).otherwise(F.col("group_key")))
+        out = stripped(records).withColumn("group_key", F.when(_broken(), F.raise_error(F.lit(BROKEN)).cast("string")).otherwise(F.col("group_key")))
     else:
-        out = out.where(~_broken())
+        out = stripped(records.where(~_broken()))
     return out.withColumn("bucket", F.when(F.col("group_key").isNotNull(), bucket_of(F.col("group_key"), buckets)))
 
 
@@ -60,7 +62,7 @@ COPY = ["side", "currency", "entry_type", "signed_amount_minor"]
 def copy_columns() -> list[Column]:
     """What is kept of records that are copies of each other."""
     return [
-        F.count("*").alias("n"), F.sum("signed_amount_minor").alias("amount"), F.min("group_key").alias("group_key"), F.min("raw_ref").alias("ref"),
+        F.count("*").alias("n"), F.min("group_key").alias("group_key"), F.min("raw_ref").alias("ref"),
         F.min("biz_status").alias("status"), F.min("posting_time").alias("posted"), F.sum("base_amount_minor").alias("base"), F.count("base_amount_minor").alias("n_base"),
     ]
 
@@ -71,7 +73,7 @@ def side_columns() -> list[Column]:
     for side, p in (("LEFT", "left"), ("RIGHT", "right")):
         of = lambda c, side=side: F.when(F.col("side") == side, F.col(c))
         columns += [
-            F.coalesce(F.sum(of("n")), F.lit(0)).alias(f"{p}_count"), F.coalesce(F.sum(of("amount")), F.lit(0)).alias(f"{p}_sum"), F.min(of("currency")).alias(f"{p}_currency"),
+            F.coalesce(F.sum(of("n")), F.lit(0)).alias(f"{p}_count"), F.coalesce(F.sum(of("n") * F.col("signed_amount_minor")), F.lit(0)).alias(f"{p}_sum"), F.min(of("currency")).alias(f"{p}_currency"),
             F.max(of("currency")).alias(f"{p}_last_currency"), F.min(of("ref")).alias(f"{p}_ref"), F.min(of("status")).alias(f"{p}_status"), F.min(of("posted")).alias(f"{p}_posted"),
             F.coalesce(F.max(of("n")) > 1, F.lit(False)).alias(f"{p}_copies"),
             F.when(F.sum(of("n_base")) == F.sum(of("n")), F.sum(of("base"))).alias(f"{p}_base"),
@@ -103,10 +105,12 @@ def match_groups(records: DataFrame, *, on_mixed: str = "fail") -> DataFrame:
 
     Records without a match key form groups of their own. Sums are exact and overflow fails. The first aggregation counts
     copies, before and after its exchange, so even the most frequent key leaves few rows; the second makes the groups. A side of several
-    currencies fails, or is treated as in ``guarded``.
+    currencies fails, or is treated as in ``guarded``. Records of one run may come without ``run_id``, and so do their groups.
     """
-    copies = with_null_refs(records).groupBy(*GROUP, *COPY).agg(*copy_columns())
-    return guarded(with_presence(copies.groupBy(*GROUP).agg(*side_columns())), on_mixed)
+    keyed = with_null_refs(records)
+    by = [c for c in _BY_KEY if c in keyed.columns]
+    copies = keyed.groupBy(*by, *COPY).agg(*copy_columns())
+    return guarded(with_presence(copies.groupBy(*by).agg(*side_columns())), on_mixed)
 
 
 def mixed_rejects(records: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,4 +131,8 @@ def register_strategy(name: str, strategy: Callable[[DataFrame], DataFrame]) ->
     STRATEGIES[name] = strategy
 
 
-register_strategy("group-sum", lambda records: match_groups(records, on_mixed="mark"))
+def group_sum(records: DataFrame) -> DataFrame:
+    return match_groups(records, on_mixed="mark")
+
+
+register_strategy("group-sum", group_sum)

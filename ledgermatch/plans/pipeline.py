@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.classify import classify, discrepancies
 from ..operators.conserve import conservation_report, proven_report
 from ..operators.ledger import HANDLERS, finished
-from ..operators.match import STRATEGIES, broken_rejects, guarded, mixed_rejects, standardize
+from ..operators.match import STRATEGIES, broken_rejects, group_sum, guarded, mixed_rejects, standardize
 from ..sources.mapping import ReadContext
 from ..sources.readers import both_sides, route_source
 from ..sources.sinks import append_absent, assert_unique, with_discrepancy_ids
@@ -68,7 +68,15 @@ class Reconciliation:
         for s in self.scenario.segments:
             by_strategy.setdefault(s.strategy, []).append(s.id)
         rows = records.drop("bucket")
-        parts = [STRATEGIES[name](rows if len(by_strategy) == 1 else rows.where(F.col("segment_id").isin(ids))) for name, ids in by_strategy.items()]
+
+        def groups(name: str, ids: list[str]) -> DataFrame:
+            own = rows if len(by_strategy) == 1 else rows.where(F.col("segment_id").isin(ids))
+            if STRATEGIES[name] is not group_sum:
+                return STRATEGIES[name](own)
+            # All are of one run, whose id need not be sorted, dealt and compared with every record.
+            return group_sum(own.drop("run_id")).select(F.lit(self.run_id).alias("run_id"), "*")
+
+        parts = [groups(name, ids) for name, ids in by_strategy.items()]
         return reduce(DataFrame.unionByName, parts)
 
     @cached_property

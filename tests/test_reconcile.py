@@ -392,3 +392,19 @@ def test_rows_of_several_lines_are_put_together_across_small_parts(spark, tmp_pa
         assert plan.count("from_csv(") == 1
     assert records.count() == 100 and rejects.count() == 1
     assert "SortMergeJoin" not in with_line_numbers(spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_need_no_references_or_run_ids(spark):
+    from ledgermatch.plans import demo
+
+    plan = demo.run(spark, "/root/testdata/sf0.001").discrepancies.select("fingerprint")._jdf.queryExecution().optimizedPlan().toString()
+    steps = [x for x in plan.splitlines() if "Aggregate [" in x]
+    assert len(steps) == 2 and not any("min(raw_ref" in x or "run_id" in x for x in steps)
+    assert "filter(array" not in plan  # interpreted, for each row
+
+
+def test_fingerprints_of_null_keys(spark):
+    rows = [row("LEFT", None, 5, ref="a:b:1", group="G"), row("RIGHT", None, 7, ref="c", group="G"), row("LEFT", "K", 5, ref="d", group="G")]
+    got = {r["left_ref"] or r["right_ref"]: r["fingerprint"] for r in run(spark, rows).collect()}
+    mark = lambda kind, slot: spark.range(1).select(fingerprint("S", "2026-08-17", F.lit("S"), F.lit(kind), F.lit("G"), F.lit(slot), F.lit(None).cast("string"))).first()[0]
+    assert got == {"a:b:1": mark("MISSING", "a:b:1"), "c": mark("EXTRA", "c"), "d": mark("MISSING", "K")}
