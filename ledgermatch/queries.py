@@ -250,8 +250,9 @@ select fingerprint, case when status <> 'STALE' and x2.f is null then 'STALE' el
 case when status <> 'STALE' and x2.f is not null then 'RUN1' else 'RUN0' end as last_seen_run, case when status <> 'STALE' and x2.f is null then 'stale:' || fingerprint || ':' || version end as audit_key, case when status <> 'STALE' and x2.f is null then 'priorStatus=' || status || ',runId=RUN1' end as audit_payload from dp left join x2 on fingerprint = x2.f where status is not null""")
 def recon_converge_dispositions(spark, sf_dir):
     """LC3, LC4, WN3, JN5."""
-    first, second = demo.run(spark, sf_dir).discrepancies, demo.run(spark, sf_dir, dropped=7).discrepancies
-    return ledger.converge_dispositions(_dealt(_dispositions(first)), _dealt(second.select("fingerprint")), "RUN1")
+    # Fingerprints are stored before dispositions are made of them: each mention of one would hash it again.
+    first, second = [_dealt(demo.run(spark, sf_dir, dropped=d).discrepancies.select("fingerprint")) for d in (0, 7)]
+    return ledger.converge_dispositions(_dispositions(first), second, "RUN1")
 
 
 @query(classified_sql() + f", d as (select fingerprint, {_DISPOSED} as s from cl where type is not null) select count(*) as n, count(*) filter (s is null or s = 'REOPENED') as n_open, count(*) filter (s = 'RESOLVED') as n_resolved, count(*) filter (s = 'CLOSED') as n_closed, count(*) filter (s = 'SUPPRESSED') as n_suppressed from d")
