@@ -114,3 +114,11 @@ def test_bucketed_ledgers_meet_without_exchanges(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         for t in ("t_first", "t_second", "t_state"):
             drop_table(spark, t)
+
+
+def test_dispositions_converge_on_stored_fingerprints(spark):
+    from ledgermatch import queries
+
+    for query in (queries.recon_converge_dispositions, queries.recon_converge_latest):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "sha2(" not in plan and "hashpartitioning(fingerprint" not in plan
