@@ -18,13 +18,21 @@ def strip_trailing(key: Column) -> Column:
 
 def _signed(x: Column) -> Column:
     """A number from 0 to 2**32 - 1 as a signed 32-bit one."""
-    return F.when(x >= 2**31, x - 2**32).otherwise(x)
+    return F.pmod(x + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
 
 
 def _hash_code(key: Column) -> Column:
-    """Sum of characters times powers of 31 modulo 2**32, for characters of the basic plane."""
+    """Sum of characters times powers of 31 modulo 2**32, for characters of the basic plane.
+
+    The last 8 or 16 characters are one sum, in which places before the key's begin count 0; Spark compiles that, and interprets the fold that longer keys take.
+    """
     chars = F.when(F.length(key) > 0, F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.ascii(F.substring(key, i, F.lit(1))).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(2**32)))
+    folded = F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(2**32)))
+
+    def last(n: int) -> Column:
+        return F.pmod(sum((F.ascii(F.substring(key, -i, 1)).cast("long") * F.lit(31 ** (i - 1) % 2**32) for i in range(1, n + 1)), F.lit(0).cast("long")), F.lit(2**32))
+
+    return F.when(F.length(key) <= 8, last(8)).when(F.length(key) <= 16, last(16)).otherwise(folded)
 
 
 def string_hash(key: Column) -> Column:

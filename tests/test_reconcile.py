@@ -408,3 +408,17 @@ def test_fingerprints_of_null_keys(spark):
     got = {r["left_ref"] or r["right_ref"]: r["fingerprint"] for r in run(spark, rows).collect()}
     mark = lambda kind, slot: spark.range(1).select(fingerprint("S", "2026-08-17", F.lit("S"), F.lit(kind), F.lit("G"), F.lit(slot), F.lit(None).cast("string"))).first()[0]
     assert got == {"a:b:1": mark("MISSING", "a:b:1"), "c": mark("EXTRA", "c"), "d": mark("MISSING", "K")}
+
+
+def test_hashes_of_short_and_long_keys(spark):
+    keys = ["", "O1", "~" * 8, "b" * 9, "~" * 16, "~" * 17, "é漢" * 4, "é漢" * 9, "\0a", "a\0"]
+
+    def code(key):
+        h = 0
+        for c in key:
+            h = (h * 31 + ord(c)) % 2**32
+        return h - 2**32 if h >= 2**31 else h
+
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", string_hash(F.col("k")).alias("h"))
+    assert {r["k"]: r["h"] for r in got.collect()} == {k: code(k) for k in keys}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1  # for keys over 16 characters only
