@@ -509,8 +509,8 @@ def recon_entitlement(spark, sf_dir):
     return entitlement.entitlement_labels(entitlement.entitlement_groups(valid)).select("tenant_id", "issue_id", F.array_join("labels", ",").alias("labels"))
 
 
-def _event_json(spark, sf_dir) -> DataFrame:
-    """The events table as fulfillment events: some cash, some broken, some sent again with equal or other content."""
+def _event_json(spark, sf_dir, only: int | None = None) -> DataFrame:
+    """The events table as fulfillment events: some cash, some broken, some sent again with equal or other content; ``only`` those sent a time, as far as one is named."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.col("event_id")
     cash = k % 4 == 0
@@ -523,7 +523,11 @@ def _event_json(spark, sf_dir) -> DataFrame:
         )
         return F.to_json(F.struct(F.concat(F.lit("ev"), k.cast("string")).alias("eventId"), F.concat(F.lit("FULFILLMENT_"), F.when(k % 37 == 0, "X").otherwise(fact)).alias("eventType"), F.when(k % 43 == 0, "2.0").otherwise("1.1").alias("schemaVersion"), F.lit("T1").alias("tenantId"), F.lit("2026-08-17T00:00:00Z").alias("occurredAt"), payload.alias("payload")))
 
-    times = F.array_compact(F.array(F.struct(F.lit(0).alias("seen"), body(k % 7 + 1).alias("value")), F.when(k % 97 == 0, F.struct(F.lit(1).alias("seen"), body(k % 7 + 1).alias("value"))), F.when((k % 89 == 0) & ~cash, F.struct(F.lit(2).alias("seen"), body(k % 7 + 2).alias("value")))))
+    sent = [(F.lit(True), body(k % 7 + 1)), (k % 97 == 0, body(k % 7 + 1)), ((k % 89 == 0) & ~cash, body(k % 7 + 2))]
+    if only is not None:
+        when, value = sent[only]
+        return e.where(when).select(F.lit(only).alias("seen"), value.alias("value"))
+    times = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(i).alias("seen"), value.alias("value"))) for i, (when, value) in enumerate(sent)]))
     return e.select(F.explode(times).alias("x")).select("x.*")
 
 
@@ -592,7 +596,7 @@ def recon_event_stream(spark, sf_dir):
     """SM4, SM5 over three micro-batches: the events, replays and conflicts among them later; the inbox is state. Each claimed event is stored once, and no reject is lost."""
     root = work_path(spark, "events")
     for seen in range(3):
-        _event_json(spark, sf_dir).where(F.col("seen") == seen).select("value").write.mode("append").text(f"{root}/in")
+        _event_json(spark, sf_dir, seen).select("value").write.mode("append").text(f"{root}/in")
         ev.ingest_stream(spark.readStream.schema("value string").text(f"{root}/in"), f"{root}/out", f"{root}/check").awaitTermination()
     stored, refused = (spark.read.parquet(f"{root}/out/{t}") for t in ("facts", "rejects"))
     return stored.groupBy(F.lit("fact").alias("part"), F.col("target").alias("what")).agg(F.count("*").alias("n")).unionByName(refused.groupBy(F.lit("reject").alias("part"), F.col("reason").alias("what")).agg(F.count("*").alias("n")))

@@ -1,5 +1,6 @@
 """Streams: keyed groups with timers, landing without loss, repair of late rows, and the inbox as state."""
 
+import hashlib
 import json
 from datetime import datetime, timedelta
 
@@ -180,6 +181,36 @@ def test_the_inbox_is_state(spark, tmp_path):
     assert held == [2, 2, 3] and read == [2 * len(b) for b in batch]
 
 
+def test_the_inbox_is_asked_by_slot(spark, tmp_path):
+    """300 events are kept in at most as many values as there are slots; replays, conflicts, numbers past 2**53 and nulls come out as one by one."""
+    keyed.use_rocksdb(spark)
+    big = 2**60
+    cash = {"benefitType": "CASH", "skuId": None, "quantity": None, "currency": "EUR", "entryType": "ISSUE", "providerReference": "p", "status": "SUCCEEDED"}
+    first = [envelope(f"e{i}", quantity=big + i) if i % 3 else envelope(f"e{i}", "PROVIDER", amountMinor=big + i, **cash) for i in range(300)]
+    parts = [[*first, first[0], first[1], first[1], envelope("e1", quantity=1), envelope("e1", quantity=2)], [first[2], envelope("e2", quantity=5), envelope("e300"), "{"]]
+    held, rows = [], []
+
+    def keep(df, i):
+        rows.extend(df.collect())
+
+    for i, lines in enumerate(parts):
+        spark.createDataFrame([(t,) for t in lines], "value string").coalesce(1).write.mode("append").text(f"file://{tmp_path}/in")
+        q = batches.run_batches(ev.claimed_stream(spark.readStream.schema("value string").text(f"file://{tmp_path}/in"), slots=16), keep, f"file://{tmp_path}/check")
+        q.awaitTermination()
+        held.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]))
+    assert max(held) <= 16
+    count = {o: sum(r["outcome"] == o for r in rows) for o in ("claimed", "replay", "conflict", None)}
+    assert count["claimed"] == 301 and count[None] == 1 and count["replay"] + count["conflict"] == 7
+    won = min((t for t in parts[0] if '"e1"' in t), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    mine = [r for r in rows if r["event_id"] == "e1"]
+    assert [r["raw"] for r in mine if r["outcome"] == "claimed"] == [won]
+    assert sorted(r["outcome"] for r in mine) == sorted(["claimed", *["replay"] * (parts[0].count(won) - 1), *["conflict"] * (5 - parts[0].count(won))])
+    want = {r["event_id"]: r for r in ev.routed(spark.createDataFrame([(t,) for t in first], "value string")).collect()}
+    for r in rows:
+        if r["outcome"] == "claimed" and r["event_id"] not in ("e1", "e300"):
+            assert r.asDict() == {**want[r["event_id"]].asDict(), "outcome": "claimed"}
+
+
 def test_state_is_asked_by_slot(spark, tmp_path):
     """1000 groups are kept in at most as many values as there are slots, and times beyond pandas' range are kept; sums past 2**53 stay exact."""
     keyed.use_rocksdb(spark)
