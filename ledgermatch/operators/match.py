@@ -11,7 +11,7 @@ from ..schema import REJECT_COLUMNS
 
 GROUP = ["run_id", "segment_id", "match_key", "null_ref"]
 #: The order in which groups are sorted: keys differ most, runs least.
-_BY_KEY = ["match_key", "null_ref", "segment_id", "run_id"]
+BY_KEY = ["match_key", "null_ref", "segment_id", "run_id"]
 #: Why a record is rejected that reached matching.
 BROKEN, MIXED = "match key without group key", "several currencies on one side of its group"
 
@@ -108,7 +108,7 @@ def match_groups(records: DataFrame, *, on_mixed: str = "fail") -> DataFrame:
     currencies fails, or is treated as in ``guarded``. Records of one run may come without ``run_id``, and so do their groups.
     """
     keyed = with_null_refs(records)
-    by = [c for c in _BY_KEY if c in keyed.columns]
+    by = [c for c in BY_KEY if c in keyed.columns]
     copies = keyed.groupBy(*by, *COPY).agg(*copy_columns())
     return guarded(with_presence(copies.groupBy(*by).agg(*side_columns())), on_mixed)
 

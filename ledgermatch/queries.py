@@ -970,8 +970,8 @@ def recon_stream_windows(spark, sf_dir):
     """SM3: sliding windows of two days, in which every group comes twice, and sessions of one hour."""
     root = work_path(spark, "windows")
     r = demo.run(spark, sf_dir)
-    records = r.records.drop("bucket")
-    records.write.parquet(f"{root}/in")
+    records = r.records.select(*reconcile.GROUPED)
+    records.write.option("compression", "zstd").parquet(f"{root}/in")
     last = records.limit(1).withColumns({"biz_time": F.lit("2999-01-01").cast("timestamp"), "raw_ref": F.lit("end"), "match_key": F.lit("end"), "group_key": F.lit("end")})
     last.write.mode("append").parquet(f"{root}/in")
     roles = {s.id: s.roles() for s in r.scenario.segments}

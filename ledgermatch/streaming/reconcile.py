@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.classify import Roles, Rule, classify
-from ..operators.match import COPY, GROUP, MIXED, as_rejects, copy_columns, guarded, side_columns, with_null_refs, with_presence
+from ..operators.match import BY_KEY, COPY, GROUP, MIXED, as_rejects, copy_columns, guarded, side_columns, with_null_refs, with_presence
 from ..schema import REJECTS
 from ..sources.sinks import exists
-from .batches import ddl, read_batches, run_batches, write_batch
+from .batches import ddl, drop_batch, is_written, read_batches, run_batches, write_batch
 
 UNTIMED = "no event time"
+#: The columns of a record that its group is made of.
+GROUPED = ["run_id", "segment_id", "side", "match_key", "group_key", "currency", "signed_amount_minor", "base_amount_minor", "entry_type", "biz_status", "biz_time", "posting_time", "raw_ref"]
+_FOUND = ["segment_id", "fingerprint", "type", "match_key", "group_key", "currency", "expected", "actual", "delta"]
 
 
 def time_window(time: str, size: str, slide: str | None = None, gap: str | None = None) -> Column:
@@ -31,8 +37,39 @@ def windowed_groups(records: DataFrame, *, watermark: str = "1 hour", size: str
     window = time_window("biz_time", size, slide, gap).alias("window")
     if gap:
         return guarded(with_presence(_session_groups(rows, window)), on_mixed)
-    copies = rows.groupBy(window, *GROUP, *COPY).agg(*copy_columns())
-    return guarded(with_presence(copies.groupBy("window", *GROUP).agg(*side_columns())), on_mixed)
+    panes = None if rows.isStreaming or not slide else _panes(size, slide)
+    if panes:
+        return guarded(with_presence(_sliding_groups(rows, *panes)), on_mixed)
+    # Keys first, as rows are compared by the start of the first column before all else, and windows are few.
+    copies = rows.groupBy(*BY_KEY, window, *COPY).agg(*copy_columns())
+    return guarded(with_presence(copies.groupBy(*BY_KEY, "window").agg(*side_columns())), on_mixed)
+
+
+def _panes(size: str, slide: str) -> tuple[int, int] | None:
+    """Size and slide in microseconds, where the one is a multiple of the other."""
+    try:
+        whole, step = (int(pd.Timedelta(t).value) // 1000 for t in (size, slide))
+    except ValueError:
+        return None
+    return (whole, step) if step > 0 and whole % step == 0 else None
+
+
+def _sliding_groups(rows: DataFrame, size: int, slide: int) -> DataFrame:
+    """Groups of sliding windows, which consist of panes as long as a slide. Copies are counted by pane, and become rows of each window only where they have been dealt.
+
+    They are dealt by key and block of windows: a pane goes to a second block only where its windows begin in two.
+    """
+    span = 8 * size  # a block's length, by the begins of its windows
+    floor = lambda t, step: t - F.pmod(t, F.lit(step))
+    pane, block, first = F.col("pane"), F.col("block"), F.col("pane") - F.lit(size - slide)
+    copies = rows.withColumn("pane", floor(F.unix_micros("biz_time"), slide)).groupBy(*BY_KEY, "pane", *COPY).agg(*copy_columns())
+    dealt = copies.withColumn("block", F.explode(F.array_distinct(F.array(floor(first, span), floor(pane, span))))).repartition(*BY_KEY, "block")
+    begins = F.sequence(F.greatest(first, block), F.least(pane, block + F.lit(span - slide)), F.lit(slide))
+    again = [F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("group_key", "ref", "status", "posted")], F.sum("base").alias("base"), F.sum("n_base").alias("n_base")]
+    by = [*BY_KEY, "block", "begin"]
+    groups = dealt.withColumn("begin", F.explode(begins)).groupBy(*by, *COPY).agg(*again).groupBy(*by).agg(*side_columns())
+    window = F.struct(F.timestamp_micros("begin").alias("start"), F.timestamp_micros(F.col("begin") + F.lit(size)).alias("end"))
+    return groups.withColumn("window", window).drop("block", "begin")
 
 
 def _session_groups(rows: DataFrame, window: Column) -> DataFrame:
@@ -73,8 +110,8 @@ def _closing(raw: DataFrame, low, high, *, size: str = "1 day", slide: str | Non
     return windowed_groups(near, size=size, slide=slide, on_mixed="mark").where((end <= F.lit(high)) & (F.lit(True) if low is None else end > F.lit(low)))
 
 
-def _closing_sessions(batch: DataFrame, root: str, batch_id: int, low, high, gap: str) -> DataFrame:
-    """The groups of sessions that end not behind ``high``. The records of the others are kept below ``root``/open, for the next batch."""
+def _closing_sessions(batch: DataFrame, root: str, batch_id: int, low, high, gap: str, classified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The groups of sessions that end not behind ``high`` and are mixed or not clean, classified. The records of sessions that are still open are kept below ``root``/open, for the next batch."""
     spark = batch.sparkSession
     schema = ddl(batch)
     before = read_batches(spark, f"{root}/open", schema).where(F.col("batch").cast("long") < batch_id)
@@ -82,15 +119,16 @@ def _closing_sessions(batch: DataFrame, root: str, batch_id: int, low, high, gap
     rows = batch if low is None else batch.where(F.col("biz_time") + F.expr(f"interval {gap}") > F.lit(low))
     if last is not None:
         rows = rows.unionByName(before.where(F.col("batch").cast("long") == last).drop("batch"))
-    write_batch(windowed_groups(rows, gap=gap, on_mixed="mark"), f"{root}/sessions", batch_id)
+    still = F.lit(True) if high is None else F.col("window.end") > F.lit(high)
+    groups = classified(windowed_groups(rows, gap=gap, on_mixed="mark")).where(still | F.col("type").isNotNull() | F.col("mixed"))
+    write_batch(groups.select("window", "run_id", "null_ref", "mixed", *_FOUND), f"{root}/sessions", batch_id)
     found = spark.read.parquet(f"{root}/sessions/batch={batch_id}")
-    open_ = found.where(F.lit(True) if high is None else F.col("window.end") > F.lit(high))
-    keys = open_.select("window", *[F.col(c).alias(f"__{c}") for c in GROUP])
+    keys = found.where(still).select("window", *[F.col(c).alias(f"__{c}") for c in GROUP])
     same = (F.col("biz_time") >= F.col("window.start")) & (F.col("biz_time") < F.col("window.end"))
     for c in GROUP:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     write_batch(with_null_refs(rows).join(keys, same, "left_semi").drop("null_ref"), f"{root}/open", batch_id)
-    return found.where(F.lit(False) if high is None else F.col("window.end") <= F.lit(high))
+    return found.where(~still)
 
 
 def reconcile_windows(records: DataFrame, root: str, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, checkpoint: str, by: str = "month", on_mixed: str = "fail", watermark: str = "1 hour", size: str = "1 day", slide: str | None = None, gap: str | None = None) -> StreamingQuery:
@@ -101,22 +139,29 @@ def reconcile_windows(records: DataFrame, root: str, roles: dict[str, Roles], ru
     later ones than their window's end come to no discrepancy (``land``, ``reconcile_landed`` and ``repair`` bring them in).
     """
     part = F.to_date(F.date_trunc(by, "biz_time"))
-    schema = ddl(records)
+    # What a discrepancy is made of; of references that is those that stand for a key.
+    needed = records.select(*[F.when(F.col("match_key").isNull(), F.col(c)).alias(c) if c == "raw_ref" else c for c in GROUPED])
+    schema = ddl(needed)
+
+    def classified(groups: DataFrame) -> DataFrame:
+        return classify(groups, roles, rule, scenario=scenario, period=period)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if is_written(spark, f"{root}/discrepancies", batch_id):
+            return
         timed = batch.where("biz_time is not null")
         low, high = _watermarks(timed, root, batch_id, watermark)
         if gap:
-            closed = _closing_sessions(timed, root, batch_id, low, high, gap)
+            found = guarded(_closing_sessions(timed, root, batch_id, low, high, gap, classified), on_mixed)
         else:
             write_batch(timed.withColumn("part", part).hint("rebalance", "part"), f"{root}/raw", batch_id, ["part"])
-            closed = _closing(landed(spark, root, schema), low, high, size=size, slide=slide)
-        classified = classify(guarded(closed, on_mixed), roles, rule, scenario=scenario, period=period).where("type is not null")
-        found = classified.select(F.col("window.start").alias("window_start"), "segment_id", "fingerprint", "type", "match_key", "group_key", "currency", "expected", "actual", "delta")
-        write_batch(found, f"{root}/discrepancies", batch_id)
+            found = classified(guarded(_closing(landed(spark, root, schema), low, high, size=size, slide=slide), on_mixed))
+        write_batch(found.where("type is not null").select(F.col("window.start").alias("window_start"), *_FOUND), f"{root}/discrepancies", batch_id)
+        if gap:
+            drop_batch(spark, f"{root}/sessions", batch_id)
 
-    return run_batches(records, each, checkpoint)
+    return run_batches(needed, each, checkpoint)
 
 
 def keep_raw(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

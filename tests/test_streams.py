@@ -254,6 +254,42 @@ def test_windows_close_without_state(spark, tmp_path, window):
     assert go(rec("LEFT", "end", 1, 1200))[:2] == [a, ("c", "EXTRA", 0, 5, twice)]
 
 
+@pytest.mark.parametrize("window", [{"size": "2 hours", "slide": "1 hour"}, {"size": "90 minutes", "slide": "30 minutes"}, {"size": "50 minutes", "slide": "20 minutes"}])
+def test_sliding_windows_deal_a_record_once(spark, window):
+    """Windows of panes are those of the engine's expansion: over blocks, copies in several panes, other currencies, null keys and times before 1970."""
+    rows = [rec(("LEFT", "RIGHT")[i % 2], f"k{i % 7}" if i % 11 else None, 10 + i % 2, 3 * i, ccy="EUR" if i % 29 == 0 else "USD", base=i if i % 5 else None, status="AB"[i % 2]) for i in range(400)]
+    old = list(rec("LEFT", "k1", 5))
+    old[10] = datetime(1969, 12, 31, 23, 59)
+    df = spark.createDataFrame([*rows, tuple(old)], SCHEMA)
+    got = reconcile.windowed_groups(df, on_mixed="mark", **window)
+    keyed_rows = reconcile.with_null_refs(df)
+    copies = keyed_rows.groupBy(F.window("biz_time", window["size"], window["slide"]).alias("window"), *reconcile.GROUP, *reconcile.COPY).agg(*reconcile.copy_columns())
+    want = reconcile.with_presence(copies.groupBy("window", *reconcile.GROUP).agg(*reconcile.side_columns())).select(*got.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and got.where("mixed").count() and got.where("left_copies").count()
+    if window["size"] != "50 minutes":
+        plan = reconcile.windowed_groups(df, on_mixed="mark", **window)._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_windows_leave_no_more_than_needed_on_disk(spark, tmp_path):
+    """Landed records have no column that no discrepancy asks for, references stand for null keys only, and what sessions were made of goes; a batch's shuffle files go with it."""
+    root = f"file://{tmp_path}"
+    rows = [rec("LEFT", "a", 10), rec("LEFT", None, 3, ref="n1"), rec("LEFT", "end", 1, 6000)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{root}/in")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    for kind, window in (("fixed", {"size": "1 hour"}), ("session", {"gap": "30 minutes"})):
+        source = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
+        reconcile.reconcile_windows(source, f"{root}/{kind}", ROLES, Rule(), scenario="C", period="P", checkpoint=f"{root}/check-{kind}", watermark="10 minutes", **window).awaitTermination()
+        assert sorted(r["type"] for r in spark.read.parquet(f"{root}/{kind}/discrepancies").collect()) == ["MISSING"] * 2
+    raw = spark.read.parquet(f"{root}/fixed/raw")
+    assert "record_id" not in raw.columns and {r["raw_ref"] for r in raw.collect()} == {None, "n1"}
+    assert not list((tmp_path / "session" / "sessions").glob("batch=*")) and list((tmp_path / "session" / "open").glob("batch=*"))
+    seen = []
+    batches.run_batches(spark.readStream.schema(SCHEMA).parquet(f"{root}/in"), lambda df, i: seen.append(df.sparkSession.conf.get(name)), f"{root}/check").awaitTermination()
+    assert seen == ["true"] and spark.conf.get(name, None) == before
+
+
 def test_events_are_parsed_once_whatever_follows(spark):
     good = {"eventId": "e1", "eventType": "FULFILLMENT_INTERNAL", "schemaVersion": "1.0", "tenantId": "T", "occurredAt": "2026-08-17T00:00:00Z", "payload": {"factType": "INTERNAL", "benefitType": "GOODS", "awardItemNo": "A", "awardOrderNo": "O", "skuId": "s", "quantity": 1, "status": "SUCCEEDED"}}
     other = good | {"payload": good["payload"] | {"quantity": 2}}
