@@ -646,13 +646,13 @@ def recon_late_repair(spark, sf_dir):
     """SM2: a third of the rows comes after its windows have closed; the repair recomputes the groups that lack rows, and all equals the batch run."""
     root = work_path(spark, "late")
     r = demo.run(spark, sf_dir)
-    records = r.records.drop("bucket")
+    records = r.records.select(*reconcile.GROUPED)
     late = F.crc32(F.col("raw_ref").cast("binary")) % 3 == 0
     roles = {s.id: s.roles() for s in r.scenario.segments}
     schema = batches.ddl(records)
     rest = {"scenario": demo.SCENARIO, "period": demo.PERIOD}
     for part in (records.where(~late), _end(records), records.where(late)):
-        part.write.mode("append").parquet(f"{root}/in")
+        part.write.mode("append").option("compression", "zstd").parquet(f"{root}/in")
         source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
         reconcile.land(source, f"{root}/t", f"{root}/check-land", by="year").awaitTermination()
         reconcile.reconcile_landed(spark, f"{root}/t", schema, roles, Rule(), checkpoint=f"{root}/check", **rest).awaitTermination()

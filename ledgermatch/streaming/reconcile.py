@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -12,7 +13,7 @@ from ..operators.classify import Roles, Rule, classify
 from ..operators.match import BY_KEY, COPY, GROUP, MIXED, as_rejects, copy_columns, guarded, side_columns, with_null_refs, with_presence
 from ..schema import REJECTS
 from ..sources.sinks import exists
-from .batches import ddl, drop_batch, is_written, read_batches, run_batches, write_batch
+from .batches import ddl, drop_batch, freed_shuffles, is_written, read_batches, run_batches, write_batch
 
 UNTIMED = "no event time"
 #: The columns of a record that its group is made of.
@@ -25,13 +26,14 @@ def time_window(time: str, size: str, slide: str | None = None, gap: str | None
     return F.session_window(time, gap) if gap else F.window(time, size, slide) if slide else F.window(time, size)
 
 
-def windowed_groups(records: DataFrame, *, watermark: str = "1 hour", size: str = "1 day", slide: str | None = None, gap: str | None = None, on_mixed: str = "fail") -> DataFrame:
+def windowed_groups(records: DataFrame, *, watermark: str = "1 hour", size: str = "1 day", slide: str | None = None, gap: str | None = None, on_mixed: str = "fail", known: DataFrame | None = None) -> DataFrame:
     """Match groups of every window of ``biz_time``, by the aggregations of the batch run: copies first, then groups.
 
     With ``gap`` windows are sessions of a group. The engine takes no second aggregation above session windows, so there copies are gathered
     within the group's one aggregation. On a stream the rows of a window come when the watermark passes its end. Rows later than the
     watermark are dropped by the engine without a trace in its progress figures, and rows without a time are in no window: ``land`` keeps the former and rejects
-    the latter, ``reconcile_landed`` rejects what 'quarantine' would leave out here, and ``repair`` brings late rows in.
+    the latter, ``reconcile_landed`` rejects what 'quarantine' would leave out here, and ``repair`` brings late rows in. ``known`` (window, the group's columns, m,
+    revision), for fixed windows of tables, are former results: groups come with the most of their m and revision, and without a join.
     """
     rows = with_null_refs(records).withWatermark("biz_time", watermark)
     window = time_window("biz_time", size, slide, gap).alias("window")
@@ -39,10 +41,12 @@ def windowed_groups(records: DataFrame, *, watermark: str = "1 hour", size: str
         return guarded(with_presence(_session_groups(rows, window)), on_mixed)
     panes = None if rows.isStreaming or not slide else _panes(size, slide)
     if panes:
-        return guarded(with_presence(_sliding_groups(rows, *panes)), on_mixed)
+        return guarded(with_presence(_sliding_groups(rows, *panes, known)), on_mixed)
     # Keys first, as rows are compared by the start of the first column before all else, and windows are few.
     copies = rows.groupBy(*BY_KEY, window, *COPY).agg(*copy_columns())
-    return guarded(with_presence(copies.groupBy(*BY_KEY, "window").agg(*side_columns())), on_mixed)
+    if known is not None:
+        copies = copies.unionByName(known, allowMissingColumns=True)
+    return guarded(with_presence(copies.groupBy(*BY_KEY, "window").agg(*side_columns(), *_former(known))), on_mixed)
 
 
 def _panes(size: str, slide: str) -> tuple[int, int] | None:
@@ -54,7 +58,11 @@ def _panes(size: str, slide: str) -> tuple[int, int] | None:
     return (whole, step) if step > 0 and whole % step == 0 else None
 
 
-def _sliding_groups(rows: DataFrame, size: int, slide: int) -> DataFrame:
+def _former(known: DataFrame | None) -> list[Column]:
+    return [] if known is None else [F.max("m").alias("m"), F.max("revision").alias("revision")]
+
+
+def _sliding_groups(rows: DataFrame, size: int, slide: int, known: DataFrame | None) -> DataFrame:
     """Groups of sliding windows, which consist of panes as long as a slide. Copies are counted by pane, and become rows of each window only where they have been dealt.
 
     They are dealt by key and block of windows: a pane goes to a second block only where its windows begin in two.
@@ -67,7 +75,11 @@ def _sliding_groups(rows: DataFrame, size: int, slide: int) -> DataFrame:
     begins = F.sequence(F.greatest(first, block), F.least(pane, block + F.lit(span - slide)), F.lit(slide))
     again = [F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("group_key", "ref", "status", "posted")], F.sum("base").alias("base"), F.sum("n_base").alias("n_base")]
     by = [*BY_KEY, "block", "begin"]
-    groups = dealt.withColumn("begin", F.explode(begins)).groupBy(*by, *COPY).agg(*again).groupBy(*by).agg(*side_columns())
+    copies = dealt.withColumn("begin", F.explode(begins)).groupBy(*by, *COPY).agg(*again)
+    if known is not None:
+        begin = F.unix_micros("window.start")
+        copies = copies.unionByName(known.withColumns({"begin": begin, "block": floor(begin, span)}).drop("window"), allowMissingColumns=True)
+    groups = copies.groupBy(*by).agg(*side_columns(), *_former(known))
     window = F.struct(F.timestamp_micros("begin").alias("start"), F.timestamp_micros(F.col("begin") + F.lit(size)).alias("end"))
     return groups.withColumn("window", window).drop("block", "begin")
 
@@ -98,16 +110,43 @@ def _watermarks(batch: DataFrame, root: str, batch_id: int, delay: str) -> tuple
     return low, high if low is None else low if high is None else max(low, high)
 
 
-def _closing(raw: DataFrame, low, high, *, size: str = "1 day", slide: str | None = None) -> DataFrame:
-    """The groups of the windows that end behind ``low`` and not behind ``high``, from landed records; other years' parts are not read."""
-    if high is None or low == high:
-        return windowed_groups(raw.where(F.lit(False)), size=size, slide=slide, on_mixed="mark")
+def _near(raw: DataFrame, low, high, size: str) -> DataFrame:
+    """The landed records that may be in windows that end behind ``low`` and not behind ``high``; other years' parts are not read."""
     near = raw.where((F.col("biz_time") < F.lit(high)) & (F.col("part") <= F.to_date(F.lit(high))))
-    if low is not None:
-        since = F.lit(low) - F.expr(f"interval {size}")
-        near = near.where((F.col("biz_time") >= since) & (F.col("part") >= F.to_date(F.date_trunc("year", since))))
+    if low is None:
+        return near
+    since = F.lit(low) - F.expr(f"interval {size}")
+    return near.where((F.col("biz_time") >= since) & (F.col("part") >= F.to_date(F.date_trunc("year", since))))
+
+
+def _closing(raw: DataFrame, low, high, *, size: str = "1 day", slide: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The groups of the windows that end behind ``low`` and not behind ``high``, from landed records."""
+    if high is None or low == high:
+        return windowed_groups(raw.where(F.lit(False)), size=size, slide=slide, on_mixed="mark", known=None if known is None else known.where(F.lit(False)))
     end = F.col("window.end")
-    return windowed_groups(near, size=size, slide=slide, on_mixed="mark").where((end <= F.lit(high)) & (F.lit(True) if low is None else end > F.lit(low)))
+    inside = (end <= F.lit(high)) & (F.lit(True) if low is None else end > F.lit(low))
+    return windowed_groups(_near(raw, low, high, size), size=size, slide=slide, on_mixed="mark", known=None if known is None else known.where(inside)).where(inside)
+
+
+#: Windows are grouped in parts of about so many records, one after the other, so the files of a shuffle don't grow with what a batch closes.
+AT_ONCE = 30_000_000
+
+
+def _spans(raw: DataFrame, low, high, path: str, name: int | str, *, size: str = "1 day", slide: str | None = None) -> list[tuple[str, object, object]]:
+    """The time from ``low`` to ``high`` in spans in which windows end, each with a name for its folder. They are kept below ``path``, so what is done again has the same."""
+    spark = raw.sparkSession
+    if not is_written(spark, path, name):
+        if high is None or low == high:
+            return [(str(name), low, high)]
+        bounds, held = [low], 0
+        for t, n in _near(raw, low, high, size).groupBy(F.date_trunc("hour", "biz_time").alias("t")).count().orderBy("t").collect():
+            if held and held + n > AT_ONCE and (low is None or t > low):
+                bounds.append(t)
+                held = 0
+            held += n
+        write_batch(spark.createDataFrame([(t,) for t in [*bounds, high]], "at timestamp").coalesce(1), path, name)
+    bounds = [r["at"] for r in spark.read.schema("at timestamp").parquet(f"{path}/batch={name}").orderBy(F.asc_nulls_first("at")).collect()]
+    return [(f"{name}-{i}" if i else str(name), *span) for i, span in enumerate(zip(bounds, bounds[1:]))]
 
 
 def _closing_sessions(batch: DataFrame, root: str, batch_id: int, low, high, gap: str, classified: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -148,18 +187,19 @@ def reconcile_windows(records: DataFrame, root: str, roles: dict[str, Roles], ru
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if is_written(spark, f"{root}/discrepancies", batch_id):
-            return
         timed = batch.where("biz_time is not null")
         low, high = _watermarks(timed, root, batch_id, watermark)
         if gap:
-            found = guarded(_closing_sessions(timed, root, batch_id, low, high, gap, classified), on_mixed)
-        else:
-            write_batch(timed.withColumn("part", part).hint("rebalance", "part"), f"{root}/raw", batch_id, ["part"])
-            found = classified(guarded(_closing(landed(spark, root, schema), low, high, size=size, slide=slide), on_mixed))
-        write_batch(found.where("type is not null").select(F.col("window.start").alias("window_start"), *_FOUND), f"{root}/discrepancies", batch_id)
-        if gap:
+            if not is_written(spark, f"{root}/discrepancies", batch_id):
+                found = guarded(_closing_sessions(timed, root, batch_id, low, high, gap, classified), on_mixed)
+                write_batch(found.where("type is not null").select(F.col("window.start").alias("window_start"), *_FOUND), f"{root}/discrepancies", batch_id)
             drop_batch(spark, f"{root}/sessions", batch_id)
+            return
+        write_batch(timed.withColumn("part", part).hint("rebalance", "part"), f"{root}/raw", batch_id, ["part"])
+        raw = landed(spark, root, schema)
+        for name, begin, end in _spans(raw, low, high, f"{root}/spans", batch_id, size=size, slide=slide):
+            found = classified(guarded(_closing(raw, begin, end, size=size, slide=slide), on_mixed))
+            write_batch(found.where("type is not null").select(F.col("window.start").alias("window_start"), *_FOUND), f"{root}/discrepancies", name)
 
     return run_batches(needed, each, checkpoint)
 
@@ -216,55 +256,72 @@ def reconcile_landed(spark: SparkSession, root: str, schema: str, roles: dict[st
     source = spark.readStream.schema(f"{schema}, batch string, part date").parquet(f"{root}/raw")
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         low, high = _watermarks(batch, root, batch_id, delay)
-        # Written first, as the groups are needed several times; the classified ones follow, so readers never see a part of a batch.
-        groups = _closing(landed(spark, root, schema), low, high, **window)
-        write_batch(groups, f"{root}/closed", batch_id)
-        closed = spark.read.schema(groups.schema).parquet(f"{root}/closed/batch={batch_id}")
-        mixed = closed.where("mixed")
-        write_batch(as_rejects(_in_groups(landed(spark, root, schema), mixed), MIXED), f"{root}/rejects-mixed", batch_id)
-        write_batch(mixed.select("window", *GROUP, "left_count", "right_count"), f"{root}/mixed", batch_id)
-        write_batch(classify(closed.where("not mixed"), roles, rule, scenario=scenario, period=period).withColumn("revision", F.lit(0)), f"{root}/groups", batch_id)
+        raw = landed(spark, root, schema)
+        # One table, in which mixed groups are marked: readers of groups pass over them, and repairs know what they held.
+        for name, begin, end in _spans(raw, low, high, f"{root}/spans", batch_id, **window):
+            groups = classify(_closing(raw, begin, end, **window), roles, rule, scenario=scenario, period=period).withColumn("revision", F.lit(0))
+            write_batch(groups, f"{root}/groups", name)
+            mixed = spark.read.schema(groups.schema).parquet(f"{root}/groups/batch={name}").where("mixed")
+            write_batch(as_rejects(_in_groups(raw, mixed), MIXED), f"{root}/rejects-mixed", name)
 
     return run_batches(source, each, checkpoint)
 
 
+def _results(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Classified groups as written, the mixed among them."""
+    return read_batches(spark, f"{root}/{table}", ddl(spark.read.parquet(f"{root}/groups"), "batch"))
+
+
+def _same_group(a: DataFrame, b: DataFrame) -> list[Column]:
+    return [a[c].eqNullSafe(b[c]) for c in ("window", *GROUP)]
+
+
 def current_groups(spark: SparkSession, root: str) -> DataFrame:
     """The classified groups of all closed windows, as last corrected."""
-    schema = ddl(spark.read.parquet(f"{root}/groups"), "batch")
-    out = read_batches(spark, f"{root}/groups", schema).unionByName(read_batches(spark, f"{root}/corrections", schema))
-    newest = F.row_number().over(Window.partitionBy("window", *GROUP).orderBy(F.desc("revision")))
-    return out.withColumn("__n", newest).where("__n = 1").drop("__n", "batch")
+    first = _results(spark, root, "groups").where("not mixed").drop("batch")
+    if not exists(spark, f"{root}/corrections"):
+        return first
+    fixed = _results(spark, root, "corrections").where("not mixed").drop("batch")
+    newest = F.row_number().over(Window.partitionBy(*BY_KEY, "window").orderBy(F.desc("revision")))
+    # A window closes once, so its groups are there once; only corrections repeat.
+    fixed = fixed.withColumn("__n", newest).where("__n = 1").drop("__n")
+    return first.join(fixed.select("window", *GROUP), _same_group(first, fixed), "left_anti").unionByName(fixed)
 
 
 def repair(spark: SparkSession, root: str, schema: str, roles: dict[str, Roles], rule: Rule, *, scenario: str, period: str, name: str, watermark: str = "1 hour", **window) -> DataFrame:
     """Bring late records in: recompute the groups whose closed windows lack landed records, and publish them as ``root``/corrections.
 
-    A window is closed once the newest landed record is a watermark behind its end. Records and groups meet as counts by window and
-    key; only records of groups whose counts differ meet again. ``name`` names the repair, and a repair of a name is published once. Groups
-    that become mixed are rejected as a whole, and their former results stay.
+    A window is closed once the newest landed record is a watermark behind its end. Counts by window tell from which to which windows rows are lacking; their groups are
+    made anew, the known counts going along in the same aggregation, and those whose counts differ are corrected. ``name`` names the repair, and a repair of a name is
+    published once. Groups that become mixed are rejected as a whole, and their former results stay.
     """
-    raw = landed(spark, root, schema)
-    part = time_window("biz_time", window.get("size", "1 day"), window.get("slide"), window.get("gap")).alias("window")
     if window.get("gap"):
         raise ValueError("late records may join sessions; repair fixed windows")
-    newest = raw.agg(F.max("biz_time")).first()[0]
-    there = with_null_refs(raw).groupBy(part, *GROUP).agg(F.count("*").alias("n")).where(F.col("window.end") <= F.lit(newest) - F.expr(f"interval {watermark}"))
-    known = current_groups(spark, root).select("window", *GROUP, (F.col("left_count") + F.col("right_count")).alias("m"), "revision")
-    mixed = read_batches(spark, f"{root}/mixed", "window struct<start: timestamp, end: timestamp>, " + ", ".join(f"{c} string" for c in GROUP) + ", left_count long, right_count long")
-    known = known.unionByName(mixed.select("window", *GROUP, (F.col("left_count") + F.col("right_count")).alias("m"), F.lit(0).alias("revision")))
-    same = [there[c].eqNullSafe(known[c]) for c in ("window", *GROUP)]
-    touched = there.join(known, same, "left").where(~F.col("n").eqNullSafe(F.col("m"))).select(*[there[c] for c in ("window", *GROUP)], F.coalesce("revision", F.lit(-1)).alias("revision")).persist()
-    again = windowed_groups(_in_groups(raw, touched).drop("null_ref"), on_mixed="mark", **window)
-    marked = [again[c].eqNullSafe(touched[c]) for c in ("window", *GROUP)]
-    again = again.join(touched, marked).select(*[again[c] for c in again.columns], (F.col("revision") + 1).alias("revision"))
-    write_batch(as_rejects(_in_groups(raw, again.where("mixed")), MIXED), f"{root}/rejects-late-mixed", name)
-    fixed = classify(again.where("not mixed").drop("revision"), roles, rule, scenario=scenario, period=period)
-    back = [fixed[c].eqNullSafe(touched[c]) for c in ("window", *GROUP)]
-    fixed = fixed.join(touched, back).select(*[fixed[c] for c in fixed.columns], (F.col("revision") + 1).alias("revision"))
-    write_batch(fixed, f"{root}/corrections", name)
-    touched.unpersist()
-    return spark.read.parquet(f"{root}/corrections/batch={name}")
+    size, slide = window.get("size", "1 day"), window.get("slide")
+    raw = landed(spark, root, schema)
+    with freed_shuffles(spark):
+        known = [_results(spark, root, t).select("window", *GROUP, (F.col("left_count") + F.col("right_count")).alias("m"), "revision") for t in ("groups", "corrections")]
+        known = known[0].unionByName(known[1])
+        low = high = None
+        if not is_written(spark, f"{root}/repairs", name) and not is_written(spark, f"{root}/corrections", name):
+            closed = F.col("window.end") <= F.lit(raw.agg(F.max("biz_time")).first()[0]) - F.expr(f"interval {watermark}")
+            # Landed records only become more, and so do the counts of a group from revision to revision.
+            newest = known if not exists(spark, f"{root}/corrections") else known.groupBy(*BY_KEY, "window").agg(F.max("m").alias("m"))
+            there = raw.groupBy(time_window("biz_time", size, slide).alias("window")).agg(F.count("*").alias("n")).where(closed)
+            held = newest.groupBy(F.col("window").alias("__window")).agg(F.sum("m").alias("m"))
+            lacking = there.join(held, F.col("window") == F.col("__window"), "left").where(F.col("n") > F.coalesce("m", F.lit(0)))
+            low, high = lacking.agg(F.min("window.start"), F.max("window.end")).first()
+        outs = []
+        for part, begin, end in _spans(raw, low, high, f"{root}/repairs", name, size=size, slide=slide):
+            again = _closing(raw, begin, end, size=size, slide=slide, known=known)
+            again = again.where((F.col("left_count") + F.col("right_count")) > F.coalesce("m", F.lit(0))).withColumn("revision", F.coalesce("revision", F.lit(-1)) + 1).drop("m")
+            fixed = classify(again, roles, rule, scenario=scenario, period=period)
+            write_batch(fixed, f"{root}/corrections", part)
+            outs.append(spark.read.schema(fixed.schema).parquet(f"{root}/corrections/batch={part}"))
+            write_batch(as_rejects(_in_groups(raw, outs[-1].where("mixed")), MIXED), f"{root}/rejects-late-mixed", part)
+    return reduce(DataFrame.unionByName, outs).where("not mixed")
 
 
 def all_rejects(spark: SparkSession, root: str) -> DataFrame:
