@@ -612,11 +612,14 @@ def recon_keyed_stream(spark, sf_dir):
     """SM7: groups come out when they balance or when their timers run out, over a restart; the last of each is the batch run's."""
     root = work_path(spark, "keyed")
     keyed.use_rocksdb(spark)
-    records = demo.run(spark, sf_dir).records.drop("bucket")
+    records = demo.run(spark, sf_dir).records.select(*reconcile.GROUPED)
+    size = None
     for part in (records, _end(records)):
-        part.write.mode("append").parquet(f"{root}/in")
+        part.write.mode("append").option("compression", "zstd").parquet(f"{root}/in")
         source = spark.readStream.schema(records.schema).parquet(f"{root}/in")
-        batches.run_batches(keyed.keyed_groups(source), lambda df, i: batches.write_batch(df, f"{root}/groups", i), f"{root}/check").awaitTermination()
+        # The stream keeps for life what it began with.
+        size = size or keyed.sized(spark.read.parquet(f"{root}/in").count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        batches.run_batches(keyed.keyed_groups(source, slots=size[0]), lambda df, i: batches.write_batch(df, f"{root}/groups", i), f"{root}/check", partitions=size[1]).awaitTermination()
     out = keyed.latest_groups(spark.read.parquet(f"{root}/groups"))
     return out.select("segment_id", "match_key", "null_ref", "group_key", "left_count", "right_count", "left_sum", "right_sum", "left_currency", "right_currency", "left_ref", "right_ref", "left_status", "right_status", "left_copies", "right_copies", "presence")
 

@@ -1,7 +1,7 @@
 """Reconciliation of a stream key by key: a group comes out as soon as its sides balance, and at the latest when its timer runs out.
 
 The state of a group is what the batch run's aggregations keep of it, so the last row of each group equals the batch run's. State is by slot
-(``slots``), in the engine's RocksDB store; it needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider (``use_rocksdb``).
+(``slots``), in the engine's RocksDB store; a large stream begins with more slots and partitions (``sized``). It needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider (``use_rocksdb``).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.match import GROUP, with_presence
-from .slots import SLOTS, combined, stepped, timers_step
+from .slots import SLOTS, combined, sized, stepped, timers_step  # noqa: F401
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -20,6 +20,8 @@ from ..operators.match import COPY, GROUP, with_null_refs
 
 #: A stream keeps this number for life, as its state is found by slot. Groups of a slot are held in memory together.
 SLOTS = 1024
+#: Slots and partitions of a larger stream are so many that these hold about so many records each: the engine hands a partition's ended slots to Python together.
+SLOT_RECORDS, PARTITION_RECORDS = 10_000, 1_000_000
 _NEVER = 2**63 - 1  # stands for no time, as the least of times is kept
 _LIMIT = float(2**62)
 
@@ -115,12 +117,22 @@ def _groups(parts: pa.Table) -> pa.Table:
     return out
 
 
+def sized(records: int, partitions: int) -> tuple[int, int]:
+    """Slots and partitions, at least SLOTS and ``partitions``, for a stream whose state may hold so many records at once."""
+    slots = SLOTS
+    while slots * SLOT_RECORDS < records:
+        slots *= 2
+    return slots, max(partitions, -(-records // PARTITION_RECORDS))
+
+
 _ORDER = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
-def _frame(groups: pa.Table, cause: str | None) -> pd.DataFrame:
+def _frames(groups: pa.Table, cause: str | None, most: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Rows as pandas has them are many times larger than in Arrow, so they are given few at a time."""
     out = groups.append_column("since", groups["first"]).append_column("cause", pa.array([cause] * len(groups), pa.string())).select(_ORDER)
-    return out.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}.get)
+    for at in range(0, len(out), most):
+        yield out.slice(at, most).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}.get)
 
 
 def _read(state) -> pa.Table:
@@ -134,7 +146,7 @@ def _keep(state, parts: pa.Table, ends: np.ndarray) -> None:
             state.remove()
         return
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, _PARTS, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+    with pa.ipc.new_stream(out, _PARTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_table(parts.combine_chunks())
     state.update((out.getvalue().to_pybytes(),))
     # The engine calls when the watermark is past the time that is set, so it is the millisecond before.
@@ -178,10 +190,10 @@ def timers_step(patience: int) -> Callable:
         kept = _put(parts, revision=revision[at], changed=changed[at]).filter(pa.array(open_[at]))
         _keep(state, kept, ends[open_])
         if balanced.any():
-            yield _frame(groups.filter(pa.array(balanced)), "balanced")
+            yield from _frames(groups.filter(pa.array(balanced)), "balanced")
         late = ~open_ & (changed == 1)
         if late.any():
-            yield _frame(_put(groups, revision=revision + 1).filter(pa.array(late)), "timer")
+            yield from _frames(_put(groups, revision=revision + 1).filter(pa.array(late)), "timer")
 
     return step
 

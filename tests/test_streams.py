@@ -4,12 +4,14 @@ import hashlib
 import json
 from datetime import datetime, timedelta
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgermatch.operators.classify import Roles, Rule
 from ledgermatch.operators.match import match_groups
-from ledgermatch.streaming import batches, events as ev, keyed, reconcile
+from ledgermatch.streaming import batches, events as ev, keyed, reconcile, slots
 
 T0 = datetime(2026, 8, 17)
 SCHEMA = "run_id string, segment_id string, side string, match_key string, group_key string, currency string, signed_amount_minor long, base_amount_minor long, entry_type string, biz_status string, biz_time timestamp, posting_time timestamp, raw_ref string, record_id string"
@@ -232,6 +234,24 @@ def test_state_is_asked_by_slot(spark, tmp_path):
     assert sorted(map(tuple, last.select(*names).collect())) == sorted(map(tuple, batch.select(*names).collect()))
 
 
+def test_a_large_stream_has_more_slots_and_partitions(spark, tmp_path):
+    """What one task holds of the state is bounded: slots and partitions follow the records, and a slot's groups come out a few thousand at a time."""
+    assert keyed.sized(1000, 4) == (1024, 4) and keyed.sized(210_000_000, 12) == (32_768, 210)
+    n = 25_000
+    fill = {"string": "x", "int64": 1}
+    parts = pa.table({f.name: pa.array([f"k{i}" for i in range(n)] if f.name == "match_key" else ["LEFT"] * n if f.name == "side" else [fill[str(f.type)]] * n, f.type) for f in slots._PARTS})
+    frames = list(slots._frames(slots._groups(parts), "timer"))
+    assert max(map(len, frames)) <= 10_000 and sum(map(len, frames)) == n and pd.concat(frames)["match_key"].nunique() == n
+    keyed.use_rocksdb(spark)
+    root = f"file://{tmp_path}"
+    for part, partitions in (([rec("LEFT", f"k{i}", 1) for i in range(50)], 6), ([rec("LEFT", "end", 1, 6000)], None)):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
+        batches.run_batches(keyed.keyed_groups(source, slots=16), lambda df, i: batches.write_batch(df, f"{root}/out", i), f"{root}/check", partitions=partitions).awaitTermination()
+    assert len([f for f in (tmp_path / "check" / "state" / "0").iterdir() if f.name.isdigit()]) == 6 and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert keyed.latest_groups(spark.read.parquet(f"{root}/out")).where("match_key <> 'end'").count() == 50
+
+
 @pytest.mark.parametrize("window", [{"size": "1 hour"}, {"size": "2 hours", "slide": "1 hour"}, {"gap": "30 minutes"}])
 def test_windows_close_without_state(spark, tmp_path, window):
     """Windows over restarts: each closes once, sessions grow over batches, late rows stay out, and the engine keeps no state."""
